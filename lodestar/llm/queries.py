@@ -3,6 +3,14 @@
 from __future__ import annotations
 
 from lodestar.llm.mixing import OP2_SQL, op2_mix_sources
+from lodestar.llm.pieces import op8_sentencepiece
+from lodestar.llm.tokencount import op5_token_counts
+from lodestar.llm.warc import OP9_SQL, op9_warc_round_trip
 
-QUERIES = {"op2_mix_sources": op2_mix_sources}
-ORACLES = {"op2_mix_sources": OP2_SQL}
+QUERIES = {
+    "op2_mix_sources": op2_mix_sources,
+    "op5_token_counts": op5_token_counts,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_warc_round_trip": op9_warc_round_trip,
+}
+ORACLES = {"op2_mix_sources": OP2_SQL, "op9_warc_round_trip": OP9_SQL}
