@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestar.llm.linededup import op10_line_dedup
 from lodestar.llm.mixing import OP2_SQL, op2_mix_sources
 from lodestar.llm.pieces import op8_sentencepiece
 from lodestar.llm.tokencount import op5_token_counts
@@ -12,5 +13,6 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_warc_round_trip": op9_warc_round_trip,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {"op2_mix_sources": OP2_SQL, "op9_warc_round_trip": OP9_SQL}
