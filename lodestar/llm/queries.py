@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodestar.llm.linededup import op10_line_dedup
 from lodestar.llm.mixing import OP2_SQL, op2_mix_sources
+from lodestar.llm.neardup import op6_ngram_jaccard_join
 from lodestar.llm.pieces import op8_sentencepiece
 from lodestar.llm.tokencount import op5_token_counts
 from lodestar.llm.warc import OP9_SQL, op9_warc_round_trip
@@ -11,6 +12,7 @@ from lodestar.llm.warc import OP9_SQL, op9_warc_round_trip
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op5_token_counts": op5_token_counts,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_line_dedup": op10_line_dedup,
