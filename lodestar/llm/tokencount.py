@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from lodestar.runtime import bound_arrow
 
 CHUNK = 128
-MAX_STATES, MAX_PIECES, PIECE_CHARS = 200_000, 400_000, 48
+MAX_STATES, MAX_PIECES, PIECE_BYTES = 150_000, 500_000, 64
 
 # Splitter: character classes (with the lookahead they need) and states.
 RESET, LETTER, NUMBER, OTHER, BLANK, BLANK_END, WHITE_END, SHORT, LONG = range(9)
@@ -152,9 +152,13 @@ def byte_letters() -> dict[str, int]:
 
 
 class State(dict):
-    """byte -> (state, change of the count); ``seen`` are (last token, relative count) by place, the newest last."""
+    """byte -> (state, change of the count).
 
-    __slots__ = ("suffix", "seen")
+    ``places`` are (bytes read since, last token, relative count) of the places from which those bytes begin a
+    longer token, and of the present one, the farthest first; ``suffix`` is what was read since the first.
+    """
+
+    __slots__ = ("suffix", "places")
 
 
 class BpeCounter:
@@ -162,10 +166,11 @@ class BpeCounter:
 
     def __init__(self, vocabulary: dict[bytes, int], merges: dict[tuple[bytes, bytes], int]) -> None:
         self.vocab, self.merges = vocabulary, merges
-        self.prefixes = {t[:i] for t in vocabulary for i in range(1, len(t) + 1)}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.open = {t[:i] for t in vocabulary for i in range(1, len(t))}  # what can still become a longer token
+        self.born = {a + b: (r, a, b) for (a, b), r in merges.items()}  # the merge that makes each token
+        self.pairs: dict[tuple[bytes | None, bytes], bool] = {}
         self.states: dict[tuple, State] = {}
-        self.root = self._state(b"", ((None, 0),))
+        self.root = self._state(b"", ((0, None, 0),))
 
     def merge(self, data: bytes) -> list[bytes]:
         """Plain BPE: the lowest-ranked adjacent pair first, leftmost first."""
@@ -177,36 +182,50 @@ class BpeCounter:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def _apart(self, left: bytes, right: bytes) -> bool:
+        """Whether two tokens side by side stay two.
+
+        Merges are undone in falling rank. What then stands at the seam was there together before the undone
+        merge, so a merge of the seam of lower rank would have come first.
+        """
+        born, merges, limit = self.born, self.merges, 1 << 60
+        while merges.get((left, right), limit) >= limit:
+            a, b = born.get(left), born.get(right)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and a[0] > b[0]:
+                limit, left = a[0], a[2]
+            else:
+                limit, right = b[0] + 1, b[1]  # of equal merges the left one comes first
+        return False
+
     def _follows(self, last: bytes | None, token: bytes) -> bool:
-        key = (last or b"", token)
+        key = (last, token)
         if (ok := self.pairs.get(key)) is None:
-            ok = self.pairs[key] = self.merge((last or b"") + token) == ([token] if last is None else [last, token])
+            ok = self.pairs[key] = self.merge(token) == [token] if last is None else self._apart(last, token)
         return ok
 
-    def _state(self, suffix: bytes, seen: tuple) -> State:
-        key = (suffix, seen)
+    def _state(self, suffix: bytes, places: tuple) -> State:
+        key = (suffix, places)
         if (s := self.states.get(key)) is None:
             s = State()
-            s.suffix, s.seen = suffix, seen
+            s.suffix, s.places = suffix, places
             self.states[key] = s
         return s
 
     def _compile(self, state: State, byte: int) -> tuple[State, int]:
         grown = state.suffix + bytes((byte,))
-        seen = state.seen
-        for k in range(min(len(grown), len(seen)), 0, -1):
-            token = grown[len(grown) - k :]
-            if token in self.vocab:
-                last, count = seen[-k]
-                if self._follows(last, token):
-                    break
-        else:
+        n, found, keep = len(grown), None, []
+        for k, last, count in state.places:
+            token = grown[n - k - 1 :]
+            if found is None and token in self.vocab and self._follows(last, token):
+                found, now = token, count + 1
+            if token in self.open:
+                keep.append((k + 1, last, count))
+        if found is None:
             raise ValueError(f"byte {byte} is not in the vocabulary")
-        now = count + 1
-        while grown and grown not in self.prefixes:
-            grown = grown[1:]
-        window = [*seen, (token, now)][-(len(grown) + 1) :]
-        to = self._state(grown, tuple((t, c - now) for t, c in window))
+        suffix = grown[n - keep[0][0] :] if keep else b""
+        to = self._state(suffix, (*[(k, last, count - now) for k, last, count in keep], (0, found, 0)))
         state[byte] = out = (to, now)
         return out
 
@@ -225,7 +244,7 @@ class BpeCounter:
         if len(self.states) > MAX_STATES:
             self.states.clear()
             self.pairs.clear()
-            self.root = self._state(b"", ((None, 0),))
+            self.root = self._state(b"", ((0, None, 0),))
 
 
 class Counter:
@@ -244,7 +263,7 @@ class Counter:
         ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(merges)}
         self.bpe = BpeCounter({raw(t): i for t, i in spec["model"]["vocab"].items() if t not in special}, ranks)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
-        self.pieces: dict[str, int] = {}
+        self.pieces: dict[bytes, int] = {}
 
     def counts(self, texts: list[str]) -> list[int]:
         """Number of tokens of each text."""
@@ -262,21 +281,26 @@ class Counter:
         whole = "\n".join(segments) + "\n"
         codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(s) + 1 for s in segments]) - 1
-        begin = np.flatnonzero(starts(classify(codes, ends)))
-        stop = np.append(begin[1:], len(codes))
-        which = np.searchsorted(ends, begin)
-        stop = np.minimum(stop, ends[which])
+        mark = starts(classify(codes, ends))
+        mark[ends] = True  # separators are pieces of their own, worth nothing
+        begin = np.flatnonzero(mark)
+        width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+        at = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
+        data = whole.encode("utf-8")
+        offsets = np.append(at[begin], len(data))
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         known, count = self.pieces, self.bpe.count
-        n = np.empty(len(begin), np.int64)
-        for k, (a, b) in enumerate(zip(begin.tolist(), stop.tolist(), strict=True)):
-            piece = whole[a:b]
-            c = known.get(piece)
-            if c is None:
-                c = count(piece.encode("utf-8"))
-                if b - a <= PIECE_CHARS:
-                    known[piece] = c
-            n[k] = c
-        np.add.at(total, np.asarray(owner)[which], n)
+        distinct = pieces.dictionary.to_pylist()
+        worth = list(map(known.get, distinct))
+        for k in [k for k, c in enumerate(worth) if c is None]:
+            piece = distinct[k]
+            worth[k] = c = count(piece)
+            if len(piece) <= PIECE_BYTES:
+                known[piece] = c
+        n = np.array(worth, np.int64)[pieces.indices.to_numpy()]
+        n[np.searchsorted(begin, ends)] = 0
+        sums = np.add.reduceat(n, np.searchsorted(begin, np.concatenate([[0], ends[:-1] + 1])))
+        np.add.at(total, np.asarray(owner), sums)
         if len(known) > MAX_PIECES:
             known.clear()
         self.bpe.trim()
