@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestar.llm.capfilters import op4_embedding_neardup
 from lodestar.llm.linededup import op10_line_dedup
 from lodestar.llm.mixing import OP2_SQL, op2_mix_sources
 from lodestar.llm.neardup import op6_ngram_jaccard_join
@@ -11,6 +12,7 @@ from lodestar.llm.warc import OP9_SQL, op9_warc_round_trip
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op4_embedding_neardup": op4_embedding_neardup,
     "op5_token_counts": op5_token_counts,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_sentencepiece": op8_sentencepiece,
