@@ -4,9 +4,8 @@ The encoder keeps an agenda of adjacent symbol pairs ordered by piece score, the
 merged, its new neighbours join the agenda, stale entries are skipped when popped. What no piece covers falls
 back to byte pieces, or to the unknown id where the vocabulary has none.
 
-A text is first cut where no piece can lie across: before a run of the white-space mark that follows another
-character, and around line ends, each only if the vocabulary has no piece over such a place. Units are then
-independent, so each distinct unit is encoded once per cache generation. Every unit that enters the cache is
+A text is first cut between characters that stand side by side in no piece of the vocabulary, for no merge can
+reach over such a place. Units are then independent, so each distinct unit is encoded once per cache generation. Every unit that enters the cache is
 held against the sentencepiece library in the same Arrow batch; a difference (none is known) is resolved for
 the library and counted in ``n_mismatch``. Decoding is the library's ``decode(ids)``.
 
@@ -18,11 +17,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +32,7 @@ from lodestar.runtime import bound_arrow
 
 MARK = "▁"
 #: Units longer than this are encoded afresh each time; a generation holds at most so many units.
-UNIT_CHARS, GENERATION = 64, 250_000
+UNIT_BYTES, GENERATION = 64, 300_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
@@ -59,11 +58,13 @@ class AgendaEncoder:
         self.ids = {p.piece: (i, p.score) for i, p in enumerate(proto.pieces) if p.type == NORMAL}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
-        crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
-        lines = any("\n" in p and len(p) > 1 for p in self.ids)
-        self.units = re.compile({(False, False): f"\n|{MARK}*[^{MARK}\n]+|{MARK}+", (False, True): f"{MARK}*[^{MARK}]+|{MARK}+"}.get((crossing, lines), r"(?s).+"))
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        # pairs of characters (white space as itself, beyond ASCII all alike) that stand side by side in some piece
+        self.joined = np.zeros((129, 129), bool)
+        for p in self.ids:
+            c = np.minimum(np.frombuffer(p.replace(MARK, " ").encode("utf-32-le"), np.uint32), 128)
+            self.joined[c[:-1], c[1:]] = True
+        self.young: dict[bytes, tuple[int, ...]] = {}
+        self.old: dict[bytes, tuple[int, ...]] = {}
 
     def encode_unit(self, unit: str) -> list[int]:
         """Ids of one unit of normalized text."""
@@ -102,43 +103,68 @@ class AgendaEncoder:
                 out.append(self.unknown)
         return out
 
-    def split(self, text: str) -> list[str]:
-        return self.units.findall(self.prefix + text.replace(" ", MARK)) if text else []
-
-    def learn(self, units: set[str]) -> tuple[dict[str, tuple[int, ...]], int]:
-        """Encode units, hold them against the library, and return them with the number of differences."""
-        fresh = {u: tuple(self.encode_unit(u)) for u in units}
-        names = list(fresh)
-        lead = len(self.library.encode("\n"))
-        wrong = 0
-        for u, theirs in zip(names, self.library.encode(["\n" + u for u in names], num_threads=1), strict=True):
-            if tuple(theirs[lead:]) != fresh[u]:
-                fresh[u], wrong = tuple(theirs[lead:]), wrong + 1
-        return fresh, wrong
-
-    def encode_batch(self, texts: list[str]) -> tuple[list[list[int]], list[int]]:
-        """Ids of each text, and how many of its newly seen units differed from the library."""
-        split = [self.split(t) for t in texts]
+    def units(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Distinct units of the texts (white space as itself), each text's units in order, and where texts begin."""
+        lead = " " if self.prefix else ""
+        whole = "".join([f"{lead}{t}\0" if t else "\0" for t in texts]).replace(MARK, " ")
+        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        cls = np.minimum(codes, 128)
+        sizes = np.array([len(t) + len(lead) * bool(t) + 1 for t in texts])
+        ends = np.cumsum(sizes) - 1  # the separators
+        mark = np.ones(len(codes), bool)
+        np.logical_not(self.joined[cls[:-1], cls[1:]], out=mark[1:])
+        mark[ends] = True
+        mark[ends[:-1] + 1] = True
+        begin = np.flatnonzero(mark)
+        width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+        at = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
+        data = whole.encode("utf-8")
+        cuts = np.append(at[begin], len(data))
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+        which = found.indices.to_numpy()
+        stop = np.searchsorted(begin, ends)
+        return found.dictionary.to_pylist(), which, np.stack([np.concatenate([[0], stop[:-1] + 1]), stop])
+
+    def learn(self, units: list[bytes]) -> tuple[list[tuple[int, ...]], set[int]]:
+        """Ids of units, held against the library, and which of them differed (the library's are returned)."""
+        texts = [u.decode("utf-8") for u in units]
+        ours = [tuple(self.encode_unit(t.replace(" ", MARK))) for t in texts]
+        lead, wrong = len(self.library.encode("\n")), set()
+        for k, theirs in enumerate(self.library.encode(["\n" + t for t in texts], num_threads=1)):
+            if tuple(theirs[lead:]) != ours[k]:
+                ours[k] = tuple(theirs[lead:])
+                wrong.add(k)
+        return ours, wrong
+
+    def encode_batch(self, texts: list[str]) -> tuple[list[list[int]], list[str], list[int]]:
+        """Ids of each text, the same as decimals joined by commas, and how many of its new units differed from the library."""
+        distinct, which, (first, last) = self.units(texts)
         young, old = self.young, self.old
-        missing: set[str] = set()
-        for units in split:
-            for u in set(units):
-                if u not in young:
-                    if (hit := old.get(u)) is not None:
-                        young[u] = hit
-                    else:
-                        missing.add(u)
-        fresh, wrong = self.learn(missing) if missing else ({}, 0)
-        bad = set() if not wrong else {u for u in fresh if tuple(self.encode_unit(u)) != fresh[u]}
-        long_units = {u: v for u, v in fresh.items() if len(u) > UNIT_CHARS}
-        young.update(fresh)
-        out = [list(chain.from_iterable(map(young.__getitem__, units))) for units in split]
-        mismatches = [len(bad.intersection(units)) if bad else 0 for units in split]
-        for u in long_units:
-            del young[u]
+        ids = list(map(young.get, distinct))
+        missing = []
+        for k in [k for k, v in enumerate(ids) if v is None]:
+            if (hit := old.get(distinct[k])) is not None:
+                ids[k] = young[distinct[k]] = hit
+            else:
+                missing.append(k)
+        wrong: set[int] = set()
+        if missing:
+            fresh, bad = self.learn([distinct[k] for k in missing])
+            wrong = {missing[k] for k in bad}
+            for k, v in zip(missing, fresh, strict=True):
+                ids[k] = v
+                if len(distinct[k]) <= UNIT_BYTES and k not in wrong:
+                    young[distinct[k]] = v
         if len(young) > GENERATION:
             self.old, self.young = young, {}
-        return out, mismatches
+        words = [",".join(map(str, v)) for v in ids]
+        out, joined, bad_counts = [], [], []
+        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+            units = which[a:b].tolist()
+            out.append(list(chain.from_iterable([ids[k] for k in units])))
+            joined.append(",".join([words[k] for k in units]))
+            bad_counts.append(len(wrong.intersection(units)) if wrong else 0)
+        return out, joined, bad_counts
 
 
 @lru_cache(maxsize=4)
@@ -146,10 +172,6 @@ def encoder(model_file: str) -> AgendaEncoder:
     return AgendaEncoder(model_file)
 
 
-def digest(ids: list[int]) -> str:
-    return hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-
-
 def encode_decode(docs: DataFrame, *, model_file: str | None = None, text: str = "text", keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
     """``docs`` with sp_ids (array<int>), sp_n_tokens, sp_ids_sha256, sp_decoded, sp_decoded_sha256, sp_n_mismatch.
 
@@ -168,10 +190,10 @@ def encode_decode(docs: DataFrame, *, model_file: str | None = None, text: str =
         coder = encoder(model_file)
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            ids, wrong = coder.encode_batch(texts)
+            ids, joined, wrong = coder.encode_batch(texts)
             decoded = coder.library.decode(ids, num_threads=1) if ids else []
             cols = {
-                "sp_n_tokens": [len(x) for x in ids], "sp_ids_sha256": [digest(x) for x in ids], "sp_ids": ids,
+                "sp_n_tokens": [len(x) for x in ids], "sp_ids_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in joined], "sp_ids": ids,
                 "sp_decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in decoded], "sp_n_mismatch": wrong, "sp_decoded": decoded,
             }
             arrays = [*batch.columns, *[pa.array(cols[name], kind) for name, kind in added]]
