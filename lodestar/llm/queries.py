@@ -7,11 +7,13 @@ from lodestar.llm.linededup import op10_line_dedup
 from lodestar.llm.mixing import OP2_SQL, op2_mix_sources
 from lodestar.llm.neardup import op6_ngram_jaccard_join
 from lodestar.llm.pieces import op8_sentencepiece
+from lodestar.llm.secrets import op3_secret_scan
 from lodestar.llm.tokencount import op5_token_counts
 from lodestar.llm.warc import OP9_SQL, op9_warc_round_trip
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_secret_scan": op3_secret_scan,
     "op4_embedding_neardup": op4_embedding_neardup,
     "op5_token_counts": op5_token_counts,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
