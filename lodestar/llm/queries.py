@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestar.llm.capfilters import op4_embedding_neardup
+from lodestar.llm.langid import op7_language_id
 from lodestar.llm.linededup import op10_line_dedup
 from lodestar.llm.mixing import OP2_SQL, op2_mix_sources
 from lodestar.llm.neardup import op6_ngram_jaccard_join
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_embedding_neardup": op4_embedding_neardup,
     "op5_token_counts": op5_token_counts,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_language_id": op7_language_id,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_line_dedup": op10_line_dedup,
