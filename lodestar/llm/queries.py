@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestar.llm.bm25 import op1_bm25_topk
 from lodestar.llm.capfilters import op4_embedding_neardup
 from lodestar.llm.langid import op7_language_id
 from lodestar.llm.linededup import op10_line_dedup
@@ -13,6 +14,7 @@ from lodestar.llm.tokencount import op5_token_counts
 from lodestar.llm.warc import OP9_SQL, op9_warc_round_trip
 
 QUERIES = {
+    "op1_bm25_topk": op1_bm25_topk,
     "op2_mix_sources": op2_mix_sources,
     "op3_secret_scan": op3_secret_scan,
     "op4_embedding_neardup": op4_embedding_neardup,
