@@ -443,13 +443,13 @@ def exact_dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(edges, "doc_id", "first").select(F.col("node").alias("doc_id"), "component")
 
 
-@query("SELECT DISTINCT missing FROM (SELECT twin AS missing FROM rv WHERE twin IS NOT NULL) t WHERE missing NOT IN (SELECT id FROM rv)", view=True)
+@query("SELECT DISTINCT missing FROM (SELECT twin AS missing FROM rv WHERE twin IS NOT NULL) t WHERE missing NOT IN (SELECT id FROM rv WHERE status = 'approved')", view=True)
 def referential_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conflict partners that do not exist."""
+    """Conflict partners that are not among the approved requirements."""
     from lodestar.sources.store import orphans
 
     reqs = req_view(spark, sf_dir)
-    return orphans(reqs.filter("twin is not null").select(F.col("twin").alias("missing")).distinct(), reqs, "missing", "id")
+    return orphans(reqs.filter("twin is not null").select(F.col("twin").alias("missing")).distinct(), reporting.approved(reqs), "missing", "id")
 
 
 @query("SELECT source_type, rtype, count(*) AS n, count(DISTINCT project_id) AS projects FROM rv GROUP BY 1, 2", view=True)
@@ -477,6 +477,23 @@ def cache_hit_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.agg((F.sum(F.col("n") - 1) / F.sum("n")).alias("hit_ratio"), F.sum("n").alias("calls"))
 
 
+@query(ORACLES["review_state"])
+def streaming_review_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state, folded from the events as a stream of files."""
+    from lodestar.runtime import Scratch
+    from lodestar.streaming.ingest import fold_reviews
+
+    path = f"{sf_dir}/events.parquet"
+    return fold_reviews(spark, f"{sf_dir}/events.parque[t]", spark.read.parquet(path).schema, Scratch(spark, "reviews"))
+
+
+@query(_LOG + "SELECT date_trunc('hour', ts) AS \"start\", action, count(*) AS n FROM log GROUP BY 1, 2")
+def decisions_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.streaming.ingest import windowed_decisions
+
+    return windowed_decisions(table(spark, sf_dir, "events"))
+
+
 # --- folds (no SQL twin: checked against brute force in tests) ---
 
 
