@@ -494,6 +494,89 @@ def decisions_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_decisions(table(spark, sf_dir, "events"))
 
 
+@query(
+    f"SELECT id, project_id, statement, status, {duck.owner('statement', 'feature', 'rtype', 'nfr_category')} AS owner, {duck.level(duck.triage_score('statement'))} AS level, {duck.priority('statement', 'rtype', 'inferred')} AS priority, "
+    "CASE WHEN location = '' THEN doc_id ELSE doc_id || ' §' || location END AS sources FROM rv WHERE status IN ('candidate', 'needs_review')",
+    view=True,
+)
+def pending_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review list: pending rows with owner, triage, priority and sources."""
+    rows = assessed(req_view(spark, sf_dir)).filter(F.col("status").isin(*lex.PENDING))
+    owner = cl.owner(F.col("statement"), F.col("feature"), F.col("rtype"), F.col("nfr_category"))
+    sources = F.when(F.col("location") == "", F.col("doc_id")).otherwise(F.concat_ws(" §", "doc_id", "location"))
+    return rows.select("id", "project_id", "statement", "status", owner.alias("owner"), F.col("triage.level").alias("level"), "priority", sources.alias("sources"))
+
+
+_LAYER_SQL = "CASE " + " ".join(f"WHEN k IN ({', '.join(duck.q(x) for x in keys.split())}) THEN '{name}'" for name, keys in lex.LAYER_OF.items()) + " " + " ".join(f"WHEN contains(k, '{w}') THEN '{n}'" for w, n in lex.LAYER_KEYWORDS) + f" ELSE '{lex.LAYER_DEFAULT}' END"
+_ASPECT_KEYS = ["frontend", "my-api", "database", "payments", "OAuth", "devices", "cms", "hosting", "webhooks"]
+
+
+@query(f"SELECT key, {_LAYER_SQL} AS layer FROM (SELECT key, lower(key) AS k FROM (VALUES " + ", ".join(f"('{k}')" for k in _ASPECT_KEYS) + ") v(key)) t")
+def technology_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.operators.document import layer
+
+    return spark.createDataFrame([(k,) for k in _ASPECT_KEYS], "key string").withColumn("layer", layer(F.col("key")))
+
+
+_ASPECTS = [("db", "PostgreSQL", False, 1), ("db", "MySQL", False, 2), ("db", "MongoDB", True, 3), ("db", "SQLite", True, 4), ("ui", "React", True, 1), ("ui", "Vue", True, 2), ("auth", "JWT", False, 1)]
+_ASPECT_VALUES = "a AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{n}', {str(r).lower()}, {p})" for k, n, r, p in _ASPECTS) + ") v(key, name, recommended, pos))"
+
+
+def _aspects(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_ASPECTS, "key string, name string, recommended boolean, pos int")
+
+
+@query(f"WITH {_ASPECT_VALUES}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) AS n FROM a), k AS (SELECT *, coalesce(min(n) FILTER (WHERE recommended) OVER (PARTITION BY key), 1) AS lead FROM n WHERE n <= 3) SELECT key, name, n = lead AS recommended, pos FROM k")
+def normalized_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reporting.normalized_aspects(_aspects(spark))
+
+
+@query(f"WITH {_ASPECT_VALUES}, s AS (SELECT * FROM (VALUES ('db', 'mysql'), ('ui', 'HTMX')) v(key, choice)) SELECT key, coalesce((SELECT x.name FROM a x JOIN s USING (key) WHERE x.key = k.key AND lower(x.name) = lower(s.choice)), (SELECT choice FROM s WHERE s.key = k.key), (SELECT y.name FROM a y WHERE y.key = k.key ORDER BY y.recommended DESC, y.pos LIMIT 1)) AS name FROM (SELECT DISTINCT key FROM a) k")
+def adopted_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selections by name in any case, a custom name, and the recommended default."""
+    return reporting.adopted_stack(_aspects(spark), spark.createDataFrame([("db", "mysql"), ("ui", "HTMX")], "key string, choice string"))
+
+
+@query(
+    _LOG.replace("WITH log", "WITH rq AS (SELECT *, idx % 150 AS rid FROM rv), log") + f"SELECT b.*, coalesce(d.decisions, 0) AS decisions, d.acceptance_rate FROM (SELECT project_id, "
+    + ", ".join(f"count(*) FILTER (WHERE status = '{x}') AS {x}" for x in lex.STATUSES)
+    + f", count(*) FILTER (WHERE len({duck.flags('statement')}) > 0) AS flagged FROM rq GROUP BY 1) b LEFT JOIN (SELECT project_id, count(*) AS decisions, count(*) FILTER (WHERE action = 'accept') / CAST(count(*) AS DOUBLE) AS acceptance_rate FROM rq JOIN log ON rid = requirement_id GROUP BY 1) d ON b.project_id = d.project_id",
+    view=True,
+)
+def exit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.plans.analysis import exit_metrics as metrics
+
+    return metrics(assessed(req_view(spark, sf_dir)).withColumn("requirement_id", F.col("idx") % 150), _log(spark, sf_dir))
+
+
+def _specification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.operators import document
+    from lodestar.plans.classify_queries import lexicon_hits
+
+    reqs = req_view(spark, sf_dir)
+    described = lambda entries: F.create_map(*[F.lit(x) for name, _, d in entries for x in (name, d)])[F.col("name")].alias("description")
+    roles = lexicon_hits(reqs, [r[:2] for r in lex.ROLES]).select("project_id", "rank", "name", described(lex.ROLES))
+    faces = lexicon_hits(reqs, [r[:2] for r in lex.INTERFACES]).select("project_id", "rank", "name", described(lex.INTERFACES))
+    return document.assemble(document.sections(reqs, reporting.open_items(open_rows(spark, sf_dir)), glossary(reporting.approved(reqs)), roles, faces, lexicon_hits(reqs, lex.ENTITIES)))
+
+
+@query()
+def specification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One specification document per project, assembled from relations."""
+    return _specification(spark, sf_dir)
+
+
+@query("SELECT p_brand AS doc_id, CAST(0 AS BIGINT) AS violations FROM part GROUP BY 1")
+def format_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken format checks of every generated document: there are none."""
+    from lodestar.operators import document
+    from lodestar.runtime import Scratch
+
+    docs = Scratch(spark, "specification").write(_specification(spark, sf_dir), "docs")
+    n = document.violations(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("violations"))
+
+
 # --- folds (no SQL twin: checked against brute force in tests) ---
 
 

@@ -51,6 +51,6 @@ def test_every_rule_branch_is_hit(spark):
     assert seen("scope_status", "flag") >= {"out_of_scope", "disputed", "undecided", "deferred", None}
     assert seen("priority", "priority") == {"must", "should", "could"}
     assert len(seen("owner", "owner")) == 6 and seen("triage_levels", "level") == {"attention", "review", "routine"}
-    assert seen("ears_class", "pattern") >= {"event-driven", "state-driven", "optional-feature", "unwanted-behavior", "ubiquitous", None}
+    assert seen("ears_class", "pattern") >= {"event-driven", "state-driven", "unwanted-behavior", "ubiquitous", None}
     assert len(seen("genuine_filter", "reason")) >= 5
     assert QUERIES["quality_flags"](spark, sf).agg(F.count_distinct("score")).first()[0] >= 3
