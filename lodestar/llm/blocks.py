@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.resident import trim
+
 BLOCK = 1024
 
 OUT = "item long, links long, root long"
@@ -131,6 +133,7 @@ def link_groups(members: DataFrame, verify: Callable[[pa.Table], np.ndarray]) ->
                 out, held = [], 0
         if held:
             yield _batch(out)
+        trim()
 
     return dealt.mapInArrow(run, OUT)
 

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.llm.resident import resident, trim
 from lodestar.llm.textcut import mix64, words
 from lodestar.runtime import bound_arrow
 
@@ -44,7 +45,7 @@ FEATURES = 1 << 17
 LEXICON = 2000
 EPOCHS, RATE, L2 = 12, 0.3, 1e-6
 SEGMENT = 64
-CACHE = 300_000
+CACHE = 150_000
 MIN_SCORE = 0.5
 
 
@@ -307,10 +308,9 @@ def fit(docs: DataFrame, *, per_lang: int = TRAIN_DOCS) -> Model:
             taken[r.lang] += 1
             texts.append(r.text)
             labels.append(r.lang)
-    return train(texts, labels)
-
-
-_TAGGERS: dict[int, Tagger] = {}
+    model = train(texts, labels)
+    trim()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text", keep_words: bool = True) -> DataFrame:
@@ -325,10 +325,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep_words: b
     added += [T.StructField("lid_words", T.MapType(T.StringType(), T.LongType()))] * keep_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _TAGGERS:
-            _TAGGERS.clear()
-            _TAGGERS[key] = Tagger(sent.value)
-        tagger = _TAGGERS[key]
+        tagger = resident(("langid", key), lambda: Tagger(sent.value))
         for batch in batches:
             langs, score, by_lang = tagger.predict([t or "" for t in batch.column(at).to_pylist()])
             cols = [pa.array(langs, pa.string()), pa.array(score, pa.float64())]
@@ -336,6 +333,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep_words: b
                 names = tagger.model.langs
                 cols.append(pa.array([[(names[k], int(v)) for k, v in enumerate(r) if v] for r in by_lang.tolist()], pa.map_(pa.string(), pa.int64())))
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *[f.name for f in added]])
+        trim()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.blocks import BLOCK, in_blocks, link_groups
 from lodestar.llm.linededup import with_place
+from lodestar.llm.resident import resident, trim
 from lodestar.llm.textcut import mix64, words
 from lodestar.operators.graph import connected_components
 from lodestar.runtime import Scratch, bound_arrow, small
@@ -104,6 +105,7 @@ def signatures(docs: DataFrame, depth: int, n: int) -> DataFrame:
     """(ld_file, ld_row, doc_id, k1, k2, n_runs, paths): k1 and k2 name the set, null where it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("neardup", object)
         for batch in batches:
             sets = run_sets([t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], n)
             paths = prefixes(sets, depth).view(np.int64)
@@ -112,6 +114,7 @@ def signatures(docs: DataFrame, depth: int, n: int) -> DataFrame:
             cols += [pa.array([k and _signed(k[i]) for k in keys], pa.int64()) for i in (0, 1)]
             cols += [pa.array([len(s) for s in sets], pa.int64()), pa.array(list(paths), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["ld_file", "ld_row", "doc_id", "k1", "k2", "n_runs", "paths"])
+        trim()
 
     return docs.select("ld_file", "ld_row", "doc_id", "text").mapInArrow(run, "ld_file long, ld_row long, doc_id long, k1 long, k2 long, n_runs long, paths array<long>")
 
@@ -124,6 +127,7 @@ def _with_sets(rows: DataFrame, n: int) -> DataFrame:
             sets = run_sets([t or "" for t in batch.column(3).to_pylist()], n)
             runs = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], runs], names=["item", "copies", "memberships", "runs"])
+        trim()
 
     return rows.mapInArrow(run, "item long, copies long, memberships array<struct<bucket:long,n_blocks:long>>, runs array<long>")
 

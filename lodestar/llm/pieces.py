@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.llm.resident import resident, trim
+from lodestar.llm.textcut import binary_pieces, utf8_places
 from lodestar.runtime import bound_arrow
 
 MARK = "▁"
 #: Units longer than this are encoded afresh each time; a generation holds at most so many units.
-UNIT_BYTES, GENERATION = 64, 300_000
+UNIT_BYTES, GENERATION = 64, 150_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
@@ -116,11 +117,8 @@ class AgendaEncoder:
         mark[ends] = True
         mark[ends[:-1] + 1] = True
         begin = np.flatnonzero(mark)
-        width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
-        at = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
         data = whole.encode("utf-8")
-        cuts = np.append(at[begin], len(data))
-        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+        found = binary_pieces(data, utf8_places(codes, begin, len(data))).dictionary_encode()
         which = found.indices.to_numpy()
         stop = np.searchsorted(begin, ends)
         return found.dictionary.to_pylist(), which, np.stack([np.concatenate([[0], stop[:-1] + 1]), stop])
@@ -167,9 +165,8 @@ class AgendaEncoder:
         return out, joined, bad_counts
 
 
-@lru_cache(maxsize=4)
 def encoder(model_file: str) -> AgendaEncoder:
-    return AgendaEncoder(model_file)
+    return resident(("pieces", model_file), lambda: AgendaEncoder(model_file))
 
 
 def encode_decode(docs: DataFrame, *, model_file: str | None = None, text: str = "text", keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
@@ -198,6 +195,7 @@ def encode_decode(docs: DataFrame, *, model_file: str | None = None, text: str =
             }
             arrays = [*batch.columns, *[pa.array(cols[name], kind) for name, kind in added]]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *[name for name, _ in added]])
+        trim()
 
     return docs.mapInArrow(run, schema)
 

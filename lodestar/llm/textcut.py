@@ -19,6 +19,22 @@ def word_table() -> np.ndarray:
     return table
 
 
+def utf8_places(codes: np.ndarray, begin: np.ndarray, end: int) -> np.ndarray:
+    """Byte offsets of code points ``begin`` (ascending, the first 0), with the end appended; sparing of memory."""
+    width = np.ones(len(codes), np.uint8)
+    for least in (0x80, 0x800, 0x10000):
+        width += codes >= least
+    sizes = np.add.reduceat(width, begin, dtype=np.int64) if len(begin) else np.zeros(0, np.int64)
+    out = np.concatenate([[0], np.cumsum(sizes)])
+    assert out[-1] == end or not len(begin)
+    return out
+
+
+def binary_pieces(data: bytes, places: np.ndarray) -> pa.LargeBinaryArray:
+    """Slices of ``data`` between consecutive places, without copies."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(data)])
+
+
 def words(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words in UTF-8, the index of each word in text order, and where each text's words begin (n + 1 places)."""
     whole = "\n".join(texts) + "\n"
@@ -26,10 +42,8 @@ def words(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     inside = word_table()[codes]
     change = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     begin = np.concatenate([[0], change])
-    width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
-    at = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
     data = whole.encode("utf-8")
-    pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(at[begin], len(data))), pa.py_buffer(data)])
+    pieces = binary_pieces(data, utf8_places(codes, begin, len(data)))
     own = np.flatnonzero(inside[begin])
     found = pieces.take(pa.array(own)).dictionary_encode()
     ends = np.cumsum([len(t) + 1 for t in texts])

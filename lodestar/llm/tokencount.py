@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.llm.resident import resident, trim
+from lodestar.llm.textcut import binary_pieces, utf8_places
 from lodestar.runtime import bound_arrow
 
 CHUNK = 128
-MAX_STATES, MAX_PIECES, PIECE_BYTES = 150_000, 500_000, 64
+MAX_STATES, MAX_PIECES, PIECE_BYTES = 100_000, 300_000, 64
 
 # Splitter: character classes (with the lookahead they need) and states.
 RESET, LETTER, NUMBER, OTHER, BLANK, BLANK_END, WHITE_END, SHORT, LONG = range(9)
@@ -284,11 +286,8 @@ class Counter:
         mark = starts(classify(codes, ends))
         mark[ends] = True  # separators are pieces of their own, worth nothing
         begin = np.flatnonzero(mark)
-        width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
-        at = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
         data = whole.encode("utf-8")
-        offsets = np.append(at[begin], len(data))
-        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        pieces = binary_pieces(data, utf8_places(codes, begin, len(data))).dictionary_encode()
         known, count = self.pieces, self.bpe.count
         distinct = pieces.dictionary.to_pylist()
         worth = list(map(known.get, distinct))
@@ -307,9 +306,8 @@ class Counter:
         return total.tolist()
 
 
-@lru_cache(maxsize=4)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return resident(("tokencount", path), lambda: Counter(path))
 
 
 def default_tokenizer() -> str:
@@ -328,6 +326,7 @@ def token_counts(docs: DataFrame, *, tokenizer: str | None = None, text: str = "
         for batch in batches:
             n = machine.counts([t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "tc_n_tokens"])
+        trim()
 
     out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("tc_n_tokens", T.LongType())]))
     return out.withColumn("tc_n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).withColumn("tc_over_limit", F.col("tc_n_tokens") > limit)
