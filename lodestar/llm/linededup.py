@@ -142,6 +142,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS
     runs = asked.join(first, ["k", "s"]).withColumn("t", F.expr("s + n - shiftleft(1L, k)")).join(second, ["k", "t"]).select("s", "n", "ra", "rb")
     runs = scratch.write(runs, "runs")
     intervals = runs.groupBy("n", "ra", "rb").agg(F.min("s").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    intervals = scratch.write(intervals, "intervals")  # so that the join below can split the rows of a hot interval
     later = runs.join(intervals, ["n", "ra", "rb"]).filter("s > first").groupBy("s").agg(F.max("n").alias("n"))
     gone = later.select(F.explode(F.sequence("s", F.col("s") + F.col("n") - 1)).alias("g")).distinct()
     return places.join(gone, "g").select("ld_file", "ld_row", "pos")
