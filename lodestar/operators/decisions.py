@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar import lexicons as lex
 from lodestar.functions import classify as cl
 from lodestar.functions import text as tx
+from lodestar.operators.similarity import cross_overlap
 
 
 def _each_term(rows: DataFrame, *keep: str) -> DataFrame:
@@ -83,9 +84,9 @@ def verify_outcome(targets: DataFrame, verdicts: DataFrame, open_topics: DataFra
 
     ``targets`` has doc_ids and locations arrays; a missing verdict holds.
     """
-    topics = open_topics.select("project_id", tx.topic_terms(F.col("statement")).alias("t")).filter(F.size("t") > 0)
-    mine = targets.select("project_id", "id", tx.topic_terms(F.col("statement")).alias("r"))
-    still_open = mine.join(topics, "project_id").filter(tx.topic_overlap(F.col("r"), F.col("t")) >= 0.20).select("project_id", "id").distinct().withColumn("open", F.lit(True))
+    terms = tx.topic_terms(F.col("statement")).alias("terms")
+    shared = cross_overlap(targets.select("project_id", F.col("id").alias("idx"), terms), open_topics.select("project_id", F.xxhash64("statement").alias("idx"), terms).distinct())
+    still_open = shared.filter(F.col("common") / (F.col("nl") + F.col("nr") - F.col("common")) >= 0.20).select("project_id", F.col("idx").alias("id")).distinct().withColumn("open", F.lit(True))
     strong = (F.size(F.array_distinct("doc_ids")) >= 2) | F.exists("locations", lambda x: cl.contains_any(F.lower(F.coalesce(x, F.lit(""))), lex.AUTHORITATIVE))
     rows = targets.join(verdicts, ["project_id", "id"], "left").join(still_open, ["project_id", "id"], "left")
     keep = strong & F.col("open").isNull() & ~F.coalesce("open_decision", F.lit(False))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestar import lexicons as lex
 from lodestar.functions import classify as cl
 from lodestar.functions import text as tx
+from lodestar.operators.similarity import cross_overlap, cross_similarity
 
 
 def approved(reqs: DataFrame) -> DataFrame:
@@ -100,11 +101,12 @@ def uncovered_items(items: DataFrame, approved_reqs: DataFrame) -> DataFrame:
     """Open items less pointer demotions and noise that restates an approved requirement (by topic or wording)."""
     pointer = (F.col("kind") == "non_requirement") & cl.contains_any(F.lower(F.coalesce("reason", F.lit(""))), lex.POINTER_MARKERS)
     kept = items.filter(~pointer)
-    noise = kept.filter(F.col("kind").isin(*lex.SUPPRESSIBLE) & (F.col("statement") != "")).select("project_id", "idx", F.col("statement").alias("s"))
-    pairs = noise.join(approved_reqs.select("project_id", F.col("statement").alias("r")), "project_id")
-    topical = pairs.filter(tx.topic_overlap(tx.topic_terms(F.col("s")), tx.topic_terms(F.col("r"))) >= 0.85)
-    worded = pairs.filter(tx.topic_overlap(tx.topic_terms(F.col("s")), tx.topic_terms(F.col("r"))) < 0.85).filter(tx.statement_similarity("s", "r") >= 0.6)
-    gone = topical.select("project_id", "idx").union(worded.select("project_id", "idx")).distinct()
+    noise = kept.filter(F.col("kind").isin(*lex.SUPPRESSIBLE) & (F.col("statement") != "")).select("project_id", "idx", "statement")
+    firm = approved_reqs.select("project_id", "statement").distinct().withColumn("idx", F.xxhash64("project_id", "statement"))
+    topics = lambda df: df.select("project_id", "idx", tx.topic_terms(F.col("statement")).alias("terms"))
+    topical = cross_overlap(topics(noise), topics(firm)).filter(F.col("common") / (F.col("nl") + F.col("nr") - F.col("common")) >= 0.85)
+    worded = cross_similarity(noise, firm, 0.6)
+    gone = topical.select("project_id", F.col("idx").cast("long").alias("idx")).union(worded.select("project_id", "idx")).distinct()
     return kept.join(gone, ["project_id", "idx"], "left_anti")
 
 

@@ -88,28 +88,64 @@ def similarity_pairs(rows: DataFrame, threshold: float, later_first: bool = Fals
     return dealt.groupBy(group, "bi", "bj").applyInPandas(score, f"{group} {kind}, a long, b long, sim double")
 
 
+def cross_similarity(left: DataFrame, right: DataFrame, threshold: float, group: str = "project_id") -> DataFrame:
+    """(group, idx, match, sim) of pairs of left and right rows (group, idx, statement) whose score (left, right) reaches the threshold.
+
+    Both sides are cut into blocks, so a task holds two blocks whatever the group's size, and only pairs that pass
+    the bounds are scored; pairs below the threshold never leave Python.
+    """
+    blocks = lambda df, n: df.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
+    sized = blocks(left, "nl").join(blocks(right, "nr"), group)
+    own = lambda n: F.pmod(F.xxhash64("idx"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = lambda df: df.select(group, F.col("idx").cast("long").alias("idx"), "statement").join(sized, group)
+    a = rows(left).withColumn("bi", own("nl")).withColumn("bj", every("nr")).withColumn("side", F.lit(0))
+    b = rows(right).withColumn("bj", own("nr")).withColumn("bi", every("nl")).withColumn("side", F.lit(1))
+    cols = [group, "bi", "bj", "side", "idx", "statement"]
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "idx"], kind="stable")
+        text, idx, n = pdf["statement"].fillna("").tolist(), pdf["idx"].tolist(), int((pdf["side"] == 0).sum())
+        out = []
+        if 0 < n < len(text):
+            for i, j in zip(*np.nonzero(candidates(text, threshold)[:n, n:]), strict=True):
+                if (sim := tx.similarity(text[i], text[n + j])) >= threshold:
+                    out.append((idx[i], idx[n + j], sim))
+        return pd.DataFrame({group: pdf[group].iloc[0], "idx": [o[0] for o in out], "match": [o[1] for o in out], "sim": [o[2] for o in out]})
+
+    kind = left.schema[group].dataType.simpleString()
+    return a.select(*cols).unionByName(b.select(*cols)).groupBy(group, "bi", "bj").applyInPandas(score, f"{group} {kind}, idx long, match long, sim double")
+
+
+def cross_overlap(left: DataFrame, right: DataFrame, group: str = "project_id") -> DataFrame:
+    """(group, idx, match, common, nl, nr) of pairs of rows (group, idx, terms) that share a term, by an equi-join on terms."""
+    each = lambda df, key, n: df.select(group, F.col("idx").alias(key), F.size("terms").alias(n), F.explode("terms").alias("term"))
+    return each(left, "idx", "nl").join(each(right, "match", "nr"), [group, "term"]).groupBy(group, "idx", "match", "nl", "nr").agg(F.count("*").alias("common"))
+
+
 def best_match(left: DataFrame, right: DataFrame, floor: float, group: str = "project_id") -> DataFrame:
     """(group, idx, match, sim): each left row's most similar right row, the first of equals, at ``floor`` at least."""
-    tag = lambda df, side, name: df.select(group, F.col("idx").alias(name), F.col("statement").alias(side))
-    pairs = tag(left, "l", "idx").join(tag(right, "r", "match"), group)
-    scored = pairs.withColumn("sim", tx.statement_similarity("l", "r")).filter(F.col("sim") >= floor)
-    best = scored.groupBy(group, "idx").agg(F.max(F.struct("sim", -F.col("match"))).alias("x"))
-    return best.select(group, "idx", (-F.col("x.col2")).alias("match"), F.col("x.sim").alias("sim"))
+    best = cross_similarity(left, right, floor, group).groupBy(group, "idx").agg(F.max(F.struct("sim", (-F.col("match")).alias("m"))).alias("x"))
+    return best.select(group, "idx", (-F.col("x.m")).alias("match"), F.col("x.sim").alias("sim"))
 
 
 def echo_free(items: DataFrame, firm: DataFrame, group: str = "project_id") -> DataFrame:
-    """Open items less the ungrounded or inferred ones that echo a firm requirement of their project."""
-    noise = items.filter(F.col("kind").isin("ungrounded", "inferred") & (F.trim("statement") != ""))
-    f = firm.select(group, F.col("statement").alias("firm"))
-    pairs = noise.select(group, "idx", "statement").join(f, group)
-    neg = [tx.has_negation(F.col(c)) for c in ("statement", "firm")]
-    tok = [tx.tokens(F.col(c)) for c in ("statement", "firm")]
-    apart = tx.polarity_conflict(neg[0], tok[0], neg[1], tok[1])
-    core = [tx.core_terms(F.col(c)) for c in ("statement", "firm")]
-    covered = (F.size(core[0]) > 0) & (F.size(core[1]) > 0) & (F.size(F.array_intersect(core[0], core[1])) / F.size(core[0]) >= 0.66)
-    same = tx.normalize(F.col("statement")) == tx.normalize(F.col("firm"))
-    scored = pairs.withColumn("same", same).withColumn("covered", covered & ~apart).withColumn("apart", apart)
-    cheap = scored.filter("same or covered")
-    rest = scored.filter("not (same or covered) and not apart").filter(tx.statement_similarity("statement", "firm") >= 0.85)
-    echoes = cheap.select(group, "idx").unionByName(rest.select(group, "idx")).distinct()
+    """Open items less the ungrounded or inferred ones that echo a firm requirement (project, statement) of their project.
+
+    An echo has the same normal form, or is very similar, or has two thirds of its core terms in one requirement;
+    the last two only if the statements are not opposite.
+    """
+    noise = items.filter(F.col("kind").isin("ungrounded", "inferred") & (F.trim("statement") != "")).select(group, "idx", "statement")
+    firm = firm.select(group, "statement").distinct().withColumn("idx", F.xxhash64(group, "statement"))
+    s = F.col("statement")
+    equal = noise.withColumn("norm", tx.normalize(s)).join(firm.select(group, tx.normalize(s).alias("norm")).distinct(), [group, "norm"], "left_semi").select(group, "idx")
+    similar = cross_similarity(noise, firm, 0.85, group).select(group, "idx", "match")
+    core = lambda df: df.select(group, "idx", tx.core_terms(s).alias("terms"))
+    covered = cross_overlap(core(noise), core(firm), group).filter(F.col("common") / F.col("nl") >= 0.66).select(group, "idx", "match")
+    pairs = similar.unionByName(covered.select(group, F.col("idx").cast("long").alias("idx"), "match")).distinct()
+    side = lambda df, key, c: df.select(group, F.col("idx").cast("long").alias(key), F.col("statement").alias(c))
+    both = pairs.join(side(noise, "idx", "a"), [group, "idx"]).join(side(firm, "match", "b"), [group, "match"])
+    a, b = F.col("a"), F.col("b")
+    apart = tx.polarity_conflict(tx.has_negation(a), tx.tokens(a), tx.has_negation(b), tx.tokens(b))
+    echoes = equal.select(group, F.col("idx").cast("long").alias("idx")).unionByName(both.filter(~apart).select(group, "idx")).distinct()
     return items.join(echoes, [group, "idx"], "left_anti")

@@ -224,14 +224,6 @@ def feature_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- overlaps, decisions ---
 
-_PAIR = "FROM rv a JOIN rv b ON a.project_id = b.project_id AND a.idx < b.idx"
-
-
-def _pairs(rows: DataFrame, *cols: str) -> DataFrame:
-    side = lambda s: rows.select("project_id", F.col("idx").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in cols])
-    return side("a").join(side("b"), "project_id").filter("a < b")
-
-
 def _overlapping(rows: DataFrame, terms, threshold: float) -> DataFrame:
     """(project_id, a, b, overlap) of pairs of a project whose term sets' Jaccard reaches the threshold, by an equi-join on terms."""
     each = rows.select("project_id", "idx", terms.alias("t")).select("project_id", "idx", F.size("t").alias("n"), F.explode("t").alias("term"))
@@ -259,16 +251,18 @@ def token_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH p AS (SELECT project_id, idx, {duck.m('statement', lex.NEGATION)} AS neg, {duck.toks('statement')} AS tok FROM rv WHERE idx % 30 IN (0, 1, 8, 9, 27, 28)) "
-    f"SELECT a.project_id, a.idx AS a, b.idx AS b FROM p a JOIN p b ON a.project_id = b.project_id AND a.idx < b.idx WHERE {duck.opposite('a.neg', 'a.tok', 'b.neg', 'b.tok')}",
+    f"WITH p AS (SELECT project_id, idx, {duck.m('statement', lex.NEGATION)} AS neg, {duck.toks('statement')} AS tok, {duck.kept(duck.toks('statement'), 2, lex.TOPIC_STOP)} AS t FROM rv) "
+    f"SELECT a.project_id, a.idx AS a, b.idx AS b FROM p a JOIN p b ON a.project_id = b.project_id AND a.idx < b.idx WHERE len(list_intersect(a.t, b.t)) / CAST(len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)) AS DOUBLE) >= 0.5 AND {duck.opposite('a.neg', 'a.tok', 'b.neg', 'b.tok')}",
     view=True,
 )
 def polarity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Opposite pairs among the statements of six templates."""
+    """Opposite pairs among statements of the same topic."""
     s = F.col("statement")
-    rows = req_view(spark, sf_dir).filter("idx % 30 in (0, 1, 8, 9, 27, 28)").select("project_id", "idx", tx.has_negation(s).alias("neg"), tx.tokens(s).alias("tok"))
-    pairs = _pairs(rows, "neg", "tok")
-    return pairs.filter(tx.polarity_conflict(F.col("a_neg"), F.col("a_tok"), F.col("b_neg"), F.col("b_tok"))).select("project_id", "a", "b")
+    reqs = req_view(spark, sf_dir)
+    pairs = _overlapping(reqs, tx.topic_terms(s), 0.5)
+    side = lambda k: reqs.select(F.col("idx").alias(k), tx.has_negation(s).alias(f"{k}_neg"), tx.tokens(s).alias(f"{k}_tok"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(tx.polarity_conflict(F.col("a_neg"), F.col("a_tok"), F.col("b_neg"), F.col("b_tok"))).select("project_id", "a", "b")
 
 
 _TERMS = duck.kept(duck.toks("statement"), 4, lex.DECISION_STOP)

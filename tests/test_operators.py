@@ -89,6 +89,24 @@ def test_other_folds_equal_global_ones(spark):
     assert {r.idx: r.cluster for r in folds.scope_clusters(df2).collect()} == want
 
 
+def test_cross_steps_against_all_pairs(spark, monkeypatch):
+    left, right = statements(11, 40), statements(12, 30)
+    df = lambda rows: spark.createDataFrame([("p", i, s) for i, s in enumerate(rows)], "project_id string, idx int, statement string")
+    for block in (256, 7):
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        want = {(i, j): s for i, a in enumerate(left) for j, b in enumerate(right) if (s := tx.similarity(a, b)) >= 0.6}
+        assert {(r.idx, r.match): r.sim for r in similarity.cross_similarity(df(left), df(right), 0.6).collect()} == want
+    best = {i: min(j for (x, j), s in want.items() if x == i and s == max(v for (y, _), v in want.items() if y == i)) for i, _ in want}
+    assert {r.idx: r.match for r in similarity.best_match(df(left), df(right), 0.6).collect()} == best
+    core = {s: set(r.t) for s, r in ((r.s, r) for r in spark.createDataFrame([(s,) for s in {*left, *right}], "s string").select("s", tx.core_terms(F.col("s")).alias("t")).collect())}
+
+    def echo(a):
+        return any(tx.normal(a) == tx.normal(b) or not tx.opposite(a, b) and (tx.similarity(a, b) >= 0.85 or core[a] and core[b] and len(core[a] & core[b]) / len(core[a]) >= 0.66) for b in right)
+
+    items = df(left).withColumn("kind", F.when(F.col("idx") % 3 == 0, "conflict").otherwise("inferred"))
+    assert {r.idx for r in similarity.echo_free(items, df(right)).collect()} == {i for i, a in enumerate(left) if i % 3 == 0 or not echo(a)}
+
+
 def test_verdict_driven_steps(spark):
     rows, df = reqs(spark, 40, 1)
     df = df.drop("refs")
