@@ -50,12 +50,13 @@ def contains_join(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     best = F.element_at(F.array_sort(inner, lambda a, b: F.coalesce(F.nullif(F.length(b) - F.length(a), F.lit(0)), F.when(a < b, -1).when(a > b, 1).otherwise(0))), 1)
     asked = quotes.select("item_id", F.col("text").alias("quote")).filter("quote <> ''")
     asked = asked.withColumn("anchor", F.when(F.size(inner) > 0, best))
-    n = quotes.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    n = asked.agg(F.count("*").alias("n"), F.count_if(F.col("anchor").isNull()).alias("short"), F.coalesce(F.sum(F.octet_length("quote")), F.lit(0)).alias("b")).first()
     hint = lambda df: small(df, n.b + 64 * n.n, 1)
     words = docs.withColumn("anchor", F.explode(F.array_distinct(F.split("text", r"\s"))))
     by_word = words.join(hint(asked.filter("anchor is not null")), "anchor").drop("anchor")
-    short = docs.join(hint(asked.filter("anchor is null")).drop("anchor"), F.contains("text", F.col("quote")))
-    found = by_word.filter(F.contains("text", F.col("quote"))).unionByName(short)
+    found = by_word.filter(F.contains("text", F.col("quote")))
+    if n.short:  # else the texts are scanned once
+        found = found.unionByName(docs.join(hint(asked.filter("anchor is null")).drop("anchor"), F.contains("text", F.col("quote"))))
     start = F.instr(F.col("text"), F.col("quote")) - 1
     return found.withColumn("start", start).withColumn("end", F.col("start") + F.length("quote")).drop("text", "quote")
 
