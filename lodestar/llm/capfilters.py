@@ -193,3 +193,15 @@ def near_vectors(table: DataFrame, *, vec_id: str = "vec_id", embedding: str = "
 
 def op4_embedding_neardup(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+OP4_SQL = """
+WITH RECURSIVE x AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM x a JOIN x b ON a.vec_id <> b.vec_id AND len(a.embedding) = len(b.embedding)
+      AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.9),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY 1),
+k AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+SELECT v.vec_id, coalesce(k.n, 0) AS n_links, least(v.vec_id, coalesce(m.b, v.vec_id)) AS component_id, least(v.vec_id, coalesce(m.b, v.vec_id)) = v.vec_id AS kept
+FROM embeddings v LEFT JOIN m ON m.a = v.vec_id LEFT JOIN k ON k.a = v.vec_id
+"""

@@ -191,3 +191,21 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = dedup_lines(docs)
     return out.select("doc_id", F.col("ld_n_lines").alias("n_lines"), F.col("ld_n_removed").alias("n_removed"), F.col("ld_removed").alias("removed"), "text")
+
+
+OP10_SQL = r"""
+WITH cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents),
+w AS (SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM cut),
+p AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM w),
+u AS (SELECT a.doc_id, a.i AS a, min(b.i) AS b FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.c + a.n >= 50 GROUP BY 1, 2
+      UNION SELECT a.doc_id, max(a.i) AS a, b.i AS b FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.c + a.n >= 50 GROUP BY 1, 3),
+k AS (SELECT u.doc_id, u.a, u.b, string_agg(p.line, chr(10) ORDER BY p.i) AS run FROM u JOIN p ON p.doc_id = u.doc_id AND p.i BETWEEN u.a AND u.b GROUP BY 1, 2, 3),
+later AS (SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, a) AS r FROM k) x WHERE r > 1),
+g AS (SELECT DISTINCT p.doc_id, p.i FROM later l JOIN p ON p.doc_id = l.doc_id AND p.i BETWEEN l.a AND l.b),
+isl AS (SELECT doc_id, min(i) - 1 AS a, max(i) - 1 AS b FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS z FROM g) y GROUP BY doc_id, z),
+rem AS (SELECT doc_id, string_agg(CAST(a AS VARCHAR) || '-' || CAST(b AS VARCHAR), ',' ORDER BY a) AS removed, CAST(sum(b - a + 1) AS BIGINT) AS n FROM isl GROUP BY 1),
+txt AS (SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.i) AS text FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.i = p.i WHERE g.i IS NULL GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines, coalesce(rem.n, 0) AS n_removed, coalesce(rem.removed, '') AS removed,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(txt.text, '') END AS text
+FROM documents d LEFT JOIN rem USING (doc_id) LEFT JOIN txt USING (doc_id)
+"""

@@ -222,3 +222,19 @@ def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     result, _, _ = near_duplicates(docs)
     return result.select("doc_id", F.col("nd_class_id").alias("class_id"), F.col("nd_n_links").alias("n_links"), F.col("nd_kept").alias("kept"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_]+') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(t, i, i + 4), ' ') AS g
+      FROM (SELECT doc_id, t, unnest(generate_series(1, greatest(1, len(t) - 4))) AS i FROM w WHERE len(t) > 0) x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / CAST(x.n + y.n - c AS DOUBLE) >= 0.8),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY 1),
+k AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+SELECT d.doc_id, least(d.doc_id, coalesce(m.b, d.doc_id)) AS class_id, coalesce(k.n, 0) AS n_links, least(d.doc_id, coalesce(m.b, d.doc_id)) = d.doc_id AS kept
+FROM documents d LEFT JOIN m ON m.a = d.doc_id LEFT JOIN k ON k.a = d.doc_id
+"""

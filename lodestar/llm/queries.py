@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lodestar.llm.bm25 import op1_bm25_topk
-from lodestar.llm.capfilters import op4_embedding_neardup
+from lodestar.llm.bm25 import OP1_SQL, op1_bm25_topk
+from lodestar.llm.capfilters import OP4_SQL, op4_embedding_neardup
 from lodestar.llm.langid import op7_language_id
-from lodestar.llm.linededup import op10_line_dedup
+from lodestar.llm.linededup import OP10_SQL, op10_line_dedup
 from lodestar.llm.mixing import OP2_SQL, op2_mix_sources
-from lodestar.llm.neardup import op6_ngram_jaccard_join
+from lodestar.llm.neardup import OP6_SQL, op6_ngram_jaccard_join
 from lodestar.llm.pieces import op8_sentencepiece
 from lodestar.llm.secrets import op3_secret_scan
 from lodestar.llm.tokencount import op5_token_counts
@@ -25,4 +25,11 @@ QUERIES = {
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES = {"op2_mix_sources": OP2_SQL, "op9_warc_round_trip": OP9_SQL}
+ORACLES = {
+    "op1_bm25_topk": OP1_SQL,
+    "op2_mix_sources": OP2_SQL,
+    "op4_embedding_neardup": OP4_SQL,
+    "op6_ngram_jaccard_join": OP6_SQL,
+    "op9_warc_round_trip": OP9_SQL,
+    "op10_line_dedup": OP10_SQL,
+}
