@@ -21,7 +21,7 @@ TEMPLATES = [
     "This document describes the {n} module.",
     "Version 0.{k} - DRAFT for {n}",
     "Present: the {n} team",
-    "HRZN-{k},Story,As a shopper I want a {n}",
+    "SHOP-{k},Story,As a shopper I want a {n}",
     "Reviewed on 13 Feb 2026 with the {n} group",
     "The {n} wishlist is out of scope for this release.",
     "It is disputed whether the {n} ratings ship either in 5 days or later.",
