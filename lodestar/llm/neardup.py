@@ -18,8 +18,8 @@ prefixes are cut into blocks, copies collapse before any pair is formed, pairs a
 
 Defined cases: a text without words (or null) links with nothing and is its own group; repeated rows are copies;
 null doc_ids take part and their groups get the smallest non-null id, if any; of each group the row with the
-smallest (doc_id, place in the input) is ``kept``; an empty table gives an empty one. Columns named ``nd_*``
-are replaced.
+smallest (doc_id, place in the input) is ``kept``; an empty table gives an empty one. Columns named ``nd_*`` are
+replaced, ``ld_file`` and ``ld_row`` dropped.
 """
 
 from __future__ import annotations
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD
 
 def keep_one_of_each(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` less the rows that another document of their group stands for."""
-    columns = docs.columns
+    columns = [c for c in docs.columns if c not in ("ld_file", "ld_row")]
     result, placed, scratch = near_duplicates(docs, n=n, threshold=threshold)
     gone = scratch.write(result.filter(~F.col("nd_kept")).select("ld_file", "ld_row"), "gone")
     return placed.join(small(gone, gone.count(), 48), ["ld_file", "ld_row"], "left_anti").select(*columns)
