@@ -37,7 +37,7 @@ from lodestar.llm.textcut import binary_pieces, utf8_places
 from lodestar.runtime import bound_arrow
 
 CHUNK = 128
-MAX_STATES, MAX_PIECES, PIECE_BYTES = 100_000, 300_000, 64
+MAX_STATES, MAX_PIECES, PIECE_BYTES = 250_000, 800_000, 64
 
 # Splitter: character classes (with the lookahead they need) and states.
 RESET, LETTER, NUMBER, OTHER, BLANK, BLANK_END, WHITE_END, SHORT, LONG = range(9)
