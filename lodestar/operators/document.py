@@ -141,6 +141,16 @@ def sections(reqs: DataFrame, open_numbered: DataFrame, glossary: DataFrame, rol
         lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, row.alias("row")))), lambda x: x["row"]), "\n")
         return rows.groupBy("project_id").agg(F.concat(F.lit(f"| {header[0]} | {header[1]} |\n|---|---|\n"), lines).alias("block"))
 
+    def or_else(rows: DataFrame, name: str, description: str) -> DataFrame:
+        """Every project has at least one row, so that its table is well formed."""
+        bare = projects.join(rows.select("project_id").distinct(), "project_id", "left_anti")
+        return rows.select("project_id", "rank", "name", "description").unionByName(bare.select("project_id", F.lit(0).alias("rank"), F.lit(name).alias("name"), F.lit(description).alias("description")))
+
+    roles = or_else(roles, "User", "General authenticated user of the system.")
+    interfaces = or_else(interfaces, "None identified", "No external software interface is named by the approved requirements.")
+    entities = or_else(entities.withColumn("description", F.lit("")), "User", "")
+    if not glossary.limit(1).count():
+        glossary = spark.createDataFrame([(NONE_ITEMS, "—")], "term string, definition string")
     listed.append(("2.3", grid(roles, ("User Class", "Description"), "name", "description", "rank")))
     listed.append(("3.3", grid(interfaces, ("Name", "Description"), "name", "description", "rank")))
     listed.append(("A", grid(projects.crossJoin(F.broadcast(glossary.select("term", "definition"))), ("Term", "Definition"), "term", "definition", "term")))
