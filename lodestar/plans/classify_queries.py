@@ -238,8 +238,9 @@ _ALL_TECH = [t for g in lex.TECH_TOKENS.values() for t in g]
     + f"], lambda x: x IS NOT NULL), '|') AS tokens, {duck.has_any('lower(statement)', lex.STACK_CUES)} AS cue FROM rv WHERE idx % 30 IN (0, 29)"
 )
 def stated_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Technologies that each requirement states, and whether it has a stack cue."""
     low = F.lower(S())
-    return req_view(spark, sf_dir).filter("idx % 30 in (0, 29)").select("id", F.array_join(cl.stated_tokens(low), "|").alias("tokens"), cl.contains_any(low, lex.STACK_CUES).alias("cue"))
+    return req_view(spark, sf_dir).select("id", F.array_join(cl.stated_tokens(low), "|").alias("tokens"), cl.contains_any(low, lex.STACK_CUES).alias("cue"))
 
 
 def _count_sql(signals) -> str:

@@ -198,6 +198,11 @@ def open_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return req_view(spark, sf_dir).withColumn("kind", kind).filter("kind is not null").select("project_id", "idx", "kind", "statement", F.col("location").alias("where"), cl.scope_flag(s)["reason"].alias("reason"))
 
 
+def _is_caution():
+    """Whether a row of the view carries a scope marker."""
+    return F.coalesce(cl.scope_flag(F.col("statement"))["flag"].isin(*lex.SCOPE_KINDS), F.lit(False))
+
+
 _OPEN = (
     f"WITH o AS (SELECT project_id, idx, coalesce({duck.scope('statement', 'flag')}, CASE WHEN {duck.pointer('statement')} THEN 'non_requirement' END, CASE WHEN inferred THEN 'inferred' END) AS kind, statement, location, {duck.scope('statement', 'reason')} AS reason, {duck.norm('statement')} AS norm FROM rv), "
     "f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, kind, norm ORDER BY idx) AS k FROM o WHERE kind IS NOT NULL) t WHERE k = 1), "
@@ -277,7 +282,7 @@ _TERMS = duck.kept(duck.toks("statement"), 4, lex.DECISION_STOP)
 def affected_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requirements that each scope decision reaches through a rare distinctive term."""
     reqs = req_view(spark, sf_dir)
-    return de.affected(reqs.filter("idx % 30 in (17, 18, 19, 20)").withColumnRenamed("id", "decision_id"), reqs)
+    return de.affected(reqs.filter(_is_caution()).withColumnRenamed("id", "decision_id"), reqs)
 
 
 @query(
@@ -633,9 +638,9 @@ def scope_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def best_caution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each firm requirement's most similar cautionary item."""
+    """Each firm requirement's most similar cautionary item; a cautionary row is no firm requirement."""
     cautions = open_rows(spark, sf_dir).filter(F.col("kind").isin(*lex.SCOPE_KINDS))
-    return similarity.best_match(req_view(spark, sf_dir).filter("status = 'approved' and idx % 30 between 17 and 21"), cautions, 0.5)
+    return similarity.best_match(req_view(spark, sf_dir).filter((F.col("status") == "approved") & ~_is_caution()), cautions, 0.5)
 
 
 @query()
