@@ -121,9 +121,8 @@ def transcript_turn_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id AS doc_id, h AS location, length(h) + 4 AS \"start\", length(h) + 4 + length(p) + 1 AS \"end\" FROM (SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS h, trim(regexp_replace(regexp_extract(html, '<p>([^<]+)', 1), '\\s+', ' ', 'g')) AS p FROM pages) t WHERE h <> '' AND p <> ''")
 def heading_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings and first paragraphs of pages as Markdown; paragraphs with their heading trail."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("h"), F.trim(F.regexp_replace(F.regexp_extract("html", "<p>([^<]+)", 1), r"\s+", " ")).alias("p"))
-    docs = pages.filter("h <> '' and p <> ''").select(F.col("page_id").alias("doc_id"), F.lit("brd").alias("source_type"), F.concat(F.lit("# "), "h", F.lit("\n\n"), "p", F.lit("\n")).alias("text"))
+    """All headings and paragraphs of pages, in order, as Markdown; paragraphs with their heading trail."""
+    docs = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("brd").alias("source_type"), corpus.html_markdown(F.col("html")).alias("text"))
     return chunkers.chunk(docs).filter("not startswith(text, '#')").select("doc_id", "location", "start", "end")
 
 

@@ -1,5 +1,7 @@
 """Queries over the requirement view, documents and pages take all rows that the job names."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from lodestar.operators import similarity
@@ -32,3 +34,25 @@ def test_best_caution_takes_every_firm_requirement(spark):
     want = similarity.best_match(reqs.filter("status = 'approved'"), cautions, 0.5).collect()
     assert got == {(r.idx, r.match) for r in want if r.idx not in marked}
     assert got and not [i for i, _ in got if i in marked]
+
+
+def test_heading_blocks_renders_whole_pages(spark, tmp_path):
+    html = (
+        "<html><script>var t='<p>no</p>';</script><body><!-- <p>no</p> --><h1>A</h1><p><b>one</b> more\n text<br><p class='x'>two</p>"
+        "<h2>B</h2><p>three</p><pre>no</pre><p># four</p><H3>C</H3><div><p>five</div><h2>D</h2><p> </p><p>six"
+    )
+    spark.createDataFrame([(1, "u", html), (2, "u", "<p>lone</p>"), (3, "u", "<h1>no text</h1>"), (4, "u", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = sorted(data_queries.heading_blocks(spark, str(tmp_path)).collect(), key=lambda r: (r.doc_id, r.start))
+    text = "# A\n\none more text\n\ntwo\n\n## B\n\nthree\n\n\\# four\n\n### C\n\nfive\n\n## D\n\nsix\n"
+    want = [("A", "one more text"), ("A", "two"), ("A › B", "three"), ("A › B", "\\# four"), ("A › B › C", "five"), ("A › D", "six")]
+    assert [(r.location, text[r.start : r.end].strip()) for r in rows if r.doc_id == 1] == want
+    assert [(r.doc_id, r.location) for r in rows[6:]] == [(2, "(top)")]
+
+
+def test_heading_blocks_has_every_paragraph(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    n = 0
+    for r in pages:
+        shown = re.sub(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1>", " ", r.html)
+        n += sum(re.sub(r"<[^>]*>", "", re.split(r"</?(?:p|div|article|footer|h1|ul)\b", t)[0]).strip() != "" for t in re.split(r"<p>", shown)[1:])
+    assert data_queries.heading_blocks(spark, SF).count() == n > len(pages)
