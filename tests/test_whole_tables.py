@@ -56,3 +56,11 @@ def test_heading_blocks_has_every_paragraph(spark):
         shown = re.sub(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1>", " ", r.html)
         n += sum(re.sub(r"<[^>]*>", "", re.split(r"</?(?:p|div|article|footer|h1|ul)\b", t)[0]).strip() != "" for t in re.split(r"<p>", shown)[1:])
     assert data_queries.heading_blocks(spark, SF).count() == n > len(pages)
+
+
+def test_coverage_counts_every_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    n = sum(len([x for x in (r.text or "").splitlines(True)]) for r in docs.collect())
+    (got,) = data_queries.chunk_coverage_counts(spark, SF).collect()
+    assert got.total == n and docs.filter("lang <> 'en'").count() > 0
+    assert got.total == got.covered_by_req + got.covered_by_openq + got.expected_nonrequirement + got.possible_miss
