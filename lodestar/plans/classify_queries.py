@@ -132,8 +132,11 @@ def auto_approve_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT id FROM (SELECT *, {duck.level(SCORE)} AS x FROM rv) t WHERE x = 'attention' AND NOT inferred AND twin IS NULL ORDER BY idx LIMIT 120")
 def verify_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 120 high-risk requirements (the cap is the feature)."""
-    return assessed(req_view(spark, sf_dir)).filter((F.col("triage.level") == "attention") & ~F.col("inferred") & F.col("twin").isNull()).orderBy("idx").limit(120).select("id")
+    """The first 120 high-risk requirements of each project (the cap is the feature, and holds for a project's run)."""
+    from pyspark.sql import Window as W
+
+    risky = assessed(req_view(spark, sf_dir)).filter((F.col("triage.level") == "attention") & ~F.col("inferred") & F.col("twin").isNull())
+    return risky.withColumn("n", F.row_number().over(W.partitionBy("project_id").orderBy("idx"))).filter("n <= 120").select("id")
 
 
 @query(f"SELECT id, {duck.feature('feature')} AS bucket, {duck.section('rtype', 'feature', 'nfr_category')} AS section FROM rv")

@@ -64,3 +64,16 @@ def test_coverage_counts_every_language(spark):
     (got,) = data_queries.chunk_coverage_counts(spark, SF).collect()
     assert got.total == n and docs.filter("lang <> 'en'").count() > 0
     assert got.total == got.covered_by_req + got.covered_by_openq + got.expected_nonrequirement + got.possible_miss
+
+
+def test_verify_targets_cap_holds_for_a_project(spark, tmp_path):
+    part = spark.read.parquet(f"{SF}/part.parquet").filter("p_partkey % 30 = 18").limit(1).drop("p_partkey", "p_brand")
+    keys = spark.range(1, 20001).withColumnRenamed("id", "p_partkey").withColumn("p_brand", F.concat(F.lit("Brand#"), F.pmod("p_partkey", F.lit(2)).cast("string")))
+    part.crossJoin(keys).write.parquet(f"{tmp_path}/part.parquet")
+    got = classify_queries.verify_targets(spark, str(tmp_path))
+    risky = classify_queries.assessed(req_view(spark, str(tmp_path))).filter("triage.level = 'attention' and not inferred and twin is null")
+    by: dict[str, list[tuple[int, str]]] = {}
+    for r in risky.select("project_id", "idx", "id").collect():
+        by.setdefault(r.project_id, []).append((r.idx, r.id))
+    assert min(len(v) for v in by.values()) > 120 and len(by) == 2
+    assert sorted(r.id for r in got.collect()) == sorted(i for v in by.values() for _, i in sorted(v)[:120])
