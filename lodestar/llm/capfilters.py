@@ -8,7 +8,10 @@ the first only a prefix of the second can reach the bound.
 
 ``plan`` chooses the bound from the number of vectors, so that a cap holds about ``CAP_SIZE`` of them, and a
 code size at which a pair at the threshold meets about once; it then takes independent codes (tables) until
-``RECALL`` of random pairs exactly at the threshold meet in some cap. Closer pairs meet more often. Vectors of a
+``RECALL`` of random pairs exactly at the threshold meet in some cap. Closer pairs meet more often. Where
+``MAX_TABLES`` do not reach it (few dimensions: a score cannot pass sqrt(dim)), the bound is lowered until they do;
+where the caps are then so wide that they cost more than all pairs, one cap holds everything (``EXACT``) and all
+pairs are compared in blocks. No plan with less recall is returned. Vectors of a
 cap are verified in blocks by exact cosine in double precision, so no link is below the threshold.
 
 Equal vectors collapse first. Links count vectors; ``component_id`` is the smallest vec_id that links reach.
@@ -40,6 +43,7 @@ from lodestar.runtime import Scratch, bound_arrow
 THRESHOLD = 0.9
 CAP_SIZE, RECALL = 256, 0.99
 PROBES, MAX_TABLES = 1000, 200
+LOWER, LEAST_BOUND, EARLY = 0.9, 0.1, 10
 SEED = 20240607
 
 
@@ -64,27 +68,47 @@ class Plan:
     tables: int
 
 
+#: One cap with every vector: all pairs are compared, in blocks.
+EXACT = Plan(-math.inf, 1, 1)
+
+
 def plan(n: int, dim: int, threshold: float = THRESHOLD, cap_size: int = CAP_SIZE, recall: float = RECALL) -> Plan:
-    """The cheapest plan of this family that finds random pairs at the threshold with the wanted recall."""
+    """The cheapest plan of this family that finds random pairs at the threshold with the wanted recall, else ``EXACT``."""
     low, high = 0.0, 8.0
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if n * _tail(mid) > cap_size else (low, mid)
     bound = min(low, 4.0)  # beyond it the code words would pass some hundreds a table; caps then grow instead
-    words = max(2, math.ceil(math.sqrt(1 / _both(bound, threshold))))  # about one meeting a table
     rng = np.random.default_rng(SEED)
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     x, z = (unit(rng.standard_normal((PROBES, dim))) for _ in range(2))
     z -= (z * x).sum(axis=1, keepdims=True) * x
     y = threshold * x + math.sqrt(1 - threshold * threshold) * unit(z) if dim > 1 else x
-    met = np.zeros(PROBES, bool)
+    first = True
+    while bound > LEAST_BOUND or first:
+        words = max(2, math.ceil(math.sqrt(1 / _both(bound, threshold))))  # about one meeting a table
+        how, entries = _tables(x, y, bound, words, recall)
+        # vectors that one is compared with, over all its caps, as a share of all vectors
+        if how is not None and (first or entries * entries / (how.tables * words * words) < 1):
+            return how
+        bound, first = bound * LOWER, False
+    return EXACT
+
+
+def _tables(x: np.ndarray, y: np.ndarray, bound: float, words: int, recall: float) -> tuple[Plan | None, float]:
+    """The plan with as many tables as the recall of the probe pairs needs, if any, and the caps that a probe is in."""
+    met, entries = np.zeros(len(x), bool), 0
     for table in range(MAX_TABLES):
         (ri, ci), (rj, cj) = (decode_table(v, bound, words, table) for v in (x, y))
         both = np.intersect1d(ri * words * words + ci, rj * words * words + cj)
         met[both // (words * words)] = True
+        entries += len(ri)
         if met.mean() >= recall:
-            return Plan(bound, words, table + 1)
-    return Plan(bound, words, MAX_TABLES)
+            return Plan(bound, words, table + 1), entries / len(x)
+        # even if all pairs met as easily as those so far, the tables would not do
+        if table + 1 == EARLY and 1 - (1 - met.mean()) ** (MAX_TABLES / EARLY) < recall:
+            break
+    return None, entries / len(x)
 
 
 @lru_cache(maxsize=256)

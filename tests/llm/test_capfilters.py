@@ -69,3 +69,27 @@ def test_recall_at_the_threshold():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert capfilters.near_vectors(df).count() == 0
+
+
+def test_recall_with_few_dimensions():
+    rng = np.random.default_rng(1)
+    for n, dim in ((50_000, 4), (200_000, 8), (1_000_000, 12), (5_000_000, 16), (5_000_000, 24), (50_000, 2), (1_000_000, 1)):
+        how = capfilters.plan(n, dim)
+        unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+        x = unit(rng.standard_normal((300, dim)))
+        y = rng.standard_normal((300, dim))
+        y -= (y * x).sum(1, keepdims=True) * x
+        y = 0.9 * x + np.sqrt(1 - 0.81) * unit(y) if dim > 1 else x
+        met = [bool(set(a) & set(b)) for a, b in zip(capfilters.list_decode(x, how), capfilters.list_decode(y, how), strict=True)]
+        assert sum(met) / 300 >= 0.97, (n, dim, how)
+
+
+def test_exact_where_no_plan_does(spark, monkeypatch):
+    rows = vectors(dim=4)
+    want = sorted(brute(rows))
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(capfilters, "MAX_TABLES", 0)
+    assert capfilters.plan(500, 4) == capfilters.EXACT
+    for block in (1024, 64):
+        monkeypatch.setattr(capfilters, "BLOCK", block)
+        assert sorted(map(tuple, capfilters.near_vectors(df).collect())) == want
