@@ -5,9 +5,9 @@ All of it is DataFrame expressions; no Python runs on the executors.
 Fixed patterns (kinds assign, access, hex) give the base spans, leftmost and non-overlapping per kind. Places of
 matches come from the lengths of what ``split`` leaves between them, so they are code points.
 
-The battery looks at candidates: maximal runs of token characters of at least ``MIN_LEN`` that overlap no base
-span and mix classes as an encoding does. The encoding is inferred from the characters: hex, base32, or base64
-(standard or URL-safe). Over its alphabet of k characters three statistics are standard normal if the
+The battery looks at candidates: what base spans leave of maximal runs of token characters, in pieces of at least
+``MIN_LEN`` with letters and digits. The encoding is inferred from the characters: hex, base32, base36 (letters of one
+case), base36 with two signs, or base64 (standard or URL-safe). Every candidate has one. Over its alphabet of k characters three statistics are standard normal if the
 characters are uniform and independent:
   * chi-squared uniformity of the counts, by the Wilson-Hilferty cube root (only excess counts against it);
   * the number of runs of characters from the lower and upper half of the alphabet;
@@ -47,6 +47,8 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "base38": "0123456789abcdefghijklmnopqrstuvwxyz+/",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 
@@ -100,16 +102,26 @@ def _count_of(text: Column, piece: Column) -> Column:
 
 
 def battery(tok: Column) -> tuple[Column, Column]:
-    """(inferred encoding or null, log10 p-value under "structured") of a candidate."""
+    """(inferred encoding, log10 p-value under "structured") of a candidate, which has letters and digits."""
     has = lambda p: tok.rlike(p)
     encoding = (
-        F.when(has(r"^[0-9a-fA-F]+$") & has("[0-9]") & has("[a-fA-F]"), F.lit("hex"))
-        .when(has("^[A-Z2-7]+$") & has("[2-7]"), F.lit("base32"))
-        .when(has("[A-Z]") & has("[a-z]") & has("[0-9]"), F.lit("base64"))
+        F.when(has(r"^[0-9a-fA-F]+$"), F.lit("hex"))
+        .when(has("^([A-Z2-7]+|[a-z2-7]+)$"), F.lit("base32"))
+        .when(has("^([A-Z0-9]+|[a-z0-9]+)$"), F.lit("base36"))
+        .when(has("[A-Z]") & has("[a-z]"), F.lit("base64"))
+        .otherwise(F.lit("base38"))
     )
-    pick = lambda f: F.when(encoding == "hex", f("hex")).when(encoding == "base32", f("base32")).otherwise(f("base64"))
-    # one spelling per encoding: hex in lower case, URL-safe base64 as standard
-    plain = F.when(encoding == "hex", F.lower(tok)).otherwise(F.translate(tok, "-_", "+/"))
+    narrow = ("hex", "base32", "base36", "base38")
+
+    def pick(f):
+        out = F.when(encoding == narrow[0], f(narrow[0]))
+        for e in narrow[1:]:
+            out = out.when(encoding == e, f(e))
+        return out.otherwise(f("base64"))
+
+    # one spelling per encoding: one case but for base64, URL-safe signs as standard
+    signs = F.translate(tok, "-_", "+/")
+    plain = F.when(encoding == "base32", F.upper(tok)).when(encoding == "base64", signs).otherwise(F.lower(signs))
     n = F.length(plain).cast("double")
 
     def chi(name: str) -> Column:
@@ -162,6 +174,22 @@ def _step_up(found: DataFrame, scratch: Scratch) -> DataFrame:
     return seen.filter(worst <= F.col("upto") / F.col("all") * FDR).groupBy("sec_band").agg(F.max("sec_bin").alias("sec_cut"))
 
 
+def _meet(x: Column, y: Column) -> Column:
+    return (y["s"] < x["e"]) & (x["s"] < y["e"])
+
+
+def _rest(x: Column) -> Column:
+    """What the spans of sec_base leave of a run, as structs like it (g is empty)."""
+    piece = lambda s, e: F.struct(s.alias("s"), e.alias("e"), F.substring(x["m"], s - x["s"] + 1, e - s).alias("m"), F.lit("").alias("g"))
+    start = F.struct(x["s"].alias("at"), F.array().cast("array<struct<s:int,e:int,m:string,g:string>>").alias("out"))
+
+    def cut(acc: Column, y: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], y["e"]).alias("at"), F.when(acc["at"] < y["s"], F.concat(acc["out"], F.array(piece(acc["at"], y["s"])))).otherwise(acc["out"]).alias("out"))
+
+    spans = F.sort_array(F.filter("sec_base", lambda y: _meet(x, y)))
+    return F.aggregate(spans, start, cut, lambda acc: F.when(acc["at"] < x["e"], F.concat(acc["out"], F.array(piece(acc["at"], x["e"])))).otherwise(acc["out"]))
+
+
 def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` with sec_base and sec_all, arrays of struct<s, k, e> (k: place in ``KINDS``)."""
     spark = docs.sparkSession
@@ -172,22 +200,23 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
     none = F.array().cast("array<struct<s:int,e:int,m:string,g:string>>")
     encoded = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")
     runs = F.when(t.rlike(CANDIDATE), F.filter(_matches(t, CANDIDATE), lambda x: encoded(x["m"]))).otherwise(none)
-    clear = F.filter(runs, lambda x: ~F.exists("sec_base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
+    pieces = F.flatten(F.transform(runs, lambda x: F.when(F.exists("sec_base", lambda y: _meet(x, y)), _rest(x)).otherwise(F.array(x))))
+    clear = F.filter(pieces, lambda x: (F.length(x["m"]) >= MIN_LEN) & encoded(x["m"]))
     candidates = base.select(F.explode(clear).alias("c")).select(F.col("c.m").alias("tok"))
     encoding, logp = battery(F.col("tok"))
     # every candidate of the corpus takes part in the step-up
     band = F.floor(F.least(F.length("tok"), F.lit(256)) / BAND).cast("int")
     bin_of = lambda p: F.greatest(F.lit(0), F.lit(BINS - 1) + F.floor(p * 10)).cast("int")
-    judged = candidates.withColumn("enc", encoding).filter("enc is not null").select("enc", band.alias("sec_band"), bin_of(logp).alias("sec_bin"))
+    judged = candidates.select(encoding.alias("enc"), band.alias("sec_band"), bin_of(logp).alias("sec_bin"))
     cuts = _step_up(judged, scratch).collect()  # one row for each of at most 17 length bands
 
     def keep(x: Column) -> Column:
-        enc, p = battery(x["m"])
+        _, p = battery(x["m"])
         own = F.floor(F.least(F.length(x["m"]), F.lit(256)) / BAND).cast("int")
         cut = F.lit(-1)
         for r in cuts:
             cut = F.when(own == r["sec_band"], F.lit(r["sec_cut"])).otherwise(cut)
-        return enc.isNotNull() & (bin_of(p) <= cut)
+        return bin_of(p) <= cut
 
     extra = F.transform(F.filter(clear, keep), lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index("random")).alias("k"), x["e"].alias("e")))
     return base.withColumn("sec_all", F.concat("sec_base", extra))

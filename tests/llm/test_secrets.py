@@ -50,3 +50,24 @@ def test_rendering_and_empty_table(spark):
     (r,) = secrets.scan(df).select(secrets.render(F.col("sec_base")).alias("x")).collect()
     assert r.x == "assign:2:17,access:18:38"
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_battery_takes_one_case_alphabets_and_rests_of_runs(spark):
+    rnd = random.Random(9)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [low + digits, (low + digits).upper(), low + "234567", low + digits + "-_"]
+    keys = ["".join(rnd.choice(a) for _ in range(96)) for a in alphabets for _ in range(20)]
+    b64 = secrets.ALPHABETS["base64"]
+    rests = ["".join(rnd.choice(b64) for _ in range(80)) for _ in range(20)]
+    joint = "deadbeef" * 3
+    plain = ["path/to/some/file/name/2024/index", "some_long_snake_case_identifier_number_12", "helloworldhelloworldhelloworld12345", "a" * 60 + "1", "ABCABCABCABCABCABCABC888"]
+    data = [(i, f"some words {k} and more") for i, k in enumerate([*keys, *plain])]
+    data += [(1000 + i, f"some words G{k}G{joint}G{k}G and more") for i, k in enumerate(rests)]
+    out = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    text = dict(data)
+    found = {i: [text[i][x.s : x.e] for x in r.sec_all if secrets.KINDS[x.k] == "random"] for i, r in out.items()}
+    for k in range(4):
+        assert sum(found[i] == [keys[i]] for i in range(20 * k, 20 * k + 20)) >= 14, alphabets[k]
+    assert not [i for i in range(80, 85) if found[i]]
+    both = [i for i in range(1000, 1020) if len(found[i]) == 2]
+    assert len(both) >= 14 and all(joint not in f for i in both for f in found[i])
