@@ -1,12 +1,12 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash bands with exact verification.
 
 A document is the set of its runs of ``n`` words (lower case, ``\\w`` words), each as a 64-bit hash; fewer than
 ``n`` words make one run. Documents with equal sets form a class, and one stands for all.
 
-Forest: each of ``TREES`` trees orders the classes by a path of MinHash values, a trie. Starting from
-``MAX_DEPTH`` values, the prefix that must agree is shortened until the chance that a pair at the threshold
-agrees in some tree reaches ``RECALL``; classes below one prefix of one tree are a bucket. Levels below that
-depth decide nothing and are not computed. Buckets with the same members in several trees are kept once.
+Bands, in place of an LSH forest: starting from ``MAX_DEPTH`` MinHash values, a band (here also: a tree) is shortened
+until the chance that a pair at the threshold agrees in one of ``TREES`` bands reaches ``RECALL`` (5 values); this is
+set before any data are seen. Classes that agree in a band are a bucket. A forest shortens prefixes by query, to find
+the best few; here all pairs at a fixed threshold are wanted, so there are no full signatures and no tries. Buckets with the same members in several trees are kept once.
 Verification compares the sets of a bucket's members exactly (``blocks``), so the links are exact; a link can be
 missed only if all trees separate the pair (0.04 % of pairs at the threshold, fewer above it).
 
