@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestar.runtime import Scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_BITS = 12
 HASH_BITS = 60
@@ -140,10 +142,16 @@ def curriculum(mixed: DataFrame) -> DataFrame:
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", n_words(F.col("text")).alias("mix_size"))
-    mixed = mix(docs, flat(5, 2, 1))
-    return mixed.select(
+    scratch = Scratch(spark, "mix")
+    mixed = scratch.write(mix(docs, flat(5, 2, 1)), "mixed")
+    # written, for a sort below an aggregate would be optimized away
+    rows = scratch.write(curriculum(mixed).select("source", "mix_offset", "mix_position"), "curriculum")
+    # rows that are taken have words, so a source and an offset are one of them
+    read = rows.groupBy(F.col("source").alias("from"), F.col("mix_offset").alias("at")).agg(F.count("*").alias("n"), F.min("mix_position").alias("first_position"))
+    on = F.col("source").eqNullSafe(F.col("from")) & (F.col("mix_offset") == F.col("at")) & (F.col("mix_size") > 0)
+    return mixed.join(read, on, "left").select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
-        F.col("mix_target").alias("target"), F.col("mix_taken").cast("long").alias("taken"), F.col("mix_position").alias("first_position"),
+        F.col("mix_target").alias("target"), (F.coalesce("n", F.lit(0)) * F.col("mix_size")).cast("long").alias("taken"), "first_position",
     )
 
 

@@ -56,3 +56,14 @@ def test_schedule_is_inverted(spark):
     for t in (0.25, 0.5, 0.75):
         n = {s: sum(r.source == s and r.mix_position < t for r in out) / sum(r.source == s for r in out) for s in "ab"}
         assert n["a"] == pytest.approx(t * t, abs=0.01) and n["b"] == pytest.approx(2 * t - t * t, abs=0.01)
+
+
+def test_query_runs_the_curriculum(spark, monkeypatch):
+    seen = []
+    whole = mixing.curriculum
+    monkeypatch.setattr(mixing, "curriculum", lambda mixed: seen.append(1) or whole(mixed))
+    got = mixing.op2_mix_sources(spark, "/root/testdata/sf0.001").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source", "text")
+    want = mixing.mix(docs, mixing.flat(5, 2, 1)).collect()
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert seen and sorted([(r.doc_id, r["size"], r.taken, r.first_position) for r in got], key=key) == sorted([(r.doc_id, r.mix_size, r.mix_taken, r.mix_position) for r in want], key=key)
