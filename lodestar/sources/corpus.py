@@ -58,16 +58,15 @@ _BLOCK_TAG = r"</?(?:h[1-6]|p|div|article|section|main|header|footer|nav|aside|u
 def html_markdown(html: Column) -> Column:
     """All headings (``#`` by level) and paragraphs of a page in order, blank lines between; entities stay as they are."""
     shown = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)(?=[\s>]).*?</\1\s*>", " ")
-    block = r"(?is)<(h[1-6]|p)(?=[\s/>])[^>]*>(.*?)(?=" + _BLOCK_TAG + r"|\z)"
-    tags, texts = (F.regexp_extract_all(shown, F.lit(block), F.lit(g)) for g in (1, 2))
+    block = r"(?is)<(h[1-6]|p)(?=[\s/>])[^>]*>.*?(?=" + _BLOCK_TAG + r"|\z)"
 
-    def line(tag: Column, text: Column) -> Column:
-        plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", ""), r"(?U)\s+", " "))
-        level = F.substring(tag, 2, 1).try_cast("int")
+    def line(block: Column) -> Column:
+        plain = F.trim(F.regexp_replace(F.regexp_replace(block, r"<[^>]*>", ""), r"(?U)\s+", " "))
+        level = F.substring(block, 3, 1).try_cast("int")
         # a paragraph that begins with the heading's mark is escaped
         return F.when(plain == "", "").when(level.isNotNull(), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), plain)).otherwise(F.regexp_replace(plain, "^#", r"\\#"))
 
-    blocks = F.filter(F.zip_with(tags, texts, line), lambda x: x != "")
+    blocks = F.filter(F.transform(F.regexp_extract_all(shown, F.lit(block), F.lit(0)), line), lambda x: x != "")
     return F.concat(F.array_join(blocks, "\n\n"), F.lit("\n"))
 
 
