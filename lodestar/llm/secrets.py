@@ -7,24 +7,32 @@ matches come from the lengths of what ``split`` leaves between them, so they are
 
 The battery looks at candidates: what base spans leave of maximal runs of token characters, in pieces of at least
 ``MIN_LEN`` with letters and digits. The encoding is inferred from the characters: hex, base32, base36 (letters of one
-case), base36 with two signs, or base64 (standard or URL-safe). Every candidate has one. Over its alphabet of k characters three statistics are standard normal if the
-characters are uniform and independent:
-  * chi-squared uniformity of the counts, by the Wilson-Hilferty cube root (only excess counts against it);
-  * the number of runs of characters from the lower and upper half of the alphabet;
-  * the serial correlation of neighbouring characters' numbers.
-Their squares (of the first, its positive part) add up to a departure D. Structured text departs more the longer
-it is: its expected chi-squared is higher by ``length x EXCESS``, so under the null hypothesis "structured" the
-first statistic is centred at a value that grows with the length. The p-value of a candidate is the chance that
-structured text of its length and encoding looks as uniform, times a penalty for the departure of the other
-two tests. Candidates are split into length bands; in each band the Benjamini-Hochberg step-up at ``FDR``
-decides on a histogram of log p-values, whose size does not depend on the data.
+case), base36 with two signs, or base64 (standard or URL-safe). Every candidate has one. A candidate is a discovery if
+it is shown to be random; so each test has the null hypothesis "not random in this respect, by at least a margin",
+and its p-value is the chance, at the margin, of a statistic that looks as random (an equivalence test):
+  * uniformity: Pearson's chi-squared over the alphabet of k characters, which counts pairs of equal characters. Null:
+    two characters agree with chance at least 1/k + ``COLLISION`` (English letters: 0.0655). The number of equal pairs
+    then has a known mean and variance (``TRIPLE`` is the chance that three agree over the square of that for two;
+    English letters: 1.25); its lower tail by the Wilson-Hilferty cube root with these moments;
+  * runs of characters from the lower and upper half of the alphabet (Wald-Wolfowitz). Null: the share of places where
+    the half changes is off its expectation by at least ``RUNS`` (0.5: always or never); two one-sided normal tails;
+  * serial correlation of neighbouring characters' numbers. Null: at least ``SERIAL`` in size; likewise.
+"Structured" means that any of the nulls holds, so the p-value of a candidate is the largest of the three (an
+intersection-union test, valid without independence). All three shrink with the length. Candidates are split into length bands; in each band the Benjamini-Hochberg step-up at ``FDR``
+decides on a histogram of log p-values, whose size does not depend on the data; a bin counts with its upper edge.
+
+Texts are scanned once: spans and the candidates' bins are written without the texts, and the step-up's cuts are
+applied to what was written.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows each get their spans; texts of any
-length are scanned whole; an empty table gives an empty one. Columns named ``sec_*`` are replaced.
+length are scanned whole; spans of different kinds may overlap, and ties of start and end are ordered by kind; an
+empty table gives an empty one. Columns named ``sec_*`` are replaced.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,8 +47,9 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ("assign", "access", "hex", "random")
 
 MIN_LEN = 20
-#: Excess of sum(k p^2) - 1 that structured text shows at least over its alphabet, per character.
-EXCESS = 0.5
+#: Margins: chance of equal characters over 1/k, share of half changes, size of the serial correlation.
+COLLISION, RUNS, SERIAL = 1 / 32, 0.4, 0.8
+TRIPLE = 1.5
 FDR = 0.01
 BAND, BINS = 16, 400
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
@@ -101,77 +110,93 @@ def _count_of(text: Column, piece: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, piece, F.lit("")))) / F.length(piece)
 
 
-def battery(tok: Column) -> tuple[Column, Column]:
-    """(inferred encoding, log10 p-value under "structured") of a candidate, which has letters and digits."""
+def log_tail(z: Column) -> Column:
+    """log10 of the upper normal tail, never below it: sqrt(2/pi) exp(-z^2/2) / (z + sqrt(z^2 + 8/pi)) for z >= 0, by reflection below."""
+    upper = lambda x: F.lit(math.log10(math.sqrt(2 / math.pi))) - x * x / (2 * math.log(10)) - F.log10(x + F.sqrt(x * x + 8 / math.pi))
+    return F.when(z >= 0, upper(z)).otherwise(F.log10(1 - F.pow(F.lit(10.0), upper(-z)) / 1.05))
+
+
+def _encoding(tok: Column) -> Column:
     has = lambda p: tok.rlike(p)
-    encoding = (
+    return (
         F.when(has(r"^[0-9a-fA-F]+$"), F.lit("hex"))
         .when(has("^([A-Z2-7]+|[a-z2-7]+)$"), F.lit("base32"))
         .when(has("^([A-Z0-9]+|[a-z0-9]+)$"), F.lit("base36"))
         .when(has("[A-Z]") & has("[a-z]"), F.lit("base64"))
         .otherwise(F.lit("base38"))
     )
-    narrow = ("hex", "base32", "base36", "base38")
-
-    def pick(f):
-        out = F.when(encoding == narrow[0], f(narrow[0]))
-        for e in narrow[1:]:
-            out = out.when(encoding == e, f(e))
-        return out.otherwise(f("base64"))
-
-    # one spelling per encoding: one case but for base64, URL-safe signs as standard
-    signs = F.translate(tok, "-_", "+/")
-    plain = F.when(encoding == "base32", F.upper(tok)).when(encoding == "base64", signs).otherwise(F.lower(signs))
-    n = F.length(plain).cast("double")
-
-    def chi(name: str) -> Column:
-        letters = F.array(*[F.lit(c) for c in ALPHABETS[name]])
-        k = len(ALPHABETS[name])
-        return F.aggregate(F.transform(letters, lambda c: _count_of(plain, c)), F.lit(0.0), lambda acc, c: acc + c * c) * k / n - n
-
-    def bits(name: str) -> Column:
-        a = ALPHABETS[name]
-        return F.translate(plain, a, "0" * (len(a) // 2) + "1" * (len(a) - len(a) // 2))
-
-    def correlation(name: str) -> Column:
-        a = F.lit(ALPHABETS[name])
-        mid, var = (len(ALPHABETS[name]) + 1) / 2, (len(ALPHABETS[name]) ** 2 - 1) / 12
-        code = F.transform(F.split(plain, ""), lambda c: F.instr(a, c))
-        own = F.transform(F.filter(code, lambda x: x > 0), lambda x: x - mid)
-        pairs = F.zip_with(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))), F.slice(own, 2, F.greatest(F.size(own), F.lit(1))), lambda x, y: x * y)
-        return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x) / var / F.sqrt(n - 1)
-
-    k = pick(lambda e: F.lit(float(len(ALPHABETS[e]))))
-    df = k - 1
-    cube = lambda x: F.pow(F.greatest(x, F.lit(0.0)) / df, F.lit(1 / 3))
-    spread = F.sqrt(2 / (9 * df))
-    z_chi = (cube(pick(chi)) - (1 - 2 / (9 * df))) / spread
-    centre = (F.pow((df + n * EXCESS * k / 16) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / spread
-    b = pick(bits)
-    ones = _count_of(b, F.lit("1"))
-    zeros = n - ones
-    runs = 1 + _count_of(b, F.lit("01")) + _count_of(b, F.lit("10"))
-    mean = 1 + 2 * ones * zeros / n
-    var = (mean - 1) * (mean - 2) / F.greatest(n - 1, F.lit(1.0))
-    z_runs = F.when(var > 0, (runs - mean) / F.sqrt(var)).otherwise(F.lit(9.0))
-    z_serial = pick(correlation)
-    # one-sided normal tail by Mills' ratio bounds, in logarithms
-    gap = centre - z_chi
-    tail = lambda z: F.when(z <= 0, F.lit(-0.30103)).otherwise(-(z * z / 2) / 2.302585093 - F.log10(z + F.sqrt(z * z + 2.546479)) + 0.2035)
-    other = z_runs * z_runs + z_serial * z_serial
-    penalty = F.greatest(other - 2, F.lit(0.0)) / 2 / 2.302585093
-    return encoding, F.least(tail(gap) + penalty, F.lit(0.0))
+
+
+def battery(found: Column) -> Column:
+    """Candidates, array<struct<s, e, m, ..>>, with their encoding and the three log10 p-values: struct<s, e, n, enc, chi, runs, serial>.
+
+    Each step binds what the next one reads several times.
+    """
+    letters = F.map_from_arrays(F.array(*[F.lit(e) for e in ALPHABETS]), F.array(*[F.lit(a) for a in ALPHABETS.values()]))
+
+    def spelled(x: Column) -> Column:
+        # one spelling per encoding: one case but for base64, URL-safe signs as standard
+        signs = F.translate(x["m"], "-_", "+/")
+        plain = F.when(x["enc"] == "base32", F.upper(x["m"])).when(x["enc"] == "base64", signs).otherwise(F.lower(signs))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["enc"].alias("enc"), plain.alias("plain"), F.element_at(letters, x["enc"]).alias("a"))
+
+    def coded(x: Column) -> Column:
+        code = F.filter(F.transform(F.split(x["plain"], ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.instr(x["a"], c))), lambda i: i > 0)
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["enc"].alias("enc"), F.length(x["a"]).cast("double").alias("k"), code.alias("code"), F.length(x["plain"]).cast("double").alias("n"))
+
+    def counted(x: Column) -> Column:
+        run = F.struct(F.lit(0).alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("pairs"))
+
+        def equal(acc: Column, c: Column) -> Column:  # in sorted order a character meets the equal ones before it
+            before = F.when(acc["last"] == c, acc["run"]).otherwise(F.lit(0).cast("long"))
+            return F.struct(c.alias("last"), (before + 1).alias("run"), (acc["pairs"] + before).alias("pairs"))
+
+        ahead = F.slice(x["code"], 2, F.greatest(F.size(x["code"]), F.lit(1)))
+        behind = F.slice(x["code"], 1, F.greatest(F.size(x["code"]) - 1, F.lit(0)))
+        low, mid = lambda c: c <= F.floor(x["k"] / 2), (x["k"] + 1) / 2
+        change = F.aggregate(F.zip_with(behind, ahead, lambda c, d: (low(c) != low(d)).cast("int")), F.lit(0), lambda acc, y: acc + y)
+        serial = F.aggregate(F.zip_with(behind, ahead, lambda c, d: (c - mid) * (d - mid)), F.lit(0.0), lambda acc, y: acc + y)
+        keep = [x[c].alias(c) for c in ("s", "e", "enc", "k", "n")]
+        pairs = F.aggregate(F.array_sort(x["code"]), run, equal, lambda acc: acc["pairs"])
+        return F.struct(*keep, pairs.alias("pairs"), F.size(F.filter(x["code"], lambda c: ~low(c))).alias("ones"), change.alias("change"), serial.alias("serial"))
+
+    def tested(x: Column) -> Column:
+        n, k = x["n"], x["k"]
+        p2 = 1 / k + COLLISION
+        p3 = TRIPLE * p2 * p2
+        mean = n * (n - 1) / 2 * p2
+        var = n * (n - 1) / 2 * (p2 - p2 * p2) + n * (n - 1) * (n - 2) * (p3 - p2 * p2)
+        s = var / (9 * mean * mean)
+        z_chi = (F.pow((x["pairs"] + 0.5) / mean, F.lit(1 / 3)) - (1 - s)) / F.sqrt(s)
+        off = F.abs(x["change"] / (n - 1) - 2 * x["ones"] * (n - x["ones"]) / (n * (n - 1)))
+        r = x["serial"] / ((k * k - 1) / 12) / (n - 1)
+        return F.struct(
+            x["s"].alias("s"), x["e"].alias("e"), n.cast("int").alias("n"), x["enc"].alias("enc"),
+            log_tail(-z_chi).alias("chi"),
+            # the share of changes has a deviation of at most 1 / (2 sqrt(n - 1))
+            log_tail((RUNS - off) * 2 * F.sqrt(n - 1)).alias("runs"),
+            log_tail((SERIAL - F.abs(r)) * F.sqrt(n - 1)).alias("serial"),
+        )
+
+    named = F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), _encoding(x["m"]).alias("enc")))
+    for step in (spelled, coded, counted, tested):
+        named = F.transform(named, step)
+    return named
+
+
+def p_bin(tests: Column) -> Column:
+    """Bin of the combined p-value: bin b holds p with 10^-(b+1)/10 < p <= 10^-b/10."""
+    worst = F.greatest(tests["chi"], tests["runs"], tests["serial"])
+    return F.least(F.floor(F.greatest(-worst, F.lit(0.0)) * 10), F.lit(BINS - 1)).cast("int")
 
 
 def _step_up(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """Benjamini-Hochberg in every length band, on a histogram: (sec_band, sec_cut), keep bins up to the cut."""
-    hist = found.groupBy("sec_band", "sec_bin").count()
-    hist = scratch.write(hist, "histogram")
-    order = W.partitionBy("sec_band").orderBy("sec_bin").rowsBetween(W.unboundedPreceding, 0)
+    """Benjamini-Hochberg in every length band, on a histogram: (sec_band, sec_cut), keep bins from the cut on."""
+    hist = scratch.write(found.groupBy("sec_band", "sec_bin").count(), "histogram")  # at most 17 bands by BINS rows
+    order = W.partitionBy("sec_band").orderBy(F.desc("sec_bin")).rowsBetween(W.unboundedPreceding, 0)
     seen = hist.withColumn("upto", F.sum("count").over(order)).withColumn("all", F.sum("count").over(W.partitionBy("sec_band")))
-    # a bin's p-values are at most 10^-(BINS - bin - 1)/10
-    worst = F.pow(F.lit(10.0), -(F.lit(BINS - 1) - F.col("sec_bin")) / 10)
-    return seen.filter(worst <= F.col("upto") / F.col("all") * FDR).groupBy("sec_band").agg(F.max("sec_bin").alias("sec_cut"))
+    worst = F.pow(F.lit(10.0), -F.col("sec_bin") / 10)
+    return seen.filter(worst <= F.col("upto") / F.col("all") * FDR).groupBy("sec_band").agg(F.min("sec_bin").alias("sec_cut"))
 
 
 def _meet(x: Column, y: Column) -> Column:
@@ -190,10 +215,9 @@ def _rest(x: Column) -> Column:
     return F.aggregate(spans, start, cut, lambda acc: F.when(acc["at"] < x["e"], F.concat(acc["out"], F.array(piece(acc["at"], x["e"])))).otherwise(acc["out"]))
 
 
-def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """``docs`` with sec_base and sec_all, arrays of struct<s, k, e> (k: place in ``KINDS``)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "secrets")
+def scan(docs: DataFrame, *, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with sec_base and sec_all, arrays of struct<s, k, e> (k: place in ``KINDS``), with or without the text."""
+    scratch = Scratch(docs.sparkSession, "secrets")
     docs = docs.drop(*[c for c in docs.columns if c.startswith("sec_")])
     t = F.coalesce(F.col(text), F.lit(""))
     base = docs.withColumn("sec_base", base_spans(t))
@@ -202,28 +226,24 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
     runs = F.when(t.rlike(CANDIDATE), F.filter(_matches(t, CANDIDATE), lambda x: encoded(x["m"]))).otherwise(none)
     pieces = F.flatten(F.transform(runs, lambda x: F.when(F.exists("sec_base", lambda y: _meet(x, y)), _rest(x)).otherwise(F.array(x))))
     clear = F.filter(pieces, lambda x: (F.length(x["m"]) >= MIN_LEN) & encoded(x["m"]))
-    candidates = base.select(F.explode(clear).alias("c")).select(F.col("c.m").alias("tok"))
-    encoding, logp = battery(F.col("tok"))
+    judged = F.transform(battery(clear), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.floor(F.least(x["n"], F.lit(256)) / BAND).cast("int").alias("sec_band"), p_bin(x).alias("sec_bin")))
+    found = base.withColumn("sec_found", judged)
+    found = scratch.write(found if keep_text else found.drop(text), "found")
     # every candidate of the corpus takes part in the step-up
-    band = F.floor(F.least(F.length("tok"), F.lit(256)) / BAND).cast("int")
-    bin_of = lambda p: F.greatest(F.lit(0), F.lit(BINS - 1) + F.floor(p * 10)).cast("int")
-    judged = candidates.select(encoding.alias("enc"), band.alias("sec_band"), bin_of(logp).alias("sec_bin"))
-    cuts = _step_up(judged, scratch).collect()  # one row for each of at most 17 length bands
+    cuts = _step_up(found.select(F.explode("sec_found").alias("c")).select("c.sec_band", "c.sec_bin"), scratch).collect()  # one row for each of at most 17 length bands
 
     def keep(x: Column) -> Column:
-        _, p = battery(x["m"])
-        own = F.floor(F.least(F.length(x["m"]), F.lit(256)) / BAND).cast("int")
-        cut = F.lit(-1)
+        cut = F.lit(BINS)
         for r in cuts:
-            cut = F.when(own == r["sec_band"], F.lit(r["sec_cut"])).otherwise(cut)
-        return bin_of(p) <= cut
+            cut = F.when(x["sec_band"] == r["sec_band"], F.lit(r["sec_cut"])).otherwise(cut)
+        return x["sec_bin"] >= cut
 
-    extra = F.transform(F.filter(clear, keep), lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index("random")).alias("k"), x["e"].alias("e")))
-    return base.withColumn("sec_all", F.concat("sec_base", extra))
+    extra = F.transform(F.filter("sec_found", keep), lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index("random")).alias("k"), x["e"].alias("e")))
+    return found.withColumn("sec_all", F.concat("sec_base", extra)).drop("sec_found")
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = scan(docs)
+    out = scan(docs, keep_text=False)
     n = lambda kind: F.size(F.filter("sec_base", lambda x: x["k"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(F.encode(render(F.col("sec_base")), "UTF-8"), 256).alias("base_sha256"), render(F.col("sec_all")).alias("spans"))
