@@ -152,9 +152,9 @@ def test_tests_of_structured_text_are_calibrated(spark):
     rnd = random.Random(4)
     share = dict(zip("etaoinshrdlcumwfgypbvkjxqz", [12.7, 9.1, 8.2, 7.5, 7, 6.7, 6.3, 6.1, 6, 4.3, 4, 2.8, 2.8, 2.4, 2.4, 2.2, 2, 2, 1.9, 1.5, 1, 0.8, 0.15, 0.15, 0.1, 0.07]))
     rows = []
-    for name in ("base36", "base64"):
+    for name in ("base32", "base64"):
         a = secrets.ALPHABETS[name]
-        even, english = 1 / len(a), [share.get(c, 0) / sum(share.values()) for c in a]
+        even, english = 1 / len(a), [share.get(c.lower() if name == "base32" else c, 0) / sum(share.values()) for c in a]
         blends = ([w / 1000 * e + (1 - w / 1000) * even for e in english] for w in range(1001))
         p = next(x for x in blends if sum(y * y for y in x) >= even + 1 / 32)
         rows += [(name, "".join(rnd.choices(a, p, k=n))) for _ in range(2000) for n in (24, 48, 96)]
@@ -162,9 +162,9 @@ def test_tests_of_structured_text_are_calibrated(spark):
     one = lambda c: F.array(F.struct(F.lit(0).alias("s"), F.length(c).alias("e"), c.alias("m")))
     got = df.select("name", secrets.battery(one(F.col("tok")))[0].alias("x")).select("name", "x.*").collect()
     for n in (24, 48, 96):
-        for name in ("base36", "base64"):
+        for name in ("base32", "base64"):
             p = [max(r.chi, r.runs, r.serial) for r in got if (r.n, r.name, r.enc) == (n, name, name)]
-            assert len(p) > 1900
+            assert len(p) > 1500
             assert all(sum(x <= a for x in p) <= 10**a * len(p) * 1.3 + 3 for a in (-1, -2, -3)), (n, name)
     for tok in ("abcdefghijklmnopqrstuvwxyz0123456789", "ABABABABABABABABABABABABABABABAB12", "A1" * 40):
         assert max(brute_logs(tok)) > -1
