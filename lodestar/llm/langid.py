@@ -5,10 +5,11 @@ learned weights) and from its neighbours by learned transitions; forward-backwar
 code-switched text is labelled word by word. A document's language is the one with the largest mean marginal
 over all its words, and that mean is its score.
 
-Training: a bounded sample of labelled documents (``TRAIN_DOCS`` a language, chosen by hash; documents longer
-than ``TRAIN_CHARS`` stay out of the sample) is cut into word sequences, half of them spliced from documents of
+Training: a bounded sample of labelled documents is cut into word sequences, half of them spliced from documents of
 different languages so that switches are seen; weights and transitions maximise the conditional likelihood by
-Adagrad. Documents with crc32(doc_id as text) mod 4 = 2 are held out and never seen.
+Adagrad. The bounds: the ``MAX_LANGS`` most frequent languages; of each the ``TRAIN_DOCS`` documents that come first
+by a hash of id and text, up to ``TRAIN_CHARS`` characters each and ``TRAIN_TOTAL`` together (longer ones stay out of the
+sample). Documents with crc32(doc_id as text) mod 4 = 2 are held out and never seen.
 
 Prediction runs over whole texts of any length: words are cut into segments of ``SEGMENT``; all segments of an
 Arrow batch run in lock step. A first pass multiplies each segment's transfer matrix, a scan over each
@@ -16,7 +17,7 @@ document's segments gives the messages at their ends, and a second pass gives th
 
 Defined cases: a text that is null or has no letter gets ``und`` with score 0; without any labelled document
 everything is ``und``; words of no letter (digits, marks) are not labelled; a null doc_id is neither held out
-nor trained on; repeated rows are predicted alike; an empty table gives an empty one. Columns named ``lid_*``
+nor trained on; repeated rows are predicted alike; of equal mean marginals the first language by name wins; an empty table gives an empty one. Columns named ``lid_*``
 are replaced.
 """
 
@@ -31,23 +32,24 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.llm.resident import resident, trim
 from lodestar.llm.textcut import mix64, words
-from lodestar.runtime import bound_arrow
+from lodestar.runtime import Scratch, bound_arrow
 
 UNKNOWN = "und"
-TRAIN_DOCS, TRAIN_CHARS = 300, 100_000
+MAX_LANGS, TRAIN_DOCS, TRAIN_CHARS, TRAIN_TOTAL = 62, 300, 100_000, 3_000_000
 SEQUENCES, SEQUENCE = 3000, 40
 FEATURES = 1 << 17
 LEXICON = 2000
 EPOCHS, RATE, L2 = 12, 0.3, 1e-6
 SEGMENT = 64
 CACHE = 150_000
-#: Code-switched documents stay: only what is spread evenly over many languages falls below this.
-MIN_SCORE = 0.35
+#: Steps of a score in the histogram from which ``least_score`` is read.
+STEPS = 200
 
 
 def held_out(doc_id: Column) -> Column:
@@ -90,7 +92,7 @@ def features(names: list[bytes], lexicon: dict[bytes, int], n_langs: int) -> tup
             add(10 + k, k, (start + 1)[size - 2 >= k])
             add(20 + k, k, (start + size - 1 - k)[size - 2 >= k])
     mask = np.fromiter((lexicon.get(w, 0) for w in names), np.int64, len(names))
-    for lang in range(min(n_langs, 62)):
+    for lang in range(min(n_langs, MAX_LANGS)):
         has = np.flatnonzero(mask >> lang & 1)
         owner.append(has)
         feats.append(np.full(len(has), FEATURES + lang))
@@ -181,7 +183,7 @@ def train(texts: list[str], labels: list[str], seed: int = 11) -> Model:
     sizes = np.diff(first)
     if n_lang < 2 or not len(which):
         return model
-    for k in range(min(n_lang, 62)):
+    for k in range(min(n_lang, MAX_LANGS)):
         mine = Counter(which[np.repeat(lang == k, sizes)].tolist())
         for w, _ in sorted(mine.items(), key=lambda x: (-x[1], names[x[0]]))[:LEXICON]:
             model.lexicon[names[w]] = model.lexicon.get(names[w], 0) | 1 << k
@@ -296,20 +298,18 @@ class Tagger:
 def fit(docs: DataFrame, *, per_lang: int = TRAIN_DOCS) -> Model:
     """Train on a bounded sample of the labelled documents (doc_id, text, lang) that are not held out."""
     good = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    counts = good.groupBy("lang").count().collect()  # languages are few
+    counts = good.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.5 * per_lang / r["count"]))).otherwise(share)
-    u = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    rows = good.filter(u < share).select("lang", "text", u.alias("u"), "doc_id").collect() if counts else []
-    taken: Counter[str] = Counter()
-    texts, labels = [], []
-    for r in sorted(rows, key=lambda r: (r.u, r.doc_id, r.lang, r.text)):
-        if taken[r.lang] < per_lang:
-            taken[r.lang] += 1
-            texts.append(r.text)
-            labels.append(r.lang)
-    model = train(texts, labels)
+    # about 1.5 times the wanted rows pass; the window bounds what reaches the driver whatever the ids are
+    u = F.xxhash64(F.lit("sample"), "doc_id", "text").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    order = W.partitionBy("lang").orderBy("u", "doc_id", "text")
+    rows = good.withColumn("u", u).filter(F.col("u") < share).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang)
+    rows = rows.withColumn("chars", F.sum(F.length("text")).over(order.rowsBetween(W.unboundedPreceding, 0))).filter((F.col("r") == 1) | (F.col("chars") <= TRAIN_TOTAL))
+    taken = rows.select("lang", "r", "text").collect() if counts else []
+    taken.sort(key=lambda r: (r.lang, r.r))
+    model = train([r.text for r in taken], [r.lang for r in taken])
     trim()
     return model
 
@@ -339,10 +339,31 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep_words: b
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
-def keep_identified(docs: DataFrame, *, min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` less those without a language or with a score below ``min_score``."""
-    out = identify(docs, fit(docs.select("doc_id", "text", "lang")), keep_words=False)
-    return out.filter((F.col("lid_lang") != UNKNOWN) & (F.col("lid_score") >= min_score)).select(*docs.columns)
+def least_score(identified: DataFrame) -> float:
+    """The largest bound below which, on held-out labelled documents, more labels are wrong than right; 0 if there is none.
+
+    Read from a histogram over all of them (doc_id, lang, lid_lang, lid_score).
+    """
+    known = identified.filter(held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("lid_lang") != UNKNOWN))
+    step = F.least(F.floor(F.col("lid_score") * STEPS), F.lit(STEPS - 1)).alias("step")
+    wrong = F.sum(F.when(F.col("lang") == F.col("lid_lang"), -1).otherwise(1)).alias("wrong")
+    bound, more = 0.0, 0
+    for r in sorted(known.groupBy(step).agg(wrong).collect()):  # at most STEPS rows
+        more += r["wrong"]
+        if more > 0:
+            bound = (r["step"] + 1) / STEPS
+    return bound
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """``docs`` less those without a language or with a score below ``least_score``; a null ``lang`` gets the language found.
+
+    Documents in several languages have low scores, but are kept as long as their main language is found more often than not.
+    """
+    scratch = Scratch(docs.sparkSession, "langid")
+    found = scratch.write(identify(docs, fit(docs.select("doc_id", "text", "lang")), keep_words=False), "identified")
+    good = found.filter((F.col("lid_lang") != UNKNOWN) & (F.col("lid_score") >= least_score(found)))
+    return good.withColumn("lang", F.coalesce("lang", "lid_lang")).select(*docs.columns)
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

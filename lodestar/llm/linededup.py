@@ -11,15 +11,18 @@ deleted if the same run starts earlier in the sequence; maximal repeated runs ar
    suffix-array intervals whose longest common prefix reaches 2^k lines, in suffix order. A pair that occurs
    once is resolved and leaves; doubling stops at the longest window that is asked for.
 3. A run of n lines is named by two overlapping 2^k ranks, k = floor(log2 n): its interval in the suffix array.
-   Each place asks for the shortest run of ``min_words`` that starts there and the shortest that ends there. All
-   repeated runs are unions of those, so every later copy in an interval is deleted, and the union of deleted
-   windows gives the maximal runs.
+   Each place asks for the shortest run of ``min_words`` that starts there and the shortest that ends there; doubling
+   stops at the longest of these, for longer common prefixes decide nothing: a run of a longest-common-prefix
+   interval is the union of those that start and end inside it. Every later copy in an interval is deleted.
+4. The deleted stretches of a document, as [start, end) intervals, are merged by a running maximum of their ends, so
+   overlapping and long ones cost one row each, and the merged ones are its maximal repeated runs.
 
 Scale: only 64-bit ids and places are shuffled, after pre-aggregation; no document or group of copies meets in
 one task. The text is read twice and, while the table of deletions fits a checked broadcast, never shuffled.
 
 Defined cases: a null text stays null and has no lines; an empty text is one empty line; lines are split at
-"\\n" and compared exactly; repeated rows are documents of their own, in input order, so a later copy loses all
+"\\n" and compared by two 64-bit hashes (n lines collide with chance n**2 / 2**129); runs below ``min_words`` words stay
+however often they occur (short common lines such as licenses are not copies of a document); repeated rows are documents of their own, in input order, so a later copy loses all
 its lines; a document may end up empty (the caller may drop it, see ``n_removed``). Columns named ``ld_*`` are
 replaced; others pass through.
 """
@@ -144,8 +147,10 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS
     intervals = runs.groupBy("n", "ra", "rb").agg(F.min("s").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
     intervals = scratch.write(intervals, "intervals")  # so that the join below can split the rows of a hot interval
     later = runs.join(intervals, ["n", "ra", "rb"]).filter("s > first").groupBy("s").agg(F.max("n").alias("n"))
-    gone = later.select(F.explode(F.sequence("s", F.col("s") + F.col("n") - 1)).alias("g")).distinct()
-    return places.join(gone, "g").select("ld_file", "ld_row", "pos")
+    # merged by the running maximum of the ends of the intervals so far; places of a document are consecutive but for gaps, which no run crosses
+    begun = places.join(later, places["g"] == later["s"], "left").select("ld_file", "ld_row", "pos", "g", (F.col("s") + F.col("n")).alias("end"))
+    upto = F.max("end").over(W.partitionBy("ld_file", "ld_row").orderBy("g").rowsBetween(W.unboundedPreceding, 0))
+    return begun.withColumn("upto", upto).filter("upto > g").select("ld_file", "ld_row", "pos")
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:

@@ -49,3 +49,13 @@ def test_copies_and_short_lines(spark):
 
 def test_empty_table(spark):
     assert got(spark, [], 50) == []
+
+
+def test_blank_lines_and_very_long_texts(spark):
+    """Windows with many blank lines between words overlap a lot; a long text is whole."""
+    sparse = "\n".join(x for i in range(80) for x in (f"w{i}", *[""] * 40))
+    body = "\n".join(f"line {i} of a long text {i * i}" for i in range(6000))
+    rows = [(1, sparse), (2, "own start\n" + sparse + "\nown end"), (3, body), (4, "new\n" + body)]
+    out = {i: (t, n) for i, t, n in got(spark, rows, 50)}
+    assert out[1] == (sparse, 0) and out[3] == (body, 0) and out[4] == ("new", 6000)
+    assert out[2][0].startswith("own start\n") and out[2][0].endswith("own end") and "w5" not in out[2][0].split("\n")
