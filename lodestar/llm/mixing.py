@@ -132,6 +132,9 @@ def mix(docs: DataFrame, schedules: Sequence[Schedule], *, max_epochs: int = 3,
 
 _PLAN = ("mix_ts", "mix_ws", "mix_cs")
 
+#: The query's schedules: integrals 5, 2 and 1, the first source fading out while the others come in.
+FADING: list[Schedule] = [[(0.0, 8.0), (1.0, 2.0)], [(0.0, 1.0), (1.0, 3.0)], [(0.0, 0.0), (0.5, 1.0), (1.0, 2.0)]]
+
 
 def curriculum(mixed: DataFrame) -> DataFrame:
     """The rows that training reads, one per copy, range-sorted by training time (``mix_position``)."""
@@ -143,7 +146,7 @@ def curriculum(mixed: DataFrame) -> DataFrame:
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", n_words(F.col("text")).alias("mix_size"))
     scratch = Scratch(spark, "mix")
-    mixed = scratch.write(mix(docs, flat(5, 2, 1)), "mixed")
+    mixed = scratch.write(mix(docs, FADING), "mixed")
     # written, for a sort below an aggregate would be optimized away
     rows = scratch.write(curriculum(mixed).select("source", "mix_offset", "mix_position"), "curriculum")
     # rows that are taken have words, so a source and an offset are one of them
@@ -152,7 +155,7 @@ def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mixed.join(read, on, "left").select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
         F.col("mix_target").alias("target"), (F.coalesce("n", F.lit(0)) * F.col("mix_size")).cast("long").alias("taken"), "first_position",
-    )
+    ).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
 OP2_SQL = r"""
@@ -179,8 +182,18 @@ c AS (
   SELECT *, CASE WHEN size > 0 THEN
        CAST(off + size / 2.0::DOUBLE <= target AS INT) + CAST(source_size + off + size / 2.0::DOUBLE <= target AS INT)
      + CAST(2 * source_size + off + size / 2.0::DOUBLE <= target AS INT) ELSE 0 END AS copies
-  FROM o)
+  FROM o),
+v AS (  -- the piece of the schedule in which the integral reaches off / target of its total: knots t0, t1, weights w0, w1, r beyond t0
+  SELECT *, off / target * w AS y FROM c WHERE copies > 0),
+p AS (
+  SELECT doc_id, size, source_size, target, copies,
+         CASE w WHEN 1 THEN CASE WHEN y >= 0.25 THEN 0.5 ELSE 0.0 END ELSE 0.0 END::DOUBLE AS t0, CASE w WHEN 1 THEN CASE WHEN y >= 0.25 THEN 1.0 ELSE 0.5 END ELSE 1.0 END::DOUBLE AS t1,
+         CASE w WHEN 5 THEN 8.0 WHEN 2 THEN 1.0 ELSE CASE WHEN y >= 0.25 THEN 1.0 ELSE 0.0 END END::DOUBLE AS w0,
+         CASE w WHEN 5 THEN 2.0 WHEN 2 THEN 3.0 ELSE CASE WHEN y >= 0.25 THEN 2.0 ELSE 1.0 END END::DOUBLE AS w1,
+         y - CASE WHEN w = 1 AND y >= 0.25 THEN 0.25 ELSE 0.0 END::DOUBLE AS r
+  FROM v)
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken,
-       CASE WHEN copies > 0 THEN CASE WHEN off > 0 THEN 2 * ((off / target) * w) / (w + sqrt(w * w)) ELSE 0.0::DOUBLE END END AS first_position
-FROM c
+       CASE WHEN r <= 0 THEN t0 ELSE t0 + 2 * r / (w0 + sqrt(greatest(w0 * w0 + 2 * ((w1 - w0) / (t1 - t0)) * r, 0.0::DOUBLE))) END AS first_position
+FROM p
+UNION ALL SELECT doc_id, size, source_size, target, 0, NULL FROM c WHERE copies = 0
 """

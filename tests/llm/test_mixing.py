@@ -59,11 +59,35 @@ def test_schedule_is_inverted(spark):
 
 
 def test_query_runs_the_curriculum(spark, monkeypatch):
+    assert [round(mixing._integral(x)[-1], 12) for x in mixing.FADING] == [5, 2, 1]
     seen = []
     whole = mixing.curriculum
     monkeypatch.setattr(mixing, "curriculum", lambda mixed: seen.append(1) or whole(mixed))
     got = mixing.op2_mix_sources(spark, "/root/testdata/sf0.001").collect()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source", "text")
-    want = mixing.mix(docs, mixing.flat(5, 2, 1)).collect()
+    want = mixing.mix(docs, mixing.FADING).collect()
     key = lambda r: tuple((x is not None, x) for x in r)
     assert seen and sorted([(r.doc_id, r["size"], r.taken, r.first_position) for r in got], key=key) == sorted([(r.doc_id, r.mix_size, r.mix_taken, r.mix_position) for r in want], key=key)
+
+
+def test_query_is_sorted_and_equals_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    got = mixing.op2_mix_sources(spark, sf).collect()
+    at = [r.first_position for r in got if r.first_position is not None]
+    assert at == sorted(at) and [r.first_position for r in got[: len(at)]] == at
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    want = con.sql(mixing.OP2_SQL)
+    rows = [tuple(r[c] for c in want.columns) for r in got]
+    assert sorted(rows, key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_fading_sources(spark):
+    rows = [(i, f"s{i % 3}", "w " * 20) for i in range(3000)]
+    out = mixing.curriculum(mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), mixing.FADING)).collect()
+    first = [r.source for r in out if r.mix_position < 0.25]
+    last = [r.source for r in out if r.mix_position >= 0.75]
+    n = lambda part, s: part.count(s)
+    assert n(first, "s0") > 1.5 * n(last, "s0") and n(last, "s1") > 1.4 * n(first, "s1") and n(last, "s2") > 5 * n(first, "s2")
