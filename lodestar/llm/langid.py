@@ -305,9 +305,16 @@ def fit(docs: DataFrame, *, per_lang: int = TRAIN_DOCS) -> Model:
     # about 1.5 times the wanted rows pass; the window bounds what reaches the driver whatever the ids are
     u = F.xxhash64(F.lit("sample"), "doc_id", "text").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
     order = W.partitionBy("lang").orderBy("u", "doc_id", "text")
-    rows = good.withColumn("u", u).filter(F.col("u") < share).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang)
-    rows = rows.withColumn("chars", F.sum(F.length("text")).over(order.rowsBetween(W.unboundedPreceding, 0))).filter((F.col("r") == 1) | (F.col("chars") <= TRAIN_TOTAL))
-    taken = rows.select("lang", "r", "text").collect() if counts else []
+
+    def first(rows: DataFrame) -> list:
+        rows = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang)
+        rows = rows.withColumn("chars", F.sum(F.length("text")).over(order.rowsBetween(W.unboundedPreceding, 0))).filter((F.col("r") == 1) | (F.col("chars") <= TRAIN_TOTAL))
+        return rows.select("lang", "r", "text").collect()
+
+    taken = first(good.withColumn("u", u).filter(F.col("u") < share)) if counts else []
+    # equal rows have equal hashes: a language of a few texts, each many times, may have none below its share
+    if left := [r["lang"] for r in counts if r["lang"] not in {x.lang for x in taken}]:
+        taken += first(good.withColumn("u", u).filter(F.col("lang").isin(left)))
     taken.sort(key=lambda r: (r.lang, r.r))
     model = train([r.text for r in taken], [r.lang for r in taken])
     trim()
@@ -363,7 +370,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "langid")
     found = scratch.write(identify(docs, fit(docs.select("doc_id", "text", "lang")), keep_words=False), "identified")
     good = found.filter((F.col("lid_lang") != UNKNOWN) & (F.col("lid_score") >= least_score(found)))
-    return good.withColumn("lang", F.coalesce("lang", "lid_lang")).select(*docs.columns)
+    return good.withColumn("lang", F.coalesce("lang", "lid_lang")).select(*[c for c in docs.columns if c in good.columns])
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

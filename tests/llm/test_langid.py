@@ -62,3 +62,44 @@ def test_defined_cases(spark):
     assert {r.lid_lang for r in langid.identify(df, none).collect()} == {"und"}
     held = {r.doc_id: r.h for r in df.select("doc_id", langid.held_out(F.col("doc_id")).alias("h")).collect()}
     assert all(h == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) for i, h in held.items())
+
+
+def test_least_score_is_where_wrong_labels_prevail(spark):
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 == 2]
+    free = next(i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(i, "a", "b" if k % 3 else "a", 0.3) for k, i in enumerate(held[:30])]  # 20 wrong, 10 right
+    rows += [(i, "a", "a", 0.5) for i in held[30:35]] + [(i, "a", "b", 0.55) for i in held[35:37]]  # 15 right, 22 wrong so far
+    rows += [(i, "a", "a", 0.9) for i in held[40:200]] + [(free, "a", "b", 0.95)] * 500 + [(held[0], None, "b", 0.95)] * 500
+    df = spark.createDataFrame(rows, "doc_id long, lang string, lid_lang string, lid_score double")
+    assert abs(langid.least_score(df) - 0.555) < 0.006
+    assert langid.least_score(df.filter("lid_score > 0.6")) == 0 and langid.least_score(df.limit(0)) == 0
+
+
+def test_rejects_and_labels(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lid_words", F.lit(1))
+    lost = docs.withColumn("lang", F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.col("lang")))
+    junk = docs.limit(3).withColumn("text", F.lit("12 34 -- 56")).withColumn("doc_id", F.col("doc_id") + 10**9)
+    kept = {r.doc_id: r.lang for r in langid.keep_identified(lost.union(junk)).collect()}
+    want = {r.doc_id: r.lang for r in docs.collect()}
+    assert not [i for i in kept if i >= 10**9] and len(kept) >= 0.995 * len(want)
+    filled = [i for i in kept if i % 7 == 0 and want[i] is not None]
+    assert sum(kept[i] == want[i] for i in filled) >= 0.97 * len(filled) > 50
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda texts, labels: seen.append((texts, labels)))
+    a, b, c = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][:3]
+    rows = [(a, f"text number {i}", "en") for i in range(3000)] + [(b, "x" * 200, "de")] * 400 + [(c, "y", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "TRAIN_TOTAL", 3000)
+    langid.fit(df, per_lang=50)
+    (texts, labels), = seen
+    assert 30 <= labels.count("en") <= 50 and 1 <= labels.count("de") <= 15 and labels.count("fr") == 1  # one id does not bring all its rows
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "the of and was in that " * 20 , "en"), (3, "der die das und ist ein " * 20, "de"), (4, "der die und " * 100_000, None)], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    got = {r.doc_id: r.lid_lang for r in langid.identify(df, model).collect()}
+    assert got[4] == "de"
