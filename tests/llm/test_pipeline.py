@@ -38,10 +38,21 @@ def test_stages_against_brute_force(spark):
 
 
 def test_nulls_and_empty_table(spark):
-    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a b c " * 40, "en", None, 240), (3, "a b c " * 40, "en", None, 240), (4, "der die das " * 40, "de", "s", 480)]
-    docs = Scratch(spark, "t").write(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "d")
-    for some in (docs, docs.limit(0)):
-        out = some
-        for _, stage in corpus_pipeline.STAGES:
-            out = Scratch(spark, "t").write(stage(spark, out, SF), "x")
-        assert out.count() >= 0
+    """A text without letters goes; copies of repeated lines and of documents go; sources without a name are a source."""
+    en, de = "the of and that was " * 40, "der die das und ist " * 40
+    rows = [(1, None, None, None, None, 7), (2, "", "en", "s", 0, 7), (3, en, "en", None, 800, 7), (3, en, "en", None, 800, 7), (4, de, "de", "s", 800, 7)]
+    rows += [(5, "12 -- 34", None, "s", 8, 7), (None, "a few words of the and was", None, "t", 26, 7), (8, "die und der ist das noch", "de", "t", 24, 7)]
+    docs = Scratch(spark, "t").write(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, nd_kept int"), "d")
+    kept = {}
+    out = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = Scratch(spark, "t").write(stage(spark, out, SF), "x")
+        kept[name] = sorted((r.doc_id or -1, r.lang) for r in out.collect())
+    assert kept["language_id"] == [(-1, "en"), (3, "en"), (3, "en"), (4, "de"), (8, "de")]
+    assert kept["line_dedup"] == kept["near_dup"] == [(-1, "en"), (3, "en"), (4, "de"), (8, "de")]  # the second copy lost its only line
+    assert set(kept["mix"]) <= set(kept["near_dup"]) and {r.nd_kept for r in out.collect()} == {7}
+    assert kept["pieces"] == kept["mix"] and all(r.sp_n_tokens > 0 for r in out.collect())
+    out = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = Scratch(spark, "t").write(stage(spark, out, SF), "x")
+        assert out.count() == 0 and {"doc_id", "lang", "source", "n_chars"} <= set(out.columns)
