@@ -1,54 +1,24 @@
-"""A corpus pipeline of five stages, each one operator over all that its predecessor kept.
+"""A corpus pipeline of five stages, each one operator over all that its predecessor kept (``lodestar.llm.stages``).
 
-language_id   documents without a language, or with a score below the operator's bound, go
+language_id   documents without a language, or with a score at which held-out labels are mostly wrong, go; a null
+              language is filled in
 line_dedup    later copies of repeated line runs are deleted; a document of which nothing is left goes
 near_dup      of every group of near duplicates the document with the smallest doc_id stays
-mix           sources are mixed to weights 5, 2, 1 in turn: rows are dropped or repeated (at most three times
-              their number) and sorted by training position
+mix           sources are mixed to weights 5, 2, 1 in turn, changing over training: rows are dropped or repeated (at most
+              three times their number) and sorted by training position
 pieces        texts are encoded to piece ids and decoded back
 
 Each stage's rows are written as Parquet to the shared folder and read again by the next, so a lost executor
-never costs more than the running stage. Every stage takes nulls, empty tables, repeated rows and more columns,
-as its operator's docstring says; ``n_chars`` is set anew where the text changes.
+never costs more than the running stage; a stage's rows are dropped as soon as the next one's are written.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestar.llm.langid import keep_identified
-from lodestar.llm.linededup import dedup_lines, drop_emptied
-from lodestar.llm.mixing import curriculum, flat, mix
-from lodestar.llm.neardup import keep_one_of_each
-from lodestar.llm.pieces import encode_decode
+from lodestar.llm.stages import language_id, line_dedup, mix_sources, near_dup, to_pieces
 from lodestar.runtime import Scratch
 
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_identified(docs)
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = drop_emptied(dedup_lines(docs))
-    if "n_chars" in docs.columns:
-        size = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("ld_n_removed") > 0, size).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
-
-
-def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one_of_each(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return curriculum(mix(docs, flat(5, 2, 1))).select(*docs.columns)
-
-
-def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_decode(docs, keep_text=False)
-
-
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dup", near_dup), ("mix", mix_sources), ("pieces", to_pieces)]
 
 #: SQL can express neither the trained language model nor the MinHash forest and the piece encoder; see tests/llm.
@@ -58,9 +28,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.write(docs, f"{k}-{name}")
-    return docs
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            scratch.drop(last)
+        last = name
+    return STAGES[-1][1](spark, docs, sf_dir)
