@@ -1,13 +1,14 @@
 """Embedding near-duplicates by spherical-cap filters from random product codes.
 
 A filter is a direction on the sphere; a vector is in its cap if their inner product exceeds a bound. Directions
-come from a structured code: a seeded random rotation splits the space into two halves, each with a seeded set
-of random unit vectors, and every combination of one vector from each half is a direction. A vector lists all
-directions beyond the bound by *list decoding*: scores in the two halves are sorted, and for each direction of
-the first only a prefix of the second can reach the bound.
-
-``plan`` chooses the bound from the number of vectors, so that a cap holds about ``CAP_SIZE`` of them, and a
-code size at which a pair at the threshold meets about once; it then takes independent codes (tables) until
+come from a structured code: a seeded random rotation splits the space into two or more parts, each with a seeded set
+of random unit vectors, and every combination of one vector from each part is a direction. A vector lists all
+directions beyond the bound by *list decoding*: part by part, a choice is extended only by those vectors of the next
+part with which the bound can still be reached, a prefix of the part's scores in falling order.
+
+``plan`` chooses the bound from the number of vectors, so that a cap holds about ``CAP_SIZE`` of them however many there
+are, and a number of directions at which a pair at the threshold meets about once; as that number grows, so does the
+number of parts, so that no part has more than ``MAX_WORDS`` vectors. It then takes independent codes (tables) until
 ``RECALL`` of random pairs exactly at the threshold meet in some cap. Closer pairs meet more often. Where
 ``MAX_TABLES`` do not reach it (few dimensions: a score cannot pass sqrt(dim)), the bound is lowered until they do;
 where the caps are then so wide that they cost more than all pairs, one cap holds everything (``EXACT``) and all
@@ -42,7 +43,7 @@ from lodestar.runtime import Scratch, bound_arrow
 
 THRESHOLD = 0.9
 CAP_SIZE, RECALL = 256, 0.99
-PROBES, MAX_TABLES = 1000, 200
+PROBES, MAX_TABLES, MAX_WORDS = 1000, 200, 128
 LOWER, LEAST_BOUND, EARLY = 0.9, 0.1, 10
 SEED = 20240607
 
@@ -61,24 +62,29 @@ def _both(t: float, rho: float) -> float:
 
 @dataclass(frozen=True)
 class Plan:
-    """``tables`` independent codes of ``words``**2 directions each; a cap's bound in standard deviations of a score."""
+    """``tables`` independent codes of ``words``**``parts`` directions each; a cap's bound in standard deviations of a score."""
 
     bound: float
     words: int
+    parts: int
     tables: int
 
+    @property
+    def directions(self) -> int:
+        return self.words**self.parts
+
 
 #: One cap with every vector: all pairs are compared, in blocks.
-EXACT = Plan(-math.inf, 1, 1)
+EXACT = Plan(-math.inf, 1, 2, 1)
 
 
 def plan(n: int, dim: int, threshold: float = THRESHOLD, cap_size: int = CAP_SIZE, recall: float = RECALL) -> Plan:
     """The cheapest plan of this family that finds random pairs at the threshold with the wanted recall, else ``EXACT``."""
-    low, high = 0.0, 8.0
+    low, high = 0.0, 12.0
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if n * _tail(mid) > cap_size else (low, mid)
-    bound = min(low, 4.0)  # beyond it the code words would pass some hundreds a table; caps then grow instead
+    bound = low
     rng = np.random.default_rng(SEED)
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     x, z = (unit(rng.standard_normal((PROBES, dim))) for _ in range(2))
@@ -86,25 +92,28 @@ def plan(n: int, dim: int, threshold: float = THRESHOLD, cap_size: int = CAP_SIZ
     y = threshold * x + math.sqrt(1 - threshold * threshold) * unit(z) if dim > 1 else x
     first = True
     while bound > LEAST_BOUND or first:
-        words = max(2, math.ceil(math.sqrt(1 / _both(bound, threshold))))  # about one meeting a table
-        how, entries = _tables(x, y, bound, words, recall)
+        wanted = 1 / _both(bound, threshold)  # about one meeting a table
+        parts = 2
+        while parts < dim // 2 and wanted ** (1 / parts) > MAX_WORDS:
+            parts += 1
+        how, entries = _tables(x, y, Plan(bound, max(2, math.ceil(wanted ** (1 / parts))), parts, 0), recall)
         # vectors that one is compared with, over all its caps, as a share of all vectors
-        if how is not None and (first or entries * entries / (how.tables * words * words) < 1):
+        if how is not None and (first or entries * entries / (how.tables * how.directions) < 1):
             return how
         bound, first = bound * LOWER, False
     return EXACT
 
 
-def _tables(x: np.ndarray, y: np.ndarray, bound: float, words: int, recall: float) -> tuple[Plan | None, float]:
+def _tables(x: np.ndarray, y: np.ndarray, how: Plan, recall: float) -> tuple[Plan | None, float]:
     """The plan with as many tables as the recall of the probe pairs needs, if any, and the caps that a probe is in."""
     met, entries = np.zeros(len(x), bool), 0
     for table in range(MAX_TABLES):
-        (ri, ci), (rj, cj) = (decode_table(v, bound, words, table) for v in (x, y))
-        both = np.intersect1d(ri * words * words + ci, rj * words * words + cj)
-        met[both // (words * words)] = True
+        (ri, ci), (rj, cj) = (decode_table(v, how, table) for v in (x, y))
+        both = np.intersect1d(ri * how.directions + ci, rj * how.directions + cj)
+        met[both // how.directions] = True
         entries += len(ri)
         if met.mean() >= recall:
-            return Plan(bound, words, table + 1), entries / len(x)
+            return Plan(how.bound, how.words, how.parts, table + 1), entries / len(x)
         # even if all pairs met as easily as those so far, the tables would not do
         if table + 1 == EARLY and 1 - (1 - met.mean()) ** (MAX_TABLES / EARLY) < recall:
             break
@@ -112,41 +121,59 @@ def _tables(x: np.ndarray, y: np.ndarray, bound: float, words: int, recall: floa
 
 
 @lru_cache(maxsize=256)
-def codes(dim: int, words: int, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A table's rotation and the code words of its two halves, the same on every executor."""
+def codes(dim: int, words: int, parts: int, table: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A table's rotation and the code words of its parts, the same on every executor."""
     rng = np.random.default_rng([SEED, dim, words, table])
     turn, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    return turn, unit(rng.standard_normal((words, dim - dim // 2))), unit(rng.standard_normal((words, max(1, dim // 2))))
+    ends = [round(dim * (k + 1) / parts) for k in range(parts)]
+    return turn, [unit(rng.standard_normal((words, max(1, b - a)))) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def decode_table(vectors: np.ndarray, bound: float, words: int, table: int) -> tuple[np.ndarray, np.ndarray]:
+def decode_table(vectors: np.ndarray, how: Plan, table: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, direction) of all caps of one table that unit vectors are in, by row."""
     n, dim = vectors.shape
-    turn, a, b = codes(dim, words, table)
+    turn, words = codes(dim, how.words, how.parts, table)
     x = vectors @ turn
-    first = dim - dim // 2
-    scale = math.sqrt(dim / 2)  # a score <x1, a> + <x2, b> has variance 2 / dim over random code words
-    sa = x[:, :first] @ a.T * scale
-    sb = x[:, first:] @ b.T * scale if dim > 1 else np.zeros((n, words))
-    order = np.argsort(-sb, axis=1, kind="stable")
-    ranked = np.take_along_axis(sb, order, axis=1)
-    # how long a prefix of the second half's words each word of the first half takes
-    reach = np.stack([np.searchsorted(-ranked[i], sa[i] - bound, side="left") for i in range(n)]) if n else np.zeros((0, words), np.int64)
-    row, lead = np.nonzero(reach)
-    k = reach[row, lead]
-    row, lead = np.repeat(row, k), np.repeat(lead, k)
-    second = order[row, np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)]
-    return row, lead * words + second
+    scale = math.sqrt(dim / how.parts)  # a score, the sum over the parts of <x_k, word_k>, has variance parts / dim over random code words
+    scores, at = [], 0
+    for w in words:
+        part = x[:, at : at + w.shape[1]]
+        scores.append(part @ w[:, : part.shape[1]].T * scale)
+        at += w.shape[1]
+    best = [s.max(axis=1) if n else np.zeros(0) for s in scores]
+    row, direction, so_far = np.arange(n), np.zeros(n, np.int64), np.zeros(n)
+    for k, s in enumerate(scores):
+        order = np.argsort(-s, axis=1, kind="stable")
+        ranked = np.take_along_axis(s, order, axis=1)
+        need = how.bound - so_far - sum((b[row] for b in best[k + 1 :]), np.zeros(len(row)))
+        # how long a prefix of this part's words each choice so far can still take
+        reach = _reach(ranked, row, need)
+        which = np.repeat(np.arange(len(row)), reach)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(reach) - reach, reach)
+        so_far = so_far[which] + ranked[row[which], place]
+        direction = direction[which] * how.words + order[row[which], place]
+        row = row[which]
+    return row, direction
+
+
+def _reach(ranked: np.ndarray, row: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """For each choice the number of its row's scores (falling) of at least ``need``, by bisection over all at once."""
+    low, high = np.zeros(len(row), np.int64), np.full(len(row), ranked.shape[1])
+    while (low < high).any():
+        mid = (low + high) // 2
+        ok = ranked[row, np.minimum(mid, ranked.shape[1] - 1)] >= need
+        low, high = np.where((low < high) & ok, mid + 1, low), np.where((low < high) & ~ok, mid, high)
+    return low
 
 
 def list_decode(vectors: np.ndarray, how: Plan) -> list[np.ndarray]:
     """Numbers of the caps that each unit vector is in, over all tables."""
     rows, caps = [], []
     for table in range(how.tables):
-        r, c = decode_table(vectors, how.bound, how.words, table)
+        r, c = decode_table(vectors, how, table)
         rows.append(r)
-        caps.append(c + table * how.words * how.words)
+        caps.append(c + table * how.directions)
     row, cap = np.concatenate(rows), np.concatenate(caps)
     cap = cap[np.argsort(row, kind="stable")]
     return np.split(cap, np.cumsum(np.bincount(row, minlength=len(vectors)))[:-1])

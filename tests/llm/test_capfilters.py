@@ -54,7 +54,7 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(1)
-    for n, dim in ((500, 64), (50_000, 64), (2_000_000, 64), (50_000, 32), (50_000, 256)):
+    for n, dim in ((500, 64), (50_000, 64), (2_000_000, 64), (50_000, 32), (50_000, 256), (1_000_000_000, 64), (100_000_000, 256)):
         how = capfilters.plan(n, dim)
         x = rng.standard_normal((300, dim))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -73,7 +73,7 @@ def test_empty_table(spark):
 
 def test_recall_with_few_dimensions():
     rng = np.random.default_rng(1)
-    for n, dim in ((50_000, 4), (200_000, 8), (1_000_000, 12), (5_000_000, 16), (5_000_000, 24), (50_000, 2), (1_000_000, 1)):
+    for n, dim in ((50_000, 3), (50_000, 16), (50_000, 4), (200_000, 8), (1_000_000, 12), (5_000_000, 16), (5_000_000, 24), (50_000, 2), (1_000_000, 1)):
         how = capfilters.plan(n, dim)
         unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
         x = unit(rng.standard_normal((300, dim)))
@@ -93,3 +93,34 @@ def test_exact_where_no_plan_does(spark, monkeypatch):
     for block in (1024, 64):
         monkeypatch.setattr(capfilters, "BLOCK", block)
         assert sorted(map(tuple, capfilters.near_vectors(df).collect())) == want
+
+
+def test_caps_do_not_grow_with_the_table():
+    """Tens of caps a vector and CAP_SIZE vectors a cap, from ten thousand to a thousand million vectors."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for n in (10_000, 1_000_000, 100_000_000, 1_000_000_000):
+        how = capfilters.plan(n, 64)
+        caps = np.mean([len(c) for c in capfilters.list_decode(x, how)])
+        held = n * caps / (how.tables * how.directions)  # vectors in a cap, on average
+        assert how.words <= 200 and caps < 400 and held < 3 * capfilters.CAP_SIZE, (n, how, caps, held)
+
+
+def test_all_directions_beyond_the_bound_are_listed():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((50, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for parts in (2, 3, 4):
+        how = capfilters.Plan(1.2, 5, parts, 1)
+        turn, words = capfilters.codes(12, 5, parts, 0)
+        y, scale = x @ turn, np.sqrt(12 / parts)
+        cut = np.split(y, np.cumsum([w.shape[1] for w in words])[:-1], axis=1)
+        part = [c @ w.T * scale for c, w in zip(cut, words, strict=True)]
+        want = set()
+        for i in range(50):
+            for d in np.ndindex(*[5] * parts):
+                if sum(part[k][i, d[k]] for k in range(parts)) >= 1.2:
+                    want.add((i, int(np.ravel_multi_index(d, [5] * parts))))
+        r, c = capfilters.decode_table(x, how, 0)
+        assert set(zip(r.tolist(), c.tolist())) == want and len(r) == len(want)
