@@ -9,8 +9,11 @@ Two deterministic machines count without building tokens:
 * The *counter* reads the bytes of a pre-token. After each prefix the BPE encoding has one last token, and a
   token may follow another just if the pair encodes to itself. So the state is the longest suffix that begins
   some token, with the last token and relative count at each place inside it; reading a byte moves to another
-  such state and emits the change of the count. States are compiled when first reached and shared by all
-  pre-tokens of a worker. The number of states is bounded: past the bound they are dropped and recompiled.
+  such state and emits the change of the count. It is back at its root where a pre-token starts, so the map of a
+  stretch of whole pre-tokens is (root to root, count), and such maps compose by adding counts: a scan over the
+  pre-tokens of a batch, each distinct one walked once, gives every text's count. States are compiled when first
+  reached and shared by all pre-tokens of a worker. Their number is bounded, also inside a batch or a long pre-token:
+  past the bound they are dropped and recompiled.
 
 Special strings of the tokenizer count as one token each, as in the library. Counts equal the library's.
 
@@ -236,17 +239,19 @@ class BpeCounter:
         for b in data:
             hop = state.get(b)
             if hop is None:
+                if len(self.states) > MAX_STATES:
+                    state = self._restart(state)
                 hop = self._compile(state, b)
             state = hop[0]
             total += hop[1]
         return total
 
-    def trim(self) -> None:
-        """Forget compiled states past the bound; they come back when next reached."""
-        if len(self.states) > MAX_STATES:
-            self.states.clear()
-            self.pairs.clear()
-            self.root = self._state(b"", ((0, None, 0),))
+    def _restart(self, state: State) -> State:
+        """Forget all compiled states but where ``state`` is; they come back when next reached."""
+        self.states.clear()
+        self.pairs.clear()
+        self.root = self._state(b"", ((0, None, 0),))
+        return self._state(state.suffix, state.places)
 
 
 class Counter:
@@ -302,7 +307,6 @@ class Counter:
         np.add.at(total, np.asarray(owner), sums)
         if len(known) > MAX_PIECES:
             known.clear()
-        self.bpe.trim()
         return total.tolist()
 
 

@@ -48,6 +48,9 @@ def test_states_are_dropped_and_recompiled(monkeypatch):
     monkeypatch.setattr(tokencount, "MAX_STATES", 10)
     c = tokencount.Counter(tokencount.default_tokenizer())
     assert c.counts(SAMPLES) == c.counts(SAMPLES) == library_counts(SAMPLES)
+    rnd = random.Random(5)
+    hard = ["".join(rnd.choice("abcdefgh") for _ in range(5000))]  # one long pre-token never seen before
+    assert c.counts(hard) == library_counts(hard) and len(c.bpe.states) <= 14
 
 
 @settings(max_examples=150, deadline=None)
@@ -76,3 +79,17 @@ def test_columns_nulls_and_clashes(spark):
     got = {(r.doc_id, r.tc_n_bytes): r.tc_n_tokens for r in tokencount.token_counts(df).collect()}
     assert got[(1, 0)] == 0 and got[(3, 11)] == 2 and got[(None, 70000)] == library_counts(["x" * 70000])[0]
     assert pieces.encode_decode(df.limit(0)).count() == 0 and tokencount.token_counts(df.limit(0)).count() == 0
+
+
+def test_queries_equal_the_libraries_on_whole_texts(spark):
+    """Both queries over every document of sf0.01, against the libraries on whole texts."""
+    sf = "/root/testdata/sf0.01"
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    n = dict(zip(text, library_counts(list(text.values())), strict=True))
+    for r in tokencount.op5_token_counts(spark, sf).collect():
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text[r.doc_id].encode()), n[r.doc_id], n[r.doc_id] > 512)
+    lib = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    for r in pieces.op8_sentencepiece(spark, sf).collect():
+        ids = lib.encode(text[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest() and r.n_mismatch == 0
