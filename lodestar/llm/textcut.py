@@ -35,7 +35,7 @@ def binary_pieces(data: bytes, places: np.ndarray) -> pa.LargeBinaryArray:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(data)])
 
 
-def words(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def coded_words(texts: list[str]) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
     """Distinct words in UTF-8, the index of each word in text order, and where each text's words begin (n + 1 places)."""
     whole = "\n".join(texts) + "\n"
     codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
@@ -48,7 +48,13 @@ def words(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     found = pieces.take(pa.array(own)).dictionary_encode()
     ends = np.cumsum([len(t) + 1 for t in texts])
     first = np.searchsorted(begin[own], np.concatenate([[0], ends]))
-    return found.dictionary.to_pylist(), found.indices.to_numpy(), first
+    return found.dictionary, found.indices.to_numpy(), first
+
+
+def words(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """``coded_words`` with the distinct words as a list."""
+    distinct, which, first = coded_words(texts)
+    return distinct.to_pylist(), which, first
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
