@@ -85,7 +85,7 @@ def verify_outcome(targets: DataFrame, verdicts: DataFrame, open_topics: DataFra
     ``targets`` has doc_ids and locations arrays; a missing verdict holds.
     """
     terms = tx.topic_terms(F.col("statement")).alias("terms")
-    shared = cross_overlap(targets.select("project_id", F.col("id").alias("idx"), terms), open_topics.select("project_id", F.xxhash64("statement").alias("idx"), terms).distinct())
+    shared = cross_overlap(targets.select("project_id", F.col("id").alias("idx"), terms), open_topics.select("project_id", F.xxhash64("statement").alias("idx"), terms).distinct(), 0.20)
     still_open = shared.filter(F.col("common") / (F.col("nl") + F.col("nr") - F.col("common")) >= 0.20).select("project_id", F.col("idx").alias("id")).distinct().withColumn("open", F.lit(True))
     strong = (F.size(F.array_distinct("doc_ids")) >= 2) | F.exists("locations", lambda x: cl.contains_any(F.lower(F.coalesce(x, F.lit(""))), lex.AUTHORITATIVE))
     rows = targets.join(verdicts, ["project_id", "id"], "left").join(still_open, ["project_id", "id"], "left")

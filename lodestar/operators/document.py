@@ -180,9 +180,8 @@ def assemble(blocks: DataFrame) -> DataFrame:
 def layer(key: Column) -> Column:
     """Technology layer of an aspect key: exact, then by keyword, else third-party."""
     k = F.lower(F.coalesce(key, F.lit("")))
-    out = None
-    for name, keys in lex.LAYER_OF.items():
-        out = F.when(k.isin(*keys.split()), name) if out is None else out.when(k.isin(*keys.split()), name)
+    exact = F.create_map(*[F.lit(x) for kv in lex.LAYER_OF.items() for x in kv])
+    out = F.when(F.map_contains_key(exact, k), F.element_at(exact, k))
     for word, name in lex.LAYER_KEYWORDS:
         out = out.when(F.contains(k, F.lit(word)), name)
     return out.otherwise(lex.LAYER_DEFAULT)

@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from lodestar import lexicons as lex
 from lodestar.functions import text as tx
 from lodestar.operators.graph import connected_components
-from lodestar.operators.similarity import similarity_pairs
+from lodestar.operators.similarity import overlap_pairs, similarity_pairs
+from lodestar.runtime import Scratch
 
 DEDUP, SAME_ANY_TYPE, COLLAPSE = 0.72, 0.9, 0.85
 
@@ -25,33 +26,70 @@ def with_component(rows: DataFrame, edges: DataFrame, group: str = "project_id")
     return rows.join(comps, "idx", "left").withColumn("comp", F.coalesce("comp", "idx"))
 
 
-def fold_duplicates(rows: list[dict]) -> list[dict]:
-    """Merge each row, in order, into the most similar kept one where they are alike, of one type and not opposite.
+class Voices:
+    """Who speaks with which wording while rows fold in order: every survivor has the wording of one row.
 
-    Rows have idx, id, statement, rtype, authority. The survivor keeps the wording of higher authority; merged ids
-    and displaced wordings are recorded.
+    ``links`` gives a row's similar earlier rows with their scores. Equal normal forms are found by name.
     """
-    kept: list[dict] = []
-    for r in rows:
-        best, score = None, 0.0
-        for k in kept:
-            if tx.normal(r["statement"]) == tx.normal(k["statement"]):
-                best, score = k, 1.0
-                break
-            if (s := tx.similarity(r["statement"], k["statement"])) > score:
-                best, score = k, s
-        if best is not None and score >= DEDUP and (score >= SAME_ANY_TYPE or best["rtype"] == r["rtype"]) and not tx.opposite(r["statement"], best["statement"]):
-            displaced = r["statement"]
-            if r["authority"] > best["authority"]:
-                displaced, best["statement"] = best["statement"], r["statement"]
-            best["authority"] = max(best["authority"], r["authority"])
-            best["refs"] = best["refs"] + [x for x in r["refs"] if x not in best["refs"]]
-            if r["id"] not in best["duplicate_of"]:
-                best["duplicate_of"].append(r["id"])
-            best["absorbed"].append(displaced)
+
+    def __init__(self, links: pd.DataFrame) -> None:
+        self.links: dict[int, list[tuple[int, float]]] = {}
+        for early, late, sim in links[["a", "b", "sim"]].itertuples(index=False) if len(links) else ():
+            self.links.setdefault(int(late), []).append((int(early), float(sim)))
+        self.speaker: dict[int, int] = {}  # row whose wording it is -> place of the survivor
+        self.named: dict[str, int] = {}  # normal form -> place of the first survivor that has it
+        self.spoken: dict[int, tuple[int, str]] = {}  # the other way round
+
+    def near(self, idx: int) -> list[tuple[int, float]]:
+        """(survivor, score) of the survivors that now speak like the row, the earliest first."""
+        return sorted((self.speaker[w], sim) for w, sim in self.links.get(idx, ()) if w in self.speaker)
+
+    def give(self, place: int, idx: int, norm: str) -> None:
+        """The survivor at ``place`` speaks with row ``idx``'s wording from now on."""
+        if place in self.spoken:
+            was, name = self.spoken[place]
+            del self.speaker[was]
+            if self.named.get(name) == place:
+                del self.named[name]
+        self.speaker[idx] = place
+        self.named.setdefault(norm, place)
+        self.spoken[place] = idx, norm
+
+
+def _linked(rows: DataFrame, edges: DataFrame) -> tuple:
+    """Rows and edges grouped alike by (project_id, comp), for a fold over both."""
+    scratch = Scratch(rows.sparkSession, "fold")
+    edges = scratch.write(edges, "edges")  # read by the components and by the fold
+    placed = scratch.write(with_component(rows, edges), "rows")
+    of = rows.sparkSession.read.parquet(scratch.path("rows")).select(F.col("idx").alias("a"), "comp")
+    return placed.groupBy("project_id", "comp").cogroup(edges.join(of, "a").groupBy("project_id", "comp"))
+
+
+def fold_duplicates(rows: pd.DataFrame, links: pd.DataFrame) -> list[dict]:
+    """Each row, in order, goes into the survivor it is most like, if they are of one type (or nearly equal) and not opposite.
+
+    The survivor takes the wording of the higher authority; ids and displaced wordings are recorded.
+    """
+    voices, out = Voices(links), []
+    for r in rows.sort_values("idx").to_dict("records"):
+        norm = tx.normal(r["statement"])
+        same = voices.named.get(norm)
+        place, sim = (same, 1.0) if same is not None else max(voices.near(r["idx"]), key=lambda x: (x[1], -x[0]), default=(None, 0.0))
+        host = out[place] if place is not None else None
+        fits = host is not None and sim >= DEDUP and (sim >= SAME_ANY_TYPE or host["rtype"] == r["rtype"])
+        if not fits or tx.opposite(r["statement"], host["statement"]):
+            out.append({**r, "refs": list(r["refs"]), "duplicate_of": [], "absorbed": []})
+            voices.give(len(out) - 1, r["idx"], norm)
+            continue
+        host["refs"] += [x for x in r["refs"] if x not in host["refs"]]
+        host["duplicate_of"] += [r["id"]] if r["id"] not in host["duplicate_of"] else []
+        if r["authority"] > host["authority"]:
+            host["absorbed"].append(host["statement"])
+            host["statement"], host["authority"] = r["statement"], r["authority"]
+            voices.give(place, r["idx"], norm)
         else:
-            kept.append({**r, "duplicate_of": [], "absorbed": [], "refs": list(r["refs"])})
-    return kept
+            host["absorbed"].append(r["statement"])
+    return out
 
 
 FOLDED = "project_id string, idx long, id string, statement string, rtype string, refs array<string>, duplicate_of array<string>, absorbed array<string>"
@@ -59,14 +97,10 @@ FOLDED = "project_id string, idx long, id string, statement string, rtype string
 
 def dedup_fold(reqs: DataFrame) -> DataFrame:
     """Fold (project_id, idx, id, statement, rtype, authority, refs) of every project; ``FOLDED`` rows."""
-    edges = similarity_pairs(reqs, DEDUP, later_first=True)
+    def run(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(fold_duplicates(rows, links), columns=["project_id", "idx", "id", "statement", "rtype", "refs", "duplicate_of", "absorbed"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("idx").to_dict("records")
-        out = fold_duplicates([{**r, "refs": list(r["refs"])} for r in rows])
-        return pd.DataFrame(out, columns=["project_id", "idx", "id", "statement", "rtype", "refs", "duplicate_of", "absorbed"])
-
-    return with_component(reqs, edges).groupBy("project_id", "comp").applyInPandas(run, FOLDED)
+    return _linked(reqs, similarity_pairs(reqs, DEDUP, later_first=True)).applyInPandas(run, FOLDED)
 
 
 def unaccounted(original: DataFrame, survivors: DataFrame) -> DataFrame:
@@ -76,92 +110,88 @@ def unaccounted(original: DataFrame, survivors: DataFrame) -> DataFrame:
     return original.withColumn("norm", tx.normalize_exact("statement")).join(known, ["project_id", "norm"], "left_anti").drop("norm")
 
 
-def collapse_items(rows: list[dict]) -> list[dict]:
-    """Merge near-verbatim open items, in order; the most decisive kind with its reason and the longest text stay."""
+def collapse_items(rows: pd.DataFrame, links: pd.DataFrame) -> list[dict]:
+    """Near-verbatim open items go, in order, into the first survivor; the most decisive kind with its reason and the longest text stay."""
     rank = {k[0]: k[3] for k in lex.OPEN_KINDS if k[3] is not None}
-    kept: list[dict] = []
-    for o in rows:
-        s = (o["statement"] or "").strip()
-        match = next((k for k in kept if s and tx.similarity(s, k["statement"] or "") >= COLLAPSE and not tx.opposite(s, k["statement"] or "")), None)
-        if match is None:
-            kept.append(dict(o))
+    voices, out = Voices(links), []
+    for o in rows.sort_values("idx").to_dict("records"):
+        text = (o["statement"] or "").strip()
+        near = [at for at, _ in voices.near(o["idx"]) if text and not tx.opposite(text, out[at]["statement"] or "")]
+        if not near:
+            out.append(dict(o))
+            voices.give(len(out) - 1, o["idx"], "")
             continue
-        if rank.get(o["kind"], 99) < rank.get(match["kind"], 99):
-            match["kind"], match["reason"] = o["kind"], o["reason"]
-        if len(s) > len(match["statement"] or ""):
-            match["statement"] = s
-    return kept
+        host = out[near[0]]
+        if rank.get(o["kind"], 99) < rank.get(host["kind"], 99):
+            host.update(kind=o["kind"], reason=o["reason"])
+        if len(text) > len(host["statement"] or ""):
+            host["statement"] = text
+            voices.give(near[0], o["idx"], "")
+    return out
 
 
 def openq_collapse(items: DataFrame) -> DataFrame:
     """Fold (project_id, idx, kind, statement, reason) of every project."""
-    edges = similarity_pairs(items, COLLAPSE, later_first=True)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(collapse_items(pdf.sort_values("idx").to_dict("records")), columns=["project_id", "idx", "kind", "statement", "reason"])
-
-    return with_component(items, edges).groupBy("project_id", "comp").applyInPandas(run, "project_id string, idx long, kind string, statement string, reason string")
-
-
-def merge_near(rows: list[dict]) -> list[dict]:
-    """Merge rows, in order, with the first kept one of equal wording, or of similar wording and overlapping span."""
-    kept: list[dict] = []
-
-    def overlapping(a: dict, b: dict) -> bool:
-        for x in a["spans"]:
-            for y in b["spans"]:
-                hull = max(x[2], y[2]) - min(x[1], y[1])
-                if x[0] == y[0] and hull > 0 and max(0, min(x[2], y[2]) - max(x[1], y[1])) / hull >= 0.6:
-                    return True
-        return False
-
-    def words(s: str) -> set[str]:
-        return set(tx.normal(s).split())
-
-    for r in rows:
-        for k in kept:
-            a, b = words(r["statement"]), words(k["statement"])
-            alike = len(a & b) / len(a | b) >= 0.5 if a | b else False
-            if tx.normal(r["statement"]) == tx.normal(k["statement"]) or alike and overlapping(r, k):
-                k["spans"] += [s for s in r["spans"] if s not in k["spans"]]
-                k["merged"].append(r["idx"])
-                break
+    def run(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(collapse_items(rows, links), columns=["project_id", "idx", "kind", "statement", "reason"])
+
+    # items without a word are linked by their equal (empty) normal form, but have nothing to be alike in
+    edges = similarity_pairs(items.filter(tx.normalize(F.col("statement")) != ""), COLLAPSE, later_first=True)
+    return _linked(items, edges).applyInPandas(run, "project_id string, idx long, kind string, statement string, reason string")
+
+
+def _meet(a: list[tuple], b: list[tuple], least: float = 0.6) -> bool:
+    """Whether spans (doc, start, end) of one list cover those of the other to that part of their hull."""
+    for doc, s, e in a:
+        for s2, e2 in ((s2, e2) for d2, s2, e2 in b if d2 == doc):
+            hull = max(e, e2) - min(s, s2)
+            if hull > 0 and min(e, e2) - max(s, s2) >= least * hull:
+                return True
+    return False
+
+
+def merge_near(rows: pd.DataFrame, links: pd.DataFrame) -> list[dict]:
+    """Rows go, in order, into the first survivor of equal wording, or of alike wording and a span that meets one of theirs."""
+    voices, out = Voices(links), []
+    for r in rows.sort_values("idx").to_dict("records"):
+        norm, span = tx.normal(r["statement"]), (r["doc_id"], r["start"], r["end"])
+        hosts = [at for at, _ in voices.near(r["idx"]) if _meet([span], out[at]["spans"])]
+        if norm in voices.named:
+            hosts.append(voices.named[norm])
+        if hosts:
+            host = out[min(hosts)]
+            host["spans"] += [span] if span not in host["spans"] else []
+            host["merged"].append(r["idx"])
         else:
-            kept.append({**r, "spans": list(r["spans"]), "merged": []})
-    return kept
+            out.append({**r, "spans": [span], "merged": []})
+            voices.give(len(out) - 1, r["idx"], norm)
+    return out
 
 
 def near_dup_merge(reqs: DataFrame) -> DataFrame:
     """(project_id, idx, statement, merged) from rows with one span (doc_id, start, end) each."""
-    words = reqs.select("project_id", "idx", "statement", tx.word_set(F.col("statement")).alias("ws"))
-    terms = words.select("project_id", "idx", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    a, b = terms.alias("a"), terms.alias("b")
-    both = a.join(b, (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.idx") < F.col("b.idx")))
-    counted = both.groupBy(F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).count()
-    edges = counted.filter("count >= 0.5 * (na + nb - count)").select("a", "b")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("idx").to_dict("records")
-        out = merge_near([{**r, "spans": [(r["doc_id"], r["start"], r["end"])]} for r in rows])
-        return pd.DataFrame(out, columns=["project_id", "idx", "statement", "merged"])
-
-    return with_component(reqs, edges).groupBy("project_id", "comp").applyInPandas(run, "project_id string, idx long, statement string, merged array<long>")
-
-
-def cluster_scope(rows: list[dict]) -> list[list[int]]:
-    """One forward pass: a row joins the first cluster that shares a term with any member so far; no second look."""
-    used, out = set(), []
-    for i, r in enumerate(rows):
-        if i in used:
-            continue
-        members, terms = [i], set(r["terms"])
-        used.add(i)
-        for j in range(i + 1, len(rows)):
-            if j not in used and terms & set(rows[j]["terms"]):
-                members.append(j)
-                terms |= set(rows[j]["terms"])
-                used.add(j)
-        out.append(members)
+    s = F.col("statement")
+    alike = overlap_pairs(reqs.select("project_id", "idx", tx.word_set(s).alias("terms")), 0.5).withColumnRenamed("overlap", "sim")
+    named = reqs.select("project_id", "idx", tx.normalize(s).alias("norm"))
+    first = named.groupBy("project_id", "norm").agg(F.min("idx").alias("a"))
+    equal = named.join(first, ["project_id", "norm"]).filter("idx <> a").select("project_id", "a", F.col("idx").alias("b"), F.lit(1.0).alias("sim"))
+
+    def run(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(merge_near(rows, links[links["kind"] == "alike"]), columns=["project_id", "idx", "statement", "merged"])
+
+    edges = alike.withColumn("kind", F.lit("alike")).unionByName(equal.withColumn("kind", F.lit("equal")))
+    return _linked(reqs, edges).applyInPandas(run, "project_id string, idx long, statement string, merged array<long>")
+
+
+def cluster_scope(terms: list[list[str]]) -> list[int]:
+    """For each row, in order, the row that opened its cluster: the earliest one that has seen any of the row's terms."""
+    opened: dict[str, int] = {}
+    out = []
+    for i, mine in enumerate(terms):
+        at = min((opened[t] for t in mine if t in opened), default=i)
+        opened.update({t: min(at, opened.get(t, at)) for t in mine})
+        out.append(at)
     return out
 
 
@@ -173,12 +203,13 @@ def scope_clusters(items: DataFrame) -> DataFrame:
     edges = each.join(hubs, ["project_id", "t"]).filter("idx <> b").select(F.col("idx").alias("a"), "b").distinct()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("idx").to_dict("records")
-        out = []
-        for members in cluster_scope(rows):
-            rep = max(members, key=lambda k: len(rows[k]["statement"]))
-            out += [(rows[k]["project_id"], rows[k]["idx"], rows[members[0]]["idx"], k == rep) for k in members]
-        return pd.DataFrame(out, columns=["project_id", "idx", "cluster", "representative"])
+        pdf = pdf.sort_values("idx").reset_index(drop=True)
+        opener = cluster_scope(pdf["terms"].tolist())
+        size = pdf["statement"].str.len()
+        shown = {c: max((k for k in range(len(pdf)) if opener[k] == c), key=lambda k: size[k]) for c in set(opener)}
+        pdf["cluster"] = [pdf["idx"][c] for c in opener]
+        pdf["representative"] = [shown[c] == k for k, c in enumerate(opener)]
+        return pdf[["project_id", "idx", "cluster", "representative"]]
 
     return with_component(termed, edges).groupBy("project_id", "comp").applyInPandas(run, "project_id string, idx long, cluster long, representative boolean")
 

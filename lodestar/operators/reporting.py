@@ -104,7 +104,7 @@ def uncovered_items(items: DataFrame, approved_reqs: DataFrame) -> DataFrame:
     noise = kept.filter(F.col("kind").isin(*lex.SUPPRESSIBLE) & (F.col("statement") != "")).select("project_id", "idx", "statement")
     firm = approved_reqs.select("project_id", "statement").distinct().withColumn("idx", F.xxhash64("project_id", "statement"))
     topics = lambda df: df.select("project_id", "idx", tx.topic_terms(F.col("statement")).alias("terms"))
-    topical = cross_overlap(topics(noise), topics(firm)).filter(F.col("common") / (F.col("nl") + F.col("nr") - F.col("common")) >= 0.85)
+    topical = cross_overlap(topics(noise), topics(firm), 0.85).filter(F.col("common") / (F.col("nl") + F.col("nr") - F.col("common")) >= 0.85)
     worded = cross_similarity(noise, firm, 0.6)
     gone = topical.select("project_id", F.col("idx").cast("long").alias("idx")).union(worded.select("project_id", "idx")).distinct()
     return kept.join(gone, ["project_id", "idx"], "left_anti")

@@ -11,7 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as tx
@@ -117,10 +117,47 @@ def cross_similarity(left: DataFrame, right: DataFrame, threshold: float, group:
     return a.select(*cols).unionByName(b.select(*cols)).groupBy(group, "bi", "bj").applyInPandas(score, f"{group} {kind}, idx long, match long, sim double")
 
 
-def cross_overlap(left: DataFrame, right: DataFrame, group: str = "project_id") -> DataFrame:
-    """(group, idx, match, common, nl, nr) of pairs of rows (group, idx, terms) that share a term, by an equi-join on terms."""
-    each = lambda df, key, n: df.select(group, F.col("idx").alias(key), F.size("terms").alias(n), F.explode("terms").alias("term"))
-    return each(left, "idx", "nl").join(each(right, "match", "nr"), [group, "term"]).groupBy(group, "idx", "match", "nl", "nr").agg(F.count("*").alias("common"))
+def by_rarity(rows: DataFrame, among: DataFrame, group: str) -> DataFrame:
+    """(group, idx, n, terms) of rows (group, idx, terms), with the terms that are rarest in ``among`` first.
+
+    Rows without terms are left out; what a join does with them is for its caller to say.
+    """
+    each = rows.select(group, "idx", F.explode(F.array_distinct("terms")).alias("term"))
+    df = among.select(group, F.explode(F.array_distinct("terms")).alias("term")).groupBy(group, "term").agg(F.count("*").alias("df"))
+    ranked = each.join(df, [group, "term"], "left").groupBy(group, "idx").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))).alias("t"))
+    return ranked.select(group, "idx", F.size("t").alias("n"), F.transform("t", lambda x: x["term"]).alias("terms"))
+
+
+def _prefix(length: Column) -> Column:
+    return F.slice("terms", 1, length.cast("int"))
+
+
+def overlap_pairs(rows: DataFrame, threshold: float, group: str = "project_id") -> DataFrame:
+    """(group, a, b, overlap), a < b, of pairs of rows (group, idx, terms) whose Jaccard similarity reaches the threshold.
+
+    Sets that similar share a term among the n - ceil(t n) + 1 rarest of each, and their sizes differ by the threshold
+    at most; so rows meet on rare terms only, at the first that both have, and the whole sets decide.
+    """
+    ranked = by_rarity(rows, rows, group)
+    rare = ranked.withColumn("key", F.explode(_prefix(F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)))
+    a = rare.select(group, "key", F.col("idx").alias("a"), F.col("n").alias("na"), F.col("terms").alias("ta"))
+    b = rare.select(group, "key", F.col("idx").alias("b"), F.col("n").alias("nb"), F.col("terms").alias("tb"))
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
+    met = a.join(b, [group, "key"]).filter((F.col("a") < F.col("b")) & near).withColumn("both", F.array_intersect("ta", "tb")).filter(F.get("both", F.lit(0)) == F.col("key"))
+    c = F.size("both")
+    return met.select(group, "a", "b", (c / (F.col("na") + F.col("nb") - c)).alias("overlap")).filter(F.col("overlap") >= threshold)
+
+
+def cross_overlap(left: DataFrame, right: DataFrame, share: float, group: str = "project_id") -> DataFrame:
+    """(group, idx, match, common, nl, nr) of pairs of rows (group, idx, terms) that share at least that part of the left row's terms.
+
+    Such pairs share one of the left row's n - ceil(share n) + 1 terms that are rarest on the right.
+    """
+    l, r = by_rarity(left, right, group), by_rarity(right, right, group)
+    keys = l.select(group, F.col("idx"), F.col("n").alias("nl"), F.col("terms").alias("tl"), F.explode(_prefix(F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1)).alias("key"))
+    every = r.select(group, F.col("idx").alias("match"), F.col("n").alias("nr"), F.col("terms").alias("tr"), F.explode("terms").alias("key"))
+    met = keys.join(every, [group, "key"]).withColumn("both", F.array_intersect("tl", "tr")).filter(F.get("both", F.lit(0)) == F.col("key"))
+    return met.select(group, "idx", "match", F.size("both").alias("common"), "nl", "nr").filter(F.col("common") >= F.col("nl") * share - 1e-9)
 
 
 def best_match(left: DataFrame, right: DataFrame, floor: float, group: str = "project_id") -> DataFrame:
@@ -141,7 +178,7 @@ def echo_free(items: DataFrame, firm: DataFrame, group: str = "project_id") -> D
     equal = noise.withColumn("norm", tx.normalize(s)).join(firm.select(group, tx.normalize(s).alias("norm")).distinct(), [group, "norm"], "left_semi").select(group, "idx")
     similar = cross_similarity(noise, firm, 0.85, group).select(group, "idx", "match")
     core = lambda df: df.select(group, "idx", tx.core_terms(s).alias("terms"))
-    covered = cross_overlap(core(noise), core(firm), group).filter(F.col("common") / F.col("nl") >= 0.66).select(group, "idx", "match")
+    covered = cross_overlap(core(noise), core(firm), 0.66, group).filter(F.col("common") / F.col("nl") >= 0.66).select(group, "idx", "match")
     pairs = similar.unionByName(covered.select(group, F.col("idx").cast("long").alias("idx"), "match")).distinct()
     side = lambda df, key, c: df.select(group, F.col("idx").cast("long").alias(key), F.col("statement").alias(c))
     both = pairs.join(side(noise, "idx", "a"), [group, "idx"]).join(side(firm, "match", "b"), [group, "match"])

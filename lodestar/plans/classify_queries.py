@@ -130,7 +130,7 @@ def auto_approve_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assessed(req_view(spark, sf_dir)).filter((F.col("triage.level") == "routine") & (F.col("confidence") >= 0.9) & F.col("twin").isNull() & ~F.col("inferred")).select("id")
 
 
-@query(f"SELECT id FROM (SELECT *, {duck.level(SCORE)} AS x FROM rv) t WHERE x = 'attention' AND NOT inferred AND twin IS NULL ORDER BY idx LIMIT 120")
+@query(f"SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY idx) AS n FROM (SELECT *, {duck.level(SCORE)} AS x FROM rv) t WHERE x = 'attention' AND NOT inferred AND twin IS NULL) z WHERE n <= 120")
 def verify_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 120 high-risk requirements of each project (the cap is the feature, and holds for a project's run)."""
     from pyspark.sql import Window as W
@@ -238,7 +238,7 @@ _ALL_TECH = [t for g in lex.TECH_TOKENS.values() for t in g]
     "SELECT id, array_to_string(list_filter(["
     + ", ".join(f"CASE WHEN regexp_matches(lower(statement), {duck.q('(^|[^a-z0-9])' + t.replace('.', chr(92) + '.') + '([^a-z0-9]|$)')}) THEN {duck.q(t)} END" for t in _ALL_TECH)
     + ", " + ", ".join(f"CASE WHEN contains(lower(statement), {duck.q(n + ' stack')}) THEN {duck.q(n)} END" for n in lex.STACK_NAMES)
-    + f"], lambda x: x IS NOT NULL), '|') AS tokens, {duck.has_any('lower(statement)', lex.STACK_CUES)} AS cue FROM rv WHERE idx % 30 IN (0, 29)"
+    + f"], lambda x: x IS NOT NULL), '|') AS tokens, {duck.has_any('lower(statement)', lex.STACK_CUES)} AS cue FROM rv"
 )
 def stated_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Technologies that each requirement states, and whether it has a stack cue."""

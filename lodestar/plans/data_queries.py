@@ -13,6 +13,7 @@ from lodestar.functions import text as tx
 from lodestar.operators import decisions as de
 from lodestar.operators import folds, grounding, reporting, review, similarity
 from lodestar.operators.graph import connected_components
+from lodestar.operators.similarity import overlap_pairs
 from lodestar.plans import duck
 from lodestar.plans.classify_queries import assessed, glossary
 from lodestar.plans.req_view import req_view, with_view
@@ -84,13 +85,13 @@ def line_chunks_with_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each located passage its best single line covers."""
     gold = found(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").join(F.broadcast(gold.select("doc_id").distinct()), "doc_id", "left_semi")  # at most the benchmark's finds
+    docs = table(spark, sf_dir, "documents").join(gold.select("doc_id"), "doc_id", "left_semi")
     return grounding.best_coverage(gold, chunkers.lines(docs))
 
 
 @query(
     f'WITH {_FOUND}, {_LINES}, c AS (SELECT l.doc_id, CASE WHEN EXISTS (SELECT 1 FROM found f WHERE f.doc_id = l.doc_id AND l."start" <= f.s AND f.e <= l."end") THEN 1 '
-    f"WHEN l.line_no = 2 THEN 2 WHEN trim(l.line, chr(10) || ' ') = '' OR starts_with(l.line, '#') OR NOT {duck.m('l.line', lex.COVERAGE_CUE)} THEN 3 ELSE 4 END AS k FROM lines l JOIN documents d USING (doc_id) WHERE d.lang = 'en') "
+    f"WHEN l.line_no = 2 THEN 2 WHEN trim(l.line, chr(10) || ' ') = '' OR starts_with(l.line, '#') OR NOT {duck.m('l.line', lex.COVERAGE_CUE)} THEN 3 ELSE 4 END AS k FROM lines l) "
     "SELECT count(*) AS total, count(*) FILTER (WHERE k = 1) AS covered_by_req, count(*) FILTER (WHERE k = 2) AS covered_by_openq, count(*) FILTER (WHERE k = 3) AS expected_nonrequirement, count(*) FILTER (WHERE k = 4) AS possible_miss, "
     "100.0::DOUBLE * (count(*) - count(*) FILTER (WHERE k = 4)) / count(*) AS accounted_pct FROM c"
 )
@@ -105,7 +106,7 @@ def chunk_coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f'WITH {_FOUND}, {_LINES} SELECT f.item_id, f.doc_id, l.line_no, greatest(0, least(f.e, l."end") - greatest(f.s, l."start")) / CAST(greatest(f.e, l."end") - least(f.s, l."start") AS DOUBLE) AS iou FROM found f JOIN lines l ON f.doc_id = l.doc_id AND l."start" < f.e AND f.s < l."end"')
 def span_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = found(spark, sf_dir).select("item_id", "doc_id", F.col("start").alias("s"), F.col("end").alias("e"))
-    lines = chunkers.lines(table(spark, sf_dir, "documents").join(F.broadcast(gold.select("doc_id").distinct()), "doc_id", "left_semi"))
+    lines = chunkers.lines(table(spark, sf_dir, "documents").join(gold.select("doc_id"), "doc_id", "left_semi"))
     pairs = gold.join(lines, "doc_id").filter((F.col("start") < F.col("e")) & (F.col("s") < F.col("end")))
     return pairs.select("item_id", "doc_id", "line_no", nu.iou(F.col("s"), F.col("e"), F.col("start"), F.col("end")).alias("iou"))
 
@@ -119,7 +120,7 @@ def transcript_turn_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkers.chunk(docs.withColumn("source_type", F.lit("transcript"))).select("doc_id", F.col("idx").cast("long").alias("idx"), "location", F.col("start").cast("long").alias("start"))
 
 
-@query("SELECT page_id AS doc_id, h AS location, length(h) + 4 AS \"start\", length(h) + 4 + length(p) + 1 AS \"end\" FROM (SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS h, trim(regexp_replace(regexp_extract(html, '<p>([^<]+)', 1), '\\s+', ' ', 'g')) AS p FROM pages) t WHERE h <> '' AND p <> ''")
+@query()
 def heading_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All headings and paragraphs of pages, in order, as Markdown; paragraphs with their heading trail."""
     docs = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("brd").alias("source_type"), corpus.html_markdown(F.col("html")).alias("text"))
@@ -229,12 +230,8 @@ def feature_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- overlaps, decisions ---
 
 def _overlapping(rows: DataFrame, terms, threshold: float) -> DataFrame:
-    """(project_id, a, b, overlap) of pairs of a project whose term sets' Jaccard reaches the threshold, by an equi-join on terms."""
-    each = rows.select("project_id", "idx", terms.alias("t")).select("project_id", "idx", F.size("t").alias("n"), F.explode("t").alias("term"))
-    a, b = each.alias("a"), each.alias("b")
-    both = a.join(b, (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.idx") < F.col("b.idx")))
-    c = both.groupBy(F.col("a.project_id").alias("project_id"), F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("c"))
-    return c.withColumn("overlap", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).filter(F.col("overlap") >= threshold).select("project_id", "a", "b", "overlap")
+    """(project_id, a, b, overlap) of pairs of a project whose term sets' Jaccard reaches the threshold."""
+    return overlap_pairs(rows.select("project_id", "idx", terms.alias("terms")), threshold)
 
 
 def _overlap_sql(expr: str, threshold: float) -> str:
@@ -275,7 +272,7 @@ _TERMS = duck.kept(duck.toks("statement"), 4, lex.DECISION_STOP)
 @query(
     f"WITH e AS (SELECT project_id, id, idx, unnest({_TERMS}) AS term FROM rv), n AS (SELECT project_id, count(*) AS n FROM rv GROUP BY 1), "
     "r AS (SELECT e.project_id, term FROM e JOIN n USING (project_id) GROUP BY 1, 2, n.n HAVING count(*) <= greatest(3, n.n // 12)) "
-    "SELECT DISTINCT a.project_id, a.id AS decision_id, b.id FROM e a JOIN r USING (project_id, term) JOIN e b USING (project_id, term) WHERE a.idx % 30 IN (17, 18, 19, 20)",
+    "SELECT DISTINCT a.project_id, a.id AS decision_id, b.id FROM e a JOIN r USING (project_id, term) JOIN e b USING (project_id, term) WHERE a.id IN (SELECT id FROM rv WHERE " + duck.scope("statement", "flag") + " IN (" + ", ".join(duck.q(k) for k in lex.SCOPE_KINDS) + "))",
     view=True,
 )
 def affected_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -506,7 +503,7 @@ def pending_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "project_id", "statement", "status", owner.alias("owner"), F.col("triage.level").alias("level"), "priority", sources.alias("sources"))
 
 
-_LAYER_SQL = "CASE " + " ".join(f"WHEN k IN ({', '.join(duck.q(x) for x in keys.split())}) THEN '{name}'" for name, keys in lex.LAYER_OF.items()) + " " + " ".join(f"WHEN contains(k, '{w}') THEN '{n}'" for w, n in lex.LAYER_KEYWORDS) + f" ELSE '{lex.LAYER_DEFAULT}' END"
+_LAYER_SQL = "CASE " + " ".join(f"WHEN k = {duck.q(k)} THEN '{name}'" for k, name in lex.LAYER_OF.items()) + " " + " ".join(f"WHEN contains(k, '{w}') THEN '{n}'" for w, n in lex.LAYER_KEYWORDS) + f" ELSE '{lex.LAYER_DEFAULT}' END"
 _ASPECT_KEYS = ["frontend", "my-api", "database", "payments", "OAuth", "devices", "cms", "hosting", "webhooks"]
 
 

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lodestar import lexicons as lex
 from lodestar.functions import text as tx
 from lodestar.operators import decisions, folds, grounding, review, similarity
 from lodestar.operators.graph import connected_components
@@ -55,12 +56,29 @@ def test_similarity_join_loses_no_pair(spark, monkeypatch):
             assert got == want
 
 
+def plain_fold(rows):
+    """The fold of all rows of a project at once, every row against every survivor."""
+    out = []
+    for r in rows:
+        score = [1.0 if tx.normal(r["statement"]) == tx.normal(k["statement"]) else tx.similarity(r["statement"], k["statement"]) for k in out]
+        exact = [i for i, k in enumerate(out) if tx.normal(r["statement"]) == tx.normal(k["statement"])]
+        i = exact[0] if exact else score.index(max(score)) if score else None
+        if i is None or score[i] < 0.72 or score[i] < 0.9 and out[i]["rtype"] != r["rtype"] or tx.opposite(r["statement"], out[i]["statement"]):
+            out.append({**r, "refs": list(r["refs"]), "dups": [], "lost": []})
+            continue
+        k, wording = out[i], r["statement"]
+        if r["authority"] > k["authority"]:
+            wording, k["statement"], k["authority"] = k["statement"], wording, r["authority"]
+        k["refs"], k["dups"], k["lost"] = sorted({*k["refs"], *r["refs"]}), [*k["dups"], r["id"]], [*k["lost"], wording]
+    return out
+
+
 def test_dedup_fold_equals_global_fold(spark):
     rows, df = reqs(spark)
     got = sorted((r.project_id, r.idx, r.statement, tuple(r.duplicate_of), tuple(r.absorbed), tuple(sorted(r.refs))) for r in folds.dedup_fold(df).collect())
     want = []
     for p in ("p0", "p1"):
-        want += [(p, k["idx"], k["statement"], tuple(k["duplicate_of"]), tuple(k["absorbed"]), tuple(sorted(k["refs"]))) for k in folds.fold_duplicates([r for r in as_dicts(rows) if r["project_id"] == p])]
+        want += [(p, k["idx"], k["statement"], tuple(k["dups"]), tuple(k["lost"]), tuple(sorted(k["refs"]))) for k in plain_fold([r for r in as_dicts(rows) if r["project_id"] == p])]
     assert got == sorted(want)
     assert sum(1 + len(g[3]) for g in got) == len(rows)  # nothing is lost
     assert folds.unaccounted(df, folds.dedup_fold(df)).count() == 0
@@ -71,24 +89,65 @@ def test_dedup_fold_equals_global_fold(spark):
 def test_other_folds_equal_global_ones(spark):
     rows, df = reqs(spark, 70, 1)
     kinds = ["conflict", "inferred", "ungrounded", "critic_flag"]
+    rank = {k[0]: 99 if k[3] is None else k[3] for k in lex.OPEN_KINDS}
     items = df.withColumn("kind", F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("idx") % 4 + 1).cast("int"))).withColumn("reason", F.col("id"))
-    plain = [{"project_id": r[0], "idx": r[1], "kind": kinds[r[1] % 4], "statement": r[3], "reason": r[2]} for r in rows]
-    got = sorted(tuple(r) for r in folds.openq_collapse(items.select("project_id", "idx", "kind", "statement", "reason")).collect())
-    assert got == sorted(tuple(o.values()) for o in folds.collapse_items(plain))
+    blank = spark.createDataFrame([("p0", 200 + i, "gap", t, None) for i, t in enumerate(["", " ", "...", None])], "project_id string, idx long, kind string, statement string, reason string")
+    items = items.select("project_id", "idx", "kind", "statement", "reason").union(blank)
+    want = []
+    for r in rows:
+        k = next((k for k in want if tx.similarity(r[3], k[2]) >= 0.85 and not tx.opposite(r[3], k[2])), None)
+        if k is None:
+            want.append([r[1], kinds[r[1] % 4], r[3], r[2]])
+        else:
+            if rank[kinds[r[1] % 4]] < rank[k[1]]:
+                k[1], k[3] = kinds[r[1] % 4], r[2]
+            k[2] = max(k[2], r[3], key=len)
+    want += [[200 + i, "gap", t, None] for i, t in enumerate(["", " ", "...", None])]
+    got = sorted(([r.idx, r.kind, r.statement, r.reason] for r in folds.openq_collapse(items).collect()), key=lambda r: r[0])
+    assert got == sorted(want, key=lambda r: r[0])
     near = df.select("project_id", "idx", "statement", F.lit("d").alias("doc_id"), (F.col("idx") % 7).alias("start"), (F.col("idx") % 7 + 9).alias("end"))
     got = sorted((r.idx, tuple(r.merged)) for r in folds.near_dup_merge(near).collect())
-    assert got == sorted((k["idx"], tuple(k["merged"])) for k in folds.merge_near([{"idx": r[1], "statement": r[3], "spans": [("d", r[1] % 7, r[1] % 7 + 9)]} for r in rows]))
+    want = []
+    for r in rows:
+        words, at = set(tx.normal(r[3]).split()), r[1] % 7
+        alike = lambda k: len(words & k[1]) / len(words | k[1]) >= 0.5 and any((9 - abs(at - x)) / (9 + abs(at - x)) >= 0.6 for x in k[3])  # noqa: B023, E731
+        k = next((k for k in want if tx.normal(r[3]) == k[4] or alike(k)), None)
+        if k is None:
+            want.append((r[1], words, [], [at], tx.normal(r[3])))
+        else:
+            k[2].append(r[1])
+            k[3].append(at)
+    assert got == sorted((k[0], tuple(k[2])) for k in want)
     scoped = [(r[0], r[1], s) for r, s in zip(rows, statements(3, 70), strict=True)]
     extra = [("p0", 100 + i, s) for i, s in enumerate(["reviews moderation", "moderation queue", "queue export", "unrelated wording", "reviews again"])]
     df2 = spark.createDataFrame(scoped + extra, "project_id string, idx long, statement string")
-    terms = {r.idx: r.t for r in df2.select("idx", tx.distinctive(tx.decision_terms(F.col("statement"))).alias("t")).collect()}
-    ordered = sorted(scoped + extra, key=lambda r: r[1])
-    want = {}
-    for members in folds.cluster_scope([{"terms": terms[r[1]]} for r in ordered]):
-        want.update({ordered[m][1]: ordered[members[0]][1] for m in members})
+    terms = {r.idx: set(r.t) for r in df2.select("idx", tx.distinctive(tx.decision_terms(F.col("statement"))).alias("t")).collect()}
+    left, want = sorted(terms), {}
+    while left:  # a cluster takes in one pass all later rows that share a term with what it has so far
+        first, seen, rest = left[0], set(), []
+        for i in left:
+            if i == first or terms[i] & seen:
+                want[i], seen = first, seen | terms[i]
+            else:
+                rest.append(i)
+        left = rest
     assert {r.idx: r.cluster for r in folds.scope_clusters(df2).collect()} == want
 
 
+def test_overlap_joins_against_all_pairs(spark):
+    rnd = random.Random(6)
+    sets = [sorted({f"t{int(rnd.paretovariate(0.7)) % 40}" for _ in range(rnd.choice([0, 1, 2, 5, 9]))}) for _ in range(120)]
+    df = spark.createDataFrame([("p" + str(i % 2), i, s) for i, s in enumerate(sets)] + [("p0", 500, None)], "project_id string, idx long, terms array<string>")
+    for t in (0.3, 0.5, 0.6, 0.85, 1.0):
+        jac = lambda i, j: len(set(sets[i]) & set(sets[j])) / max(1, len(set(sets[i]) | set(sets[j])))
+        want = {(i, j): jac(i, j) for i in range(120) for j in range(i + 1, 120) if i % 2 == j % 2 and jac(i, j) >= t}
+        assert {(r.a, r.b): r.overlap for r in similarity.overlap_pairs(df, t).collect()} == want
+    left, right = df.filter("idx < 60"), df.filter("idx >= 60")
+    for t in (0.2, 0.66):
+        want = {(i, j): len(set(sets[i]) & set(sets[j])) for i in range(60) for j in range(60, 120) if i % 2 == j % 2 and sets[i] and len(set(sets[i]) & set(sets[j])) >= max(1, t * len(sets[i]) - 1e-9)}
+        assert {(r.idx, r.match): r.common for r in similarity.cross_overlap(left, right, t).collect()} == want
+
+
 def test_cross_steps_against_all_pairs(spark, monkeypatch):
     left, right = statements(11, 40), statements(12, 30)
     df = lambda rows: spark.createDataFrame([("p", i, s) for i, s in enumerate(rows)], "project_id string, idx int, statement string")
