@@ -480,7 +480,7 @@ def streaming_review_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.streaming.ingest import fold_reviews
 
     path = f"{sf_dir}/events.parquet"
-    return fold_reviews(spark, f"{sf_dir}/events.parque[t]", spark.read.parquet(path).schema, Scratch(spark, "reviews"))
+    return fold_reviews(spark, f"{sf_dir}/events.parque[t]", spark.read.parquet(path).schema, Scratch(spark, "reviews").root)
 
 
 @query(_LOG + "SELECT date_trunc('hour', ts) AS \"start\", action, count(*) AS n FROM log GROUP BY 1, 2")

@@ -39,6 +39,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def complete_tables(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """Names of the tables under a folder whose write was finished."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+    return [n for n in names if n.startswith(prefix) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs a re-read and not a recomputation.
 

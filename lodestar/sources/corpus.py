@@ -106,15 +106,23 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, file, source_type, text) of a corpus folder by its manifest; Word files by their XML, others as text."""
+    """(doc_id, file, source_type, text) of a corpus folder by its manifest; Word files by their XML, others as text.
+
+    The manifest's ``file`` is a path relative to the folder. There is no reader for PDF files here, so their text is
+    null, and not their bytes (see ``pdf_lines`` for words that another tool has taken out).
+    """
 
     @F.pandas_udf(T.StringType())
     def text(content: pd.Series, ext: pd.Series) -> pd.Series:
-        return pd.Series([docx_text(bytes(c)) if e == "docx" else decode(bytes(c)) for c, e in zip(content, ext, strict=True)], dtype=object)
-
-    listed = manifest(spark, folder).withColumn("source_type", ingest_type(F.col("source_type"), F.col("file"))).withColumn("name", F.element_at(F.split("file", "/"), -1))
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return listed.join(read, "name").select("doc_id", "file", "source_type", text("content", extension(F.col("name"))).alias("text"))
+        read = {"docx": docx_text, "pdf": lambda _: None}
+        return pd.Series([read.get(e, decode)(bytes(c)) for c, e in zip(content, ext, strict=True)], dtype=object)
+
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    key = F.regexp_replace(F.translate("file", "\\", "/"), r"^(\./)+", "")
+    listed = manifest(spark, folder).withColumn("source_type", ingest_type(F.col("source_type"), F.col("file"))).withColumn("at", key)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.expr(f"substring(path, {len(whole) + 2})").alias("at"), "content")
+    return listed.join(read, "at").select("doc_id", "file", "source_type", text("content", extension(F.col("file"))).alias("text"))
 
 
 def pdf_lines(words: DataFrame) -> DataFrame:

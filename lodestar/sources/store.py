@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Folders over which a project's documents are dealt.
+BUCKETS = 64
+
 
 class Store:
     """Tables under one folder. A write replaces whole project partitions, so readers never see half a project."""
@@ -47,9 +50,28 @@ class Store:
             rows = Scratch(self.spark, "upsert").write(kept.unionByName(rows, allowMissingColumns=True), "rows")
         self._replace(rows, table)
 
-    def replace_docs(self, chunks: DataFrame, table: str = "chunks") -> None:
-        """Chunks replace those of the same (project_id, doc_id)."""
-        self._replace(chunks, table, ("project_id", "doc_id"))
+    def replace_docs(self, chunks: DataFrame, table: str = "chunks", docs: DataFrame | None = None) -> None:
+        """Chunks replace those of the same (project_id, doc_id); ``docs`` names documents that may have none any more.
+
+        A project's documents are dealt to ``BUCKETS`` folders by hash, and only the buckets that are touched are rewritten.
+        """
+        from lodestar.runtime import Scratch
+
+        keys = ["project_id", "doc_id"]
+        bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(BUCKETS)).cast("int")
+        new, scratch = chunks.withColumn("bucket", bucket), Scratch(self.spark, "replace")
+        gone = scratch.write((chunks if docs is None else docs).select(*keys).distinct().withColumn("bucket", bucket), "gone")
+        old = self.read(table)
+        if old is not None:
+            old = old.withColumn("project_id", F.col("project_id").cast(chunks.schema["project_id"].dataType))
+            kept = old.join(gone.select("project_id", "bucket").distinct(), ["project_id", "bucket"], "left_semi").join(gone.select(*keys), keys, "left_anti")
+            new = scratch.write(kept.unionByName(new, allowMissingColumns=True), "rows")
+            emptied = gone.select("project_id", "bucket").distinct().join(new.select("project_id", "bucket").distinct(), ["project_id", "bucket"], "left_anti")
+            for r in emptied.collect():  # at most the buckets of the projects that this write touches
+                from lodestar.runtime import delete_path
+
+                delete_path(self.spark, f"{self.path(table)}/project_id={r.project_id}/bucket={r.bucket}")
+        self._replace(new, table, ("project_id", "bucket"))
 
     def delete_project(self, project: str, *tables: str) -> None:
         from lodestar.runtime import delete_path

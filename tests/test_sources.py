@@ -80,3 +80,53 @@ def test_store(spark, tmp_path):
         s.upsert(rows(("a", "q", 1, 1)), "reqs")
     s.delete_project("q", "reqs")
     assert have() == [("a", "p", 2), ("b", "p", 9)] and s.read("nothing") is None
+
+
+def test_files_of_one_name_keep_apart_and_pdf_is_not_text(spark, tmp_path):
+    for d, t in (("a", "first"), ("b c", "second")):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "readme.md").write_text(t)
+    (tmp_path / "x.pdf").write_bytes(b"%PDF-1.4 junk")
+    docs = [{"doc_id": "1", "file": "a/readme.md"}, {"doc_id": "2", "file": "./b c/readme.md"}, {"doc_id": "3", "file": "x.pdf"}]
+    (tmp_path / "manifest.json").write_text(json.dumps({"docs": docs}))
+    assert sorted((r.doc_id, r.text) for r in corpus.documents(spark, str(tmp_path)).collect()) == [("1", "first"), ("2", "second"), ("3", None)]
+
+
+def test_documents_are_replaced_by_key(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    rows = lambda *x: spark.createDataFrame(list(x), "project_id string, doc_id string, idx int, text string")
+    many = [("p", f"d{i}", 0, "x") for i in range(300)]
+    s.replace_docs(rows(("7", "d", 0, "a"), ("7", "d", 1, "b"), ("7", "e", 0, "c"), ("p", "d", 0, "x"), *many))
+    s.replace_docs(rows(("7", "d", 0, "new")))
+    have = lambda: sorted((str(r.project_id), r.doc_id, r.text) for r in s.read("chunks").collect() if str(r.project_id) == "7" or r.doc_id == "d")
+    assert have() == [("7", "d", "new"), ("7", "e", "c"), ("p", "d", "x")] and s.read("chunks").count() == 303
+    s.replace_docs(rows(("p", "zz", 0, "y")).limit(0), docs=rows(("7", "e", 0, "")))
+    assert have() == [("7", "d", "new"), ("p", "d", "x")]
+    assert len(list((tmp_path / "chunks" / "project_id=p").iterdir())) <= 64
+
+
+def test_streams_keep_projects_apart_and_survive_restarts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lodestar.operators import review
+    from lodestar.streaming import ingest
+
+    schema = "project_id string, doc_id string, source_type string, text string"
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "t" / "chunks"), str(tmp_path / "ck")
+    put = lambda *x: spark.createDataFrame(list(x), schema).coalesce(1).write.mode("append").parquet(src)
+    put(("p", "d", "note", "one\n\ntwo"), ("q", "d", "note", "three"))
+    ingest.ingest_documents(spark, src, schema, out, ck)
+    put(("p", "d", "note", "four"))
+    ingest.ingest_documents(spark, src, schema, out, ck)
+    assert sorted((r.project_id, r.text) for r in spark.read.parquet(out).collect()) == [("p", "four"), ("q", "three")]
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    folder, log = str(tmp_path / "state"), str(tmp_path / "log")
+    spark.createDataFrame([], events.schema).coalesce(1).write.mode("append").parquet(log)
+    assert ingest.fold_reviews(spark, str(tmp_path / "no*"), events.schema, str(tmp_path / "none")).count() == 0
+    for k in range(4):  # every call is a restart: nothing is kept but the folder
+        events.filter(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(log)
+        got = ingest.fold_reviews(spark, log, events.schema, folder)
+    want = review.review_log(events).groupBy("requirement_id").agg(F.max(F.struct("seq", "action")).alias("last"), F.count("*").alias("n"))
+    want = {(r.requirement_id, "rejected" if r["last"].action == "reject" else "approved", r.n) for r in want.collect()}
+    assert {tuple(r) for r in got.collect()} == want
