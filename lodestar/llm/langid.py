@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from lodestar.llm.resident import resident, trim
 from lodestar.llm.textcut import mix64, words
-from lodestar.runtime import Scratch, bound_arrow
+from lodestar.runtime import bound_arrow
 
 UNKNOWN = "und"
 MAX_LANGS, TRAIN_DOCS, TRAIN_CHARS, TRAIN_TOTAL = 62, 300, 100_000, 3_000_000
@@ -48,8 +48,9 @@ LEXICON = 2000
 EPOCHS, RATE, L2 = 12, 0.3, 1e-6
 SEGMENT = 64
 CACHE = 150_000
-#: Steps of a score in the histogram from which ``least_score`` is read.
+#: Steps of a score in the histogram from which ``least_score`` is read, and wrong labels for a right one.
 STEPS = 200
+WRONG = 2
 
 
 def held_out(doc_id: Column) -> Column:
@@ -347,13 +348,14 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep_words: b
 
 
 def least_score(identified: DataFrame) -> float:
-    """The largest bound below which, on held-out labelled documents, more labels are wrong than right; 0 if there is none.
+    """The largest bound below which, on held-out labelled documents, more than ``WRONG`` labels are wrong for one that is right; 0 if there is none.
 
-    Read from a histogram over all of them (doc_id, lang, lid_lang, lid_score).
+    Read from a histogram over all of them (doc_id, lang, lid_lang, lid_score). Documents in two languages in equal
+    parts get either label, so even odds are no ground to reject.
     """
     known = identified.filter(held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("lid_lang") != UNKNOWN))
     step = F.least(F.floor(F.col("lid_score") * STEPS), F.lit(STEPS - 1)).alias("step")
-    wrong = F.sum(F.when(F.col("lang") == F.col("lid_lang"), -1).otherwise(1)).alias("wrong")
+    wrong = F.sum(F.when(F.col("lang") == F.col("lid_lang"), -WRONG).otherwise(1)).alias("wrong")
     bound, more = 0.0, 0
     for r in sorted(known.groupBy(step).agg(wrong).collect()):  # at most STEPS rows
         more += r["wrong"]
@@ -365,11 +367,13 @@ def least_score(identified: DataFrame) -> float:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` less those without a language or with a score below ``least_score``; a null ``lang`` gets the language found.
 
-    Documents in several languages have low scores, but are kept as long as their main language is found more often than not.
+    The held-out labelled documents, a quarter, are identified twice: once for the bound, so that no copy of the
+    documents is stored for it.
     """
-    scratch = Scratch(docs.sparkSession, "langid")
-    found = scratch.write(identify(docs, fit(docs.select("doc_id", "text", "lang")), keep_words=False), "identified")
-    good = found.filter((F.col("lid_lang") != UNKNOWN) & (F.col("lid_score") >= least_score(found)))
+    model = fit(docs.select("doc_id", "text", "lang"))
+    known = docs.filter(held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
+    least = least_score(identify(known, model, keep_words=False))
+    good = identify(docs, model, keep_words=False).filter((F.col("lid_lang") != UNKNOWN) & (F.col("lid_score") >= least))
     return good.withColumn("lang", F.coalesce("lang", "lid_lang")).select(*[c for c in docs.columns if c in good.columns])
 
 
