@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestar import lexicons as lex
 from lodestar.functions import classify as cl
 from lodestar.functions import text as tx
-from lodestar.operators import reporting
+from lodestar.operators import design, reporting
 
 
 def structure(docs: DataFrame) -> DataFrame:
@@ -101,11 +101,11 @@ NONE_ITEMS = "None identified for this release."
 DEFERRED = "Deferred to the design phase."
 
 
-def sections(reqs: DataFrame, open_numbered: DataFrame, glossary: DataFrame, roles: DataFrame, interfaces: DataFrame, entities: DataFrame, prose: DataFrame | None = None) -> DataFrame:
+def sections(reqs: DataFrame, open_numbered: DataFrame, glossary: DataFrame, roles: DataFrame, interfaces: DataFrame, entities: DataFrame, prose: DataFrame | None = None, brand: DataFrame | None = None, stack: DataFrame | None = None) -> DataFrame:
     """(project_id, pos, block): the ordered blocks of each project's specification, as relations.
 
     ``roles`` and ``interfaces`` are (project_id, name, description), ``entities`` (project_id, name), ``prose``
-    (project_id, num, text). Nothing is gathered before the last step, which is one string per project.
+    (project_id, num, text), ``brand`` the tokens of ``design.brand_tokens``, ``stack`` (project_id, block) section 7. Nothing is gathered before the last step, which is one string per project.
     """
     spark: SparkSession = reqs.sparkSession
     ids = reporting.srs_ids(reqs)
@@ -157,8 +157,11 @@ def sections(reqs: DataFrame, open_numbered: DataFrame, glossary: DataFrame, rol
     listed.append(("C", grid(reporting.appendix(open_numbered).withColumn("rank", F.substring_index("id", "-", -1).cast("int")), ("ID", "Description"), "id", "description", "rank")))
     names = entities.groupBy("project_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), ", ").alias("names"))
     listed.append(("B", names.select("project_id", F.concat(F.lit("The principal entities ("), "names", F.lit(") are elaborated in the design phase.")).alias("block"))))
-    for num, kind in (("3.1.2", "Hex"), ("3.1.3", "Size"), ("3.1.4", "Value")):
-        listed.append((num, projects.select("project_id", F.lit(f"| Token | {kind} |\n|---|---|\n| default | {lex.RAMPS['green'][9] if kind == 'Hex' else '16px'} |").alias("block"))))
+    person = design.personality(reporting.approved(reqs))
+    drawn = design.blocks(person, design.tokens(person, brand), adopted=brand is not None)
+    listed += [(num, drawn.filter(F.col("num") == num)) for num in ("3.1.1", "3.1.2", "3.1.3", "3.1.4", "3.1.5")]
+    if stack is not None:
+        listed.append(("7", stack))
     bodies = None
     for num, rows in listed:
         part = rows.select("project_id", F.lit(num).alias("num"), F.lit(start(num) + 1).alias("pos"), "block")
@@ -185,3 +188,39 @@ def layer(key: Column) -> Column:
     for word, name in lex.LAYER_KEYWORDS:
         out = out.when(F.contains(k, F.lit(word)), name)
     return out.otherwise(lex.LAYER_DEFAULT)
+
+
+DEVICE_NONE = "The clients are responsive web applications; this release needs no device capability beyond the browser's."
+LAYER_NONE = "Not specified by the requirements for this release; to be determined in Design."
+CUSTOM = "Specified by the reviewer (custom entry)."
+
+
+def technology_section(aspects: DataFrame, candidates: DataFrame, selections: DataFrame, stated: DataFrame) -> DataFrame:
+    """(project_id, pos, block): a lead and the six layers of the technology section of every project in ``stated``.
+
+    ``aspects`` (project_id, key, title, rationale, pos), ``candidates`` (project_id, key, name, reason, recommended, pos),
+    ``selections`` (project_id, key, choice), ``stated`` (project_id, stated, basis). An aspect's choice is the candidate
+    named in any case, else the reviewer's own entry, else the recommended candidate, else the first.
+    """
+    keys = ["project_id", "key"]
+    wish = selections.select(*keys, F.nullif(F.trim("choice"), F.lit("")).alias("choice"))
+    named, what = F.lower(F.trim("name")) == F.lower("choice"), F.struct("name", "reason")
+    picked = candidates.join(wish, keys, "left").groupBy(*keys).agg(
+        F.min_by(what, F.struct(~F.col("recommended"), "pos")).alias("default"), F.min_by(F.when(named, what), F.when(named, F.col("pos"))).alias("known"), F.first("choice").alias("choice"),
+    )
+    own = F.when(F.col("choice").isNotNull(), F.struct(F.col("choice").alias("name"), F.lit(CUSTOM).alias("reason")))
+    chosen = aspects.filter(~cl.is_excluded_aspect(F.col("key"), F.col("title"))).join(picked, keys).withColumn("c", F.coalesce("known", own, "default"))
+    detail = F.trim(F.concat_ws(" ", tx.collapse(F.coalesce("rationale", F.lit(""))), tx.collapse(F.coalesce("c.reason", F.lit("")))))
+    line = F.concat(F.lit("**"), "c.name", F.lit("**"), F.when(detail != "", F.concat(F.lit(" — "), detail)).otherwise(""))
+    rows = chosen.select("project_id", "pos", "key", F.col("c.name").alias("name"), layer(F.col("key")).alias("layer"), line.alias("line"))
+    inorder = lambda c, sep: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "key", c))), lambda x: x[c]), sep)  # noqa: E731  an aspect each
+
+    lead = F.when(F.col("names").isNull(), "The technology stack comes from the analysis of the requirements, which has not proposed one yet.").when(
+        F.col("stated"), F.concat(F.lit("The technology stack below is taken from the project's inputs"), F.when(tx.collapse(F.coalesce("basis", F.lit(""))) != "", F.concat(F.lit(" ("), tx.collapse(F.col("basis")), F.lit(")"))).otherwise(""), F.lit(" and is not a recommendation."))
+    ).otherwise(F.concat(F.lit("*Proposed technology stack, to be confirmed by Design and Engineering.* Each layer names the option that was selected, or else recommended.\n\n**Selected stack:** "), "names", F.lit(".")))
+    names = stated.join(rows.groupBy("project_id").agg(inorder("name", " · ").alias("names")), "project_id", "left")
+    top = names.select("project_id", F.lit(0).alias("pos"), lead.alias("block"))
+    titles = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f"### {num} {title}").alias("head"), F.lit(name).alias("layer"), F.lit(DEVICE_NONE if name == "device" else LAYER_NONE).alias("none")) for i, (num, title, name) in enumerate(lex.LAYERS, 1)]))
+    outline = names.filter("names is not null").select("project_id", titles.alias("t")).select("project_id", "t.*")
+    filled = outline.join(rows.groupBy("project_id", "layer").agg(inorder("line", "  \n").alias("lines")), ["project_id", "layer"], "left")
+    return top.unionByName(filled.select("project_id", "pos", F.concat_ws("\n\n", "head", F.coalesce("lines", "none")).alias("block")))

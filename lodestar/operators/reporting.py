@@ -42,19 +42,45 @@ def rtm_rows(reqs: DataFrame) -> DataFrame:
     return rows.withColumn("pos", F.row_number().over(order))
 
 
-def rtm_matrix(reqs: DataFrame, glossary: DataFrame | None = None) -> DataFrame:
-    """(project_id, row_id, category, section, requirement): untagged rows become CON-n, ASM-n; glossary terms follow."""
+def _matrix(reqs: DataFrame, glossary: DataFrame | None, design: DataFrame | None) -> DataFrame:
+    """The matrix's rows with ``part`` (requirements, design tokens, glossary) and ``pos`` in it."""
     rows = rtm_rows(reqs)
     n = F.row_number().over(W.partitionBy("project_id", "rtype").orderBy("pos")).cast("string")
     label = F.coalesce("srs_id", F.when(F.col("rtype") == "constraint", F.concat(F.lit("CON-"), n)).when(F.col("rtype") == "assumption", F.concat(F.lit("ASM-"), n)), F.col("id"))
     names = F.create_map(*[F.lit(x) for kv in lex.CATEGORY_LABELS.items() for x in kv])
-    out = rows.select("project_id", label.alias("row_id"), names[F.col("rtype")].alias("category"), "section", F.col("statement").alias("requirement"))
+    out = rows.select("project_id", F.lit(0).alias("part"), "pos", label.alias("row_id"), names[F.col("rtype")].alias("category"), "section", F.col("statement").alias("requirement"))
+    if design is not None:
+        at = F.concat("section", F.lpad(F.col("pos").cast("string"), 6, "0"))
+        place = F.row_number().over(W.partitionBy("project_id").orderBy(at, "row_id"))  # a few dozen tokens a project
+        out = out.unionByName(design.select("project_id", F.lit(1).alias("part"), place.alias("pos"), "row_id", F.lit("Design & UI").alias("category"), "section", "requirement"))
     if glossary is None:
         return out
-    terms = glossary.select(F.col("id").alias("row_id"), F.lit("Glossary").alias("category"), F.lit("Appendix A").alias("section"), F.concat_ws(" — ", "term", "definition").alias("requirement"))
+    terms = glossary.select(F.lit(2).alias("part"), F.substring_index("id", "-", -1).cast("int").alias("pos"), F.col("id").alias("row_id"), F.lit("Glossary").alias("category"), F.lit("Appendix A").alias("section"), F.concat_ws(" — ", "term", "definition").alias("requirement"))
     return out.unionByName(out.select("project_id").distinct().crossJoin(F.broadcast(terms)).select(*out.columns))  # at most one row per lexicon term
 
 
+def rtm_matrix(reqs: DataFrame, glossary: DataFrame | None = None, design: DataFrame | None = None) -> DataFrame:
+    """(project_id, row_id, category, section, requirement): untagged rows become CON-n, ASM-n; design tokens and glossary terms follow."""
+    return _matrix(reqs, glossary, design).drop("part", "pos")
+
+
+def rtm_delivered(reqs: DataFrame, glossary: DataFrame | None = None, design: DataFrame | None = None) -> DataFrame:
+    """The delivered matrix: project_id, part and pos to sort by, and the eight columns of its CSV, the last four blank for later phases."""
+    id_, category, section, requirement, *blank = lex.RTM_CSV_HEADER
+    rows = _matrix(reqs, glossary, design)
+    return rows.select("project_id", "part", "pos", F.col("row_id").alias(id_), F.col("category").alias(category), F.col("section").alias(section), F.col("requirement").alias(requirement), *[F.lit("").alias(c) for c in blank])
+
+
+def rtm_markdown(rows: DataFrame) -> DataFrame:
+    """(project_id, pos, line): the table of ``rtm_rows`` (with priority) as Markdown lines, the two header lines at -1 and 0."""
+    dash = lambda c: F.coalesce(c, F.lit("—"))
+    cells = [dash("srs_id"), F.col("id"), tx.md_cell(F.col("statement")), F.col("rtype"), dash("priority"), *[tx.md_cell(F.col(c)) for c in ("section", "sources", "evidence")]]
+    body = rows.select("project_id", "pos", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    head = [(-1, "| " + " | ".join(lex.RTM_HEADER) + " |"), (0, "|" + "---|" * len(lex.RTM_HEADER))]
+    top = F.explode(F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(t).alias("line")) for p, t in head]))
+    return body.unionByName(rows.select("project_id").distinct().select("project_id", top.alias("x")).select("project_id", "x.*"))
+
+
 def traceability_gaps(reqs: DataFrame, delivered: DataFrame) -> DataFrame:
     """Approved requirements that a delivered matrix (id, section) does not hold or places nowhere."""
     good = delivered.filter("section is not null and section <> ''").select("id")

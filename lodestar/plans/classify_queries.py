@@ -263,13 +263,13 @@ def stack_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_HUES = " ".join(f"WHEN bool_or({duck.has_any('s', keys)}) THEN {duck.q(a + '/' + b)}" for keys, a, b in lex.DOMAIN_HUES)
+_HUES = " ".join(f"WHEN bool_or({duck.has_any('s', keys)}) THEN {duck.q(a + '/' + b)}" for keys, a, b, _ in lex.DOMAIN_HUES)
 
 
 @query(f"SELECT project_id, CASE {_HUES} ELSE 'indigo/teal' END AS hues FROM (SELECT project_id, lower(statement) AS s FROM rv) t GROUP BY 1")
 def personality_hues(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, out = F.lower(S()), None
-    for keys, a, b in lex.DOMAIN_HUES:
+    for keys, a, b, _ in lex.DOMAIN_HUES:
         test = F.bool_or(cl.contains_any(low, keys))
         out = F.when(test, f"{a}/{b}") if out is None else out.when(test, f"{a}/{b}")
     return req_view(spark, sf_dir).groupBy("project_id").agg(out.otherwise("/".join(lex.HUE_DEFAULT)).alias("hues"))

@@ -125,6 +125,24 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return listed.join(read, "at").select("doc_id", "file", "source_type", text("content", extension(F.col("file"))).alias("text"))
 
 
+def corpora(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """(id, kind, doc_id, file, source_type) of every folder under ``root`` with a manifest; one that cannot be read, or lists nothing, has one row of nulls."""
+    read = spark.read.schema(MANIFEST).json(f"{root}/*/manifest.json", multiLine=True)
+    folder = F.regexp_extract("_metadata.file_path", r"([^/]+)/manifest\.json$", 1)
+    rows = read.select(F.url_decode(folder).alias("id"), F.lit(kind).alias("kind"), F.explode_outer("docs").alias("d")).select("id", "kind", "d.*")
+    return rows.withColumn("source_type", F.when(F.col("file").isNotNull(), ingest_type(F.col("source_type"), F.col("file"))))
+
+
+def upload_manifest(files: DataFrame) -> DataFrame:
+    """(domain, docs) of uploaded files (domain, name), one manifest each: the doc_id is the name without its extension, the file lies in ``docs/``.
+
+    A manifest is one JSON object by its format, so a domain's file names are gathered; their contents are not.
+    """
+    name = F.regexp_extract("name", r"([^/\\\\]+)$", 1)
+    doc = F.struct(F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("doc_id"), F.concat(F.lit("docs/"), name).alias("file"), upload_type(name).alias("source_type"))
+    return files.groupBy("domain").agg(F.sort_array(F.collect_set(doc)).alias("docs"))
+
+
 def pdf_lines(words: DataFrame) -> DataFrame:
     """Lines of PDF words (doc_id, seq, page, x0, top, size, text), with headings by font size.
 

@@ -5,11 +5,11 @@ import math
 import duckdb
 import pytest
 
-from lodestar.plans import classify_queries, data_queries
+from lodestar.plans import classify_queries, data_queries, delivery_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = {**classify_queries.QUERIES, **data_queries.QUERIES}
-ORACLES = {**classify_queries.ORACLES, **data_queries.ORACLES}
+QUERIES = {**classify_queries.QUERIES, **data_queries.QUERIES, **delivery_queries.QUERIES}
+ORACLES = {**classify_queries.ORACLES, **data_queries.ORACLES, **delivery_queries.ORACLES}
 MAY_BE_EMPTY = {"conflict_pairs", "aspect_gaps", "auto_approve_set", "verify_targets"}
 SLOW = {"consolidated", "dedup_fold", "recall_guard", "uncovered_items", "openq_collapse", "scope_clusters", "near_dup_merge", "echo_suppression"}
 
