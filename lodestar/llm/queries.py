@@ -9,6 +9,7 @@ from lodestar.llm.linededup import OP10_SQL, op10_line_dedup
 from lodestar.llm.mixing import OP2_SQL, op2_mix_sources
 from lodestar.llm.neardup import OP6_SQL, op6_ngram_jaccard_join
 from lodestar.llm.pieces import op8_sentencepiece
+from lodestar.llm.pii import op11_pii
 from lodestar.llm.secrets import op3_secret_scan
 from lodestar.llm.tokencount import op5_token_counts
 from lodestar.llm.warc import OP9_SQL, op9_warc_round_trip
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_line_dedup": op10_line_dedup,
+    "op11_pii": op11_pii,
 }
 ORACLES = {
     "op1_bm25_topk": OP1_SQL,
