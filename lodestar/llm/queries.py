@@ -13,6 +13,7 @@ from lodestar.llm.pii import op11_pii
 from lodestar.llm.secrets import op3_secret_scan
 from lodestar.llm.tokencount import op5_token_counts
 from lodestar.llm.warc import OP9_SQL, op9_warc_round_trip
+from lodestar.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_bm25_topk": op1_bm25_topk,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_line_dedup": op10_line_dedup,
     "op11_pii": op11_pii,
+    "op13_whitening": op13_whitening,
 }
 ORACLES = {
     "op1_bm25_topk": OP1_SQL,
