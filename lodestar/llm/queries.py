@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodestar.llm.bm25 import OP1_SQL, op1_bm25_topk
 from lodestar.llm.capfilters import OP4_SQL, op4_embedding_neardup
+from lodestar.llm.hardneg import OP12_SQL, op12_hard_negatives
 from lodestar.llm.langid import op7_language_id
 from lodestar.llm.linededup import OP10_SQL, op10_line_dedup
 from lodestar.llm.mixing import OP2_SQL, op2_mix_sources
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_line_dedup": op10_line_dedup,
     "op11_pii": op11_pii,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_whitening": op13_whitening,
 }
 ORACLES = {
@@ -36,4 +38,5 @@ ORACLES = {
     "op6_ngram_jaccard_join": OP6_SQL,
     "op9_warc_round_trip": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }

@@ -3,7 +3,7 @@ from lodestar.llm import queries
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, len(queries.QUERIES) + 1))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dup", "mix", "pieces"]
 
@@ -18,6 +18,8 @@ def test_contract_columns(spark):
         "op7_language_id": {"doc_id", "held_out", "lang_pred", "score"},
         "op8_sentencepiece": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
         "op11_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
+        "op12_hard_negatives": {"anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"},
+        "op13_whitening": {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"},
         "op9_warc_round_trip": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
     }
     kinds = {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint", "n_assign": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean", "held_out": "boolean", "score": "double", "payload_bytes": "bigint", "spans": "string"}
