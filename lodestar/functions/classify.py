@@ -89,14 +89,12 @@ def first_modal(c: Column) -> Column:
 def scope_flag(evidence: Column) -> Column:
     """struct<flag, reason> of the strongest scope marker in the evidence, else null."""
     none = F.struct(F.lit(None).cast("string").alias("flag"), F.lit(None).cast("string").alias("reason"))
-    out = None
-    for flag, reason, patterns in lex.SCOPE_MARKERS:
-        for p in patterns:
-            hit = F.trim(F.regexp_extract(evidence, f"(?i)({p})", 1))
-            value = F.struct(F.lit(flag).alias("flag"), F.concat(F.lit(f'{reason} ("'), hit, F.lit('")')).alias("reason"))
-            test = evidence.rlike(f"(?i){p}")
-            out = F.when(test, value) if out is None else out.when(test, value)
-    return out.otherwise(none)
+    each = [(flag, reason, p) for flag, reason, patterns in lex.SCOPE_MARKERS for p in patterns]
+    # one pattern tells most texts apart; the markers are looked at one by one, in an array (so that the generated code stays short), for the rest
+    marks = F.array(*[F.struct(F.lit(flag).alias("flag"), F.lit(reason).alias("why"), F.regexp_extract(evidence, f"(?i)({p})", 1).alias("hit")) for flag, reason, p in each])
+    first = F.filter(marks, lambda m: m["hit"] != "")
+    named = F.get(F.transform(F.slice(first, 1, 1), lambda m: F.struct(m["flag"].alias("flag"), F.concat(m["why"], F.lit(' ("'), F.trim(m["hit"]), F.lit('")')).alias("reason"))), F.lit(0))
+    return F.coalesce(F.when(evidence.rlike("(?i)" + "|".join(f"(?:{p})" for _, _, p in each)), named), none)
 
 
 def moscow(c: Column, rtype: Column, inferred: Column) -> Column:

@@ -149,11 +149,11 @@ def sections(reqs: DataFrame, open_numbered: DataFrame, glossary: DataFrame, rol
     roles = or_else(roles, "User", "General authenticated user of the system.")
     interfaces = or_else(interfaces, "None identified", "No external software interface is named by the approved requirements.")
     entities = or_else(entities.withColumn("description", F.lit("")), "User", "")
-    if not glossary.limit(1).count():
-        glossary = spark.createDataFrame([(NONE_ITEMS, "—")], "term string, definition string")
+    bare = projects.join(glossary.select("project_id").distinct(), "project_id", "left_anti")
+    glossary = glossary.select("project_id", "term", "definition").unionByName(bare.select("project_id", F.lit(NONE_ITEMS).alias("term"), F.lit("—").alias("definition")))
     listed.append(("2.3", grid(roles, ("User Class", "Description"), "name", "description", "rank")))
     listed.append(("3.3", grid(interfaces, ("Name", "Description"), "name", "description", "rank")))
-    listed.append(("A", grid(projects.crossJoin(F.broadcast(glossary.select("term", "definition"))), ("Term", "Definition"), "term", "definition", "term")))
+    listed.append(("A", grid(glossary, ("Term", "Definition"), "term", "definition", "term")))
     listed.append(("C", grid(reporting.appendix(open_numbered).withColumn("rank", F.substring_index("id", "-", -1).cast("int")), ("ID", "Description"), "id", "description", "rank")))
     names = entities.groupBy("project_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), ", ").alias("names"))
     listed.append(("B", names.select("project_id", F.concat(F.lit("The principal entities ("), "names", F.lit(") are elaborated in the design phase.")).alias("block"))))

@@ -55,8 +55,8 @@ def _matrix(reqs: DataFrame, glossary: DataFrame | None, design: DataFrame | Non
         out = out.unionByName(design.select("project_id", F.lit(1).alias("part"), place.alias("pos"), "row_id", F.lit("Design & UI").alias("category"), "section", "requirement"))
     if glossary is None:
         return out
-    terms = glossary.select(F.lit(2).alias("part"), F.substring_index("id", "-", -1).cast("int").alias("pos"), F.col("id").alias("row_id"), F.lit("Glossary").alias("category"), F.lit("Appendix A").alias("section"), F.concat_ws(" — ", "term", "definition").alias("requirement"))
-    return out.unionByName(out.select("project_id").distinct().crossJoin(F.broadcast(terms)).select(*out.columns))  # at most one row per lexicon term
+    terms = glossary.select("project_id", F.lit(2).alias("part"), F.substring_index("id", "-", -1).cast("int").alias("pos"), F.col("id").alias("row_id"), F.lit("Glossary").alias("category"), F.lit("Appendix A").alias("section"), F.concat_ws(" — ", "term", "definition").alias("requirement"))
+    return out.unionByName(terms)
 
 
 def rtm_matrix(reqs: DataFrame, glossary: DataFrame | None = None, design: DataFrame | None = None) -> DataFrame:

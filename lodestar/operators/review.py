@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar import lexicons as lex
+from lodestar.operators.ranking import numbered
 
 
 def gate(reqs: DataFrame) -> DataFrame:
@@ -14,8 +14,8 @@ def gate(reqs: DataFrame) -> DataFrame:
     n = reqs.groupBy("project_id").agg(F.count_if(F.col("status").isin(*lex.PENDING)).alias("p"), F.count_if(F.col("status") == "approved").alias("a"))
     count = lambda c, t: F.concat(F.col(c).cast("string"), F.lit(t))
     reason = (
-        F.when(F.col("p") > 0, count("p", " requirement(s) still awaiting human review; approve, edit, or reject them before generating"))
-        .when(F.col("a") == 0, F.lit("no approved requirements (all were rejected)")).otherwise(count("a", " approved requirement(s) ready for generation"))
+        F.when(F.col("p") > 0, count("p", lex.GATE_PENDING))
+        .when(F.col("a") == 0, F.lit(lex.GATE_NOTHING)).otherwise(count("a", lex.GATE_READY))
     )
     return n.select("project_id", ((F.col("p") == 0) & (F.col("a") > 0)).alias("ok"), reason.alias("reason"))
 
@@ -48,24 +48,25 @@ def band(confidence: Column) -> Column:
 
 
 def calibration(reqs: DataFrame, log: DataFrame) -> DataFrame:
-    """Acceptance of the last human decision by confidence band, zero-filled."""
+    """Acceptance of the last human decision by project and confidence band, zero-filled for every project of ``reqs``."""
     last = log.filter("actor <> 'auto-approve'").groupBy("requirement_id").agg(F.max_by("action", "seq").alias("action"))
-    seen = reqs.join(last, "requirement_id").groupBy(band(F.col("confidence")).alias("band")).agg(F.count_if(F.col("action") == "accept").alias("accepted"), F.count("*").alias("decided"))
-    every = reqs.sparkSession.createDataFrame([(n, lo) for n, lo, _ in lex.BANDS], "band string, low double")
+    seen = reqs.join(last, "requirement_id").groupBy("project_id", band(F.col("confidence")).alias("band")).agg(F.count_if(F.col("action") == "accept").alias("accepted"), F.count("*").alias("decided"))
+    bands = F.array(*[F.struct(F.lit(n).alias("band"), F.lit(lo).cast("double").alias("low")) for n, lo, _ in lex.BANDS])
+    every = reqs.select("project_id").distinct().select("project_id", F.inline(bands))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return every.join(seen, "band", "left").select("band", "low", zero("accepted"), zero("decided")).withColumn("rate", F.try_divide("accepted", "decided"))
+    return every.join(seen, ["project_id", "band"], "left").select("project_id", "band", "low", zero("accepted"), zero("decided")).withColumn("rate", F.try_divide("accepted", "decided"))
 
 
 def suggested_bar(bands: DataFrame) -> DataFrame:
-    """Lowest edge of the bands that are reliable, else the default."""
+    """Lowest edge of a project's bands that are reliable, else the default."""
     good = (F.col("decided") >= lex.BAR_LEAST) & (F.col("accepted") / F.col("decided") >= lex.BAR_RATE)
-    return bands.agg(F.coalesce(F.min(F.when(good, F.col("low"))), F.lit(lex.BAR_DEFAULT)).alias("bar"))
+    return bands.groupBy("project_id").agg(F.coalesce(F.min(F.when(good, F.col("low"))), F.lit(lex.BAR_DEFAULT)).alias("bar"))
 
 
 def spot_check(ids: DataFrame, rate: float) -> DataFrame:
-    """Every k-th id in order, k = max(1, round(1 / rate)) with Python's rounding."""
+    """Every k-th id of a project (project_id, id) in order, k = max(1, round(1 / rate)) with Python's rounding."""
     step = max(1, round(1 / rate)) if rate and rate > 0 else 1
-    return ids.withColumn("n", F.row_number().over(W.orderBy("id"))).filter((F.col("n") - 1) % step == 0).select("id")
+    return numbered(ids.select("project_id", "id"), "project_id", ["id"]).filter((F.col("n") - 1) % step == 0).drop("n")
 
 
 def latest(log: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:

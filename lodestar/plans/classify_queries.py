@@ -114,8 +114,7 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT project_id, CASE WHEN p > 0 THEN false WHEN a = 0 THEN false ELSE true END AS ok, CASE WHEN p > 0 THEN CAST(p AS VARCHAR) || ' requirement(s) still awaiting human review; approve, edit, or reject them before generating' "
-    "WHEN a = 0 THEN 'no approved requirements (all were rejected)' ELSE CAST(a AS VARCHAR) || ' approved requirement(s) ready for generation' END AS reason "
+    "SELECT project_id, CASE WHEN p > 0 THEN false WHEN a = 0 THEN false ELSE true END AS ok, CASE WHEN p > 0 THEN CAST(p AS VARCHAR) || " + duck.q(lex.GATE_PENDING) + " WHEN a = 0 THEN " + duck.q(lex.GATE_NOTHING) + " ELSE CAST(a AS VARCHAR) || " + duck.q(lex.GATE_READY) + " END AS reason "
     "FROM (SELECT project_id, count(*) FILTER (WHERE status IN ('candidate', 'needs_review')) AS p, count(*) FILTER (WHERE status = 'approved') AS a FROM rv GROUP BY 1) t"
 )
 def gate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,28 +171,46 @@ def rendered_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glossary(reqs: DataFrame) -> DataFrame:
-    """Glossary terms that stand in the statements as whole words, numbered in alphabetical order."""
-    terms = reqs.sparkSession.createDataFrame(sorted(lex.GLOSSARY.items()), "term string, definition string")
-    hits = reqs.agg(*[F.bool_or(S().rlike(rf"\b{t}\b")).alias(t) for t in sorted(lex.GLOSSARY)])
-    found = hits.select(F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(t).alias("hit")) for t in sorted(lex.GLOSSARY)])).alias("x")).select("x.*").filter("hit").select("term")
-    from pyspark.sql import Window as W
-
-    return found.join(F.broadcast(terms), "term").withColumn("id", F.concat(F.lit("TERM-"), F.row_number().over(W.orderBy("term")).cast("string")))
+    """(project_id, id, term, definition): terms that stand in a project's statements as whole words, numbered in alphabetical order."""
+    terms = sorted(lex.GLOSSARY.items())
+    hits = reqs.groupBy("project_id").agg(*[F.bool_or(S().rlike(rf"\b{t}\b")).alias(f"t{i}") for i, (t, _) in enumerate(terms)])
+    every = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(d).alias("definition"), F.col(f"t{i}").alias("hit")) for i, (t, d) in enumerate(terms)])
+    found = hits.select("project_id", F.filter(every, lambda x: x["hit"]).alias("found"))
+    numbered = found.select("project_id", F.posexplode("found").alias("n", "x"))
+    return numbered.select("project_id", F.concat(F.lit("TERM-"), (F.col("n") + 1).cast("string")).alias("id"), "x.term", "x.definition")
+
+
+#: CTE g: the glossary of each project's approved statements.
+GLOSSARY_SQL = (
+    "g AS (SELECT project_id, 'TERM-' || CAST(row_number() OVER (PARTITION BY project_id ORDER BY term) AS VARCHAR) AS id, term, definition FROM (SELECT DISTINCT rv.project_id, v.term, v.definition FROM rv JOIN (VALUES "
+    + ", ".join(f"({duck.q(t)}, {duck.q(d)})" for t, d in sorted(lex.GLOSSARY.items()))
+    + ") v(term, definition) ON regexp_matches(rv.statement, '\\b' || v.term || '\\b') WHERE rv.status = 'approved') t)"
+)
 
 
-@query("SELECT 'TERM-' || CAST(row_number() OVER (ORDER BY term) AS VARCHAR) AS id, term, definition FROM (VALUES " + ", ".join(f"({duck.q(t)}, {duck.q(d)})" for t, d in sorted(lex.GLOSSARY.items())) + ") g(term, definition) WHERE EXISTS (SELECT 1 FROM rv WHERE regexp_matches(statement, '\\b' || term || '\\b'))")
+@query(f"WITH {GLOSSARY_SQL} SELECT project_id, id, term, definition FROM g")
 def glossary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return glossary(req_view(spark, sf_dir))
+    """The glossary of every project's approved requirements."""
+    return glossary(req_view(spark, sf_dir).filter("status = 'approved'"))
 
 
-@query("SELECT aspect, 'No requirements address ' || aspect || '.' AS statement FROM (VALUES " + ", ".join(f"({duck.q(a)}, {duck.q(p)})" for a, _, p in lex.ASPECTS) + ") a(aspect, pattern) WHERE NOT EXISTS (SELECT 1 FROM rv WHERE project_id = 'Brand#7' AND rtype = 'business' AND idx < 1000 AND regexp_matches(lower(statement || ' ' || coalesce(nfr_category, '')), pattern))")
-def aspect_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-cutting aspects that no business rule of one project addresses."""
-    mine = req_view(spark, sf_dir).filter("project_id = 'Brand#7' and rtype = 'business' and idx < 1000")
+def coverage_gaps(reqs: DataFrame) -> DataFrame:
+    """(project_id, aspect, statement, reason): cross-cutting aspects that no requirement of a project addresses."""
     hay = F.lower(F.concat_ws(" ", S(), F.coalesce("nfr_category", F.lit(""))))
-    hits = mine.agg(*[F.coalesce(F.bool_or(hay.rlike(p)), F.lit(False)).alias(f"a{i}") for i, (_, _, p) in enumerate(lex.ASPECTS)])
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("aspect"), F.col(f"a{i}").alias("hit")) for i, (a, _, _) in enumerate(lex.ASPECTS)]))
-    return hits.select(rows.alias("x")).select("x.*").filter("not hit").select("aspect", F.concat(F.lit("No requirements address "), "aspect", F.lit(".")).alias("statement"))
+    hits = reqs.groupBy("project_id").agg(*[F.coalesce(F.bool_or(hay.rlike(p)), F.lit(False)).alias(f"a{i}") for i, (_, _, p) in enumerate(lex.ASPECTS)])
+    every = F.array(*[F.struct(F.lit(a).alias("aspect"), F.lit(hint).alias("hint"), F.col(f"a{i}").alias("hit")) for i, (a, hint, _) in enumerate(lex.ASPECTS)])
+    rows = hits.select("project_id", F.explode(F.filter(every, lambda x: ~x["hit"])).alias("x"))
+    return rows.select("project_id", "x.aspect", F.concat(F.lit("No requirements address "), "x.aspect", F.lit(".")).alias("statement"), F.format_string(lex.GAP_REASON, "x.hint").alias("reason"))
+
+
+@query(
+    "SELECT p.project_id, a.aspect, 'No requirements address ' || a.aspect || '.' AS statement FROM (SELECT DISTINCT project_id FROM rv) p CROSS JOIN (VALUES "
+    + ", ".join(f"({duck.q(a)}, {duck.q(p)})" for a, _, p in lex.ASPECTS)
+    + ") a(aspect, pattern) WHERE NOT EXISTS (SELECT 1 FROM rv WHERE rv.project_id = p.project_id AND regexp_matches(lower(statement || ' ' || coalesce(nfr_category, '')), a.pattern))"
+)
+def aspect_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-cutting aspects that nothing in a project addresses, of every project."""
+    return coverage_gaps(req_view(spark, sf_dir)).drop("reason")
 
 
 def lexicon_hits(reqs: DataFrame, entries: list[tuple[str, tuple[str, ...]]]) -> DataFrame:

@@ -15,7 +15,7 @@ from lodestar.operators import folds, grounding, reporting, review, similarity
 from lodestar.operators.graph import connected_components
 from lodestar.operators.similarity import overlap_pairs
 from lodestar.plans import duck
-from lodestar.plans.classify_queries import assessed, glossary
+from lodestar.plans.classify_queries import GLOSSARY_SQL, assessed, glossary
 from lodestar.plans.req_view import req_view, with_view
 from lodestar.sources import chunkers, corpus
 
@@ -166,10 +166,8 @@ def rtm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MATRIX = (
     _IDS + ", m AS (SELECT project_id, coalesce(srs_id, CASE rtype WHEN 'constraint' THEN 'CON-' ELSE 'ASM-' END || CAST(row_number() OVER (PARTITION BY project_id, rtype ORDER BY pos) AS VARCHAR)) AS row_id, "
     "CASE rtype " + " ".join(f"WHEN {duck.q(k)} THEN {duck.q(v)}" for k, v in lex.CATEGORY_LABELS.items()) + " END AS category, section, statement AS requirement FROM rtm), "
-    "g AS (SELECT 'TERM-' || CAST(row_number() OVER (ORDER BY term) AS VARCHAR) AS row_id, term || ' — ' || definition AS requirement FROM (VALUES "
-    + ", ".join(f"({duck.q(t)}, {duck.q(d)})" for t, d in sorted(lex.GLOSSARY.items()))
-    + ") v(term, definition) WHERE EXISTS (SELECT 1 FROM rv WHERE status = 'approved' AND regexp_matches(statement, '\\b' || term || '\\b'))), "
-    "x AS (SELECT * FROM m UNION ALL SELECT p.project_id, g.row_id, 'Glossary', 'Appendix A', g.requirement FROM (SELECT DISTINCT project_id FROM m) p CROSS JOIN g) "
+    + GLOSSARY_SQL + ", "
+    "x AS (SELECT * FROM m UNION ALL SELECT project_id, id, 'Glossary', 'Appendix A', term || ' — ' || definition FROM g) "
 )
 
 
@@ -194,8 +192,9 @@ def traceability_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def open_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open items of the view: scope-marked rows, inferred rows and pointers."""
     s = F.col("statement")
-    kind = F.coalesce(cl.scope_flag(s)["flag"], F.when(cl.is_pointer(s), "non_requirement"), F.when(F.col("inferred"), "inferred"))
-    return req_view(spark, sf_dir).withColumn("kind", kind).filter("kind is not null").select("project_id", "idx", "kind", "statement", F.col("location").alias("where"), cl.scope_flag(s)["reason"].alias("reason"))
+    kind = F.coalesce(F.col("scope.flag"), F.when(cl.is_pointer(s), "non_requirement"), F.when(F.col("inferred"), "inferred"))
+    rows = req_view(spark, sf_dir).withColumn("scope", cl.scope_flag(s)).withColumn("kind", kind).filter("kind is not null")
+    return rows.select("project_id", "idx", "kind", "statement", "doc_id", F.col("location").alias("where"), F.col("scope.reason").alias("reason"))
 
 
 def _is_caution():
@@ -338,29 +337,32 @@ def decision_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CAL = (
-    _LOG + ", last AS (SELECT requirement_id, arg_max(action, seq) AS action FROM log WHERE actor <> 'auto-approve' GROUP BY 1), r AS (SELECT DISTINCT user_id AS requirement_id, (user_id % 21) / CAST(20 AS DOUBLE) AS confidence FROM events), "
-    "bands AS (SELECT b.band, b.low, count(action) FILTER (WHERE action = 'accept') AS accepted, count(action) AS decided FROM (VALUES " + ", ".join(f"({duck.q(n)}, {lo}::DOUBLE, {hi}::DOUBLE)" for n, lo, hi in lex.BANDS) + ") b(band, low, high) "
-    "LEFT JOIN (SELECT * FROM r JOIN last USING (requirement_id)) x ON x.confidence >= b.low AND x.confidence < b.high GROUP BY 1, 2) "
+    _LOG + ", last AS (SELECT requirement_id, arg_max(action, seq) AS action FROM log WHERE actor <> 'auto-approve' GROUP BY 1), r AS (SELECT DISTINCT user_id AS requirement_id, user_id % 7 AS project_id, (user_id % 21) / CAST(20 AS DOUBLE) AS confidence FROM events), "
+    "bands AS (SELECT p.project_id, b.band, b.low, count(action) FILTER (WHERE action = 'accept') AS accepted, count(action) AS decided FROM (SELECT DISTINCT project_id FROM r) p CROSS JOIN (VALUES " + ", ".join(f"({duck.q(n)}, {lo}::DOUBLE, {hi}::DOUBLE)" for n, lo, hi in lex.BANDS) + ") b(band, low, high) "
+    "LEFT JOIN (SELECT * FROM r JOIN last USING (requirement_id)) x ON x.project_id = p.project_id AND x.confidence >= b.low AND x.confidence < b.high GROUP BY 1, 2, 3) "
 )
 
 
 def _confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("requirement_id"), ((F.col("user_id") % 21) / F.lit(20.0)).alias("confidence")).distinct()
+    """Users as requirements of seven projects, with a confidence each."""
+    user = F.col("user_id")
+    return table(spark, sf_dir, "events").select(user.alias("requirement_id"), (user % 7).alias("project_id"), ((user % 21) / F.lit(20.0)).alias("confidence")).distinct()
 
 
-@query(_CAL + "SELECT band, low, accepted, decided, CASE WHEN decided > 0 THEN accepted / CAST(decided AS DOUBLE) END AS rate FROM bands")
+@query(_CAL + "SELECT project_id, band, low, accepted, decided, CASE WHEN decided > 0 THEN accepted / CAST(decided AS DOUBLE) END AS rate FROM bands")
 def calibration_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.calibration(_confidences(spark, sf_dir), _log(spark, sf_dir))
 
 
-@query(_CAL + "SELECT coalesce(min(low) FILTER (WHERE decided >= 10 AND accepted / CAST(decided AS DOUBLE) >= 0.97), CAST(0.9 AS DOUBLE)) AS bar FROM bands")
+@query(_CAL + "SELECT project_id, coalesce(min(low) FILTER (WHERE decided >= 10 AND accepted / CAST(decided AS DOUBLE) >= 0.97), CAST(0.9 AS DOUBLE)) AS bar FROM bands GROUP BY 1")
 def suggested_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.suggested_bar(review.calibration(_confidences(spark, sf_dir), _log(spark, sf_dir)))
 
 
-@query("SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS n FROM rv WHERE status = 'approved') t WHERE (n - 1) % 20 = 0", view=True)
+@query("SELECT project_id, id FROM (SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY id) AS n FROM rv WHERE status = 'approved') t WHERE (n - 1) % 20 = 0", view=True)
 def spot_check_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.spot_check(req_view(spark, sf_dir).filter("status = 'approved'").select("id"), 0.05)
+    """Every twentieth approved requirement of each project, for a second look."""
+    return review.spot_check(req_view(spark, sf_dir).filter("status = 'approved'").select("project_id", "id"), 0.05)
 
 
 @query("SELECT user_id AS project_id, CAST(json_extract_string(arg_max(props, event_id), '$.k') AS BIGINT) AS k, max(event_id) AS seq FROM events GROUP BY 1")
