@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar import lexicons as lex
 from lodestar.functions import classify as cl
 from lodestar.functions import text as tx
+from lodestar.operators import grounding
 from lodestar.plans import duck
 from lodestar.plans.req_view import req_view, with_view
 
@@ -194,15 +195,6 @@ def glossary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary(req_view(spark, sf_dir).filter("status = 'approved'"))
 
 
-def coverage_gaps(reqs: DataFrame) -> DataFrame:
-    """(project_id, aspect, statement, reason): cross-cutting aspects that no requirement of a project addresses."""
-    hay = F.lower(F.concat_ws(" ", S(), F.coalesce("nfr_category", F.lit(""))))
-    hits = reqs.groupBy("project_id").agg(*[F.coalesce(F.bool_or(hay.rlike(p)), F.lit(False)).alias(f"a{i}") for i, (_, _, p) in enumerate(lex.ASPECTS)])
-    every = F.array(*[F.struct(F.lit(a).alias("aspect"), F.lit(hint).alias("hint"), F.col(f"a{i}").alias("hit")) for i, (a, hint, _) in enumerate(lex.ASPECTS)])
-    rows = hits.select("project_id", F.explode(F.filter(every, lambda x: ~x["hit"])).alias("x"))
-    return rows.select("project_id", "x.aspect", F.concat(F.lit("No requirements address "), "x.aspect", F.lit(".")).alias("statement"), F.format_string(lex.GAP_REASON, "x.hint").alias("reason"))
-
-
 @query(
     "SELECT p.project_id, a.aspect, 'No requirements address ' || a.aspect || '.' AS statement FROM (SELECT DISTINCT project_id FROM rv) p CROSS JOIN (VALUES "
     + ", ".join(f"({duck.q(a)}, {duck.q(p)})" for a, _, p in lex.ASPECTS)
@@ -210,7 +202,7 @@ def coverage_gaps(reqs: DataFrame) -> DataFrame:
 )
 def aspect_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-cutting aspects that nothing in a project addresses, of every project."""
-    return coverage_gaps(req_view(spark, sf_dir)).drop("reason")
+    return grounding.coverage_gaps(req_view(spark, sf_dir)).drop("reason")
 
 
 def lexicon_hits(reqs: DataFrame, entries: list[tuple[str, tuple[str, ...]]]) -> DataFrame:

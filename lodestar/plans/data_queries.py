@@ -107,7 +107,7 @@ def chunk_coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def span_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = found(spark, sf_dir).select("item_id", "doc_id", F.col("start").alias("s"), F.col("end").alias("e"))
     lines = chunkers.lines(table(spark, sf_dir, "documents").join(gold.select("doc_id"), "doc_id", "left_semi"))
-    pairs = gold.join(lines, "doc_id").filter((F.col("start") < F.col("e")) & (F.col("s") < F.col("end")))
+    pairs = grounding.overlapping(gold, lines, ["doc_id"])
     return pairs.select("item_id", "doc_id", "line_no", nu.iou(F.col("s"), F.col("e"), F.col("start"), F.col("end")).alias("iou"))
 
 
