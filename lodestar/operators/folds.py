@@ -1,7 +1,8 @@
 """Ordered, lossless folds over requirements and open items.
 
-A fold depends on order, so connected components of its own edge predicate serve only as a partitioning: an item
-outside a component can never be merged into it, so folding each component in order gives the global result.
+Each fold says for one row after the other what becomes of it; ``waves`` runs it over blocks of linked rows. Decisions are plain rows
+(which survivor a row went into, and whether that took its wording), and the survivors' columns are aggregated from them afterwards.
+Wordings are compared by form, the class of equal normal forms, so copies cost nothing but their row.
 """
 
 from __future__ import annotations
@@ -13,94 +14,84 @@ from pyspark.sql import types as T
 
 from lodestar import lexicons as lex
 from lodestar.functions import text as tx
-from lodestar.operators.graph import connected_components
-from lodestar.operators.similarity import overlap_pairs, similarity_pairs
+from lodestar.operators import waves
+from lodestar.operators.similarity import form_links, forms_of, overlap_pairs, with_form
+from lodestar.operators.waves import with_component
 from lodestar.runtime import Scratch
 
 DEDUP, SAME_ANY_TYPE, COLLAPSE = 0.72, 0.9, 0.85
 
 
-def with_component(rows: DataFrame, edges: DataFrame, group: str = "project_id") -> DataFrame:
-    """``rows`` with comp: smallest idx linked to theirs. ``idx`` must be unique over all groups."""
-    comps = connected_components(edges, "a", "b").withColumnRenamed("node", "idx").withColumnRenamed("component", "comp")
-    return rows.join(comps, "idx", "left").withColumn("comp", F.coalesce("comp", "idx"))
+def _formed(rows: DataFrame, label: str) -> tuple[Scratch, DataFrame]:
+    scratch = Scratch(rows.sparkSession, label)
+    return scratch, scratch.write(with_form(rows.withColumn("idx", F.col("idx").cast("long"))), "rows")
 
 
-class Voices:
-    """Who speaks with which wording while rows fold in order: every survivor has the wording of one row.
+def _by_form(named: DataFrame, forms: DataFrame, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows with the component and the form (who) they ask by, and asks (who, key, sim): forms with which a later row of ``who`` is similar.
 
-    ``links`` gives a row's similar earlier rows with their scores. Equal normal forms are found by name.
+    A row always asks for its own form as well, with score 1.
     """
+    links = scratch.write(form_links(forms, threshold).join(forms.select("project_id", F.col("form").alias("a"), F.col("last").alias("a_last")), ["project_id", "a"]), "links")
+    later = links.select(F.col("b").alias("who"), F.col("a").alias("key"), F.col("ba").alias("sim"))
+    # a row of the earlier form may still come after one of the later form
+    earlier = links.filter("a_last > b").select(F.col("a").alias("who"), F.col("b").alias("key"), F.col("ab").alias("sim"))
+    ways = later.unionByName(earlier).filter("sim is not null")
+    placed = with_component(named, ways.select(F.col("who").alias("a"), F.col("key").alias("b")), "form").withColumn("who", F.col("form"))
+    own = named.select(F.col("form").alias("who"), F.col("form").alias("key"), F.lit(1.0).alias("sim")).distinct()
+    return placed, ways.unionByName(own)
 
-    def __init__(self, links: pd.DataFrame) -> None:
-        self.links: dict[int, list[tuple[int, float]]] = {}
-        for early, late, sim in links[["a", "b", "sim"]].itertuples(index=False) if len(links) else ():
-            self.links.setdefault(int(late), []).append((int(early), float(sim)))
-        self.speaker: dict[int, int] = {}  # row whose wording it is -> place of the survivor
-        self.named: dict[str, int] = {}  # normal form -> place of the first survivor that has it
-        self.spoken: dict[int, tuple[int, str]] = {}  # the other way round
-
-    def near(self, idx: int) -> list[tuple[int, float]]:
-        """(survivor, score) of the survivors that now speak like the row, the earliest first."""
-        return sorted((self.speaker[w], sim) for w, sim in self.links.get(idx, ()) if w in self.speaker)
-
-    def give(self, place: int, idx: int, norm: str) -> None:
-        """The survivor at ``place`` speaks with row ``idx``'s wording from now on."""
-        if place in self.spoken:
-            was, name = self.spoken[place]
-            del self.speaker[was]
-            if self.named.get(name) == place:
-                del self.named[name]
-        self.speaker[idx] = place
-        self.named.setdefault(norm, place)
-        self.spoken[place] = idx, norm
-
-
-def _linked(rows: DataFrame, edges: DataFrame) -> tuple:
-    """Rows and edges grouped alike by (project_id, comp), for a fold over both."""
-    scratch = Scratch(rows.sparkSession, "fold")
-    edges = scratch.write(edges, "edges")  # read by the components and by the fold
-    placed = scratch.write(with_component(rows, edges), "rows")
-    of = rows.sparkSession.read.parquet(scratch.path("rows")).select(F.col("idx").alias("a"), "comp")
-    return placed.groupBy("project_id", "comp").cogroup(edges.join(of, "a").groupBy("project_id", "comp"))
-
-
-def fold_duplicates(rows: pd.DataFrame, links: pd.DataFrame) -> list[dict]:
-    """Each row, in order, goes into the survivor it is most like, if they are of one type (or nearly equal) and not opposite.
-
-    The survivor takes the wording of the higher authority; ids and displaced wordings are recorded.
+
+def decide_duplicates(rows: list[dict], asks: dict[int, list[dict]], hosts: list[dict]) -> tuple[list[dict], list[dict]]:
+    """Each row goes into the survivor it is most like (the earliest of equals), if they are of one type (or nearly equal) and not opposite.
+
+    The survivor takes the wording of the higher authority.
     """
-    voices, out = Voices(links), []
-    for r in rows.sort_values("idx").to_dict("records"):
-        norm = tx.normal(r["statement"])
-        same = voices.named.get(norm)
-        place, sim = (same, 1.0) if same is not None else max(voices.near(r["idx"]), key=lambda x: (x[1], -x[0]), default=(None, 0.0))
-        host = out[place] if place is not None else None
+    voices = {(h["comp"], h["keys"][0]): dict(h) for h in hosts}  # component and form -> the one survivor that speaks so
+    out, changed = [], {}
+    for r in rows:
+        comp, own = r["comp"], voices.get((r["comp"], r["form"]))
+        near = [(own, 1.0)] if own else [(voices[comp, a["key"]], a["sim"]) for a in asks.get(r["form"], ()) if (comp, a["key"]) in voices]
+        host, sim = max(near, key=lambda x: (x[1], -x[0]["sid"]), default=(None, 0.0))
         fits = host is not None and sim >= DEDUP and (sim >= SAME_ANY_TYPE or host["rtype"] == r["rtype"])
         if not fits or tx.opposite(r["statement"], host["statement"]):
-            out.append({**r, "refs": list(r["refs"]), "duplicate_of": [], "absorbed": []})
-            voices.give(len(out) - 1, r["idx"], norm)
+            host = {"comp": comp, "sid": r["idx"], "keys": [r["form"]], "statement": r["statement"], "authority": r["authority"], "rtype": r["rtype"], "wording": r["idx"]}
+            voices[comp, r["form"]] = changed[r["idx"]] = host
+            out.append({"idx": r["idx"], "host": r["idx"], "took": True, "lost": None})
             continue
-        host["refs"] += [x for x in r["refs"] if x not in host["refs"]]
-        host["duplicate_of"] += [r["id"]] if r["id"] not in host["duplicate_of"] else []
-        if r["authority"] > host["authority"]:
-            host["absorbed"].append(host["statement"])
-            host["statement"], host["authority"] = r["statement"], r["authority"]
-            voices.give(place, r["idx"], norm)
-        else:
-            host["absorbed"].append(r["statement"])
-    return out
+        took = r["authority"] > host["authority"]
+        out.append({"idx": r["idx"], "host": host["sid"], "took": took, "lost": host["wording"] if took else r["idx"]})
+        if took:
+            voices.pop((comp, host["keys"][0]))
+            host.update(keys=[r["form"]], statement=r["statement"], authority=r["authority"], wording=r["idx"])
+            voices[comp, r["form"]] = changed[host["sid"]] = host
+    return out, list(changed.values())
 
 
-FOLDED = "project_id string, idx long, id string, statement string, rtype string, refs array<string>, duplicate_of array<string>, absorbed array<string>"
+def _members(order: str, value: str, keep=None):
+    """The values of a survivor's rows, in order."""
+    pairs = F.sort_array(F.collect_list(F.struct(order, value) if keep is None else F.when(keep, F.struct(order, value))))
+    return F.transform(pairs, lambda x: x[value])
 
 
 def dedup_fold(reqs: DataFrame) -> DataFrame:
-    """Fold (project_id, idx, id, statement, rtype, authority, refs) of every project; ``FOLDED`` rows."""
-    def run(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold_duplicates(rows, links), columns=["project_id", "idx", "id", "statement", "rtype", "refs", "duplicate_of", "absorbed"])
+    """Fold (project_id, idx, id, statement, rtype, authority, refs) of every project.
 
-    return _linked(reqs, similarity_pairs(reqs, DEDUP, later_first=True)).applyInPandas(run, FOLDED)
+    (project_id, idx, id, statement, rtype, refs, duplicate_of, absorbed): a survivor's ids of merged rows and displaced wordings are lists
+    in the order of merging; they are part of the result, so a survivor's row is as long as what it absorbed.
+    """
+    scratch, named = _formed(reqs.select("project_id", "idx", "id", "statement", "rtype", "authority", "refs"), "dedup")
+    placed, asks = _by_form(named, scratch.write(forms_of(named), "forms"), DEDUP, scratch)
+    rows = placed.select("comp", "idx", "who", "form", "statement", F.col("authority").cast("long").alias("authority"), "rtype")
+    said = scratch.write(waves.fold(rows, asks, decide_duplicates, "idx long, host long, took boolean, lost long", "sid long, keys array<long>, statement string, authority long, rtype string, wording long"), "said")
+    joined = said.join(named.select("idx", "id", "statement", "refs"), "idx").join(named.select(F.col("idx").alias("lost"), F.col("statement").alias("lost_text")), "lost", "left")
+    merged = F.col("idx") != F.col("host")
+    told = joined.groupBy("host").agg(
+        F.max_by("statement", F.when(F.col("took"), F.col("idx"))).alias("statement"), F.array_distinct(F.flatten(_members("idx", "refs"))).alias("refs"),
+        F.array_distinct(_members("idx", "id", merged)).alias("duplicate_of"), _members("idx", "lost_text", merged).alias("absorbed"),
+    )
+    head = named.select("project_id", F.col("idx").alias("host"), "id", "rtype")
+    return told.join(head, "host").select("project_id", F.col("host").alias("idx"), "id", "statement", "rtype", "refs", "duplicate_of", "absorbed")
 
 
 def unaccounted(original: DataFrame, survivors: DataFrame) -> DataFrame:
@@ -110,35 +101,43 @@ def unaccounted(original: DataFrame, survivors: DataFrame) -> DataFrame:
     return original.withColumn("norm", tx.normalize_exact("statement")).join(known, ["project_id", "norm"], "left_anti").drop("norm")
 
 
-def collapse_items(rows: pd.DataFrame, links: pd.DataFrame) -> list[dict]:
-    """Near-verbatim open items go, in order, into the first survivor; the most decisive kind with its reason and the longest text stay."""
-    rank = {k[0]: k[3] for k in lex.OPEN_KINDS if k[3] is not None}
-    voices, out = Voices(links), []
-    for o in rows.sort_values("idx").to_dict("records"):
-        text = (o["statement"] or "").strip()
-        near = [at for at, _ in voices.near(o["idx"]) if text and not tx.opposite(text, out[at]["statement"] or "")]
-        if not near:
-            out.append(dict(o))
-            voices.give(len(out) - 1, o["idx"], "")
+def decide_items(rows: list[dict], asks: dict[int, list[dict]], hosts: list[dict]) -> tuple[list[dict], list[dict]]:
+    """Near-verbatim open items go into the first survivor that is not opposite; the longest text speaks for it from then on."""
+    voices: dict[tuple, dict[int, dict]] = {}  # several survivors may come to speak alike
+    for h in hosts:
+        voices.setdefault((h["comp"], h["keys"][0]), {})[h["sid"]] = dict(h)
+    out, changed = [], {}
+    for o in rows:
+        comp, text = o["comp"], (o["statement"] or "").strip()
+        near = {sid: h for a in asks.get(o["form"], ()) for sid, h in voices.get((comp, a["key"]), {}).items()} if text else {}
+        host = next((near[sid] for sid in sorted(near) if not tx.opposite(text, near[sid]["statement"] or "")), None)
+        if host is None:
+            host = {"comp": comp, "sid": o["idx"], "keys": [o["form"]], "statement": o["statement"]}
+            voices.setdefault((comp, o["form"]), {})[o["idx"]] = changed[o["idx"]] = host
+            out.append({"idx": o["idx"], "host": o["idx"], "text": o["statement"]})
             continue
-        host = out[near[0]]
-        if rank.get(o["kind"], 99) < rank.get(host["kind"], 99):
-            host.update(kind=o["kind"], reason=o["reason"])
-        if len(text) > len(host["statement"] or ""):
-            host["statement"] = text
-            voices.give(near[0], o["idx"], "")
-    return out
+        longer = len(text) > len(host["statement"] or "")
+        out.append({"idx": o["idx"], "host": host["sid"], "text": text if longer else None})
+        if longer:
+            del voices[comp, host["keys"][0]][host["sid"]]
+            host.update(keys=[o["form"]], statement=text)
+            voices.setdefault((comp, o["form"]), {})[host["sid"]] = changed[host["sid"]] = host
+    return out, list(changed.values())
 
 
 def openq_collapse(items: DataFrame) -> DataFrame:
-    """Fold (project_id, idx, kind, statement, reason) of every project."""
-
-    def run(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(collapse_items(rows, links), columns=["project_id", "idx", "kind", "statement", "reason"])
-
-    # items without a word are linked by their equal (empty) normal form, but have nothing to be alike in
-    edges = similarity_pairs(items.filter(tx.normalize(F.col("statement")) != ""), COLLAPSE, later_first=True)
-    return _linked(items, edges).applyInPandas(run, "project_id string, idx long, kind string, statement string, reason string")
+    """Fold (project_id, idx, kind, statement, reason) of every project; the most decisive kind, the first of equals, stays with its reason."""
+    scratch, named = _formed(items.select("project_id", "idx", "kind", "statement", "reason"), "items")
+    forms = scratch.write(forms_of(named), "forms")
+    placed, asks = _by_form(named, forms, COLLAPSE, scratch)
+    asks = asks.join(forms.select(F.col("form").alias("who")), "who", "left_semi")  # without a token nothing is alike, not even an equal text
+    rows = placed.select("comp", "idx", "who", "form", "statement")
+    said = scratch.write(waves.fold(rows, asks, decide_items, "idx long, host long, text string", "sid long, keys array<long>, statement string"), "said")
+    known = F.create_map(*[F.lit(x) for k in lex.OPEN_KINDS if k[3] is not None for x in (k[0], k[3])])
+    each = said.join(named.select("project_id", "idx", "kind", "reason"), "idx").withColumn("rank", F.coalesce(F.try_element_at(known, F.col("kind")), F.lit(99)))
+    lead = F.min_by(F.struct("kind", "reason"), F.struct("rank", "idx"))
+    told = each.groupBy("project_id", "host").agg(lead.alias("x"), F.max_by("text", F.when(F.col("text").isNotNull() | (F.col("idx") == F.col("host")), F.col("idx"))).alias("statement"))
+    return told.select("project_id", F.col("host").alias("idx"), "x.kind", "statement", "x.reason")
 
 
 def _meet(a: list[tuple], b: list[tuple], least: float = 0.6) -> bool:
@@ -151,80 +150,96 @@ def _meet(a: list[tuple], b: list[tuple], least: float = 0.6) -> bool:
     return False
 
 
-def merge_near(rows: pd.DataFrame, links: pd.DataFrame) -> list[dict]:
-    """Rows go, in order, into the first survivor of equal wording, or of alike wording and a span that meets one of theirs."""
-    voices, out = Voices(links), []
-    for r in rows.sort_values("idx").to_dict("records"):
-        norm, span = tx.normal(r["statement"]), (r["doc_id"], r["start"], r["end"])
-        hosts = [at for at, _ in voices.near(r["idx"]) if _meet([span], out[at]["spans"])]
-        if norm in voices.named:
-            hosts.append(voices.named[norm])
-        if hosts:
-            host = out[min(hosts)]
-            host["spans"] += [span] if span not in host["spans"] else []
-            host["merged"].append(r["idx"])
-        else:
-            out.append({**r, "spans": [span], "merged": []})
-            voices.give(len(out) - 1, r["idx"], norm)
-    return out
+def decide_near(rows: list[dict], asks: dict[int, list[dict]], hosts: list[dict]) -> tuple[list[dict], list[dict]]:
+    """Rows go into the first survivor of equal wording, or of alike wording and a span that meets one of theirs."""
+    voices = {(h["comp"], h["keys"][0]): {**h, "spans": [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in h["spans"]]} for h in hosts}
+    out, changed = [], {}
+    for r in rows:
+        comp, span = r["comp"], (r["doc_id"], r["start"], r["end"])
+        near = [voices[comp, a["key"]] for a in asks.get(r["form"], ()) if (comp, a["key"]) in voices]
+        near = [h for h in near if h["keys"][0] == r["form"] or _meet([span], h["spans"])]
+        host = min(near, key=lambda h: h["sid"], default=None)
+        if host is None:
+            host = {"comp": comp, "sid": r["idx"], "keys": [r["form"]], "spans": [span]}
+            voices[comp, r["form"]] = changed[r["idx"]] = host
+        elif span not in host["spans"]:
+            host["spans"].append(span)
+            changed[host["sid"]] = host
+        out.append({"idx": r["idx"], "host": host["sid"]})
+    return out, [{**h, "spans": [dict(zip(("doc", "s", "e"), x, strict=True)) for x in h["spans"]]} for h in changed.values()]
 
 
 def near_dup_merge(reqs: DataFrame) -> DataFrame:
     """(project_id, idx, statement, merged) from rows with one span (doc_id, start, end) each."""
-    s = F.col("statement")
-    alike = overlap_pairs(reqs.select("project_id", "idx", tx.word_set(s).alias("terms")), 0.5).withColumnRenamed("overlap", "sim")
-    named = reqs.select("project_id", "idx", tx.normalize(s).alias("norm"))
-    first = named.groupBy("project_id", "norm").agg(F.min("idx").alias("a"))
-    equal = named.join(first, ["project_id", "norm"]).filter("idx <> a").select("project_id", "a", F.col("idx").alias("b"), F.lit(1.0).alias("sim"))
-
-    def run(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(merge_near(rows, links[links["kind"] == "alike"]), columns=["project_id", "idx", "statement", "merged"])
-
-    edges = alike.withColumn("kind", F.lit("alike")).unionByName(equal.withColumn("kind", F.lit("equal")))
-    return _linked(reqs, edges).applyInPandas(run, "project_id string, idx long, statement string, merged array<long>")
-
-
-def cluster_scope(terms: list[list[str]]) -> list[int]:
-    """For each row, in order, the row that opened its cluster: the earliest one that has seen any of the row's terms."""
-    opened: dict[str, int] = {}
-    out = []
-    for i, mine in enumerate(terms):
-        at = min((opened[t] for t in mine if t in opened), default=i)
-        opened.update({t: min(at, opened.get(t, at)) for t in mine})
-        out.append(at)
-    return out
+    scratch, named = _formed(reqs.select("project_id", "idx", "statement", "doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")), "near")
+    forms = named.groupBy("project_id", "form").agg(F.first("norm").alias("norm"))
+    words = F.when(F.col("norm") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split("norm", " ")))
+    alike = scratch.write(overlap_pairs(forms.select("project_id", F.col("form").alias("idx"), words.alias("terms")), 0.5).select("a", "b"), "links")
+    ways = alike.select(F.col("a").alias("who"), F.col("b").alias("key")).union(alike.select("b", "a")).union(forms.select("form", "form"))
+    rows = with_component(named, alike, "form").select("comp", "idx", F.col("form").alias("who"), "form", "doc_id", "start", "end")
+    said = scratch.write(waves.fold(rows, ways, decide_near, "idx long, host long", "sid long, keys array<long>, spans array<struct<doc:string,s:long,e:long>>"), "said")
+    merged = said.filter("idx <> host").groupBy("host").agg(F.sort_array(F.collect_list("idx")).alias("merged"))
+    heads = said.filter("idx = host").join(named.select("project_id", "idx", "statement"), "idx").join(merged, "host", "left")
+    return heads.select("project_id", "idx", "statement", F.coalesce("merged", F.array().cast("array<long>")).alias("merged"))
+
+
+def decide_clusters(rows: list[dict], asks: dict[int, list[dict]], hosts: list[dict]) -> tuple[list[dict], list[dict]]:
+    """A row's cluster is that of the earliest opener that has seen any of its terms; then that has seen them all."""
+    opened = {(h["comp"], h["sid"]): h["opener"] for h in hosts}
+    out, changed = [], set()
+    for r in rows:
+        terms = [(r["comp"], a["key"]) for a in asks.get(r["idx"], ())]
+        at = min((opened[t] for t in terms if t in opened), default=r["idx"])
+        for t in terms:
+            if at < opened.get(t, at + 1):
+                opened[t] = at
+                changed.add(t)
+        out.append({"idx": r["idx"], "cluster": at})
+    return out, [{"comp": c, "sid": t, "keys": [t], "opener": opened[c, t]} for c, t in changed]
 
 
 def scope_clusters(items: DataFrame) -> DataFrame:
-    """(project_id, idx, cluster, representative) of open scope items (project_id, idx, statement)."""
-    termed = items.select("project_id", "idx", "statement", tx.distinctive(tx.decision_terms(F.col("statement"))).alias("terms"))
+    """(project_id, idx, cluster, representative) of open scope items (project_id, idx, statement); the longest statement represents, the first of equals."""
+    scratch = Scratch(items.sparkSession, "scope")
+    termed = scratch.write(items.select("project_id", F.col("idx").cast("long").alias("idx"), "statement", tx.distinctive(tx.decision_terms(F.col("statement"))).alias("terms")), "rows")
     each = termed.select("project_id", "idx", F.explode("terms").alias("t"))
     hubs = each.groupBy("project_id", "t").agg(F.min("idx").alias("b"))  # sharing a term is transitive through its first item
     edges = each.join(hubs, ["project_id", "t"]).filter("idx <> b").select(F.col("idx").alias("a"), "b").distinct()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx").reset_index(drop=True)
-        opener = cluster_scope(pdf["terms"].tolist())
-        size = pdf["statement"].str.len()
-        shown = {c: max((k for k in range(len(pdf)) if opener[k] == c), key=lambda k: size[k]) for c in set(opener)}
-        pdf["cluster"] = [pdf["idx"][c] for c in opener]
-        pdf["representative"] = [shown[c] == k for k, c in enumerate(opener)]
-        return pdf[["project_id", "idx", "cluster", "representative"]]
-
-    return with_component(termed, edges).groupBy("project_id", "comp").applyInPandas(run, "project_id string, idx long, cluster long, representative boolean")
+    rows = with_component(termed.select("idx"), edges).withColumn("who", F.col("idx"))
+    asks = each.select(F.col("idx").alias("who"), F.col("t").alias("key"))
+    said = waves.fold(rows, asks, decide_clusters, "idx long, cluster long", "sid string, keys array<string>, opener long")
+    out = scratch.write(said.join(termed.select("project_id", "idx", F.coalesce(F.length("statement"), F.lit(0)).alias("size")), "idx"), "said")
+    shown = out.groupBy("cluster").agg(F.max_by("idx", F.struct("size", (-F.col("idx")).alias("m"))).alias("shown"))
+    return out.join(shown, "cluster").select("project_id", "idx", "cluster", (F.col("idx") == F.col("shown")).alias("representative"))
 
 
 def windows_of(rows: DataFrame, threshold: float, size: int = 40, by_text: bool = False) -> DataFrame:
     """``rows`` with comp, window and pos (from 0): components of similar statements, cut into windows of ``size``."""
     from pyspark.sql import Window as W
 
-    placed = with_component(rows, similarity_pairs(rows, threshold))
+    scratch, named = _formed(rows, "windows")
+    forms = scratch.write(forms_of(named), "forms")
+    links = form_links(forms, threshold).join(forms.select("project_id", F.col("form").alias("a"), F.col("last").alias("a_last")), ["project_id", "a"])
+    # the score counts from the earlier row to the later one; the later form's rows come first only if the other form goes on after them
+    edges = scratch.write(links.filter("ab is not null or (ba is not null and a_last > b)").select("a", "b"), "links")
+    placed = with_component(named, edges, "form").drop("norm", "form")
     order = [tx.normalize(F.col("statement")), "idx"] if by_text else ["idx"]
     n = F.row_number().over(W.partitionBy("project_id", "comp").orderBy(*order)) - 1
     return placed.withColumn("_n", n).withColumn("window", F.floor(F.col("_n") / size).cast("int")).withColumn("pos", (F.col("_n") % size).cast("int")).drop("_n")
 
 
-def consolidate(rows: list[dict], groups: list[list[int]]) -> tuple[list[dict], int]:
+def _absorb(rows: list[dict], rep: int, members: list[int], gone: set[int]) -> None:
+    """The representative takes over ids, wordings and references of the other members."""
+    host = rows[rep]
+    for p in members:
+        if p != rep:
+            host["duplicate_of"] += [x for x in [rows[p]["id"], *rows[p]["duplicate_of"]] if x not in host["duplicate_of"]]
+            host["absorbed"] += [rows[p]["statement"], *rows[p]["absorbed"]]
+            host["refs"] += [x for x in rows[p]["refs"] if x not in host["refs"]]
+            gone.add(p)
+
+
+def consolidate(rows: list[dict], groups: list[list[int]]) -> list[dict]:
     """Merge verdict groups (positions); the representative has the highest authority, then consensus, then length."""
     gone: set[int] = set()
     stop = set(lex.EMPTY_WORDS)
@@ -234,32 +249,53 @@ def consolidate(rows: list[dict], groups: list[list[int]]) -> tuple[list[dict],
             continue
         terms = {p: {w for w in tx._TOKEN.findall(rows[p]["statement"].lower()) if w not in stop and len(w) > 2} for p in members}
         shared = {t for p in members for t in terms[p] if sum(t in terms[x] for x in members) >= 2}
-        rep = max(members, key=lambda p: (rows[p]["authority"], len(terms[p] & shared), len(rows[p]["statement"])))
-        for p in members:
-            if p != rep:
-                rows[rep]["duplicate_of"] += [x for x in [rows[p]["id"], *rows[p]["duplicate_of"]] if x not in rows[rep]["duplicate_of"]]
-                rows[rep]["absorbed"] += [rows[p]["statement"], *rows[p]["absorbed"]]
-                gone.add(p)
-    return [r for p, r in enumerate(rows) if p not in gone], len(gone)
+        _absorb(rows, max(members, key=lambda p: (rows[p]["authority"], len(terms[p] & shared), len(rows[p]["statement"]))), members, gone)
+    return [r for p, r in enumerate(rows) if p not in gone]
 
 
-def consolidated(reqs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Merge by external verdicts (project_id, comp, window, group_id, pos) over windows of ``windows_of``.
+def merge_confirmed(rows: list[dict], groups: list[list[int]]) -> list[dict]:
+    """Merge confirmed duplicates (positions); the longest wording, the first of equals, represents."""
+    gone: set[int] = set()
+    for group in groups:
+        members = [p for p in sorted(set(group)) if 0 <= p < len(rows) and p not in gone]
+        if len(members) >= 2:
+            _absorb(rows, max(members, key=lambda p: len(rows[p]["statement"] or "")), members, gone)
+    return [r for p, r in enumerate(rows) if p not in gone]
 
-    Lossless: every input id is a result's id or in its duplicate_of.
-    """
-    placed = windows_of(reqs, 0.5, by_text=True)
-    said = verdicts.groupBy("project_id", "comp", "window", "group_id").agg(F.sort_array(F.collect_set("pos")).alias("g")).groupBy("project_id", "comp", "window").agg(F.sort_array(F.collect_list(F.struct("group_id", "g"))).alias("groups"))
-    ready = placed.join(said, ["project_id", "comp", "window"], "left")
+
+_TRAIL = ("duplicate_of", "absorbed", "refs")
+
+
+def _by_verdicts(placed: DataFrame, verdicts: DataFrame, merge) -> DataFrame:
+    """Windows merged by the verdicts (project_id, comp, window, group_id, pos) on them, trails included."""
+    keys = ["project_id", "comp", "window"]
+    said = verdicts.groupBy(*keys, "group_id").agg(F.sort_array(F.collect_set("pos")).alias("g")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("group_id", "g"))).alias("groups"))
+    empty = F.array().cast("array<string>")
+    for c in _TRAIL:
+        placed = placed.withColumn(c, F.coalesce(c, empty) if c in placed.columns else empty)
+    ready = placed.join(said, keys, "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        rows = [{**r, "duplicate_of": [], "absorbed": []} for r in pdf.drop(columns=["groups"]).to_dict("records")]
+        rows = [{**r, **{c: list(r[c]) for c in _TRAIL}} for r in pdf.drop(columns=["groups"]).to_dict("records")]
         groups = pdf["groups"].iloc[0]
-        kept, _ = consolidate(rows, [list(g["g"]) for g in groups] if groups is not None else [])
-        return pd.DataFrame(kept, columns=["project_id", "idx", "id", "statement", "duplicate_of", "absorbed"])
+        kept = merge(rows, [list(g["g"]) for g in groups] if groups is not None else [])
+        return pd.DataFrame(kept, columns=["project_id", "idx", "id", "statement", *_TRAIL])
+
+    return ready.groupBy(*keys).applyInPandas(run, "project_id string, idx long, id string, statement string, duplicate_of array<string>, absorbed array<string>, refs array<string>")
+
+
+def consolidated(reqs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Merge (project_id, idx, id, statement, authority, and trails if there are) by external verdicts over windows of ``windows_of``.
+
+    Lossless: every input id is a result's id or in its duplicate_of.
+    """
+    return _by_verdicts(windows_of(reqs, 0.5, by_text=True), verdicts, consolidate)
+
 
-    return ready.groupBy("project_id", "comp", "window").applyInPandas(run, "project_id string, idx long, id string, statement string, duplicate_of array<string>, absorbed array<string>")
+def confirmed_dedup(reqs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Merge rows of one meaning, of whatever types, by external verdicts over windows of similar statements (0.45) in their order."""
+    return _by_verdicts(windows_of(reqs, 0.45), verdicts, merge_confirmed)
 
 
 @F.pandas_udf(T.BooleanType())

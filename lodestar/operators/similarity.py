@@ -1,120 +1,212 @@
-"""Statement similarity joins within a project, without losing a pair and without a Python call per pair of rows.
+"""Statement similarity joins within a project: lossless, on classes of equal wording, without a Python call per pair of rows.
 
-``max(token Jaccard, sequence ratio) >= t`` has no lossless token blocking, so pairs of a project are compared in
-blocks of bounded size: a length band and a bound on common characters discard most pairs in numpy, shared
-tokens admit the rest of the Jaccard side, and only what is left is scored exactly.
+The score ``max(token Jaccard, sequence ratio of the sorted tokens)`` depends on the normal form alone, so rows collapse to *forms*
+first and only forms are compared. A pair of forms is found in one of two ways:
+
+* by its tokens: the Jaccard part is a prefix join on rare tokens (``overlap_pairs``), native and exact;
+* by its ratio 2M/T, where M characters match and T is the sum of lengths: forms are sorted by length and cut into blocks, and only
+  block pairs whose lengths can reach the threshold meet. Inside, bounds of growing cost discard pairs for many at once: lengths,
+  common characters as multisets, and the longest common subsequence (bit-parallel), for matching blocks never
+  cross. What is left is scored exactly. No bound discards a pair that reaches the threshold.
+
+Characters of short texts are too alike for a selective index: at thresholds under about 0.6 most pairs of similar length stay, and
+the ratio side costs a small constant for every pair of a project's forms in the length band.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import difflib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.functions import text as tx
+from lodestar.operators.ranking import numbered
+from lodestar.runtime import Scratch
 
 BLOCK = 256
+#: Words of 64 bits that one pass over pairs holds, and the longest text for which common subsequences are computed.
+PAIR_WORDS, LONGEST = 1 << 18, 2048
+
+
+def with_form(rows: DataFrame, group: str = "project_id") -> DataFrame:
+    """``rows`` (group, idx, statement, ...) with ``norm`` and ``form``: the smallest idx of the group's rows of equal normal form."""
+    named = rows.withColumn("norm", F.coalesce(tx.normalize_exact("statement"), F.lit("")))
+    first = named.groupBy(group, "norm").agg(F.min(F.col("idx").cast("long")).alias("form"))
+    return named.join(first, [group, "norm"])
+
+
+def forms_of(rows: DataFrame, group: str = "project_id") -> DataFrame:
+    """(group, form, last, copies, spelled) of rows with a form; ``spelled`` is the sorted tokens, and forms without any are left out."""
+    each = rows.groupBy(group, "form").agg(F.max(F.col("idx").cast("long")).alias("last"), F.count("*").alias("copies"), F.first("norm").alias("norm"))
+    spelled = F.array_join(F.sort_array(F.regexp_extract_all("norm", F.lit("[a-z0-9]+"), F.lit(0))), " ")
+    return each.withColumn("spelled", spelled).drop("norm").filter("spelled <> ''")
+
+
+def _letters(spelled: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(characters as numbers, padded; counts of each; how many different ones)."""
+    known = sorted(set().union(*map(set, spelled)))
+    at = np.full(128, 0, np.int64)  # tokens are ASCII
+    at[[ord(c) for c in known]] = np.arange(len(known))
+    size = [len(s) for s in spelled]
+    codes = np.full((len(spelled), max(size)), len(known), np.int64)
+    counts = np.zeros((len(spelled), len(known)), np.int32)
+    for i, s in enumerate(spelled):
+        codes[i, : size[i]] = at[np.frombuffer(s.encode(), np.uint8)]
+        counts[i] = np.bincount(codes[i, : size[i]], minlength=len(known))
+    return codes, counts, len(known)
+
+
+def common_subsequence(codes: np.ndarray, letters: int, size: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each pair of rows, all pairs at once, a bit for each character of the left one."""
+    words = -(-codes.shape[1] // 64)
+    masks = np.zeros((len(codes), letters + 1, words), np.uint64)  # the padding matches nothing
+    for p in range(codes.shape[1]):
+        masks[np.arange(len(codes)), codes[:, p], p // 64] |= np.uint64(1 << (p % 64))
+    masks[:, letters] = 0
+    v = np.full((len(left), words), ~np.uint64(0))
+    for p in range(int(size[right].max(initial=0))):
+        hit = masks[left, codes[right, p]]
+        both, kept = v & hit, v & ~hit
+        carry = np.zeros(len(left), np.uint64)
+        for w in range(words):
+            total = v[:, w] + both[:, w]
+            more = total + carry
+            carry = ((total < both[:, w]) | (more < total)).astype(np.uint64)
+            v[:, w] = more | kept[:, w]
+    inside = np.clip(size[left][:, None] - 64 * np.arange(words), 0, 64)
+    low = np.where(inside >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(inside, 63).astype(np.uint64)) - np.uint64(1))
+    return np.bitwise_count(~v & low).sum(axis=1).astype(np.int64)
+
+
+def candidates(left: list[str], right: list[str], threshold: float, seen: dict[str, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of spelled texts whose ratio, either way round, may reach the threshold; ``seen`` counts what each bound leaves."""
+    n, seen = len(left), {} if seen is None else seen
+    codes, counts, letters = _letters(left + right)
+    size = counts.sum(axis=1)
+    step = max(1, PAIR_WORDS // (len(right) * -(-codes.shape[1] // 64)))
+    for a in range(0, n, step):
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(a, min(n, a + step)), n + np.arange(len(right)), indexing="ij"))
+        least = threshold * (size[i] + size[j]) / 2 - 1e-9
+
+        def bound(name: str, matched: np.ndarray) -> None:
+            nonlocal i, j, least
+            ok = matched >= least
+            i, j, least = i[ok], j[ok], least[ok]
+            seen[name] = seen.get(name, 0) + len(i)
+
+        seen["pairs"] = seen.get("pairs", 0) + len(i)
+        bound("length", np.minimum(size[i], size[j]))
+        bound("characters", np.minimum(counts[i], counts[j]).sum(axis=1))
+        if codes.shape[1] <= LONGEST and len(i):
+            bound("subsequence", common_subsequence(codes, letters, size, i, j))
+        yield i, j - n
+
+
+def _score(a: str, b: str, matcher: difflib.SequenceMatcher) -> float:
+    """Like ``tx.similarity`` of texts with these sorted tokens; the matcher holds b."""
+    matcher.set_seq1(a)
+    x, y = set(a.split()), set(b.split())
+    return max(len(x & y) / len(x | y), matcher.ratio())
+
+
+def _by_ratio(left: DataFrame, right: DataFrame, threshold: float, group: str, same: bool) -> DataFrame:
+    """(group, a, b, ab, ba) of pairs of left and right forms, found by their ratio; ``same``: both are one table, each pair once, a < b."""
+    scratch = Scratch(left.sparkSession, "forms")
+    cut = lambda df, name: scratch.write(numbered(df.select(group, "form", "spelled", F.length("spelled").alias("size")), group, ["size", "form"]).withColumn("block", F.floor((F.col("n") - 1) / BLOCK)).drop("n"), name)
+    l = cut(left, "left")
+    r = l if same else cut(right, "right")
+    lengths = lambda df, k: df.groupBy(group, F.col("block").alias(f"b{k}")).agg(F.min("size").alias(f"lo{k}"), F.max("size").alias(f"hi{k}"))
+    near, far = F.least(F.greatest("loi", "loj"), F.least("hii", "hij")), F.greatest("loi", "loj")  # the closest lengths of two blocks
+    pairs = lengths(l, "i").join(lengths(r, "j"), group).filter(2 * near >= threshold * (near + F.greatest(near, far)) - 1e-9)
+    pairs = scratch.write((pairs.filter("bi <= bj") if same else pairs).select(group, "bi", "bj"), "pairs")
+    side = lambda df, k: df.withColumnRenamed("block", k).join(pairs, [group, k]).withColumn("side", F.lit(k == "bj"))
+    dealt = side(l, "bi").unionByName(side(r, "bj"))
 
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[~pdf["side"]], pdf[pdf["side"]]
+        one = same and pdf["bi"].iloc[0] == pdf["bj"].iloc[0]
+        text, other, ids, others = a["spelled"].tolist(), b["spelled"].tolist(), a["form"].to_numpy(), b["form"].to_numpy()
+        out, matcher = [], difflib.SequenceMatcher()
+        for i, j in candidates(text, other, threshold):
+            if one:
+                once = ids[i] < others[j]
+                i, j = i[once], j[once]
+            order = np.argsort(j, kind="stable")
+            for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                matcher.set_seq2(other[y])
+                to = _score(text[x], other[y], matcher)
+                back = 0.0
+                if same:
+                    matcher.set_seq2(text[x])
+                    back = _score(other[y], text[x], matcher)
+                if max(to, back) >= threshold:
+                    out.append((ids[x], others[y], to, back) if not same or ids[x] < others[y] else (others[y], ids[x], back, to))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 4
+        return pd.DataFrame({group: pdf[group].iloc[0], **{c: list(v) for c, v in zip(("a", "b", "ab", "ba"), cols, strict=True)}})
 
-def _profile(statements: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-    tokens = [tx.token_list(s) for s in statements]
-    joined = [" ".join(sorted(t)) for t in tokens]
-    letters = sorted({c for j in joined for c in j})
-    at = {c: k for k, c in enumerate(letters)}
-    hist = np.zeros((len(joined), len(letters)), np.int32)
-    for i, j in enumerate(joined):
-        for c, n in Counter(j).items():
-            hist[i, at[c]] = n
-    return tokens, np.array([len(j) for j in joined]), hist
-
-
-def candidates(statements: list[str], threshold: float) -> np.ndarray:
-    """Pairs that may reach the threshold: (n, n) boolean, symmetric. No pair that reaches it is missing."""
-    tokens, size, hist = _profile(statements)
-    total = np.maximum(size[:, None] + size[None, :], 1)
-    band = 2 * np.minimum(size[:, None], size[None, :]) >= threshold * total
-    ok = np.zeros_like(band)
-    for i in range(len(statements)):
-        common = np.minimum(hist[i], hist).sum(axis=1)
-        ok[i] = 2 * common >= threshold * total[i] - 1e-9
-    ok &= band
-    vocab = {t: k for k, t in enumerate(sorted({t for ts in tokens for t in ts}))}
-    sets = np.zeros((len(tokens), max(1, len(vocab))), np.float32)
-    for i, ts in enumerate(tokens):
-        sets[i, [vocab[t] for t in ts]] = 1
-    both = sets @ sets.T
-    n = sets.sum(axis=1)
-    ok |= both >= threshold * np.maximum(n[:, None] + n[None, :] - both, 1) - 1e-6
-    ok &= (n[:, None] > 0) & (n[None, :] > 0)
-    return ok
+    kind = left.schema[group].dataType.simpleString()
+    return dealt.groupBy(group, "bi", "bj").applyInPandas(score, f"{group} {kind}, a long, b long, ab double, ba double")
 
 
-def similarity_pairs(rows: DataFrame, threshold: float, later_first: bool = False, group: str = "project_id") -> DataFrame:
-    """(group, a, b, sim) with a < b by idx, from (group, idx, statement); equal normal forms count as 1.
+@F.pandas_udf(T.DoubleType())
+def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([_score(x, y, difflib.SequenceMatcher(None, "", y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    The score is not symmetric: ``later_first`` scores (later, earlier), else (earlier, later).
-    """
-    sized = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    own = F.pmod(F.xxhash64("idx"), F.col("n_blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda j: F.struct(F.least(own, j).alias("bi"), F.greatest(own, j).alias("bj")))
-    dealt = rows.select(group, "idx", "statement").join(sized, group).withColumn("own", own).withColumn("p", F.explode(pairs)).select(group, "idx", "statement", "own", "p.bi", "p.bj")
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable")
-        s, idx, block = pdf["statement"].tolist(), pdf["idx"].tolist(), pdf["own"].tolist()
-        cross = pdf["bi"].iloc[0] != pdf["bj"].iloc[0]
-        norm = [tx.normal(x) for x in s]
-        out = []
-        for i, j in zip(*np.nonzero(np.triu(candidates(s, threshold), 1)), strict=True):
-            if cross and block[i] == block[j]:
-                continue
-            sim = tx.similarity(s[j], s[i]) if later_first else tx.similarity(s[i], s[j])
-            if sim >= threshold:
-                out.append((idx[i], idx[j], sim))
-        have = {(a, b) for a, b, _ in out}
-        by: dict[str, list[int]] = {}
-        for i, n in enumerate(norm):  # equal normal forms are linked in a chain; identical text without tokens has no score
-            by.setdefault(n, []).append(i)
-        for same in by.values():
-            for i, j in zip(same, same[1:], strict=False):
-                if (idx[i], idx[j]) not in have and not (cross and block[i] == block[j]):
-                    out.append((idx[i], idx[j], 1.0))
-        return pd.DataFrame({group: pdf[group].iloc[0], "a": [o[0] for o in out], "b": [o[1] for o in out], "sim": [o[2] for o in out]})
-
-    kind = rows.schema[group].dataType.simpleString()
-    return dealt.groupBy(group, "bi", "bj").applyInPandas(score, f"{group} {kind}, a long, b long, sim double")
+def form_links(forms: DataFrame, threshold: float, group: str = "project_id") -> DataFrame:
+    """(group, a, b, ab, ba) with a < b, of different forms: the scores (a, b) and (b, a), null below the threshold; one reaches it."""
+    terms = forms.select(group, F.col("form").alias("idx"), F.array_distinct(F.split("spelled", " ")).alias("terms"))
+    text = lambda k: forms.select(group, F.col("form").alias(k), F.col("spelled").alias(f"{k}_text"))
+    worded = overlap_pairs(terms, threshold, group).select(group, "a", "b").join(text("a"), [group, "a"]).join(text("b"), [group, "b"])
+    worded = worded.select(group, "a", "b", _similar("a_text", "b_text").alias("ab"), _similar("b_text", "a_text").alias("ba"))
+    both = worded.unionByName(_by_ratio(forms, forms, threshold, group, True)).groupBy(group, "a", "b").agg(F.max("ab").alias("ab"), F.max("ba").alias("ba"))
+    reach = lambda c: F.when(F.col(c) >= threshold, F.col(c)).alias(c)
+    return both.select(group, "a", "b", reach("ab"), reach("ba"))
 
 
-def cross_similarity(left: DataFrame, right: DataFrame, threshold: float, group: str = "project_id") -> DataFrame:
-    """(group, idx, match, sim) of pairs of left and right rows (group, idx, statement) whose score (left, right) reaches the threshold.
+def cross_links(left: DataFrame, right: DataFrame, threshold: float, group: str = "project_id") -> DataFrame:
+    """(group, a, b, sim) of left and right forms whose score (a, b) reaches the threshold."""
+    terms = lambda df: df.select(group, F.col("form").alias("idx"), F.array_distinct(F.split("spelled", " ")).alias("terms"))
+    met = cross_overlap(terms(left), terms(right), threshold, group)
+    met = met.filter(F.col("common") / (F.col("nl") + F.col("nr") - F.col("common")) >= threshold - 1e-9).select(group, F.col("idx").alias("a"), F.col("match").alias("b"))
+    worded = met.join(left.select(group, F.col("form").alias("a"), F.col("spelled").alias("a_text")), [group, "a"]).join(right.select(group, F.col("form").alias("b"), F.col("spelled").alias("b_text")), [group, "b"])
+    worded = worded.select(group, "a", "b", _similar("a_text", "b_text").alias("sim"))
+    both = worded.unionByName(_by_ratio(left, right, threshold, group, False).select(group, "a", "b", F.col("ab").alias("sim")))
+    return both.filter(F.col("sim") >= threshold).groupBy(group, "a", "b").agg(F.max("sim").alias("sim"))
 
-    Both sides are cut into blocks, so a task holds two blocks whatever the group's size, and only pairs that pass
-    the bounds are scored; pairs below the threshold never leave Python.
+
+def _formed(rows: DataFrame, label: str, group: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their form, and the forms, written once."""
+    scratch = Scratch(rows.sparkSession, label)
+    named = scratch.write(with_form(rows.select(group, F.col("idx").cast("long").alias("idx"), "statement"), group), "rows")
+    return named, scratch.write(forms_of(named, group), "forms")
+
+
+def similarity_pairs(rows: DataFrame, threshold: float, later_first: bool = False, group: str = "project_id") -> DataFrame:
+    """(group, a, b, sim) with a < b by idx, from (group, idx, statement): every pair of rows, copies included.
+
+    The score is not symmetric: ``later_first`` scores (later, earlier), else (earlier, later). Copies make pairs of pairs here; joins and folds use ``form_links``.
     """
-    blocks = lambda df, n: df.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
-    sized = blocks(left, "nl").join(blocks(right, "nr"), group)
-    own = lambda n: F.pmod(F.xxhash64("idx"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = lambda df: df.select(group, F.col("idx").cast("long").alias("idx"), "statement").join(sized, group)
-    a = rows(left).withColumn("bi", own("nl")).withColumn("bj", every("nr")).withColumn("side", F.lit(0))
-    b = rows(right).withColumn("bj", own("nr")).withColumn("bi", every("nl")).withColumn("side", F.lit(1))
-    cols = [group, "bi", "bj", "side", "idx", "statement"]
+    named, forms = _formed(rows, "pairs", group)
+    links = form_links(forms, threshold, group)
+    ways = links.select(group, F.col("a").alias("fa"), F.col("b").alias("fb"), F.col("ab").alias("sim")).unionByName(links.select(group, F.col("b").alias("fa"), F.col("a").alias("fb"), F.col("ba").alias("sim")))
+    ways = ways.filter("sim is not null").unionByName(forms.filter("copies > 1").select(group, F.col("form").alias("fa"), F.col("form").alias("fb"), F.lit(1.0).alias("sim")))
+    side = lambda k: named.select(group, F.col("form").alias(f"f{k}"), F.col("idx").alias(k))
+    pairs = ways.join(side("a"), [group, "fa"]).join(side("b"), [group, "fb"])
+    ordered = pairs.filter("a > b").select(group, F.col("b").alias("a"), F.col("a").alias("b"), "sim") if later_first else pairs.filter("a < b").select(group, "a", "b", "sim")
+    return ordered
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "idx"], kind="stable")
-        text, idx, n = pdf["statement"].fillna("").tolist(), pdf["idx"].tolist(), int((pdf["side"] == 0).sum())
-        out = []
-        if 0 < n < len(text):
-            for i, j in zip(*np.nonzero(candidates(text, threshold)[:n, n:]), strict=True):
-                if (sim := tx.similarity(text[i], text[n + j])) >= threshold:
-                    out.append((idx[i], idx[n + j], sim))
-        return pd.DataFrame({group: pdf[group].iloc[0], "idx": [o[0] for o in out], "match": [o[1] for o in out], "sim": [o[2] for o in out]})
 
-    kind = left.schema[group].dataType.simpleString()
-    return a.select(*cols).unionByName(b.select(*cols)).groupBy(group, "bi", "bj").applyInPandas(score, f"{group} {kind}, idx long, match long, sim double")
+def cross_similarity(left: DataFrame, right: DataFrame, threshold: float, group: str = "project_id") -> DataFrame:
+    """(group, idx, match, sim) of pairs of left and right rows (group, idx, statement) whose score (left, right) reaches the threshold."""
+    (lrows, lforms), (rrows, rforms) = _formed(left, "left", group), _formed(right, "right", group)
+    links = cross_links(lforms, rforms, threshold, group)
+    return links.join(lrows.select(group, F.col("form").alias("a"), "idx"), [group, "a"]).join(rrows.select(group, F.col("form").alias("b"), F.col("idx").alias("match")), [group, "b"]).select(group, "idx", "match", "sim")
 
 
 def by_rarity(rows: DataFrame, among: DataFrame, group: str) -> DataFrame:
@@ -162,8 +254,10 @@ def cross_overlap(left: DataFrame, right: DataFrame, share: float, group: str =
 
 def best_match(left: DataFrame, right: DataFrame, floor: float, group: str = "project_id") -> DataFrame:
     """(group, idx, match, sim): each left row's most similar right row, the first of equals, at ``floor`` at least."""
-    best = cross_similarity(left, right, floor, group).groupBy(group, "idx").agg(F.max(F.struct("sim", (-F.col("match")).alias("m"))).alias("x"))
-    return best.select(group, "idx", (-F.col("x.m")).alias("match"), F.col("x.sim").alias("sim"))
+    (lrows, lforms), (_, rforms) = _formed(left, "left", group), _formed(right, "right", group)
+    # a form stands for its first row, so ties between copies go to the first as well
+    best = cross_links(lforms, rforms, floor, group).groupBy(group, F.col("a").alias("form")).agg(F.max(F.struct("sim", (-F.col("b")).alias("m"))).alias("x"))
+    return lrows.join(best, [group, "form"]).select(group, "idx", (-F.col("x.m")).alias("match"), F.col("x.sim").alias("sim"))
 
 
 def echo_free(items: DataFrame, firm: DataFrame, group: str = "project_id") -> DataFrame:

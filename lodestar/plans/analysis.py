@@ -1,7 +1,8 @@
 """The analysis of a project's requirements as a chain of stages, each a table that a resumed run reads again.
 
-Order: fold duplicates, demote pointers and consolidate, reconcile with cautions, conflicts, clarity and priority,
-second opinions, cross-cutting gaps, chunk coverage, open items. External judgements enter as verdict relations;
+Order: fold duplicates, demote pointers, merge confirmed duplicates and consolidate, reconcile with cautions, conflicts,
+clarity and priority, second opinions, cross-cutting gaps, chunk coverage with its possible misses, and the open items of all
+of these: echoes dropped, near-verbatim ones collapsed, those of one meaning merged. External judgements enter as verdict relations;
 without one, its stage has the defined no-judgement result.
 """
 
@@ -12,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,7 @@ from lodestar.functions import classify as cl
 from lodestar.functions import text as tx
 from lodestar.operators import decisions as de
 from lodestar.operators import folds, grounding, similarity
+from lodestar.operators.ranking import numbered
 from lodestar.sources.store import Store
 
 
@@ -29,10 +31,12 @@ from lodestar.sources.store import Store
 class Verdicts:
     """External judgements by step; None: not asked."""
 
+    dedup: DataFrame | None = None  # project_id, comp, window, group_id, pos
     consolidate: DataFrame | None = None  # project_id, comp, window, group_id, pos
     reconcile: DataFrame | None = None  # project_id, idx
     conflicts: DataFrame | None = None  # project_id, comp, window, a, b, is_conflict, reason
     verify: DataFrame | None = None  # project_id, id, holds, open_decision
+    gaps: DataFrame | None = None  # project_id, statement
     open_items: DataFrame | None = None  # project_id, comp, window, group_id, pos
 
 
@@ -68,31 +72,49 @@ def requirements(candidates: DataFrame) -> DataFrame:
     return out.withColumn("spans", moved).drop("chunk_start")
 
 
+#: Columns of an open item while a project is analyzed.
+ITEM = ["project_id", "idx", "kind", "statement", "doc_id", "where", "reason", "reconciled_from", "merged_refs"]
+
+
+def _items(rows: DataFrame, kind: Column | str, **columns: Column) -> DataFrame:
+    """Rows of a stage as open items; what a stage does not say of them is null or empty."""
+    none = {"doc_id": F.lit(None).cast("string"), "where": F.lit(""), "reconciled_from": F.array().cast("array<string>"), "merged_refs": F.array().cast("array<string>")}
+    named = {"project_id": F.col("project_id"), "idx": F.lit(None).cast("long"), "kind": F.lit(kind) if isinstance(kind, str) else kind, **none, **columns}
+    return rows.select(*[named[c].alias(c) for c in ITEM])
+
+
 def analyze(reqs: DataFrame, open_items: DataFrame, chunks: DataFrame, stages: Stages, verdicts: Verdicts | None = None) -> dict[str, DataFrame]:
     """Stages of ``reqs`` (project_id, idx, id, statement, rtype, feature, nfr_category, inferred, confidence, source_type, doc_id, location, start, end),
-    ``open_items`` (project_id, idx, kind, statement, where, reason) and ``chunks`` (doc_id, idx, location, text, start, end)."""
+    ``open_items`` (project_id, idx, kind, statement, doc_id, where, reason) and ``chunks`` (project_id, doc_id, idx, location, text, start, end).
+
+    Everything is keyed by project. Results: requirements, open_items, coverage (chunks with their class), conflicts,
+    folded, and withdrawn, the trail of requirements that gave way to a caution.
+    """
     v = verdicts or Verdicts()
     spark = reqs.sparkSession
-    item = lambda df, kind, statement, where, reason: df.select("project_id", F.col("idx").cast("long"), F.lit(kind).alias("kind"), statement.alias("statement"), where.alias("where"), reason.alias("reason"))
+    s = F.col("statement")
     base = reqs.withColumn("idx", F.col("idx").cast("long")).withColumn("authority", tx.source_authority(F.array("source_type"))).withColumn("refs", F.array("doc_id"))
     folded = stages.run("folded", lambda: folds.dedup_fold(base).join(base.drop("statement", "rtype", "id", "refs"), ["project_id", "idx"]))
 
-    pointer = cl.is_pointer(F.col("statement"))
+    pointer = cl.is_pointer(s)
     demoted = folded.filter(pointer)
     kept = folded.filter(~pointer)
+    if v.dedup is not None:
+        kept = _merged_into(kept, folds.confirmed_dedup(kept.select("project_id", "idx", "id", "statement", "refs", "duplicate_of", "absorbed"), v.dedup))
     if v.consolidate is not None:
-        merged = folds.consolidated(kept, v.consolidate).select("project_id", "idx", F.col("absorbed").alias("also"), F.col("duplicate_of").alias("more"))
-        kept = kept.join(merged, ["project_id", "idx"]).withColumn("absorbed", F.concat("absorbed", "also")).withColumn("duplicate_of", F.concat("duplicate_of", "more")).drop("also", "more")
+        kept = _merged_into(kept, folds.consolidated(kept.select("project_id", "idx", "id", "statement", "authority", "refs", "duplicate_of", "absorbed"), v.consolidate))
     kept = stages.run("consolidated", lambda: kept)
-    cautions = open_items.filter(F.col("kind").isin(*lex.SCOPE_KINDS))
-    firm = kept
+
+    asked_items = open_items.withColumn("idx", F.col("idx").cast("long"))
+    cautions = asked_items.filter(F.col("kind").isin(*lex.SCOPE_KINDS))
+    firm, withdrawn = kept, None
     if v.reconcile is not None:
-        firm = de.reconcile(kept, cautions, v.reconcile)[0]
+        withdrawn = stages.run("withdrawn", lambda: de.reconcile(kept, cautions, v.reconcile)[1].join(kept.select("project_id", "idx", "id", "statement", "refs"), ["project_id", "idx"]))
+        firm = kept.join(withdrawn.select("project_id", "idx"), ["project_id", "idx"], "left_anti")
     firm = stages.run("reconciled", lambda: firm)
 
     none = spark.createDataFrame([], "project_id string, a_id string, b_id string, reason string")
     pairs = stages.run("conflicts", lambda: folds.conflicts(firm.select("project_id", "idx", "id", "statement"), v.conflicts) if v.conflicts is not None else none)
-    s = F.col("statement")
     rated = firm.join(folds.symmetric(pairs), ["project_id", "id"], "left").withColumn("conflicts_with", F.coalesce("conflicts_with", F.array().cast("array<string>")))
     rated = rated.withColumn("statement", cl.cosmetic(s)).withColumn("flags", cl.substantive_flags(cl.quality_flags(s))).withColumn("testable", cl.testable(s)).withColumn("priority", cl.moscow(s, F.col("rtype"), F.col("inferred")))
     rated = rated.withColumn("triage", cl.triage(F.col("inferred"), F.col("confidence"), F.col("conflicts_with"), F.col("flags"), F.col("testable"), F.col("rtype"), F.col("priority"), F.array("location")))
@@ -106,20 +128,50 @@ def analyze(reqs: DataFrame, open_items: DataFrame, chunks: DataFrame, stages: S
         final = rated.join(opinions.filter("outcome = 'critic_rejected'").select("project_id", "id"), ["project_id", "id"], "left_anti")
     final = stages.run("requirements", lambda: final)
 
-    classes = stages.run("coverage", lambda: grounding.chunk_classes(chunks, final.select("doc_id", "start", "end"), open_items.select(F.lit(None).cast("string").alias("doc_id"), F.col("where").alias("location"))))
-    blank = F.lit("")
-    items = open_items.select("project_id", F.col("idx").cast("long"), "kind", "statement", "where", "reason")
-    items = items.unionByName(item(demoted, "non_requirement", F.col("statement"), F.col("location"), F.lit("vacuous internal cross-reference (pointer) — folded into the referenced requirement")))
+    # open items, in the order in which the stages raise them
+    place = {"doc_id": F.col("doc_id"), "where": F.col("location")}
+    given = asked_items
+    if withdrawn is not None:  # a caution keeps the evidence of what it displaced
+        trail = withdrawn.groupBy("project_id", F.col("match").alias("idx")).agg(F.sort_array(F.collect_list("id")).alias("reconciled_from"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("merged_refs"))
+        given = asked_items.join(trail, ["project_id", "idx"], "left")
+    keep = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("reconciled_from", "merged_refs")} if withdrawn is not None else {}
+    raised = [_items(given, F.col("kind"), idx=F.col("idx"), statement=s, doc_id=F.col("doc_id"), where=F.col("where"), reason=F.col("reason"), **keep)]
+    raised.append(_items(demoted, "non_requirement", statement=s, reason=F.lit(lex.POINTER_REASON), idx=F.col("idx"), **place))
+    side = lambda k: rated.select("project_id", F.col("id").alias(f"{k}_id"), F.col("idx").alias(f"{k}_idx"), F.col("statement").alias(f"{k}_text"))
+    both = pairs.join(side("a"), ["project_id", "a_id"]).join(side("b"), ["project_id", "b_id"])
+    raised.append(_items(both, "conflict", idx=F.col("a_idx"), statement=F.concat_ws("  ⟷  ", "a_text", "b_text"), reason=F.col("reason")))
     if opinions is not None:
-        said = opinions.filter("outcome <> 'holds'").join(rated.select("project_id", "id", "idx", "statement", "location"), ["project_id", "id"])
-        items = items.unionByName(said.select("project_id", "idx", F.col("outcome").alias("kind"), "statement", F.col("location").alias("where"), F.lit("second-opinion review").alias("reason")))
-    both = pairs.join(rated.select("project_id", F.col("id").alias("a_id"), "idx", "statement"), ["project_id", "a_id"])
-    items = items.unionByName(both.select("project_id", "idx", F.lit("conflict").alias("kind"), "statement", blank.alias("where"), "reason"))
-    items = items.withColumn("idx", F.monotonically_increasing_id())
-    items = stages.run("open_items_all", lambda: items)
+        said = opinions.filter("outcome <> 'holds'").join(rated.select("project_id", "id", "idx", "statement", "doc_id", "location"), ["project_id", "id"])
+        raised.append(_items(said, F.col("outcome"), idx=F.col("idx"), statement=s, reason=F.lit("second-opinion review"), **place))
+    gaps = grounding.coverage_gaps(final.select("project_id", "statement", "nfr_category")).select("project_id", "statement", "reason")
+    if v.gaps is not None:
+        more = v.gaps.filter(F.trim("statement") != "").select("project_id", F.trim("statement").alias("statement"), F.lit("suggested by a reviewer").alias("reason"))
+        gaps = gaps.withColumn("k", F.lit(0)).unionByName(more.withColumn("k", F.lit(1)))
+        gaps = gaps.groupBy("project_id", F.lower(tx.collapse(s)).alias("norm")).agg(F.min(F.struct("k", "statement", "reason")).alias("x")).select("project_id", "x.statement", "x.reason")
+    raised.append(_items(gaps, "gap", statement=s, reason=F.col("reason")))
+
+    so_far = raised[0].withColumn("step", F.lit(0))
+    for k, more in enumerate(raised[1:], 1):
+        so_far = so_far.unionByName(more.withColumn("step", F.lit(k)))
+    so_far = stages.run("open_items_raised", lambda: so_far)
+    classes = stages.run("coverage", lambda: grounding.chunk_classes(chunks, final.select("project_id", "doc_id", "start", "end"), so_far.select("project_id", "doc_id", F.col("where").alias("location")), ("project_id", "doc_id")))
+    missed = classes.filter(F.col("class") == "possible_miss")
+    misses = _items(missed, "possible_miss", idx=F.col("idx").cast("long"), statement=F.substring(F.trim("text"), 1, 200), reason=F.lit(lex.MISS_REASON), **place)
+    # one number for each over all projects, in the order of raising: what came first is folded first
+    counted = so_far.unionByName(misses.withColumn("step", F.lit(len(raised)))).withColumn("_all", F.lit(0))
+    items = stages.run("open_items_all", lambda: numbered(counted, "_all", ["project_id", "step", "idx", "doc_id", "where", "statement"]).withColumn("idx", F.col("n").cast("long")).drop("n", "_all", "step"))
+
     quiet = similarity.echo_free(items, final.select("project_id", "statement"))
-    out = stages.run("open_items", lambda: folds.openq_collapse(quiet.select("project_id", "idx", "kind", "statement", "reason")))
-    return {"requirements": final, "open_items": out, "coverage": classes, "conflicts": pairs, "folded": folded}
+    out = stages.run("open_items_collapsed", lambda: folds.openq_collapse(quiet.select("project_id", "idx", "kind", "statement", "reason")).withColumn("merged_count", F.lit(1).cast("long")))
+    merged = merge_open_items(out.drop("reason"), v.open_items) if v.open_items is not None else out.drop("reason")
+    told = items.select("project_id", "idx", "doc_id", "where", "reconciled_from", "merged_refs")
+    out = stages.run("open_items", lambda: merged.join(out.select("project_id", "idx", "reason"), ["project_id", "idx"]).join(told, ["project_id", "idx"]))
+    return {"requirements": final, "open_items": out, "coverage": classes, "conflicts": pairs, "folded": folded, "withdrawn": withdrawn}
+
+
+def _merged_into(kept: DataFrame, merged: DataFrame) -> DataFrame:
+    """``kept`` less what a merge by verdicts absorbed, with the survivors' trails as it leaves them."""
+    return kept.drop("absorbed", "duplicate_of", "refs").join(merged.select("project_id", "idx", "absorbed", "duplicate_of", "refs"), ["project_id", "idx"])
 
 
 def converge(produce: Callable[[int], DataFrame], key: str, max_passes: int) -> DataFrame:

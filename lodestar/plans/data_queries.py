@@ -584,7 +584,10 @@ def _small_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.similarity_pairs(_small_view(spark, sf_dir), 0.72)
+    """Pairs of different wordings whose score reaches 0.72 in one direction, by the first row of each; copies count with their wording."""
+    forms = similarity.forms_of(similarity.with_form(_small_view(spark, sf_dir).select("project_id", "idx", "statement")))
+    counted = lambda k: forms.select("project_id", F.col("form").alias(k), F.col("copies").alias(f"{k}_copies"))
+    return similarity.form_links(forms, 0.72).join(counted("a"), ["project_id", "a"]).join(counted("b"), ["project_id", "b"])
 
 
 def _foldable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -647,4 +650,4 @@ def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _foldable(spark, sf_dir).select("project_id", "idx", "id", "statement", "authority")
     placed = folds.windows_of(rows, 0.5, by_text=True)
     verdicts = placed.filter("pos < 2").select("project_id", "comp", "window", F.lit(1).alias("group_id"), "pos")
-    return folds.consolidated(rows, verdicts)
+    return folds.consolidated(rows, verdicts).drop("refs")
