@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from lodestar import lexicons as lex
 from lodestar.functions import numeric as nu
 from lodestar.functions.classify import expects_nothing
-from lodestar.runtime import small
 
 _PRE = str.maketrans(lex.PRE_FROM, lex.PRE_TO)
 CAPTURED, PARTIAL = 0.6, 0.2
@@ -40,25 +39,10 @@ def locate_span(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
 
 
 def contains_join(docs: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(item_id, doc_id, start, end, ...docs' other columns but text): verbatim finds, at their first place.
+    """(item_id, doc_id, start, end, ...docs' other columns but text): verbatim finds, at their first place (see ``location``)."""
+    from lodestar.operators.location import locate_join
 
-    A quote's longest inner word must stand in the text as a word of its own, so the join is an equi-join on it,
-    and only such pairs are searched; quotes of fewer than three words are few and are searched everywhere.
-    The quote side is broadcast while its counted size allows, so texts are not shuffled.
-    """
-    inner = F.filter(F.slice(F.split("quote", " "), 2, F.greatest(F.size(F.split("quote", " ")) - 2, F.lit(0))), lambda w: (F.length(w) > 0) & ~w.rlike(r"\s"))
-    best = F.element_at(F.array_sort(inner, lambda a, b: F.coalesce(F.nullif(F.length(b) - F.length(a), F.lit(0)), F.when(a < b, -1).when(a > b, 1).otherwise(0))), 1)
-    asked = quotes.select("item_id", F.col("text").alias("quote")).filter("quote <> ''")
-    asked = asked.withColumn("anchor", F.when(F.size(inner) > 0, best))
-    n = asked.agg(F.count("*").alias("n"), F.count_if(F.col("anchor").isNull()).alias("short"), F.coalesce(F.sum(F.octet_length("quote")), F.lit(0)).alias("b")).first()
-    hint = lambda df: small(df, n.b + 64 * n.n, 1)
-    words = docs.withColumn("anchor", F.explode(F.array_distinct(F.split("text", r"\s"))))
-    by_word = words.join(hint(asked.filter("anchor is not null")), "anchor").drop("anchor")
-    found = by_word.filter(F.contains("text", F.col("quote")))
-    if n.short:  # else the texts are scanned once
-        found = found.unionByName(docs.join(hint(asked.filter("anchor is null")).drop("anchor"), F.contains("text", F.col("quote"))))
-    start = F.instr(F.col("text"), F.col("quote")) - 1
-    return found.withColumn("start", start).withColumn("end", F.col("start") + F.length("quote")).drop("text", "quote")
+    return locate_join(docs, quotes, tolerant=False).drop("verbatim")
 
 
 #: Offsets are cut into buckets of this many characters, so that spans meet only those near them.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from lodestar.functions import classify as cl
 from lodestar.functions import numeric as nu
 from lodestar.functions import text as tx
 from lodestar.operators import decisions as de
-from lodestar.operators import folds, grounding, reporting, review, similarity
+from lodestar.operators import folds, grounding, location, reporting, review, similarity
 from lodestar.operators.graph import connected_components
 from lodestar.operators.similarity import overlap_pairs
 from lodestar.plans import duck
@@ -66,6 +68,17 @@ def substantive_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir).join(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", "doc_id", "start", "end", tx.is_substantive(F.col("text")).alias("substantive"))
 
 
+_PLAIN = "lower(regexp_replace({}, '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT b.item_id, d.doc_id, contains(d.text, b.text) AND b.item_id % 3 = 0 AS verbatim FROM benchmark b JOIN documents d ON contains({_PLAIN.format('d.text')}, {_PLAIN.format('b.text')})")
+def tolerant_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold each passage, of which two in three are asked for in capitals and with other white space."""
+    altered = F.replace(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit(" "), F.lit(" \n\t"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 3 == 0, F.col("text")).otherwise(altered).alias("text"))
+    return location.locate_join(table(spark, sf_dir, "documents").select("doc_id", "text"), asked).select("item_id", "doc_id", "verbatim")
+
+
 _LINES = (
     "cut AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS n, len(string_split(text, chr(10))) AS m FROM documents), "
     "ends AS (SELECT doc_id, n - 1 AS line_no, CASE WHEN n < m THEN line || chr(10) ELSE line END AS line FROM cut), "
@@ -575,6 +588,29 @@ def format_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("violations"))
 
 
+@query()
+def analysis_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain over the view: (project_id, relation, kind, n) of what it leaves.
+
+    Every row is a chunk of its document with its statement inside. Verdicts: every third requirement is doubted, all that resemble a
+    caution are withdrawn, and one gap is suggested.
+    """
+    from lodestar.plans import analysis
+    from lodestar.runtime import shared_dir
+    from lodestar.sources.store import Store
+
+    rows, at = req_view(spark, sf_dir), F.col("idx").cast("long") * 200
+    reqs = rows.withColumn("start", at).withColumn("end", at + F.length("statement"))
+    chunks = rows.select("project_id", "doc_id", F.col("idx").cast("int").alias("idx"), "location", F.col("statement").alias("text"), at.alias("start"), (at + 200).alias("end"))
+    asked = analysis.Verdicts(
+        verify=rows.select("project_id", "id", (F.col("idx") % 3 > 0).alias("holds"), F.lit(False).alias("open_decision")), reconcile=rows.select("project_id", F.col("idx").cast("long").alias("idx")),
+        gaps=rows.select("project_id", F.lit("Offline use").alias("statement")).distinct(),
+    )
+    out = analysis.analyze(reqs, open_rows(spark, sf_dir), chunks, analysis.Stages(Store(spark, f"{shared_dir(spark)}/chain-{uuid.uuid4().hex[:12]}")), asked)
+    count = lambda name, kind: out[name].groupBy("project_id", F.lit(name).alias("relation"), kind.alias("kind")).agg(F.count("*").alias("n"))
+    return count("requirements", F.col("rtype")).unionByName(count("open_items", F.col("kind"))).unionByName(count("coverage", F.col("class")))
+
+
 # --- folds (no SQL twin: checked against brute force in tests) ---
 
 

@@ -29,7 +29,7 @@ def by_project(rows):
     return out.values()
 
 
-@pytest.mark.parametrize("block", [20_000, 4])
+@pytest.mark.parametrize("block", [4])
 def test_dedup_of_300_projects_equals_the_sequential_fold(spark, monkeypatch, block):
     monkeypatch.setattr(waves, "BLOCK", block)
     rows = cases(300, 11)
