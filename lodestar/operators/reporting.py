@@ -137,15 +137,16 @@ def uncovered_items(items: DataFrame, approved_reqs: DataFrame) -> DataFrame:
 
 
 def adopted_stack(aspects: DataFrame, selections: DataFrame) -> DataFrame:
-    """Chosen candidate per aspect (key, name, recommended, pos): the selection by name in any case, else a custom name, else the recommended, else the first."""
-    first = aspects.groupBy("key").agg(F.min_by("name", F.struct((~F.col("recommended")).cast("int"), "pos")).alias("default"))
-    named = aspects.join(selections, "key").filter(F.lower("name") == F.lower("choice")).groupBy("key").agg(F.min_by("name", "pos").alias("known"))
-    return first.join(selections, "key", "left").join(named, "key", "left").select("key", F.coalesce("known", F.nullif(F.trim("choice"), F.lit("")), "default").alias("name"))
+    """Chosen candidate per aspect (project_id, key, name, recommended, pos): the selection by name in any case, else a custom name, else the recommended, else the first."""
+    on = ["project_id", "key"]
+    first = aspects.groupBy(*on).agg(F.min_by("name", F.struct((~F.col("recommended")).cast("int"), "pos")).alias("default"))
+    named = aspects.join(selections, on).filter(F.lower("name") == F.lower("choice")).groupBy(*on).agg(F.min_by("name", "pos").alias("known"))
+    return first.join(selections, on, "left").join(named, on, "left").select(*on, F.coalesce("known", F.nullif(F.trim("choice"), F.lit("")), "default").alias("name"))
 
 
 def normalized_aspects(aspects: DataFrame, cap: int = 3) -> DataFrame:
-    """At most ``cap`` candidates an aspect and exactly one recommended: the first that was, else the first."""
-    w = W.partitionBy("key").orderBy("pos")
+    """At most ``cap`` candidates an aspect (project_id, key) and exactly one recommended: the first that was, else the first."""
+    w = W.partitionBy("project_id", "key").orderBy("pos")
     rows = aspects.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= cap)
-    lead = F.coalesce(F.min(F.when(F.col("recommended"), F.col("n"))).over(W.partitionBy("key")), F.lit(1))
+    lead = F.coalesce(F.min(F.when(F.col("recommended"), F.col("n"))).over(W.partitionBy("project_id", "key")), F.lit(1))
     return rows.withColumn("recommended", F.col("n") == lead).drop("n")

@@ -284,7 +284,9 @@ def personality_hues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return req_view(spark, sf_dir).groupBy("project_id").agg(out.otherwise("/".join(lex.HUE_DEFAULT)).alias("hues"))
 
 
-@query(f"SELECT key, title FROM (VALUES ('frontend', 'Frontend'), ('infra', 'Cloud'), ('pay', 'Payments'), ('db', 'Database')) v(key, title) WHERE NOT (key IN ({', '.join(duck.q(k) for k in lex.EXCLUDED_ASPECTS)}) OR {duck.has_any('lower(title)', lex.EXCLUDED_TITLES)})")
+@query(f"SELECT id, key, title FROM (SELECT id, CASE idx % 5 WHEN 0 THEN 'frontend' WHEN 1 THEN 'infra' WHEN 2 THEN 'pay' WHEN 3 THEN 'db' ELSE lower(trim(feature)) END AS key, CASE idx % 3 WHEN 0 THEN 'Cloud' WHEN 1 THEN statement ELSE 'Database' END AS title FROM rv) v WHERE key IS NOT NULL AND NOT (key IN ({', '.join(duck.q(k) for k in lex.EXCLUDED_ASPECTS)}) OR {duck.has_any('lower(title)', lex.EXCLUDED_TITLES)})")
 def kept_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("frontend", "Frontend"), ("infra", "Cloud"), ("pay", "Payments"), ("db", "Database")], "key string, title string")
+    """The view read as aspects, keyed by features among others and titled by statements among others: those that are not excluded."""
+    key = "CASE idx % 5 WHEN 0 THEN 'frontend' WHEN 1 THEN 'infra' WHEN 2 THEN 'pay' WHEN 3 THEN 'db' ELSE lower(trim(feature)) END AS key"
+    rows = req_view(spark, sf_dir).selectExpr("id", key, "CASE idx % 3 WHEN 0 THEN 'Cloud' WHEN 1 THEN statement ELSE 'Database' END AS title").filter("key is not null")
     return rows.filter(~cl.is_excluded_aspect(F.col("key"), F.col("title")))

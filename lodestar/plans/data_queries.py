@@ -13,7 +13,7 @@ from lodestar.functions import classify as cl
 from lodestar.functions import numeric as nu
 from lodestar.functions import text as tx
 from lodestar.operators import decisions as de
-from lodestar.operators import folds, grounding, location, reporting, review, similarity
+from lodestar.operators import design, document, folds, grounding, location, reporting, review, similarity
 from lodestar.operators.graph import connected_components
 from lodestar.operators.similarity import overlap_pairs
 from lodestar.plans import duck
@@ -424,24 +424,30 @@ def _lum(c: str) -> str:
 
 _CONTRAST = (
     "WITH r AS (SELECT hue, step, hex, " + ", ".join(f"CAST(CAST('0x' || substr(hex, {2 * i - 1}, 2) AS BIGINT) AS DOUBLE) / 255.0 AS v{i}" for i in (1, 2, 3)) + " FROM (VALUES " + ", ".join(f"('{h}', {i}, '{c}')" for h, i, c in _RAMP) + ") v(hue, step, hex)), "
-    f"c AS (SELECT hue, step, hex, 1.05::DOUBLE / ({_lum('hex')} + 0.05) AS ratio FROM r) "
-)
+    "person AS (SELECT project_id, split_part(CASE " + " ".join(f"WHEN bool_or({duck.has_any('s', keys)}) THEN {duck.q(a + '/' + b)}" for keys, a, b, _ in lex.DOMAIN_HUES)
+    + f" ELSE '{'/'.join(lex.HUE_DEFAULT)}' END, '/', 1) AS hue FROM (SELECT project_id, lower(project_id || ' ' || statement) AS s FROM rv WHERE status = 'approved') t GROUP BY 1), "
+    f"c AS (SELECT project_id, hue, step, hex, 1.05::DOUBLE / ({_lum('hex')} + 0.05) AS ratio FROM person JOIN r USING (hue)) "
+)
 
 
-def _ramp(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(_RAMP, "hue string, step int, hex string")
+def _ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of each project's primary hue with their contrast on white."""
+    steps = F.inline(F.array(*[F.struct(F.lit(h).alias("h"), F.lit(i).alias("step"), F.lit(c).alias("hex")) for h, i, c in _RAMP]))
+    person = design.personality(reporting.approved(req_view(spark, sf_dir)))
+    rows = person.select("project_id", F.col("primary").alias("hue"), steps).filter("h = hue").drop("h")
     return rows.withColumn("ratio", nu.contrast(F.col("hex"), F.lit("ffffff")))
 
 
-@query(_CONTRAST + "SELECT hue, step, hex, round(ratio, 6) AS ratio, ratio >= 4.5 AS aa FROM c")
+@query(_CONTRAST + "SELECT project_id, hue, step, hex, round(ratio, 6) AS ratio, ratio >= 4.5 AS aa FROM c", view=True)
 def contrast_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ramp(spark).withColumn("aa", F.col("ratio") >= 4.5).withColumn("ratio", F.round("ratio", 6))
+    return _ramp(spark, sf_dir).withColumn("aa", F.col("ratio") >= 4.5).withColumn("ratio", F.round("ratio", 6))
 
 
-@query(_CONTRAST + "SELECT hue, coalesce(arg_min(hex, step) FILTER (WHERE ratio >= 3.0), arg_max(hex, step)) AS hex FROM c GROUP BY 1")
+@query(_CONTRAST + "SELECT project_id, hue, coalesce(arg_min(hex, step) FILTER (WHERE ratio >= 3.0), arg_max(hex, step)) AS hex FROM c GROUP BY 1, 2", view=True)
 def first_passing_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First ramp step that passes on white, else the last."""
-    return _ramp(spark).groupBy("hue").agg(F.coalesce(F.min_by(F.when(F.col("ratio") >= 3.0, F.col("hex")), F.when(F.col("ratio") >= 3.0, F.col("step"))), F.max_by("hex", "step")).alias("hex"))
+    """First step of a project's hue that passes on white, else the last."""
+    passes = F.col("ratio") >= 3.0
+    return _ramp(spark, sf_dir).groupBy("project_id", "hue").agg(F.coalesce(F.min_by(F.when(passes, F.col("hex")), F.when(passes, F.col("step"))), F.max_by("hex", "step")).alias("hex"))
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS component FROM (SELECT *, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents) t WHERE n > 1")
@@ -522,30 +528,44 @@ _LAYER_SQL = "CASE " + " ".join(f"WHEN k = {duck.q(k)} THEN '{name}'" for k, nam
 _ASPECT_KEYS = ["frontend", "my-api", "database", "payments", "OAuth", "devices", "cms", "hosting", "webhooks"]
 
 
-@query(f"SELECT key, {_LAYER_SQL} AS layer FROM (SELECT key, lower(key) AS k FROM (VALUES " + ", ".join(f"('{k}')" for k in _ASPECT_KEYS) + ") v(key)) t")
-def technology_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestar.operators.document import layer
+_KEYS = ", ".join(f"'{k}'" for k in _ASPECT_KEYS)
 
-    return spark.createDataFrame([(k,) for k in _ASPECT_KEYS], "key string").withColumn("layer", layer(F.col("key")))
+
+@query(f"SELECT p_partkey, key, {_LAYER_SQL} AS layer FROM (SELECT *, lower(key) AS k FROM (SELECT p_partkey, CASE WHEN p_size % 10 = 9 THEN p_type ELSE ([{_KEYS}])[p_size % 10 + 1] END AS key FROM part) u) t")
+def technology_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layer of an aspect for every part; its size names the aspect, or its type where that is none."""
+    n = F.col("p_size") % 10
+    key = F.when(n == 9, F.col("p_type")).otherwise(F.get(F.array(*[F.lit(k) for k in _ASPECT_KEYS]), n.cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", key.alias("key")).withColumn("layer", document.layer(F.col("key")))
 
 
-_ASPECTS = [("db", "PostgreSQL", False, 1), ("db", "MySQL", False, 2), ("db", "MongoDB", True, 3), ("db", "SQLite", True, 4), ("ui", "React", True, 1), ("ui", "Vue", True, 2), ("auth", "JWT", False, 1)]
-_ASPECT_VALUES = "a AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{n}', {str(r).lower()}, {p})" for k, n, r, p in _ASPECTS) + ") v(key, name, recommended, pos))"
+_ASPECT_SQL = "a AS (SELECT project_id, source_type AS key, 'Tool ' || CAST(idx % 7 AS VARCHAR) AS name, inferred AS recommended, idx AS pos FROM rv)"
 
 
-def _aspects(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_ASPECTS, "key string, name string, recommended boolean, pos int")
+def _aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view read as candidates: by project and kind of source, a tool a row."""
+    return req_view(spark, sf_dir).select("project_id", F.col("source_type").alias("key"), F.concat(F.lit("Tool "), (F.col("idx") % 7).cast("string")).alias("name"), F.col("inferred").alias("recommended"), F.col("idx").alias("pos"))
 
 
-@query(f"WITH {_ASPECT_VALUES}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) AS n FROM a), k AS (SELECT *, coalesce(min(n) FILTER (WHERE recommended) OVER (PARTITION BY key), 1) AS lead FROM n WHERE n <= 3) SELECT key, name, n = lead AS recommended, pos FROM k")
+@query(
+    f"WITH {_ASPECT_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY project_id, key ORDER BY pos) AS n FROM a), "
+    "k AS (SELECT *, coalesce(min(n) FILTER (WHERE recommended) OVER (PARTITION BY project_id, key), 1) AS lead FROM n WHERE n <= 3) SELECT project_id, key, name, n = lead AS recommended, pos FROM k",
+    view=True,
+)
 def normalized_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reporting.normalized_aspects(_aspects(spark))
+    return reporting.normalized_aspects(_aspects(spark, sf_dir))
 
 
-@query(f"WITH {_ASPECT_VALUES}, s AS (SELECT * FROM (VALUES ('db', 'mysql'), ('ui', 'HTMX')) v(key, choice)) SELECT key, coalesce((SELECT x.name FROM a x JOIN s USING (key) WHERE x.key = k.key AND lower(x.name) = lower(s.choice)), (SELECT choice FROM s WHERE s.key = k.key), (SELECT y.name FROM a y WHERE y.key = k.key ORDER BY y.recommended DESC, y.pos LIMIT 1)) AS name FROM (SELECT DISTINCT key FROM a) k")
+@query(
+    f"WITH {_ASPECT_SQL}, s AS (SELECT DISTINCT project_id, 'brd' AS key, 'TOOL 3' AS choice FROM rv UNION ALL SELECT DISTINCT project_id, 'form', ' HTMX ' FROM rv), "
+    "d AS (SELECT project_id, key, first(name ORDER BY recommended DESC, pos) AS name FROM a GROUP BY 1, 2) "
+    "SELECT d.project_id, d.key, coalesce((SELECT first(a.name ORDER BY pos) FROM a WHERE a.project_id = d.project_id AND a.key = d.key AND lower(a.name) = lower(s.choice)), trim(s.choice), d.name) AS name FROM d LEFT JOIN s USING (project_id, key)",
+    view=True,
+)
 def adopted_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selections by name in any case, a custom name, and the recommended default."""
-    return reporting.adopted_stack(_aspects(spark), spark.createDataFrame([("db", "mysql"), ("ui", "HTMX")], "key string, choice string"))
+    """Selections by name in any case, custom names, and the recommended default, of every project."""
+    chosen = F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(c).alias("choice")) for k, c in (("brd", "TOOL 3"), ("form", " HTMX "))]))
+    return reporting.adopted_stack(_aspects(spark, sf_dir), req_view(spark, sf_dir).select("project_id").distinct().select("project_id", chosen))
 
 
 @query(
@@ -560,15 +580,19 @@ def exit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics(assessed(req_view(spark, sf_dir)).withColumn("requirement_id", F.col("idx") % 150), _log(spark, sf_dir))
 
 
-def _specification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestar.operators import document
+def specification_of(reqs: DataFrame, numbered_items: DataFrame) -> DataFrame:
+    """(doc_id, text): the specification of every project of ``reqs`` with something approved."""
     from lodestar.plans.classify_queries import lexicon_hits
 
-    reqs = req_view(spark, sf_dir)
     described = lambda entries: F.create_map(*[F.lit(x) for name, _, d in entries for x in (name, d)])[F.col("name")].alias("description")
     roles = lexicon_hits(reqs, [r[:2] for r in lex.ROLES]).select("project_id", "rank", "name", described(lex.ROLES))
     faces = lexicon_hits(reqs, [r[:2] for r in lex.INTERFACES]).select("project_id", "rank", "name", described(lex.INTERFACES))
-    return document.assemble(document.sections(reqs, reporting.open_items(open_rows(spark, sf_dir)), glossary(reporting.approved(reqs)), roles, faces, lexicon_hits(reqs, lex.ENTITIES)))
+    blocks = document.sections(reqs, numbered_items, glossary(reporting.approved(reqs)), roles, faces, lexicon_hits(reqs, lex.ENTITIES))
+    return document.assemble(blocks)
+
+
+def _specification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return specification_of(req_view(spark, sf_dir), reporting.open_items(open_rows(spark, sf_dir)))
 
 
 @query()
@@ -580,7 +604,6 @@ def specification(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT project_id AS doc_id, CASE WHEN count(*) FILTER (WHERE rtype = 'functional') = 0 THEN 1 ELSE 0 END AS violations FROM rv WHERE status = 'approved' GROUP BY 1", view=True)
 def format_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken format checks of every generated document: only a project without a functional requirement has one."""
-    from lodestar.operators import document
     from lodestar.runtime import Scratch
 
     docs = Scratch(spark, "specification").write(_specification(spark, sf_dir), "docs")

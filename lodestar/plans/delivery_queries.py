@@ -12,8 +12,10 @@ from lodestar.operators import decisions as de
 from lodestar.operators import design, document, jobs, reporting
 from lodestar.plans import duck
 from lodestar.plans.classify_queries import assessed, glossary
-from lodestar.plans.data_queries import _IDS, _MATRIX, _lum, table
+from lodestar.plans.data_queries import _IDS, _MATRIX, _lum, open_rows, specification_of, table
+from lodestar.plans.data_queries import _OPEN as _OPEN_ITEMS
 from lodestar.plans.req_view import req_view, with_view
+from lodestar.runtime import Scratch
 from lodestar.sources import gold, pack
 
 QUERIES, ORACLES = {}, {}
@@ -88,16 +90,28 @@ def rtm_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OPEN = "CASE WHEN status IN ('candidate', 'needs_review') THEN 'rejected' ELSE status END"
 
 
+_BROKEN = (
+    "SELECT project_id, count(*) FILTER (WHERE rtype = 'functional') AS nf, count(*) FILTER (WHERE rtype = 'non_functional') AS nn, count(*) FILTER (WHERE rtype = 'business') AS nb FROM q WHERE status = 'approved' GROUP BY 1"
+)
+
+
 @query(
-    f"WITH q AS (SELECT project_id, rtype, {_OPEN} AS status FROM rv WHERE NOT (project_id = 'Brand#12' AND status = 'approved')) "
-    "SELECT project_id, count(*) AS approved, count(*) FILTER (WHERE rtype = 'functional') AS functional, count(*) FILTER (WHERE rtype = 'non_functional') AS non_functional, "
-    "count(*) FILTER (WHERE rtype = 'business') AS business, count(*) AS matrix_rows FROM q WHERE status = 'approved' GROUP BY 1"
+    _OPEN_ITEMS + f", q AS (SELECT project_id, rtype, {_OPEN} AS status FROM rv WHERE NOT (project_id = 'Brand#12' AND status = 'approved')), t1 AS ({_BROKEN}) "
+    "SELECT t1.project_id, nf + nn + nb + (SELECT count(*) FROM q WHERE q.project_id = t1.project_id AND status = 'approved' AND rtype NOT IN ('functional', 'non_functional', 'business')) AS approved, nf AS functional, nn AS non_functional, nb AS business, "
+    "(SELECT count(*) FROM q WHERE q.project_id = t1.project_id AND status = 'approved') AS matrix_rows, (SELECT count(*) FROM items i WHERE i.project_id = t1.project_id) AS open_items, "
+    + " + ".join(f"CAST({n} < {least} AS BIGINT)" for (tag, least), n in zip(lex.REQUIRED_TAGS, [{"REQ": "nf", "NFR": "nn", "BR": "nb"}[t] for t, _ in lex.REQUIRED_TAGS], strict=True)) + " AS violations FROM t1"
 )
 def handoff_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest of every project that may be handed over: pending rows are taken as rejected here, and one project has nothing approved."""
+    """The manifest of every project that may be handed over: pending rows are taken as rejected here, and one project has nothing approved.
+
+    Open items are those of the view; violations are the broken checks of the document that is assembled for the project.
+    """
     reqs = req_view(spark, sf_dir).withColumn("status", F.expr(_OPEN)).filter("not (project_id = 'Brand#12' and status = 'approved')")
-    none = reqs.select("project_id").limit(0)
-    return pack.manifest(reqs, reporting.rtm_delivered(reqs), none).drop("open_items", "violations")
+    items = reporting.open_items(open_rows(spark, sf_dir))
+    docs = Scratch(spark, "manifest").write(specification_of(reqs, items), "docs")
+    broken = document.violations(docs).groupBy(F.col("doc_id").alias("project_id")).agg(F.count("*").alias("violations"))
+    every = docs.select(F.col("doc_id").alias("project_id")).join(broken, "project_id", "left").select("project_id", F.coalesce("violations", F.lit(0)).alias("violations"))
+    return pack.manifest(reqs, reporting.rtm_delivered(reqs), items, every)
 
 
 @query()
@@ -110,7 +124,9 @@ def technology_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = known.select("project_id", "key", "name", F.lit("Stated in the inputs.").alias("reason"), F.lit(False).alias("recommended"), F.col("name").alias("pos"))
     aspects = known.select("project_id", "key", F.initcap("key").alias("title"), F.lit("").alias("rationale"), F.col("key").alias("pos")).distinct()
     stated = reqs.select("project_id").distinct().select("project_id", F.lit(True).alias("stated"), F.lit("requirements").alias("basis"))
-    return document.technology_section(aspects, candidates, reqs.selectExpr("project_id", "'' AS key", "'' AS choice").limit(0), stated)
+    # a reviewer's wishes: one known name in capitals, one of their own
+    wish = known.groupBy("project_id", "key").agg(F.max("name").alias("choice")).withColumn("choice", F.when(F.crc32(F.concat("project_id", "key")) % 2 == 0, F.upper("choice")).otherwise(F.concat(F.lit("Own "), F.col("key"))))
+    return document.technology_section(aspects, candidates, wish, stated)
 
 
 _GOLD = "g AS (SELECT id, idx FROM rv WHERE idx % 11 <> 0), s AS (SELECT CASE WHEN idx % 3 = 0 THEN 'test' ELSE 'dev' END AS split, id FROM rv WHERE idx % 7 <> 0 UNION ALL SELECT 'test', id FROM rv WHERE idx % 35 = 1) "
@@ -152,11 +168,11 @@ def admitted_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEY = "sha256(event_type || chr(0) || props)"
 
 
-@query(f"SELECT DISTINCT {_KEY} AS key FROM events WHERE {_KEY} NOT IN (SELECT {_KEY} FROM events WHERE event_id % 2 = 0 AND props IS NOT NULL) AND props IS NOT NULL")
+@query(f"SELECT DISTINCT {_KEY} AS key FROM events WHERE {_KEY} NOT IN (SELECT {_KEY} FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 = 0 AND props IS NOT NULL) AND props IS NOT NULL")
 def unanswered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that must be asked where every second request has an answer."""
-    keyed = table(spark, sf_dir, "events").filter("props is not null").select("event_id", tx.cache_key(F.col("event_type"), F.col("props")).alias("key"))
-    return jobs.unanswered(keyed, keyed.filter("event_id % 2 = 0"))
+    """Keys that must be asked where the requests of every third k have an answer."""
+    keyed = table(spark, sf_dir, "events").filter("props is not null").select("props", tx.cache_key(F.col("event_type"), F.col("props")).alias("key"))
+    return jobs.unanswered(keyed.drop("props"), keyed.filter(F.get_json_object("props", "$.k").cast("long") % 3 == 0).drop("props"))
 
 
 @query(
