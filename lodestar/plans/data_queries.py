@@ -20,6 +20,7 @@ from lodestar.plans import duck
 from lodestar.plans.classify_queries import GLOSSARY_SQL, assessed, glossary
 from lodestar.plans.req_view import req_view, with_view
 from lodestar.sources import chunkers, corpus
+from lodestar.streaming import reviews
 
 QUERIES, ORACLES = {}, {}
 
@@ -504,6 +505,58 @@ def streaming_review_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_reviews(spark, f"{sf_dir}/events.parque[t]", spark.read.parquet(path).schema, Scratch(spark, "reviews").root)
 
 
+_EDITS = "CASE k % 5 WHEN 0 THEN to_json(struct(concat('Text ', seq) AS statement)) WHEN 1 THEN '{\"priority\": \"must\", \"feature\": null}' WHEN 2 THEN '{\"rtype\": \"odd\"}' WHEN 3 THEN '{\"statement\": \" \"}' WHEN 4 THEN to_json(struct(concat('F', k) AS feature, 'r' AS rationale)) END"
+_ACTION = "CASE event_type WHEN 'purchase' THEN 'accept' WHEN 'error' THEN 'reject' WHEN 'click' THEN 'edit' ELSE event_type END"
+
+
+def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Users as requirements, nine in ten of them known, and every event as a review event, clicks with edits of five kinds."""
+    events = table(spark, sf_dir, "events")
+    none = F.lit(None).cast("string")
+    user = F.col("user_id")
+    reqs = events.select("user_id").distinct().filter(user % 10 != 9).select(
+        user.cast("string").alias("requirement_id"), F.concat(F.lit("Requirement "), user.cast("string")).alias("statement"), F.lit("functional").alias("rtype"),
+        none.alias("nfr_category"), none.alias("feature"), none.alias("priority"), none.alias("rationale"), F.lit("candidate").alias("status"),
+    )
+    log = events.selectExpr("CAST(user_id AS STRING) AS requirement_id", "event_id AS seq", f"{_ACTION} AS action", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k", "ts")
+    return reqs, log.selectExpr("requirement_id", "seq", "action", f"CASE WHEN action = 'edit' THEN {_EDITS} END AS edits", "'reviewer' AS actor", "CAST(ts AS TIMESTAMP) AS ts")
+
+
+_MACHINE = (
+    f"WITH e AS (SELECT user_id, event_id AS seq, {_ACTION} AS action, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), "
+    "g AS (SELECT *, action IN ('accept', 'reject') OR (action = 'edit' AND coalesce(k % 5, 0) NOT IN (2, 3)) AS ok FROM e WHERE user_id % 10 <> 9) "
+    "SELECT CAST(user_id AS VARCHAR) AS requirement_id, coalesce(arg_max('Text ' || CAST(seq AS VARCHAR), seq) FILTER (WHERE ok AND action = 'edit' AND k % 5 = 0), 'Requirement ' || CAST(user_id AS VARCHAR)) AS statement, "
+    "CASE WHEN count(*) FILTER (WHERE ok AND action = 'edit' AND k % 5 = 1) > 0 THEN 'must' END AS priority, arg_max('F' || CAST(k AS VARCHAR), seq) FILTER (WHERE ok AND action = 'edit' AND k % 5 = 4) AS feature, "
+    "coalesce(arg_max(CASE action WHEN 'reject' THEN 'rejected' ELSE 'approved' END, seq) FILTER (WHERE ok), 'candidate') AS status, count(*) FILTER (WHERE ok) AS decisions, count(*) FILTER (WHERE NOT ok) AS refused FROM g GROUP BY user_id"
+)
+_STATE = ("requirement_id", "statement", "priority", "feature", "status", "decisions", "refused")
+
+
+@query(_MACHINE)
+def review_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirements after all review events, edits included; events without effect are counted apart."""
+    reqs, log = _reviewed(spark, sf_dir)
+    return reviews.current(reqs, reviews.decide(reqs, log)).select(*_STATE)
+
+
+@query(_MACHINE)
+def streaming_review_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of four files, a batch each, with a stop and a restart half way."""
+    from lodestar.runtime import Scratch
+
+    reqs, log = _reviewed(spark, sf_dir)
+    scratch = Scratch(spark, "machine")
+    low, high = log.agg(F.min("seq"), F.max("seq")).first()
+    step = ((high or 0) - (low or 0)) // 4 + 1
+    done = None
+    for k in range(4):
+        log.filter(F.floor((F.col("seq") - (low or 0)) / step) == k).coalesce(1).write.mode("append").parquet(scratch.path("in"))
+        if k % 2:
+            arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(scratch.path("in"))
+            done = reviews.stream_decisions(reqs, arriving, scratch.path("out"))
+    return reviews.current(reqs, done).select(*_STATE)
+
+
 @query(_LOG + "SELECT date_trunc('hour', ts) AS \"start\", action, count(*) AS n FROM log GROUP BY 1, 2")
 def decisions_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.streaming.ingest import windowed_decisions
