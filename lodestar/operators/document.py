@@ -10,6 +10,7 @@ from lodestar import lexicons as lex
 from lodestar.functions import classify as cl
 from lodestar.functions import text as tx
 from lodestar.operators import design, reporting
+from lodestar.runtime import Scratch
 
 
 def structure(docs: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def tags(lines: DataFrame) -> DataFrame:
 def violations(docs: DataFrame) -> DataFrame:
     """(doc_id, rule, detail) of every broken format check: sections, tables, tags and the entity line."""
     spark = docs.sparkSession
-    lines = structure(docs)
+    lines = Scratch(spark, "structure").write(structure(docs), "lines")  # five checks read it
     ids = docs.select("doc_id").distinct()
     heads = lines.filter("kind = 'heading'").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "sec_num", "sec_title")).alias("heads"))
     want = spark.createDataFrame(lex.REQUIRED_SECTIONS, "num string, words string")

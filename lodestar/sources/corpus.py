@@ -73,8 +73,11 @@ def html_markdown(html: Column) -> Column:
 _NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def docx_text(data: bytes) -> str:
-    """Body blocks of a Word file in order: headings as ``#`` lines, table rows with bars, blank lines between blocks."""
+def docx_text(data: bytes, markdown: bool = False) -> str:
+    """Body blocks of a Word file in order: headings as ``#`` lines, table rows with bars, blank lines between blocks.
+
+    With ``markdown``, tables have the outer bars and the rule under their head that format checks look for, blank rows included.
+    """
 
     def plain(e) -> str:
         return "".join(t.text or "" for t in e.iter(f"{_NS}t")).strip()
@@ -92,7 +95,9 @@ def docx_text(data: bytes) -> str:
             out.append(f"{'#' * level} {text}" if level else text)
         elif block.tag == f"{_NS}tbl":
             rows = [[plain(c) for c in r.iter(f"{_NS}tc")] for r in block.iter(f"{_NS}tr")]
-            if kept := [" | ".join(r) for r in rows if any(r)]:
+            if markdown and rows:
+                out.append("\n".join([f"| {' | '.join(r)} |" for r in [rows[0], ["---"] * len(rows[0]), *rows[1:]]]))
+            elif kept := [" | ".join(r) for r in rows if any(r)]:
                 out.append("\n".join(kept))
     return "\n\n".join(out)
 

@@ -198,9 +198,10 @@ def test_locate_and_contains_join(spark):
 
 def test_review_log(spark):
     log = spark.createDataFrame([(1, "a", "accept", "x"), (2, "a", "reject", "x"), (3, "b", "edit", "auto-approve"), (4, "z", "accept", "x"), (5, "b", "oops", "x")], "seq long, requirement_id string, action string, actor string")
-    known = spark.createDataFrame([("a", 0.95), ("b", 0.4)], "requirement_id string, confidence double")
+    known = spark.createDataFrame([("p", "a", 0.95), ("p", "b", 0.4), ("q", "c", 0.4)], "project_id string, requirement_id string, confidence double")
     good, bad = review.validated(log, known)
     assert sorted(r.seq for r in good.collect()) == [1, 2, 3] and sorted(r.seq for r in bad.collect()) == [4, 5]
     assert {r.requirement_id: r.status for r in review.fold_status(good).collect()} == {"a": "rejected", "b": "approved"}
-    assert {r.band: (r.accepted, r.decided) for r in review.calibration(known, good).collect()}["0.90-1.00"] == (0, 1)
-    assert review.suggested_bar(review.calibration(known, good)).first().bar == 0.9
+    bands = {(r.project_id, r.band): (r.accepted, r.decided) for r in review.calibration(known, good).collect()}
+    assert bands["p", "0.90-1.00"] == (0, 1) and bands["q", "0.90-1.00"] == (0, 0)
+    assert {r.project_id: r.bar for r in review.suggested_bar(review.calibration(known, good)).collect()} == {"p": 0.9, "q": 0.9}
