@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar import lexicons as lex
 from lodestar.functions import classify as cl
 from lodestar.functions import text as tx
+from lodestar.operators.folds import scope_clusters
 from lodestar.operators.similarity import cross_overlap
+from lodestar.runtime import Scratch
 
 
 def _each_term(rows: DataFrame, *keep: str) -> DataFrame:
@@ -66,17 +69,96 @@ def with_resolution(decisions: DataFrame, resolutions: DataFrame) -> DataFrame:
     return decisions.join(done, ["project_id", "decision_id"], "left").withColumn("resolved", F.col("action").isNotNull())
 
 
-def recommended_actions(decisions: DataFrame, reach: DataFrame) -> DataFrame:
-    """(project_id, id, action) that applying all recommendations would take; ``reach`` has statement, question text and id per decision.
+def decision_list(reqs: DataFrame, items: DataFrame) -> DataFrame:
+    """The decisions of every project, in order: conflicts, scope clusters, gaps and possible misses; what needs attention first.
 
-    Exclusions reject only requirements that restate the decision (similarity 0.62, not opposite).
+    ``reqs`` (project_id, idx, id, statement, feature, rtype, nfr_category, conflicts_with), ``items`` (project_id, idx, kind, statement,
+    reason). (project_id, n, decision_id, kind, question, recommended, options, evidence, affected, owner, tier, reason): a scope cluster is
+    named by its longest item, shows the first five as evidence and affects the requirements that share a rare distinctive term with any of
+    them; equal questions are asked once. A conflict's first side is the earlier requirement that names the other.
     """
-    rows = reach.join(decisions.select("project_id", "decision_id", "recommended"), ["project_id", "decision_id"])
-    neg = [tx.has_negation(F.col(c)) for c in ("statement", "topic")]
-    tok = [tx.tokens(F.col(c)) for c in ("statement", "topic")]
-    out = rows.filter(F.col("recommended").startswith("Exclude") | F.col("recommended").startswith("Defer"))
-    out = out.filter(~tx.polarity_conflict(neg[0], tok[0], neg[1], tok[1])).filter(tx.statement_similarity("statement", "topic") >= 0.62)
-    return out.select("project_id", "id", F.lit("reject").alias("action")).distinct()
+    scratch = Scratch(reqs.sparkSession, "decisions")
+    none, text = F.lit(None).cast("string"), F.trim("statement")
+    known = F.create_map(*[F.lit(x) for k, v, _ in lex.VERDICTS for x in (k, v)])
+    choices = F.create_map(*[x for k, _, o in lex.VERDICTS for x in (F.lit(k), F.array(*[F.lit(c) for c in o]))])
+    verdict = lambda kind: F.coalesce(F.try_element_at(known, kind), F.lit(lex.VERDICT_DEFAULT[0]))
+    options = lambda kind: F.coalesce(F.try_element_at(choices, kind), F.array(*[F.lit(c) for c in lex.VERDICT_DEFAULT[1]]))
+    columns = ["project_id", "step", "place", "kind", "question", "recommended", "options", "evidence", "affected", "owner", "tier", "reason"]
+
+    links = reqs.select("project_id", F.col("idx").alias("a_idx"), F.col("id").alias("a"), F.posexplode("conflicts_with").alias("k", "b"))
+    side = lambda k: reqs.select("project_id", *[F.col(c).alias(f"{k}_{c}") for c in ("statement", "feature", "rtype", "nfr_category")], F.col("id").alias(k))
+    pairs = links.join(side("b"), ["project_id", "b"]).withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b"))
+    pairs = pairs.groupBy("project_id", "low", "high").agg(F.min(F.struct("a_idx", "k", "a", "b")).alias("x")).select("project_id", "x.*").join(side("a"), ["project_id", "a"]).join(side("b"), ["project_id", "b"])
+    keep = F.when(F.length("a_statement") >= F.length("b_statement"), "Keep A").otherwise("Keep B")
+    conflicts = pairs.select(
+        "project_id", F.lit(0).alias("step"), F.struct(F.col("a_idx").cast("long").alias("i"), "k").alias("place"), F.lit("conflict").alias("kind"), F.format_string(lex.CONFLICT_QUESTION, "a_statement", "b_statement").alias("question"),
+        F.concat(keep, F.lit(lex.CONFLICT_VERDICT)).alias("recommended"), F.array(*[F.lit(o) for o in lex.CONFLICT_OPTIONS]).alias("options"), F.array("a_statement", "b_statement").alias("evidence"), F.array("a", "b").alias("affected"),
+        cl.owner(F.col("a_statement"), F.col("a_feature"), F.col("a_rtype"), F.col("a_nfr_category")).alias("owner"), F.lit("attention").alias("tier"), F.lit(lex.CONFLICT_REASON).alias("reason"),
+    )
+
+    scope = scratch.write(items.filter(F.col("kind").isin(*lex.SCOPE_KINDS) & (text != "")).select("project_id", F.col("idx").cast("long").alias("idx"), "kind", text.alias("statement"), "reason"), "scope")
+    placed = scratch.write(scope_clusters(scope.select("project_id", "idx", "statement")).join(scope, ["project_id", "idx"]), "clusters")
+    seen = placed.withColumn("nth", F.row_number().over(W.partitionBy("project_id", "cluster").orderBy("idx"))).filter("nth <= 5")  # the cap is the feature
+    shown = seen.groupBy("project_id", "cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "statement"))), lambda x: x["statement"]).alias("evidence"))
+    reach = affected(placed.select("project_id", F.col("cluster").alias("decision_id"), "statement"), reqs).join(reqs.select("project_id", "id", "idx"), ["project_id", "id"])
+    reach = reach.groupBy("project_id", F.col("decision_id").alias("cluster")).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "id"))), lambda x: x["id"]).alias("affected"))
+    named = placed.filter("representative").join(shown, ["project_id", "cluster"]).join(reach, ["project_id", "cluster"], "left")
+    clusters = named.select(
+        "project_id", F.lit(1).alias("step"), F.struct(F.col("cluster").alias("i"), F.lit(0).alias("k")).alias("place"), "kind", F.concat(F.when(cl.has_alternatives(F.col("statement")), "Value/approach: ").otherwise("Scope: "), "statement").alias("question"),
+        verdict(F.col("kind")).alias("recommended"), options(F.col("kind")).alias("options"), "evidence", F.coalesce("affected", F.array().cast("array<string>")).alias("affected"),
+        cl.owner(F.col("statement"), none, none, none).alias("owner"), F.lit("attention").alias("tier"), F.coalesce(F.nullif("reason", F.lit("")), "kind").alias("reason"),
+    )
+
+    added = items.filter(F.col("kind").isin(*lex.ADD_KINDS) & (text != ""))
+    missing = added.select(
+        "project_id", F.lit(2).alias("step"), F.struct(F.col("idx").cast("long").alias("i"), F.lit(0).alias("k")).alias("place"), "kind", F.concat(F.when(F.col("kind") == "gap", "Coverage gap: ").otherwise("Possible missed requirement: "), text).alias("question"),
+        verdict(F.col("kind")).alias("recommended"), options(F.col("kind")).alias("options"), F.array(text).alias("evidence"), F.array().cast("array<string>").alias("affected"),
+        cl.owner(text, none, none, none).alias("owner"), F.when(F.col("kind") == "gap", "review").otherwise("attention").alias("tier"), F.coalesce(F.nullif("reason", F.lit("")), "kind").alias("reason"),
+    )
+    every = conflicts.select(*columns).unionByName(clusters.select(*columns)).unionByName(missing.select(*columns))
+    every = every.withColumn("decision_id", F.concat(F.lit("DEC-"), F.substring(F.sha1(tx.normalize_exact("question")), 1, 8)))
+    first = every.groupBy("project_id", "decision_id").agg(F.min_by(F.struct(*columns[1:]), F.struct("step", "place")).alias("x")).select("project_id", "decision_id", "x.*")
+    order = W.partitionBy("project_id").orderBy(F.col("tier") != "attention", "step", "place")
+    return scratch.write(first, "first").withColumn("n", F.row_number().over(order)).select("project_id", "n", "decision_id", *columns[3:])
+
+
+RESTATES = 0.62
+
+
+def apply_recommended(decisions: DataFrame, reqs: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What applying the recommendation of every decision that is not in ``resolved`` (project_id, decision_id) does.
+
+    * actions (project_id, id, action): the last one on a requirement, in the order of decisions. A conflict keeps its recommended side and rejects
+      the other; disputed and undecided scope accepts what it affects; excluded and deferred scope rejects only requirements that restate
+      an item (similarity 0.62, not opposite), never mere neighbours;
+    * resolutions (project_id, decision_id, kind, recommended, action): one a decision; with them as ``resolved``, nothing is applied again;
+    * counts by project: conflicts, excluded, included, to_author (gaps and misses, which a reviewer writes).
+    """
+    scratch = Scratch(decisions.sparkSession, "apply")
+    todo = scratch.write(decisions.join(resolved.select("project_id", "decision_id").distinct(), ["project_id", "decision_id"], "left_anti"), "todo")
+    out, take = F.col("kind").isin("out_of_scope", "deferred"), F.col("kind").isin("disputed", "undecided")
+    each = todo.select("project_id", "n", "decision_id", "kind", "recommended", "evidence", F.posexplode("affected").alias("k", "id"))
+    keeps = (F.col("k") == 0) == F.col("recommended").startswith("Keep A")
+    told = each.filter((F.col("kind") == "conflict") | take).withColumn("action", F.when((F.col("kind") == "conflict") & ~keeps, "reject").otherwise("accept"))
+    near = each.filter(out).withColumn("topic", F.explode("evidence")).join(reqs.select("project_id", "id", "statement"), ["project_id", "id"])
+    neg, tok = ([f(F.col(c)) for c in ("statement", "topic")] for f in (tx.has_negation, tx.tokens))
+    near = near.filter(~tx.polarity_conflict(neg[0], tok[0], neg[1], tok[1])).filter(tx.statement_similarity("statement", "topic") >= RESTATES)
+    gone = near.select("project_id", "n", "decision_id", "kind", "id").distinct().withColumn("action", F.lit("reject"))
+    # within a conflict the kept side is taken first
+    acts = told.select("project_id", "n", "decision_id", "kind", "id", "action").unionByName(gone)
+    acts = scratch.write(acts.withColumn("at", F.struct("n", (F.col("action") == "reject").alias("late"))), "acts")
+    per = acts.groupBy("project_id", "decision_id").agg(F.count("*").alias("hits"), F.min(F.when(F.col("action") == "accept", F.col("id"))).alias("kept"), F.min(F.when(F.col("action") == "reject", F.col("id"))).alias("dropped"))
+    done = todo.join(per, ["project_id", "decision_id"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    label = (
+        F.when(F.col("kind") == "conflict", F.concat(F.lit("keep "), F.coalesce("kept", F.lit("?")), F.lit(", reject "), F.coalesce("dropped", F.lit("?"))))
+        .when(out, F.format_string("excluded %d restating requirement(s)", "hits")).when(take, F.format_string("included %d affected requirement(s)", "hits")).otherwise("left to a reviewer to write")
+    )
+    resolutions = done.select("project_id", "decision_id", "kind", "recommended", label.alias("action"))
+    counts = done.groupBy("project_id").agg(
+        F.count_if(F.col("kind") == "conflict").alias("conflicts"), F.sum(F.when(out, F.col("hits")).otherwise(0)).alias("excluded"),
+        F.sum(F.when(take, F.col("hits")).otherwise(0)).alias("included"), F.count_if(~(F.col("kind") == "conflict") & ~out & ~take).alias("to_author"),
+    )
+    return acts.groupBy("project_id", "id").agg(F.max_by("action", "at").alias("action")), resolutions, counts
 
 
 def verify_outcome(targets: DataFrame, verdicts: DataFrame, open_topics: DataFrame) -> DataFrame:

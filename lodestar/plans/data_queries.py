@@ -323,6 +323,27 @@ def decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return de.summary(_scope_decisions(spark, sf_dir))
 
 
+def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The view with its twins as conflicts, and the decisions on it and on its open items, gaps among them."""
+    reqs = req_view(spark, sf_dir).withColumn("conflicts_with", F.when(F.col("twin").isNull(), F.array().cast("array<string>")).otherwise(F.array("twin")))
+    gaps = grounding.coverage_gaps(reqs).select("project_id", F.xxhash64("aspect").alias("idx"), F.lit("gap").alias("kind"), "statement", "reason")
+    items = open_rows(spark, sf_dir).select("project_id", F.col("idx").cast("long").alias("idx"), "kind", "statement", "reason")
+    return reqs, de.decision_list(reqs, items.unionByName(gaps))
+
+
+@query()
+def decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All decisions of every project in their order, with evidence and what they affect."""
+    return _decided(spark, sf_dir)[1]
+
+
+@query()
+def recommended_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What applying every open recommendation does to requirements, where decisions by Compliance / Legal were resolved before."""
+    reqs, decisions = _decided(spark, sf_dir)
+    return de.apply_recommended(decisions, reqs, decisions.filter(F.startswith("owner", F.lit("Compliance"))))[0]
+
+
 # --- review log ---
 
 _LOG = (

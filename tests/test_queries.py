@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 QUERIES = {**classify_queries.QUERIES, **data_queries.QUERIES, **delivery_queries.QUERIES}
 ORACLES = {**classify_queries.ORACLES, **data_queries.ORACLES, **delivery_queries.ORACLES}
 MAY_BE_EMPTY = {"conflict_pairs", "aspect_gaps", "auto_approve_set", "verify_targets"}
-SLOW = {"analysis_chain", "consolidated", "dedup_fold", "recall_guard", "uncovered_items", "openq_collapse", "scope_clusters", "near_dup_merge", "echo_suppression"}
+SLOW = {"analysis_chain", "recommended_actions", "consolidated", "dedup_fold", "recall_guard", "uncovered_items", "openq_collapse", "scope_clusters", "near_dup_merge", "echo_suppression"}
 
 
 @pytest.fixture(scope="module")
