@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,7 +24,7 @@ from lodestar.functions import text as tx
 from lodestar.operators import decisions as de
 from lodestar.operators import folds, grounding, similarity
 from lodestar.operators.ranking import numbered
-from lodestar.sources.store import Store
+from lodestar.plans.stages import Stages
 
 
 @dataclass
@@ -40,23 +40,6 @@ class Verdicts:
     open_items: DataFrame | None = None  # project_id, comp, window, group_id, pos
 
 
-@dataclass
-class Stages:
-    """Stage tables under a folder. A stage that is complete is not computed again."""
-
-    store: Store
-    done: list[str] = field(default_factory=list)
-
-    def run(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        found = self.store.read(name)
-        if found is None:
-            df = make()
-            df.write.mode("overwrite").parquet(self.store.path(name))  # readers see a stage only when it is committed
-            found = self.store.spark.read.schema(df.schema).parquet(self.store.path(name))
-            self.done.append(name)
-        return found
-
-
 def requirements(candidates: DataFrame) -> DataFrame:
     """Accepted candidates (project_id, idx, statement, rtype, feature, nfr_category, inferred, confidence, chunk_start, spans ...) as requirements.
 
@@ -91,10 +74,12 @@ def analyze(reqs: DataFrame, open_items: DataFrame, chunks: DataFrame, stages: S
     folded, and withdrawn, the trail of requirements that gave way to a caution.
     """
     v = verdicts or Verdicts()
+    for name, df in {"reqs": reqs, "items": open_items, "chunks": chunks, **{f"said_{f.name}": getattr(v, f.name) for f in fields(v)}}.items():
+        stages.source(name, df)
     spark = reqs.sparkSession
     s = F.col("statement")
     base = reqs.withColumn("idx", F.col("idx").cast("long")).withColumn("authority", tx.source_authority(F.array("source_type"))).withColumn("refs", F.array("doc_id"))
-    folded = stages.run("folded", lambda: folds.dedup_fold(base).join(base.drop("statement", "rtype", "id", "refs"), ["project_id", "idx"]))
+    folded = stages.run("folded", lambda: folds.dedup_fold(base).join(base.drop("statement", "rtype", "id", "refs"), ["project_id", "idx"]), ["reqs"])
 
     pointer = cl.is_pointer(s)
     demoted = folded.filter(pointer)
@@ -103,30 +88,30 @@ def analyze(reqs: DataFrame, open_items: DataFrame, chunks: DataFrame, stages: S
         kept = _merged_into(kept, folds.confirmed_dedup(kept.select("project_id", "idx", "id", "statement", "refs", "duplicate_of", "absorbed"), v.dedup))
     if v.consolidate is not None:
         kept = _merged_into(kept, folds.consolidated(kept.select("project_id", "idx", "id", "statement", "authority", "refs", "duplicate_of", "absorbed"), v.consolidate))
-    kept = stages.run("consolidated", lambda: kept)
+    kept = stages.run("consolidated", lambda: kept, ["folded", "said_dedup", "said_consolidate"])
 
     asked_items = open_items.withColumn("idx", F.col("idx").cast("long"))
     cautions = asked_items.filter(F.col("kind").isin(*lex.SCOPE_KINDS))
     firm, withdrawn = kept, None
     if v.reconcile is not None:
-        withdrawn = stages.run("withdrawn", lambda: de.reconcile(kept, cautions, v.reconcile)[1].join(kept.select("project_id", "idx", "id", "statement", "refs"), ["project_id", "idx"]))
+        withdrawn = stages.run("withdrawn", lambda: de.reconcile(kept, cautions, v.reconcile)[1].join(kept.select("project_id", "idx", "id", "statement", "refs"), ["project_id", "idx"]), ["consolidated", "items", "said_reconcile"])
         firm = kept.join(withdrawn.select("project_id", "idx"), ["project_id", "idx"], "left_anti")
-    firm = stages.run("reconciled", lambda: firm)
+    firm = stages.run("reconciled", lambda: firm, ["consolidated", "withdrawn", "said_reconcile"])
 
     none = spark.createDataFrame([], "project_id string, a_id string, b_id string, reason string")
-    pairs = stages.run("conflicts", lambda: folds.conflicts(firm.select("project_id", "idx", "id", "statement"), v.conflicts) if v.conflicts is not None else none)
+    pairs = stages.run("conflicts", lambda: folds.conflicts(firm.select("project_id", "idx", "id", "statement"), v.conflicts) if v.conflicts is not None else none, ["reconciled", "said_conflicts"])
     rated = firm.join(folds.symmetric(pairs), ["project_id", "id"], "left").withColumn("conflicts_with", F.coalesce("conflicts_with", F.array().cast("array<string>")))
     rated = rated.withColumn("statement", cl.cosmetic(s)).withColumn("flags", cl.substantive_flags(cl.quality_flags(s))).withColumn("testable", cl.testable(s)).withColumn("priority", cl.moscow(s, F.col("rtype"), F.col("inferred")))
     rated = rated.withColumn("triage", cl.triage(F.col("inferred"), F.col("confidence"), F.col("conflicts_with"), F.col("flags"), F.col("testable"), F.col("rtype"), F.col("priority"), F.array("location")))
-    rated = stages.run("rated", lambda: rated.withColumn("owner", cl.owner(s, F.col("feature"), F.col("rtype"), F.col("nfr_category"))))
+    rated = stages.run("rated", lambda: rated.withColumn("owner", cl.owner(s, F.col("feature"), F.col("rtype"), F.col("nfr_category"))), ["reconciled", "conflicts"])
 
     final, opinions = rated, None
     if v.verify is not None:
         asked = rated.filter((F.col("triage.level") == "attention") & ~F.col("inferred") & (F.size("conflicts_with") == 0))
         asked = asked.withColumn("n", F.row_number().over(W.partitionBy("project_id").orderBy("idx"))).filter("n <= 120")  # the cap is the feature
-        opinions = stages.run("opinions", lambda: de.verify_outcome(asked.select("project_id", "id", "statement", F.col("refs").alias("doc_ids"), F.array("location").alias("locations")), v.verify, cautions))
+        opinions = stages.run("opinions", lambda: de.verify_outcome(asked.select("project_id", "id", "statement", F.col("refs").alias("doc_ids"), F.array("location").alias("locations")), v.verify, cautions), ["rated", "items", "said_verify"])
         final = rated.join(opinions.filter("outcome = 'critic_rejected'").select("project_id", "id"), ["project_id", "id"], "left_anti")
-    final = stages.run("requirements", lambda: final)
+    final = stages.run("requirements", lambda: final, ["rated", "opinions", "said_verify"])
 
     # open items, in the order in which the stages raise them
     place = {"doc_id": F.col("doc_id"), "where": F.col("location")}
@@ -153,19 +138,19 @@ def analyze(reqs: DataFrame, open_items: DataFrame, chunks: DataFrame, stages: S
     so_far = raised[0].withColumn("step", F.lit(0))
     for k, more in enumerate(raised[1:], 1):
         so_far = so_far.unionByName(more.withColumn("step", F.lit(k)))
-    so_far = stages.run("open_items_raised", lambda: so_far)
-    classes = stages.run("coverage", lambda: grounding.chunk_classes(chunks, final.select("project_id", "doc_id", "start", "end"), so_far.select("project_id", "doc_id", F.col("where").alias("location")), ("project_id", "doc_id")))
+    so_far = stages.run("open_items_raised", lambda: so_far, ["items", "withdrawn", "folded", "conflicts", "rated", "opinions", "requirements", "said_reconcile", "said_verify", "said_gaps"])
+    classes = stages.run("coverage", lambda: grounding.chunk_classes(chunks, final.select("project_id", "doc_id", "start", "end"), so_far.select("project_id", "doc_id", F.col("where").alias("location")), ("project_id", "doc_id")), ["chunks", "requirements", "open_items_raised"])
     missed = classes.filter(F.col("class") == "possible_miss")
     misses = _items(missed, "possible_miss", idx=F.col("idx").cast("long"), statement=F.substring(F.trim("text"), 1, 200), reason=F.lit(lex.MISS_REASON), **place)
     # one number for each over all projects, in the order of raising: what came first is folded first
     counted = so_far.unionByName(misses.withColumn("step", F.lit(len(raised)))).withColumn("_all", F.lit(0))
-    items = stages.run("open_items_all", lambda: numbered(counted, "_all", ["project_id", "step", "idx", "doc_id", "where", "statement"]).withColumn("idx", F.col("n").cast("long")).drop("n", "_all", "step"))
+    items = stages.run("open_items_all", lambda: numbered(counted, "_all", ["project_id", "step", "idx", "doc_id", "where", "statement"]).withColumn("idx", F.col("n").cast("long")).drop("n", "_all", "step"), ["open_items_raised", "coverage"])
 
     quiet = similarity.echo_free(items, final.select("project_id", "statement"))
-    out = stages.run("open_items_collapsed", lambda: folds.openq_collapse(quiet.select("project_id", "idx", "kind", "statement", "reason")).withColumn("merged_count", F.lit(1).cast("long")))
+    out = stages.run("open_items_collapsed", lambda: folds.openq_collapse(quiet.select("project_id", "idx", "kind", "statement", "reason")).withColumn("merged_count", F.lit(1).cast("long")), ["open_items_all", "requirements"])
     merged = merge_open_items(out.drop("reason"), v.open_items) if v.open_items is not None else out.drop("reason")
     told = items.select("project_id", "idx", "doc_id", "where", "reconciled_from", "merged_refs")
-    out = stages.run("open_items", lambda: merged.join(out.select("project_id", "idx", "reason"), ["project_id", "idx"]).join(told, ["project_id", "idx"]))
+    out = stages.run("open_items", lambda: merged.join(out.select("project_id", "idx", "reason"), ["project_id", "idx"]).join(told, ["project_id", "idx"]), ["open_items_collapsed", "open_items_all", "said_open_items"])
     return {"requirements": final, "open_items": out, "coverage": classes, "conflicts": pairs, "folded": folded, "withdrawn": withdrawn}
 
 

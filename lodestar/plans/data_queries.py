@@ -141,6 +141,21 @@ def heading_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkers.chunk(docs).filter("not startswith(text, '#')").select("doc_id", "location", "start", "end")
 
 
+_ITEM = "'{\"id\": ' || CAST(event_id AS STRING) || ', \"type\": \"' || event_type || '\", \"props\": ' || coalesce(props, 'null') || '}'"
+
+
+@query(
+    "WITH i AS (SELECT user_id AS doc_id, event_id, length(" + _ITEM + ") AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, sum(length(" + _ITEM + ") + 2) OVER (PARTITION BY user_id ORDER BY event_id) AS upto FROM events) "
+    "SELECT doc_id, k - 1 AS idx, CASE WHEN event_id <> 0 THEN CAST(event_id AS VARCHAR) ELSE '' END AS location, CAST(upto - n - 1 AS BIGINT) AS \"start\", CAST(upto - 1 AS BIGINT) AS \"end\" FROM i"
+)
+def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's events as one JSON array, cut back into its objects, named by their id (0 says nothing)."""
+    item = F.struct("event_id", F.expr(_ITEM).alias("text"))
+    docs = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["text"]), ", ").alias("text"))
+    docs = docs.select("doc_id", F.lit("jira").alias("source_type"), F.concat(F.lit("["), "text", F.lit("]")).alias("text"))
+    return chunkers.chunk(docs).select("doc_id", F.col("idx").cast("long").alias("idx"), "location", "start", "end")
+
+
 @query("SELECT doc_id, 0 AS idx, 0 AS \"start\", length(text) AS \"end\" FROM documents WHERE regexp_matches(text, '\\S')")
 def paragraph_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("note").alias("source_type"), "text")

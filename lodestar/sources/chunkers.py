@@ -1,23 +1,23 @@
 """Chunkers: documents (doc_id, source_type, text) to chunks with exact character offsets.
 
 Every chunk is a verbatim slice: text = substring(document, start + 1, end - start), offsets in code points.
-Lines end as Python's ``splitlines`` has them. All but the JSON chunker are window queries by document.
+Lines end as Python's ``splitlines`` has them. All are window queries by document, but for the scan of JSON texts.
 """
 
 from __future__ import annotations
 
-import json
+import re
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestar import lexicons as lex
 
 #: A place after a line's end: CR LF counts as one end.
 LINE_END = r"(?<=\n)|(?<=\r)(?!\n)|(?<=[\x0B\f\x1c\x1d\x1e\u0085\u2028\u2029])"
+LEVELS = 16
 BLANK = r"(?U)^[\s\x1c-\x1f]*$"
 
 
@@ -47,17 +47,22 @@ def paragraph_spans(docs: DataFrame) -> DataFrame:
 
 
 def markdown_spans(docs: DataFrame) -> DataFrame:
-    """Headings and paragraph blocks; the location is the trail of headings above."""
+    """Headings and paragraph blocks; the location is the trail of headings above.
+
+    A line carries the last heading of each level; one is in the trail if none of a higher level came after it. Levels
+    beyond ``LEVELS`` count as that one.
+    """
     stripped = F.regexp_replace("line", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     rows = lines(docs).withColumn("s", stripped).withColumn("head", F.col("s").startswith("#"))
     w = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     level = F.length("s") - F.length(F.regexp_replace("s", "^#+", ""))
     title = F.regexp_replace(F.regexp_replace("s", "^#+", ""), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-    rows = rows.withColumn("heads", F.collect_list(F.when(F.col("head"), F.struct(level.alias("level"), title.alias("title")))).over(w))
-    none = F.array().cast("array<struct<level:int,title:string>>")
-    trail = F.aggregate("heads", none, lambda acc, x: F.concat(F.filter(acc, lambda y: y["level"] < x["level"]), F.array(x)))
+    at = lambda k: F.last(F.when(F.col("head") & (F.least(level, F.lit(LEVELS)) == k), F.struct("line_no", title.alias("title"))), ignorenulls=True).over(w)
+    rows = rows.withColumn("heads", F.array(*[at(k) for k in range(1, LEVELS + 1)]))
+    above = lambda i: F.slice("heads", F.lit(1), i)
+    trail = F.filter("heads", lambda x, i: x.isNotNull() & ~F.exists(above(i), lambda y: F.coalesce(y["line_no"] > x["line_no"], F.lit(False))))
     joined = F.array_join(F.transform(trail, lambda x: x["title"]), " › ")
-    place = F.when(joined == "", F.when(F.col("head"), "(heading)").otherwise("(top)")).otherwise(joined)
+    place = F.when(joined == "", "(top)").otherwise(joined)
     # a heading is a block of its own; blank lines and headings end blocks
     rows = rows.withColumn("location", place).withColumn("block", F.sum(((F.col("s") == "") | F.col("head")).cast("int")).over(w))
     kept = rows.filter(F.col("s") != "").groupBy("doc_id", "block", "head", "location")
@@ -83,40 +88,45 @@ def csv_spans(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.coalesce(F.trim(field), F.lit("")).alias("location"), "start", "end")
 
 
-def object_spans(raw: str) -> list[tuple[str, int, int]]:
-    """(key or id, start, end) of the outermost {...}, aware of strings."""
-    out, depth, start, quoted, escaped = [], 0, None, False, False
-    for i, ch in enumerate(raw):
-        if quoted:
-            quoted = escaped or ch != '"'
-            escaped = ch == "\\" and not escaped
-            continue
-        if ch == '"':
-            quoted = True
-        elif ch == "{":
-            start = i if depth == 0 else start
-            depth += 1
-        elif ch == "}":
-            depth -= 1
-            if depth == 0 and start is not None:
-                try:
-                    item = json.loads(raw[start : i + 1])
-                    name = str(item.get("key") or item.get("id") or "")
-                except ValueError:
-                    name = ""
-                out.append((name, start, i + 1))
-                start = None
-    return out
+_STRING = re.compile(r'"(?:[^"\\]|\\.|\\\Z)*(?:"|\Z)', re.S)
 
 
-def json_spans(docs: DataFrame) -> DataFrame:
-    span = T.StructType([T.StructField("location", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+def object_spans(raw: str) -> list[tuple[int, int]]:
+    """(start, end) of the outermost {...}, aware of strings: a running sum of braces outside strings."""
+    code = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32)
+    step = (code == ord("{")).astype(np.int32) - (code == ord("}"))
+    for m in _STRING.finditer(raw):
+        step[m.start() : m.end()] = 0
+    depth = np.cumsum(step)
+    # where the depth leaves 0 by an opening brace and comes back to it by a closing one: these alternate
+    opens, closes = np.flatnonzero((step == 1) & (depth == 1)), np.flatnonzero((step == -1) & (depth == 0))
+    return list(zip(opens.tolist(), (closes + 1).tolist()))  # noqa: B905  the last object may be open
+
+
+@F.udtf(returnType="start int, end int")
+class ObjectSpans:
+    """Rows of ``object_spans``."""
 
-    @F.pandas_udf(T.ArrayType(span))
-    def find(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: [{"location": a, "start": b, "end": c} for a, b, c in object_spans(x or "")])
+    def eval(self, text: str):
+        yield from object_spans(text or "")
 
-    return docs.select("doc_id", F.explode(find("text")).alias("x")).select("doc_id", "x.*")
+
+def picked(item: Column, *keys: str) -> Column:
+    """The first of these keys of a JSON object whose value says something (not null, false, 0 or empty), as text; else the empty string.
+
+    The object is parsed once, as a VARIANT; text that is no object picks nothing.
+    """
+    v = F.try_parse_json(item)
+    values = [F.try_variant_get(v, f"$.{k}", "string") for k in keys]
+    said = [F.when(~x.isin("", "0", "0.0", "false", "[]", "{}", "null"), F.when(x == "true", "True").otherwise(x)) for x in values]
+    return F.coalesce(*said, F.lit(""))
+
+
+def json_spans(docs: DataFrame) -> DataFrame:
+    """The outermost objects of a JSON text; the location is the object's key or id."""
+    found = docs.lateralJoin(ObjectSpans(F.col("text").outer()))
+    item = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
+    return found.select("doc_id", picked(item, "key", "id").alias("location"), "start", "end")
 
 
 CHUNKERS = {"brd": markdown_spans, "email": markdown_spans, "legacy": markdown_spans, "transcript": transcript_spans, "form": csv_spans, "jira": json_spans}
