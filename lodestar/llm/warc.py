@@ -7,7 +7,8 @@ payload and the id that they refer to.
 
 Reader: walks an archive member by member with an incremental zlib inflater over fixed-size reads, frames each
 record by its Content-Length, and verifies the block against WARC-Block-Digest (and, where the payload is in
-the record, WARC-Payload-Digest). A damaged member raises; nothing is skipped in silence.
+the record, WARC-Payload-Digest). A damaged member raises; nothing is skipped in silence. Archives of other writers are
+read too (see ``parse``).
 
 Defined cases: a null payload counts as empty; ids may repeat (all rows with the largest id of a digest are
 responses) and a null id is written as empty; empty tables give no archive and no record.
@@ -17,7 +18,9 @@ and the payload column is never shuffled while that table of repeated digests fi
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,12 +39,14 @@ READ_BYTES = 256 << 10
 #: zlib level: 1 is about three times as fast as 6 for a quarter more bytes on web pages.
 LEVEL = 1
 DATE = "2024-01-01T00:00:00Z"
+#: How our own record ids begin.
+OWN = "<urn:page:"
 
-RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("record_id", pa.string())])
 
 
 def _urn(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+    return f"{OWN}{'' if page_id is None else page_id}>"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
@@ -135,24 +140,61 @@ def members(read, size: int = READ_BYTES) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; folded lines are joined, and the first of equal names counts."""
+    try:
+        text = head.decode("utf-8")
+    except UnicodeDecodeError:
+        text = head.decode("latin-1")
+    out: dict[str, str] = {}
+    for line in re.sub(r"\r\n[ \t]+", " ", text).split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        out.setdefault(name.strip().lower(), value.strip())
+    return out
+
+
+def _holds(said: str, data: bytes) -> bool:
+    """Whether a labelled digest (``sha1:...``, in hex or base32) is that of the data; algorithms that are not known here are taken on trust."""
+    name, _, value = said.partition(":")
+    if name.lower().replace("-", "") not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    digest = hashlib.new(name.lower().replace("-", ""), data).digest()
+    return value.lower() == digest.hex() or value.upper().rstrip("=") == base64.b32encode(digest).decode().rstrip("=")
+
+
 def parse(data: bytes) -> dict:
-    """A record's fields, after framing by Content-Length and digest verification."""
+    """A record's fields, after framing by Content-Length and digest verification.
+
+    Records of other writers are read as well: of any type, with digests in hex or base32 or without, with an HTTP message as their block (the
+    payload is its body). Their page_id is null, ``record_id`` names them; the length of a payload that is not in the record is null unless it is told.
+    """
     head, gap, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    if not gap or not lines[0].startswith("WARC/"):
+    if not gap or not head.startswith(b"WARC/"):
         raise Damaged("a member does not start with a WARC header")
-    field = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    field = _fields(head)
+    who = field.get("warc-record-id", "")
+    if not field.get("content-length", "").isdecimal() or "warc-type" not in field:
+        raise Damaged(f"{who}: no Content-Length or no type")
     n = int(field["content-length"])
     block = rest[:n]
     if len(block) != n or rest[n:] != b"\r\n\r\n":
-        raise Damaged(f"{field.get('warc-record-id')}: Content-Length does not frame the record")
-    kind, digest = field["warc-type"], field["warc-payload-digest"].removeprefix("sha1:")
-    if hashlib.sha1(block).hexdigest() != field["warc-block-digest"].removeprefix("sha1:") or kind == "response" and field["warc-block-digest"] != field["warc-payload-digest"]:
-        raise Damaged(f"{field.get('warc-record-id')}: digest mismatch")
-    number = lambda name: int(x) if (x := field.get(name, "").removeprefix("<urn:page:").rstrip(">")) else None
+        raise Damaged(f"{who}: Content-Length does not frame the record")
+    kind, said, payload = field["warc-type"], field.get("warc-payload-digest"), block
+    http = field.get("content-type", "").lower().startswith("application/http")
+    if http:
+        start, _, payload = block.partition(b"\r\n\r\n")
+    whole = kind != "revisit"
+    if "warc-block-digest" in field and not _holds(field["warc-block-digest"], block):
+        raise Damaged(f"{who}: digest mismatch")
+    coded = http and b"transfer-encoding" in start.lower()  # such a digest may be of the body as sent or as meant
+    if whole and said is not None and not coded and not _holds(said, payload):
+        raise Damaged(f"{who}: digest mismatch")
+    number = lambda name: int(x) if (x := field.get(name, "").removeprefix(OWN).rstrip(">")).lstrip("-").isdecimal() and field[name].startswith(OWN) else None
+    told = field.get("warc-payload-length", "")
     return {
         "page_id": number("warc-record-id"), "url": field.get("warc-target-uri", ""), "record_type": kind, "refers_to": number("warc-refers-to"),
-        "payload_bytes": int(field["warc-payload-length"]), "payload_digest": digest, "payload": block,
+        "payload_bytes": int(told) if told.isdecimal() else len(payload) if whole else None,
+        "payload_digest": said.removeprefix("sha1:") if said is not None else hashlib.sha1(payload).hexdigest() if whole else None, "payload": payload, "record_id": who,
     }
 
 

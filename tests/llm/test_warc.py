@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import io
 
@@ -43,3 +44,32 @@ def test_members_over_small_reads_and_damage():
         warc.parse(data[3].replace(b"xxx", b"xyx", 1))
     with pytest.raises(warc.Damaged):
         warc.parse(data[3][:-1])
+
+
+def foreign(block, **fields):
+    head = {"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:1>", "Content-Length": str(len(block)), **{k.replace("_", "-"): v for k, v in fields.items()}}
+    return "WARC/1.0\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode("utf-8") + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_records_of_other_writers():
+    info = warc.parse(foreign(b"software: x\r\n", WARC_Type="warcinfo", Content_Type="application/warc-fields"))
+    assert (info["record_type"], info["page_id"], info["payload_bytes"], info["record_id"]) == ("warcinfo", None, 13, "<urn:uuid:1>")
+    body = b"<p>hi</p>"
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    b32 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    page = warc.parse(foreign(block, Content_Type="application/http; msgtype=response", WARC_Payload_Digest=b32(body), WARC_Block_Digest=b32(block), WARC_Target_URI="http://e/\r\n x"))
+    assert (page["payload"], page["payload_bytes"], page["url"]) == (body, len(body), "http://e/ x")
+    gone = warc.parse(foreign(b"", WARC_Type="revisit", WARC_Payload_Digest=b32(body), WARC_Refers_To="<urn:uuid:0>"))
+    assert (gone["payload_bytes"], gone["refers_to"], gone["payload_digest"]) == (None, None, b32(body)[5:])
+    assert warc.parse(foreign(b"GET /", WARC_Type="request", WARC_Block_Digest="xyz:1"))["record_type"] == "request"
+    assert warc.parse(foreign(body, WARC_Block_Digest="sha256:" + hashlib.sha256(body).hexdigest()))["payload_digest"] == hashlib.sha1(body).hexdigest()
+    for bad in (foreign(block, Content_Type="application/http", WARC_Payload_Digest=b32(block)), foreign(body, WARC_Block_Digest=b32(b"")), foreign(body, Content_Length="x")):
+        with pytest.raises(warc.Damaged):
+            warc.parse(bad)
+
+
+def test_repeated_and_null_ids(spark):
+    big = "z" * 1500
+    got = round_trip(spark, [(5, "u", big, 0), (5, "u", big, 0), (None, "u", big, 0), (None, "u", "s", 0), (2, "u", big, 0)])
+    shape = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got), key=str)
+    assert shape == [(2, "revisit", 5, 1500), (5, "response", None, 1500), (5, "response", None, 1500), (None, "response", None, 1), (None, "revisit", 5, 1500)]
