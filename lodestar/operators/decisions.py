@@ -161,6 +161,27 @@ def apply_recommended(decisions: DataFrame, reqs: DataFrame, resolved: DataFrame
     return acts.groupBy("project_id", "id").agg(F.max_by("action", "at").alias("action")), resolutions, counts
 
 
+ADOPTS = 0.8
+
+
+def adopt_rewrites(reqs: DataFrame, rewrites: DataFrame | None) -> DataFrame:
+    """``reqs`` (project_id, idx, statement, ...) with the statement made plain, or replaced by its rewrite, and rewrite_adopted.
+
+    A rewrite (project_id, idx, rewrite) is adopted if it keeps the meaning: similarity 0.8 with the plain statement, the same first modal, and
+    not opposite. Where several are offered, the first by text counts; blank ones do not.
+    """
+    plain = reqs.withColumn("statement", cl.cosmetic(F.col("statement")))
+    if rewrites is None:
+        return plain.withColumn("rewrite_adopted", F.lit(False))
+    asked = rewrites.withColumn("rewrite", F.trim("rewrite")).filter("rewrite <> ''").groupBy("project_id", "idx").agg(F.min("rewrite").alias("rewrite"))
+    old, new = F.col("statement"), F.col("rewrite")
+    pairs = plain.select("project_id", "idx", "statement").join(asked, ["project_id", "idx"])
+    pairs = pairs.filter((cl.first_modal(old) == cl.first_modal(new)) & ~tx.polarity_conflict(tx.has_negation(new), tx.tokens(new), tx.has_negation(old), tx.tokens(old)))
+    good = pairs.filter(tx.statement_similarity("rewrite", "statement") >= ADOPTS).select("project_id", "idx", "rewrite")
+    out = plain.join(good, ["project_id", "idx"], "left").withColumn("rewrite_adopted", new.isNotNull())
+    return out.withColumn("statement", F.coalesce(new, old)).drop("rewrite")
+
+
 def verify_outcome(targets: DataFrame, verdicts: DataFrame, open_topics: DataFrame) -> DataFrame:
     """(project_id, id, outcome) of second opinions: holds, critic_flag (kept: corroborated and not open) or critic_rejected.
 

@@ -35,6 +35,7 @@ class Verdicts:
     consolidate: DataFrame | None = None  # project_id, comp, window, group_id, pos
     reconcile: DataFrame | None = None  # project_id, idx
     conflicts: DataFrame | None = None  # project_id, comp, window, a, b, is_conflict, reason
+    rewrites: DataFrame | None = None  # project_id, idx, rewrite
     verify: DataFrame | None = None  # project_id, id, holds, open_decision
     gaps: DataFrame | None = None  # project_id, statement
     open_items: DataFrame | None = None  # project_id, comp, window, group_id, pos
@@ -101,9 +102,10 @@ def analyze(reqs: DataFrame, open_items: DataFrame, chunks: DataFrame, stages: S
     none = spark.createDataFrame([], "project_id string, a_id string, b_id string, reason string")
     pairs = stages.run("conflicts", lambda: folds.conflicts(firm.select("project_id", "idx", "id", "statement"), v.conflicts) if v.conflicts is not None else none, ["reconciled", "said_conflicts"])
     rated = firm.join(folds.symmetric(pairs), ["project_id", "id"], "left").withColumn("conflicts_with", F.coalesce("conflicts_with", F.array().cast("array<string>")))
-    rated = rated.withColumn("statement", cl.cosmetic(s)).withColumn("flags", cl.substantive_flags(cl.quality_flags(s))).withColumn("testable", cl.testable(s)).withColumn("priority", cl.moscow(s, F.col("rtype"), F.col("inferred")))
+    rated = rated.withColumn("flags", cl.substantive_flags(cl.quality_flags(s))).withColumn("testable", cl.testable(s))
+    rated = de.adopt_rewrites(rated, v.rewrites).withColumn("priority", cl.moscow(s, F.col("rtype"), F.col("inferred")))
     rated = rated.withColumn("triage", cl.triage(F.col("inferred"), F.col("confidence"), F.col("conflicts_with"), F.col("flags"), F.col("testable"), F.col("rtype"), F.col("priority"), F.array("location")))
-    rated = stages.run("rated", lambda: rated.withColumn("owner", cl.owner(s, F.col("feature"), F.col("rtype"), F.col("nfr_category"))), ["reconciled", "conflicts"])
+    rated = stages.run("rated", lambda: rated.withColumn("owner", cl.owner(s, F.col("feature"), F.col("rtype"), F.col("nfr_category"))), ["reconciled", "conflicts", "said_rewrites"])
 
     final, opinions = rated, None
     if v.verify is not None:

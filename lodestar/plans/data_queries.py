@@ -346,6 +346,19 @@ def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return reqs, de.decision_list(reqs, items.unionByName(gaps))
 
 
+def offered_rewrites(reqs: DataFrame) -> DataFrame:
+    """A rewrite for every row: another modal, close wording, another subject, a negation, in turn."""
+    text = "CASE idx % 4 WHEN 0 THEN replace(replace(statement, 'shall', 'should'), 'must', 'may') WHEN 1 THEN replace(statement, 'the ', 'each ') WHEN 2 THEN 'Something else entirely shall hold.' ELSE replace(statement, ' shall ', ' shall not ') END AS rewrite"
+    return reqs.selectExpr("project_id", "idx", text)
+
+
+@query()
+def adopted_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements after cosmetic fixes and those rewrites that keep the meaning."""
+    reqs = req_view(spark, sf_dir)
+    return de.adopt_rewrites(reqs.select("project_id", "idx", "id", "statement"), offered_rewrites(reqs))
+
+
 @query()
 def decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All decisions of every project in their order, with evidence and what they affect."""

@@ -1,6 +1,7 @@
 """The decision list and its bulk application against plain Python over the small view."""
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,21 @@ def test_the_list_and_its_application(spark, world):
     assert sum(c["excluded"] for c in n.values()) and sum(c["conflicts"] for c in n.values())
     every = resolutions.select("project_id", "decision_id").union(kept)
     assert every.count() == len(want) and de.apply_recommended(got, reqs, every)[0].count() == 0
+
+
+def test_rewrites_are_adopted_if_they_keep_the_meaning(spark):
+    from lodestar.plans.data_queries import adopted_rewrites, offered_rewrites
+
+    reqs = req_view(spark, SF)
+    said = {r.idx: r.rewrite.strip() for r in offered_rewrites(reqs).collect()}
+    modal = lambda t: next((m for m in lex.MODALS if re.search(rf"\b{m}\b", t.lower())), "")
+    want = {}
+    for r in reqs.collect():
+        plain = " ".join(r.statement.split())
+        plain += "" if plain[-1] in ".!?" else "."
+        new = said[r.idx]
+        ok = tx.similarity(new, plain) >= 0.8 and modal(new) == modal(plain) and not tx.opposite(new, plain)
+        want[r.idx] = (new if ok else plain, ok)
+    got = {r.idx: (r.statement, r.rewrite_adopted) for r in adopted_rewrites(spark, SF).collect()}
+    assert got == want and 20 < sum(ok for _, ok in want.values()) < 150
+    assert de.adopt_rewrites(reqs, None).filter("rewrite_adopted").count() == 0
