@@ -9,9 +9,9 @@ from lodestar import lexicons as lex
 from lodestar.functions import classify as cl
 from lodestar.functions import text as tx
 from lodestar.operators import decisions as de
-from lodestar.operators import design, document, jobs, reporting
+from lodestar.operators import design, diagrams, document, jobs, reporting
 from lodestar.plans import duck
-from lodestar.plans.classify_queries import assessed, glossary
+from lodestar.plans.classify_queries import assessed, glossary, lexicon_hits
 from lodestar.plans.data_queries import _IDS, _MATRIX, _lum, open_rows, specification_of, table
 from lodestar.plans.data_queries import _OPEN as _OPEN_ITEMS
 from lodestar.plans.req_view import req_view, with_view
@@ -129,6 +129,41 @@ def technology_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document.technology_section(aspects, candidates, wish, stated)
 
 
+_SEED = (
+    f"f AS (SELECT project_id, {duck.feature('feature')} AS f, min(id) AS first FROM rv WHERE status = 'approved' AND rtype = 'functional' GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY first) AS k FROM f), "
+    "p AS (SELECT DISTINCT project_id FROM rv WHERE status = 'approved')"
+)
+_NL = " || chr(10) || "
+
+
+@query(
+    f"WITH {_SEED}, e AS (SELECT project_id, substr(upper(CASE WHEN len(regexp_extract_all(f, '[A-Za-z0-9]+')) = 0 THEN 'Entity' ELSE array_to_string(regexp_extract_all(f, '[A-Za-z0-9]+'), '') END), 1, {diagrams.NAME}) AS e, min(k) AS k FROM n WHERE k <= {diagrams.ENTITIES} GROUP BY 1, 2), "
+    f"g AS (SELECT project_id, list(e ORDER BY k) AS es FROM e GROUP BY 1) SELECT project_id, 'erDiagram'{_NL}'  {diagrams.NOTE}'{_NL}CASE WHEN es IS NULL THEN '  USER {{'{_NL}'    string id'{_NL}'  }}' "
+    f"ELSE array_to_string(list_transform(es, lambda x: '  USER ||--o{{ ' || x || ' : manages'), chr(10)){_NL}'  USER {{'{_NL}'    string id'{_NL}'    string name'{_NL}'  }}'{_NL}"
+    f"array_to_string(list_transform(es, lambda x: '  ' || x || ' {{'{_NL}'    string id'{_NL}'    string status'{_NL}'  }}'), chr(10)) END AS text FROM p LEFT JOIN g USING (project_id)"
+)
+def entity_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seed entity diagram of every project."""
+    return diagrams.entity_diagram(req_view(spark, sf_dir))
+
+
+_ACTOR_ROWS = " UNION ALL ".join(f"SELECT DISTINCT project_id, {i} AS rank, {duck.q(name)} AS name FROM rv WHERE status = 'approved' AND {duck.has_any('lower(statement)', keys)}" for i, (name, keys, _) in enumerate(lex.ROLES))
+_LABEL = "CASE WHEN trim(regexp_replace(f, '\\s+', ' ', 'g')) = '' THEN 'Unnamed' ELSE translate(trim(regexp_replace(f, '\\s+', ' ', 'g')), '\"[]{}', '''()()') END"
+
+
+@query(
+    f"WITH {_SEED}, w AS (SELECT project_id, list(name ORDER BY rank) AS a FROM ({_ACTOR_ROWS}) r GROUP BY 1), c AS (SELECT project_id, list({_LABEL} ORDER BY k) AS u FROM n WHERE k <= {diagrams.USE_CASES} GROUP BY 1), "
+    "x AS (SELECT p.project_id, coalesce(a, ['User']) AS a, coalesce(u, ['No functional requirements approved yet']) AS u FROM p LEFT JOIN w USING (project_id) LEFT JOIN c USING (project_id)) "
+    f"SELECT project_id, 'flowchart LR'{_NL}'  {diagrams.NOTE}'{_NL}array_to_string(list_transform(a, lambda y, i: '  actor' || CAST(i - 1 AS VARCHAR) || '([\"' || y || '\"])'), chr(10)){_NL}"
+    f"array_to_string(list_transform(u, lambda y, i: '  UC' || CAST(i - 1 AS VARCHAR) || '[\"' || y || '\"]'), chr(10)){_NL}"
+    "array_to_string(flatten(list_transform(range(len(a)), lambda i: list_transform(range(len(u)), lambda j: '  actor' || CAST(i AS VARCHAR) || ' --> UC' || CAST(j AS VARCHAR)))), chr(10)) AS text FROM x"
+)
+def use_case_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seed use-case diagram of every project."""
+    reqs = req_view(spark, sf_dir)
+    return diagrams.use_case_diagram(reqs, lexicon_hits(reporting.approved(reqs), [r[:2] for r in lex.ROLES]))
+
+
 _GOLD = "g AS (SELECT id, idx FROM rv WHERE idx % 11 <> 0), s AS (SELECT CASE WHEN idx % 3 = 0 THEN 'test' ELSE 'dev' END AS split, id FROM rv WHERE idx % 7 <> 0 UNION ALL SELECT 'test', id FROM rv WHERE idx % 35 = 1) "
 
 
