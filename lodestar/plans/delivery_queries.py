@@ -9,7 +9,7 @@ from lodestar import lexicons as lex
 from lodestar.functions import classify as cl
 from lodestar.functions import text as tx
 from lodestar.operators import decisions as de
-from lodestar.operators import design, diagrams, document, jobs, reporting
+from lodestar.operators import design, diagrams, document, jobs, reporting, stack
 from lodestar.plans import duck
 from lodestar.plans.classify_queries import assessed, glossary, lexicon_hits
 from lodestar.plans.data_queries import _IDS, _MATRIX, _lum, open_rows, specification_of, table
@@ -164,6 +164,28 @@ def use_case_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagrams.use_case_diagram(reqs, lexicon_hits(reporting.approved(reqs), [r[:2] for r in lex.ROLES]))
 
 
+_TOKEN_HITS = " UNION ALL ".join(
+    [f"SELECT DISTINCT project_id, {i} AS k, {duck.q(g)} AS g, {duck.q(t)} AS t FROM s WHERE regexp_matches(low, {duck.q('(^|[^a-z0-9])' + t.replace('.', chr(92) + '.') + '([^a-z0-9]|$)')})" for i, (g, t) in enumerate((g, t) for g, ts in lex.TECH_TOKENS.items() for t in ts)]
+    + [f"SELECT DISTINCT project_id, {1000 + i}, 'name', {duck.q(n)} FROM s WHERE contains(low, {duck.q(n + ' stack')})" for i, n in enumerate(lex.STACK_NAMES)]
+)
+_COUNTS = lambda signals: " + ".join(f"(length(low) - length(replace(low, {duck.q(x)}, ''))) // {len(x)}" for x in signals)
+_PROPOSED = _values((key, pos, name, pos == 1, when or "always") for key, names, when in lex.STACK_PROPOSALS for pos, name in enumerate(names, 1))
+
+
+@query(
+    f"WITH s AS (SELECT project_id, lower(statement) AS low FROM rv WHERE status = 'approved'), h AS ({_TOKEN_HITS}), "
+    f"p AS (SELECT project_id, bool_or({duck.has_any('low', lex.STACK_CUES)}) AS cue, sum({_COUNTS(lex.PYTHON_SIGNALS)}) AS py, sum({_COUNTS(lex.SCRIPT_SIGNALS)}) AS js, bool_or({duck.has_any('low', lex.SEARCH_SIGNALS)}) AS search, bool_or({duck.has_any('low', lex.NOTIFY_SIGNALS)}) AS notify FROM s GROUP BY 1), "
+    "n AS (SELECT p.project_id, py, js, search, notify, coalesce(bool_or(h.g = 'name'), false) OR (count(h.t) > 0 AND cue) AS stated, bool_and(coalesce(h.g, 'name') = 'name') AS bare, arg_min(h.t, h.k) AS first FROM p LEFT JOIN h USING (project_id) GROUP BY p.project_id, cue, py, js, search, notify) "
+    "SELECT n.project_id, true AS stated, CASE h.g WHEN 'data' THEN 'database' ELSE h.g END AS key, 1 AS pos, string_agg(h.t, ', ' ORDER BY h.k) AS name, true AS recommended FROM n JOIN h USING (project_id) WHERE stated AND h.g IN ('frontend', 'backend', 'data') GROUP BY 1, 3 "
+    f"UNION ALL SELECT project_id, true, 'stack', 1, upper(coalesce(first, {duck.q(lex.STACK_UNNAMED)})), true FROM n WHERE stated AND bare "
+    f"UNION ALL SELECT n.project_id, false, v.key, v.pos, v.name, CASE WHEN v.key = 'backend' THEN v.pos = CASE WHEN py >= js THEN 2 ELSE 1 END ELSE v.lead END FROM n CROSS JOIN {_PROPOSED} v(key, pos, name, lead, w) "
+    "WHERE NOT stated AND (w = 'always' OR (w = 'search' AND search) OR (w = 'notify' AND notify))"
+)
+def stack_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stack of every project: what its approved requirements state, or what they suggest."""
+    return stack.proposal(reporting.approved(req_view(spark, sf_dir)))
+
+
 _GOLD = "g AS (SELECT id, idx FROM rv WHERE idx % 11 <> 0), s AS (SELECT CASE WHEN idx % 3 = 0 THEN 'test' ELSE 'dev' END AS split, id FROM rv WHERE idx % 7 <> 0 UNION ALL SELECT 'test', id FROM rv WHERE idx % 35 = 1) "
 
 
