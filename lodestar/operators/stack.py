@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar import lexicons as lex
@@ -55,3 +56,11 @@ def proposal(reqs: DataFrame) -> DataFrame:
             proposed.append(F.when(F.col(when), row) if when else row)
     rows = F.array_compact(F.when(F.col("stated"), F.array(*adopted, alone)).otherwise(F.array(*proposed)))
     return signals(reqs).select("project_id", "stated", F.inline(rows))
+
+
+def unique_keys(aspects: DataFrame) -> DataFrame:
+    """``aspects`` (project_id, pos, key, ...) with keys in lower case, told apart in a project: a blank one is named by its place, a repeated one gets a ``_`` more each time."""
+    place = F.row_number().over(W.partitionBy("project_id").orderBy("pos")).cast("string")
+    named = aspects.withColumn("key", F.coalesce(F.nullif(F.lower(F.trim("key")), F.lit("")), F.concat(F.lit("aspect-"), place)))
+    nth = F.row_number().over(W.partitionBy("project_id", "key").orderBy("pos"))
+    return named.withColumn("_nth", nth).withColumn("key", F.concat("key", F.repeat(F.lit("_"), F.col("_nth") - 1))).drop("_nth")

@@ -346,6 +346,14 @@ def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return reqs, de.decision_list(reqs, items.unionByName(gaps))
 
 
+@query(_DEC + f"SELECT project_id, kind, question, decision_id FROM (SELECT *, 'DEC-' || substr(sha1({duck.norm('question')}), 1, 8) AS decision_id FROM d) t WHERE owner = 'CX / Operations' AND substr(decision_id, 5, 1) >= '8'", view=True)
+def open_decisions_of_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of one owner that are still open, where those with a low first digit were resolved."""
+    every = _scope_decisions(spark, sf_dir)
+    done = every.filter(F.substring("decision_id", 5, 1) < "8").select("project_id", "decision_id", F.lit(1).alias("seq"), F.lit("accept").alias("action"))
+    return de.with_resolution(every, done).filter(~F.col("resolved") & (F.col("owner") == "CX / Operations")).select("project_id", "kind", "question", "decision_id")
+
+
 def offered_rewrites(reqs: DataFrame) -> DataFrame:
     """A rewrite for every row: another modal, close wording, another subject, a negation, in turn."""
     text = "CASE idx % 4 WHEN 0 THEN replace(replace(statement, 'shall', 'should'), 'must', 'may') WHEN 1 THEN replace(statement, 'the ', 'each ') WHEN 2 THEN 'Something else entirely shall hold.' ELSE replace(statement, ' shall ', ' shall not ') END AS rewrite"

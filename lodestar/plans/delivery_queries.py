@@ -186,6 +186,18 @@ def stack_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack.proposal(reporting.approved(req_view(spark, sf_dir)))
 
 
+_KEY_OF = "CASE WHEN idx % 5 = 0 THEN ' ' WHEN idx % 5 = 1 THEN NULL ELSE upper(source_type) END AS key"
+
+
+@query(
+    f"WITH a AS (SELECT project_id, idx AS pos, {_KEY_OF} FROM rv), k AS (SELECT project_id, pos, coalesce(nullif(lower(trim(key)), ''), 'aspect-' || CAST(row_number() OVER (PARTITION BY project_id ORDER BY pos) AS VARCHAR)) AS key FROM a) "
+    "SELECT project_id, pos, key || repeat('_', row_number() OVER (PARTITION BY project_id, key ORDER BY pos) - 1) AS key FROM k"
+)
+def aspect_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view read as aspects named by their source: keys told apart in a project."""
+    return stack.unique_keys(req_view(spark, sf_dir).selectExpr("project_id", "idx AS pos", _KEY_OF))
+
+
 _GOLD = "g AS (SELECT id, idx FROM rv WHERE idx % 11 <> 0), s AS (SELECT CASE WHEN idx % 3 = 0 THEN 'test' ELSE 'dev' END AS split, id FROM rv WHERE idx % 7 <> 0 UNION ALL SELECT 'test', id FROM rv WHERE idx % 35 = 1) "
 
 
