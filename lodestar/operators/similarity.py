@@ -83,14 +83,19 @@ def common_subsequence(codes: np.ndarray, letters: int, size: np.ndarray, left:
     return np.bitwise_count(~v & low).sum(axis=1).astype(np.int64)
 
 
-def candidates(left: list[str], right: list[str], threshold: float, seen: dict[str, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of spelled texts whose ratio, either way round, may reach the threshold; ``seen`` counts what each bound leaves."""
+def candidates(left: list[str], right: list[str], threshold: float, seen: dict[str, int] | None = None, once: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of spelled texts whose ratio, either way round, may reach the threshold; ``seen`` counts what each bound leaves.
+
+    ``once``: left and right are the same texts, and only pairs with i < j are wanted.
+    """
     n, seen = len(left), {} if seen is None else seen
     codes, counts, letters = _letters(left + right)
     size = counts.sum(axis=1)
     step = max(1, PAIR_WORDS // (len(right) * -(-codes.shape[1] // 64)))
     for a in range(0, n, step):
         i, j = (x.ravel() for x in np.meshgrid(np.arange(a, min(n, a + step)), n + np.arange(len(right)), indexing="ij"))
+        if once:
+            i, j = i[i < j - n], j[i < j - n]
         least = threshold * (size[i] + size[j]) / 2 - 1e-9
 
         def bound(name: str, matched: np.ndarray) -> None:
@@ -132,20 +137,19 @@ def _by_ratio(left: DataFrame, right: DataFrame, threshold: float, group: str, s
         one = same and pdf["bi"].iloc[0] == pdf["bj"].iloc[0]
         text, other, ids, others = a["spelled"].tolist(), b["spelled"].tolist(), a["form"].to_numpy(), b["form"].to_numpy()
         out, matcher = [], difflib.SequenceMatcher()
-        for i, j in candidates(text, other, threshold):
-            if one:
-                once = ids[i] < others[j]
-                i, j = i[once], j[once]
-            order = np.argsort(j, kind="stable")
-            for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
-                matcher.set_seq2(other[y])
-                to = _score(text[x], other[y], matcher)
-                back = 0.0
-                if same:
-                    matcher.set_seq2(text[x])
-                    back = _score(other[y], text[x], matcher)
-                if max(to, back) >= threshold:
-                    out.append((ids[x], others[y], to, back) if not same or ids[x] < others[y] else (others[y], ids[x], back, to))
+        if one:  # both sides hold the same forms
+            other, others = text, ids
+        for i, j in candidates(text, other, threshold, once=one):
+            to, back = np.zeros(len(i)), np.zeros(len(i))
+            for k in np.argsort(j, kind="stable").tolist():  # the matcher keeps what it learnt of its second text
+                matcher.set_seq2(other[j[k]])
+                to[k] = _score(text[i[k]], other[j[k]], matcher)
+            for k in np.argsort(i, kind="stable").tolist() if same else ():
+                matcher.set_seq2(text[i[k]])
+                back[k] = _score(other[j[k]], text[i[k]], matcher)
+            for k in np.flatnonzero(np.maximum(to, back) >= threshold).tolist():
+                one_id, other_id = ids[i[k]], others[j[k]]
+                out.append((one_id, other_id, to[k], back[k]) if not same or one_id < other_id else (other_id, one_id, back[k], to[k]))
         cols = list(zip(*out, strict=True)) if out else [[]] * 4
         return pd.DataFrame({group: pdf[group].iloc[0], **{c: list(v) for c, v in zip(("a", "b", "ab", "ba"), cols, strict=True)}})
 
