@@ -26,9 +26,11 @@ from pyspark.sql import types as T
 
 from lodestar.functions import text as tx
 from lodestar.operators.ranking import numbered
-from lodestar.runtime import Scratch
+from lodestar.runtime import Scratch, spread
 
 BLOCK = 256
+#: Copies of a set of terms that one row carries while pairs are expanded.
+COPIES = 256
 #: Words of 64 bits that one pass over pairs holds, and the longest text for which common subsequences are computed.
 PAIR_WORDS, LONGEST = 1 << 18, 2048
 
@@ -220,7 +222,7 @@ def by_rarity(rows: DataFrame, among: DataFrame, group: str) -> DataFrame:
     """
     each = rows.select(group, "idx", F.explode(F.array_distinct("terms")).alias("term"))
     df = among.select(group, F.explode(F.array_distinct("terms")).alias("term")).groupBy(group, "term").agg(F.count("*").alias("df"))
-    ranked = each.join(df, [group, "term"], "left").groupBy(group, "idx").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))).alias("t"))
+    ranked = each.join(df.hint("merge"), [group, "term"], "left").groupBy(group, "idx").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))).alias("t"))
     return ranked.select(group, "idx", F.size("t").alias("n"), F.transform("t", lambda x: x["term"]).alias("terms"))
 
 
@@ -228,20 +230,66 @@ def _prefix(length: Column) -> Column:
     return F.slice("terms", 1, length.cast("int"))
 
 
+def _term_classes(rows: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """(group, idx, terms) of the first row of every set of terms, and all rows' (group, cls, ids): the set's first row, and up to about ``COPIES`` rows of it."""
+    scratch = Scratch(rows.sparkSession, "classes")
+    sets = rows.select(group, "idx", F.sort_array(F.array_distinct("terms")).alias("terms")).filter("size(terms) > 0")
+    sets = scratch.write(spread(sets, group, "terms"), "sets")
+    first = scratch.write(sets.groupBy(group, "terms").agg(F.min("idx").alias("cls"), F.count("*").alias("copies")), "first")
+    named = sets.join(first.hint("merge"), [group, "terms"]).withColumn("chunk", F.pmod(F.xxhash64("idx"), F.ceil(F.col("copies") / COPIES)))
+    chunks = scratch.write(named.groupBy(group, "cls", "chunk").agg(F.collect_list("idx").alias("ids")).drop("chunk"), "chunks")
+    return first.select(group, F.col("cls").alias("idx"), "terms"), chunks
+
+
+def _expanded(pairs: DataFrame, chunks: DataFrame, group: str) -> DataFrame:
+    """(group, a, b, ...), a < b, of all rows of the classes in pairs (group, ca, cb, ...); a class paired with itself gives each pair of its rows once."""
+    side = lambda k: chunks.select(group, F.col("cls").alias(f"c{k}"), F.col("ids").alias(f"{k}s"))
+    half = spread(pairs.join(side("a").hint("merge"), [group, "ca"]), group, "cb")
+    met = half.join(spread(side("b"), group, "cb").hint("merge"), [group, "cb"])
+    rest = [c for c in pairs.columns if c not in (group, "ca", "cb")]
+    rows = met.withColumn("x", F.explode("as")).select(group, "ca", "cb", "x", *rest, F.explode("bs").alias("y")).filter("ca <> cb or x < y")
+    return rows.select(group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *rest)
+
+
 def overlap_pairs(rows: DataFrame, threshold: float, group: str = "project_id") -> DataFrame:
     """(group, a, b, overlap), a < b, of pairs of rows (group, idx, terms) whose Jaccard similarity reaches the threshold.
 
     Sets that similar share a term among the n - ceil(t n) + 1 rarest of each, and their sizes differ by the threshold
-    at most; so rows meet on rare terms only, at the first that both have, and the whole sets decide.
+    at most; so sets meet on rare terms only, at the first that both have, and the whole sets decide. Rows of equal
+    sets are compared once and expanded at the end: the work before that grows with the different sets.
     """
-    ranked = by_rarity(rows, rows, group)
+    sets, chunks = _term_classes(rows, group)
+    ranked = Scratch(rows.sparkSession, "ranked").write(spread(by_rarity(sets, sets, group), group, "idx"), "sets")
     rare = ranked.withColumn("key", F.explode(_prefix(F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)))
-    a = rare.select(group, "key", F.col("idx").alias("a"), F.col("n").alias("na"), F.col("terms").alias("ta"))
-    b = rare.select(group, "key", F.col("idx").alias("b"), F.col("n").alias("nb"), F.col("terms").alias("tb"))
+    a = rare.select(group, "key", F.col("idx").alias("ca"), F.col("n").alias("na"), F.col("terms").alias("ta"))
+    b = rare.select(group, "key", F.col("idx").alias("cb"), F.col("n").alias("nb"), F.col("terms").alias("tb"))
     near = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
-    met = a.join(b, [group, "key"]).filter((F.col("a") < F.col("b")) & near).withColumn("both", F.array_intersect("ta", "tb")).filter(F.get("both", F.lit(0)) == F.col("key"))
+    # sizes of tables on disk say nothing of what is exploded from them, so these joins never broadcast
+    met = spread(a, group, "key").join(spread(b, group, "key").hint("merge"), [group, "key"]).filter((F.col("ca") < F.col("cb")) & near)
+    met = met.withColumn("both", F.array_intersect("ta", "tb")).filter(F.get("both", F.lit(0)) == F.col("key"))
     c = F.size("both")
-    return met.select(group, "a", "b", (c / (F.col("na") + F.col("nb") - c)).alias("overlap")).filter(F.col("overlap") >= threshold)
+    pairs = met.select(group, "ca", "cb", (c / (F.col("na") + F.col("nb") - c)).alias("overlap")).filter(F.col("overlap") >= threshold)
+    same = chunks.select(group, F.col("cls").alias("ca"), F.col("cls").alias("cb"), F.lit(1.0).alias("overlap")).distinct()
+    return _expanded(pairs.unionByName(same), chunks, group)
+
+
+def opposite_pairs(reqs: DataFrame, threshold: float, group: str = "project_id") -> DataFrame:
+    """(group, a, b), a < b, of rows (group, idx, statement) whose topic terms' Jaccard reaches the threshold and that are opposite.
+
+    Rows of equal tokens, topic terms and negation are compared once; two of them are never opposite.
+    """
+    s, scratch = F.col("statement"), Scratch(reqs.sparkSession, "opposite")
+    read = spread(reqs.select(group, "idx", "statement"), group, "statement").select(group, "idx", tx.has_negation(s).alias("neg"), tx.tokens(s).alias("tok"), tx.topic_terms(s).alias("terms")).filter("size(terms) > 0")
+    read = scratch.write(read, "rows")
+    alike = [group, "neg", "tok", "terms"]
+    first = scratch.write(read.groupBy(*alike).agg(F.min("idx").alias("cls"), F.count("*").alias("copies")), "first")
+    named = read.join(first.hint("merge"), alike).withColumn("chunk", F.pmod(F.xxhash64("idx"), F.ceil(F.col("copies") / COPIES)))
+    chunks = scratch.write(named.groupBy(group, "cls", "chunk").agg(F.collect_list("idx").alias("ids")).drop("chunk"), "chunks")
+    pairs = overlap_pairs(first.select(group, F.col("cls").alias("idx"), "terms"), threshold, group).select(group, F.col("a").alias("ca"), F.col("b").alias("cb"))
+    side = lambda k: first.select(group, F.col("cls").alias(f"c{k}"), F.col("neg").alias(f"{k}_neg"), F.col("tok").alias(f"{k}_tok"))
+    both = pairs.join(side("a").hint("merge"), [group, "ca"]).join(side("b").hint("merge"), [group, "cb"])
+    apart = both.filter(tx.polarity_conflict(F.col("a_neg"), F.col("a_tok"), F.col("b_neg"), F.col("b_tok"))).select(group, "ca", "cb")
+    return _expanded(scratch.write(apart, "apart"), chunks, group)
 
 
 def cross_overlap(left: DataFrame, right: DataFrame, share: float, group: str = "project_id") -> DataFrame:
