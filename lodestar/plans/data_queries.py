@@ -286,12 +286,7 @@ def token_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def polarity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opposite pairs among statements of the same topic."""
-    s = F.col("statement")
-    reqs = req_view(spark, sf_dir)
-    pairs = _overlapping(reqs, tx.topic_terms(s), 0.5)
-    side = lambda k: reqs.select(F.col("idx").alias(k), tx.has_negation(s).alias(f"{k}_neg"), tx.tokens(s).alias(f"{k}_tok"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(tx.polarity_conflict(F.col("a_neg"), F.col("a_tok"), F.col("b_neg"), F.col("b_tok"))).select("project_id", "a", "b")
+    return similarity.opposite_pairs(req_view(spark, sf_dir), 0.5)
 
 
 _TERMS = duck.kept(duck.toks("statement"), 4, lex.DECISION_STOP)
