@@ -10,8 +10,8 @@ from lodestar import lexicons as lex
 from lodestar.functions import classify as cl
 from lodestar.functions import text as tx
 from lodestar.operators.folds import scope_clusters
-from lodestar.operators.similarity import cross_overlap
-from lodestar.runtime import Scratch
+from lodestar.operators.similarity import cross_overlap, term_classes
+from lodestar.runtime import Scratch, spread
 
 
 def _each_term(rows: DataFrame, *keep: str) -> DataFrame:
@@ -26,9 +26,22 @@ def rare_terms(reqs: DataFrame) -> DataFrame:
 
 
 def affected(decisions: DataFrame, reqs: DataFrame) -> DataFrame:
-    """(project_id, decision_id, id): requirements that share a rare distinctive term with a decision (its members' statements)."""
-    asked = _each_term(decisions, "project_id", "decision_id").distinct().join(rare_terms(reqs), ["project_id", "term"])
-    return asked.join(_each_term(reqs, "project_id", "id"), ["project_id", "term"]).select("project_id", "decision_id", "id").distinct()
+    """(project_id, decision_id, id): requirements that share a rare distinctive term with a decision (its members' statements).
+
+    Decisions, and requirements, of equal rare terms are one class; classes meet by their terms and are expanded at the end, so that no pair of rows is sorted.
+    """
+    rare = rare_terms(reqs)
+
+    def classes(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        each = _each_term(spread(rows.select("project_id", name, "statement"), "project_id", name), "project_id", name).join(rare.hint("merge"), ["project_id", "term"])
+        sets, chunks = term_classes(each.groupBy("project_id", F.col(name).alias("idx")).agg(F.collect_set("term").alias("terms")), "project_id")
+        return sets.select("project_id", F.col("idx").alias(f"{name}_class"), F.explode("terms").alias("term")), chunks.select("project_id", F.col("cls").alias(f"{name}_class"), F.col("ids").alias(f"{name}s"))
+
+    (asked, deciders), (told, members) = classes(decisions, "decision_id"), classes(reqs, "id")
+    pairs = asked.join(told.hint("merge"), ["project_id", "term"]).select("project_id", "decision_id_class", "id_class").distinct()
+    half = spread(pairs.join(deciders.hint("merge"), ["project_id", "decision_id_class"]), "project_id", "id_class")
+    met = half.join(spread(members, "project_id", "id_class").hint("merge"), ["project_id", "id_class"])
+    return met.select("project_id", F.explode("decision_ids").alias("decision_id"), "ids").select("project_id", "decision_id", F.explode("ids").alias("id"))
 
 
 def conflict_pairs(reqs: DataFrame) -> DataFrame:

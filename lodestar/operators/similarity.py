@@ -230,7 +230,7 @@ def _prefix(length: Column) -> Column:
     return F.slice("terms", 1, length.cast("int"))
 
 
-def _term_classes(rows: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+def term_classes(rows: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
     """(group, idx, terms) of the first row of every set of terms, and all rows' (group, cls, ids): the set's first row, and up to about ``COPIES`` rows of it."""
     scratch = Scratch(rows.sparkSession, "classes")
     sets = rows.select(group, "idx", F.sort_array(F.array_distinct("terms")).alias("terms")).filter("size(terms) > 0")
@@ -258,7 +258,7 @@ def overlap_pairs(rows: DataFrame, threshold: float, group: str = "project_id")
     at most; so sets meet on rare terms only, at the first that both have, and the whole sets decide. Rows of equal
     sets are compared once and expanded at the end: the work before that grows with the different sets.
     """
-    sets, chunks = _term_classes(rows, group)
+    sets, chunks = term_classes(rows, group)
     ranked = Scratch(rows.sparkSession, "ranked").write(spread(by_rarity(sets, sets, group), group, "idx"), "sets")
     rare = ranked.withColumn("key", F.explode(_prefix(F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)))
     a = rare.select(group, "key", F.col("idx").alias("ca"), F.col("n").alias("na"), F.col("terms").alias("ta"))

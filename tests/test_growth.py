@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -33,3 +34,32 @@ def test_opposite_pairs_of_copies(spark):
     got = similarity.opposite_pairs(df, 0.5)
     assert "Broadcast" not in plan(got)
     assert sorted((r.a, r.b) for r in got.collect()) == [(a, b) for a in range(12) for b in range(a + 1, 12) if a % 3 != b % 3]
+
+
+def test_rendered_units_end_with_mb_as_in_the_sql(spark, tmp_path):
+    from lodestar.plans import classify_queries
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").limit(1)
+    part.crossJoin(spark.range(1).select(F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 1000, 1_048_576, 2_000_000)])).alias("k"))).withColumn("p_partkey", F.col("k")).drop("k").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["bytes"]: r.unit for r in classify_queries.rendered_text(spark, str(tmp_path)).collect()}
+    assert got == {1000: "1000 B", 1_000_000: "KB", 1_048_576_000: "MB", 2_000_000_000: "MB"}
+
+
+def test_affected_by_classes_equals_pairs_of_rows(spark):
+    from lodestar.operators import decisions as de
+
+    rnd = random.Random(4)
+    words = ["wishlist", "catalogue", "loyalty", "shipping", "invoices", "reviews", "moderation", "vouchers"]
+    rows = [(f"p{i % 2}", f"r{i}", " ".join(rnd.sample(words, rnd.choice([0, 1, 2])))) for i in range(80)]
+    reqs = spark.createDataFrame(rows, "project_id string, id string, statement string")
+    decided = reqs.filter("id like '%3'").withColumnRenamed("id", "decision_id")
+    term = {}
+    for p, i, s in rows:
+        for w in s.split():
+            term.setdefault((p, w), set()).add(i)
+    rare = {k: v for k, v in term.items() if len(v) <= max(3, 40 // 12)}
+    want = {(p, d, i) for (p, w), ids in rare.items() for d in ids if d.endswith("3") for i in ids}
+    got = de.affected(decided, reqs)
+    assert not re.search(r"keys=\[project_id#\d+L?, decision_id#\d+L?, id#\d+L?\]", plan(got))  # no distinct over pairs of rows
+    found = [tuple(r) for r in got.collect()]
+    assert set(found) == want and len(found) == len(want)
