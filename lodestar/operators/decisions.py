@@ -155,7 +155,7 @@ def apply_recommended(decisions: DataFrame, reqs: DataFrame, resolved: DataFrame
     told = each.filter((F.col("kind") == "conflict") | take).withColumn("action", F.when((F.col("kind") == "conflict") & ~keeps, "reject").otherwise("accept"))
     near = each.filter(out).withColumn("topic", F.explode("evidence")).join(reqs.select("project_id", "id", "statement"), ["project_id", "id"])
     neg, tok = ([f(F.col(c)) for c in ("statement", "topic")] for f in (tx.has_negation, tx.tokens))
-    near = near.filter(~tx.polarity_conflict(neg[0], tok[0], neg[1], tok[1])).filter(tx.statement_similarity("statement", "topic") >= RESTATES)
+    near = spread(near.filter(~tx.polarity_conflict(neg[0], tok[0], neg[1], tok[1])), "project_id", "id", "topic").filter(tx.statement_similarity("statement", "topic") >= RESTATES)
     gone = near.select("project_id", "n", "decision_id", "kind", "id").distinct().withColumn("action", F.lit("reject"))
     # within a conflict the kept side is taken first
     acts = told.select("project_id", "n", "decision_id", "kind", "id", "action").unionByName(gone)
@@ -188,8 +188,11 @@ def adopt_rewrites(reqs: DataFrame, rewrites: DataFrame | None) -> DataFrame:
         return plain.withColumn("rewrite_adopted", F.lit(False))
     asked = rewrites.withColumn("rewrite", F.trim("rewrite")).filter("rewrite <> ''").groupBy("project_id", "idx").agg(F.min("rewrite").alias("rewrite"))
     old, new = F.col("statement"), F.col("rewrite")
-    pairs = plain.select("project_id", "idx", "statement").join(asked, ["project_id", "idx"])
-    pairs = pairs.filter((cl.first_modal(old) == cl.first_modal(new)) & ~tx.polarity_conflict(tx.has_negation(new), tx.tokens(new), tx.has_negation(old), tx.tokens(old)))
+    read = {f"{k}_{name}": f(c) for k, c in (("old", old), ("new", new)) for name, f in (("modal", cl.first_modal), ("neg", tx.has_negation), ("tok", tx.tokens))}
+    # dealt out first, and written, so that all tasks share the reading of texts and none is read again for every antonym
+    pairs = spread(reqs.select("project_id", "idx", "statement"), "project_id", "idx").withColumn("statement", cl.cosmetic(old)).join(asked.hint("merge"), ["project_id", "idx"])
+    pairs = Scratch(reqs.sparkSession, "rewrites").write(pairs.withColumns(read), "pairs")
+    pairs = pairs.filter((F.col("old_modal") == F.col("new_modal")) & ~tx.polarity_conflict(F.col("new_neg"), F.col("new_tok"), F.col("old_neg"), F.col("old_tok")))
     good = pairs.filter(tx.statement_similarity("rewrite", "statement") >= ADOPTS).select("project_id", "idx", "rewrite")
     out = plain.join(good, ["project_id", "idx"], "left").withColumn("rewrite_adopted", new.isNotNull())
     return out.withColumn("statement", F.coalesce(new, old)).drop("rewrite")

@@ -63,3 +63,13 @@ def test_affected_by_classes_equals_pairs_of_rows(spark):
     assert not re.search(r"keys=\[project_id#\d+L?, decision_id#\d+L?, id#\d+L?\]", plan(got))  # no distinct over pairs of rows
     found = [tuple(r) for r in got.collect()]
     assert set(found) == want and len(found) == len(want)
+
+
+def test_rewrites_are_read_once_and_not_for_every_antonym(spark):
+    from lodestar.operators import decisions as de
+
+    reqs = spark.createDataFrame([("p", 1, "The system shall store the record."), ("p", 2, "The list shall sort prices from low to high.")], "project_id string, idx long, statement string")
+    offered = spark.createDataFrame([("p", 1, "The system shall store each record."), ("p", 2, "The list shall sort prices from high to low.")], "project_id string, idx long, rewrite string")
+    got = de.adopt_rewrites(reqs, offered)
+    assert "regexp_extract_all" not in plan(got)
+    assert {r.idx: r.rewrite_adopted for r in got.collect()} == {1: True, 2: False}
