@@ -37,7 +37,7 @@ PAIR_WORDS, LONGEST = 1 << 18, 2048
 
 def with_form(rows: DataFrame, group: str = "project_id") -> DataFrame:
     """``rows`` (group, idx, statement, ...) with ``norm`` and ``form``: the smallest idx of the group's rows of equal normal form."""
-    named = rows.withColumn("norm", F.coalesce(tx.normalize_exact("statement"), F.lit("")))
+    named = spread(rows, group, "statement").withColumn("norm", F.coalesce(tx.normalize_exact("statement"), F.lit("")))
     first = named.groupBy(group, "norm").agg(F.min(F.col("idx").cast("long")).alias("form"))
     return named.join(first, [group, "norm"])
 
@@ -156,7 +156,7 @@ def _by_ratio(left: DataFrame, right: DataFrame, threshold: float, group: str, s
         return pd.DataFrame({group: pdf[group].iloc[0], **{c: list(v) for c, v in zip(("a", "b", "ab", "ba"), cols, strict=True)}})
 
     kind = left.schema[group].dataType.simpleString()
-    return dealt.groupBy(group, "bi", "bj").applyInPandas(score, f"{group} {kind}, a long, b long, ab double, ba double")
+    return spread(dealt, group, "bi", "bj").groupBy(group, "bi", "bj").applyInPandas(score, f"{group} {kind}, a long, b long, ab double, ba double")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -168,8 +168,8 @@ def form_links(forms: DataFrame, threshold: float, group: str = "project_id") ->
     """(group, a, b, ab, ba) with a < b, of different forms: the scores (a, b) and (b, a), null below the threshold; one reaches it."""
     terms = forms.select(group, F.col("form").alias("idx"), F.array_distinct(F.split("spelled", " ")).alias("terms"))
     text = lambda k: forms.select(group, F.col("form").alias(k), F.col("spelled").alias(f"{k}_text"))
-    worded = overlap_pairs(terms, threshold, group).select(group, "a", "b").join(text("a"), [group, "a"]).join(text("b"), [group, "b"])
-    worded = worded.select(group, "a", "b", _similar("a_text", "b_text").alias("ab"), _similar("b_text", "a_text").alias("ba"))
+    worded = overlap_pairs(terms, threshold, group).select(group, "a", "b").join(text("a").hint("merge"), [group, "a"]).join(text("b").hint("merge"), [group, "b"])
+    worded = spread(worded, group, "a", "b").select(group, "a", "b", _similar("a_text", "b_text").alias("ab"), _similar("b_text", "a_text").alias("ba"))
     both = worded.unionByName(_by_ratio(forms, forms, threshold, group, True)).groupBy(group, "a", "b").agg(F.max("ab").alias("ab"), F.max("ba").alias("ba"))
     reach = lambda c: F.when(F.col(c) >= threshold, F.col(c)).alias(c)
     return both.select(group, "a", "b", reach("ab"), reach("ba"))
@@ -181,7 +181,7 @@ def cross_links(left: DataFrame, right: DataFrame, threshold: float, group: str
     met = cross_overlap(terms(left), terms(right), threshold, group)
     met = met.filter(F.col("common") / (F.col("nl") + F.col("nr") - F.col("common")) >= threshold - 1e-9).select(group, F.col("idx").alias("a"), F.col("match").alias("b"))
     worded = met.join(left.select(group, F.col("form").alias("a"), F.col("spelled").alias("a_text")), [group, "a"]).join(right.select(group, F.col("form").alias("b"), F.col("spelled").alias("b_text")), [group, "b"])
-    worded = worded.select(group, "a", "b", _similar("a_text", "b_text").alias("sim"))
+    worded = spread(worded, group, "a", "b").select(group, "a", "b", _similar("a_text", "b_text").alias("sim"))
     both = worded.unionByName(_by_ratio(left, right, threshold, group, False).select(group, "a", "b", F.col("ab").alias("sim")))
     return both.filter(F.col("sim") >= threshold).groupBy(group, "a", "b").agg(F.max("sim").alias("sim"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from lodestar.operators.graph import connected_components
 from lodestar.operators.ranking import numbered
-from lodestar.runtime import Scratch, small
+from lodestar.runtime import Scratch, small, spread
 
 #: Rows that one call decides.
 BLOCK = 20_000
@@ -89,7 +89,7 @@ def fold(
             held = state.withColumn("key", F.explode("keys")).join(now.select("block", "comp", "key").distinct(), ["comp", "key"]).dropDuplicates(["block", "comp", "sid"])
             context = context.unionByName(pack(held, F.lit(None).cast(asked), F.struct(*[f.name for f in kept])))
         here = blocked.filter(F.col("wave") == wave)
-        made = scratch.write(here.groupBy("block").cogroup(context.groupBy("block")).applyInPandas(run, out_type), f"wave{wave}")
+        made = scratch.write(spread(here, "block").groupBy("block").cogroup(spread(context, "block").groupBy("block")).applyInPandas(run, out_type), f"wave{wave}")
         done.append(made.filter("said is not null").select("said.*"))
         if wave + 1 < waves:
             fresh = made.filter("kept is not null").select("kept.*")
