@@ -591,20 +591,26 @@ def review_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.current(reqs, reviews.decide(reqs, log)).select(*_STATE)
 
 
+#: Events in a file of a stream's part, about.
+FILE_EVENTS = 250_000
+
+
 @query(_MACHINE)
 def streaming_review_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from a stream of four files, a batch each, with a stop and a restart half way."""
+    """The same from a stream in four parts, a batch each, with a stop and a restart half way; a requirement's events of a part are in one of its files."""
     from lodestar.runtime import Scratch
 
     reqs, log = _reviewed(spark, sf_dir)
     scratch = Scratch(spark, "machine")
-    low, high = log.agg(F.min("seq"), F.max("seq")).first()
-    step = ((high or 0) - (low or 0)) // 4 + 1
+    low, high, n = log.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
+    low, files = low or 0, 1 + n // (4 * FILE_EVENTS)
+    step = ((high or 0) - low) // 4 + 1
     done = None
     for k in range(4):
-        log.filter(F.floor((F.col("seq") - (low or 0)) / step) == k).coalesce(1).write.mode("append").parquet(scratch.path("in"))
+        part = log.filter((F.col("seq") >= low + k * step) & (F.col("seq") < low + (k + 1) * step))
+        part.repartition(files, "requirement_id").write.mode("append").parquet(scratch.path("in"))
         if k % 2:
-            arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(scratch.path("in"))
+            arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(scratch.path("in"))
             done = reviews.stream_decisions(reqs, arriving, scratch.path("out"))
     return reviews.current(reqs, done).select(*_STATE)
 

@@ -1,8 +1,9 @@
 """The review of requirements as a state machine: accept, edit and reject, with a snapshot before and after each decision.
 
 One rule in two forms. ``decide`` takes a whole log and is windows only; ``stream_decisions`` takes events as they arrive, with a state store
-that keeps one requirement's fields and the last event applied (``transformWithState``), so a batch touches only the requirements it
-has events for, and a restart goes on from the checkpoint.
+that keeps each requirement's fields and the last event applied (``transformWithState``), so a batch touches only the requirements it
+has events for, and a restart goes on from the checkpoint. Requirements are dealt to ``BUCKETS`` buckets, which are the groups that Python is
+called with: a call costs milliseconds, a requirement in it only its state's reading and writing.
 
 An event (requirement_id, seq, action, edits, actor, ts) applies in the order of seq. ``edits`` is a JSON object of fields to change;
 null values change nothing. Accept and edit approve, reject rejects; ids, sources and provenance cannot be edited. Set aside with a
@@ -30,6 +31,8 @@ FIELDS = ("statement", "rtype", "nfr_category", "feature", "priority", "rational
 SNAPSHOT = ", ".join(f"{f}: string" for f in (*FIELDS, "status"))
 EVENT = "requirement_id string, seq long, action string, edits string, actor string, ts timestamp"
 DECISION = f"requirement_id string, seq long, action string, actor string, ts timestamp, refusal string, before struct<{SNAPSHOT}>, after struct<{SNAPSHOT}>"
+#: Groups of requirements in a stream's state. A stream's state was dealt with this number, so it must stay.
+BUCKETS = 1024
 STATUS = {"accept": "approved", "edit": "approved", "reject": "rejected"}
 LATE, UNKNOWN, ACTION, OBJECT, FIELD, TYPE, BLANK = "late or repeated", "unknown requirement", "unknown action", "edits are not an object", "field is not editable", "unknown type", "statement cannot be empty"
 
@@ -65,28 +68,34 @@ def decide(reqs: DataFrame, events: DataFrame) -> DataFrame:
 
 
 class ReviewMachine(StatefulProcessor):
-    """A requirement's fields, whether it is known, and the last seq seen."""
+    """The requirements of a bucket: for each known one its fields, and the last seq seen. What is unknown when the stream starts stays so."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("requirement", f"{SNAPSHOT.replace(':', '')}, known boolean, seq long")
+        self.state = handle.getMapState("requirements", "requirement_id string", f"{SNAPSHOT.replace(':', '')}, seq long")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N803  Spark's names
-        row = initialState.iloc[0]
-        self.state.update((*[None if pd.isna(row[f]) else row[f] for f in (*FIELDS, "status")], True, None))
+        for row in initialState.to_dict("records"):
+            if row["requirement_id"] is not None:
+                self.state.updateValue((row["requirement_id"],), (*[None if pd.isna(row[f]) else row[f] for f in (*FIELDS, "status")], None))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        held = self.state.get() if self.state.exists() else None
-        fields = dict(zip((*FIELDS, "status"), held[: len(FIELDS) + 1], strict=True)) if held is not None and held[-2] else None
-        seen = held[-1] if held is not None else None
-        out = []
+        mine: dict[str, list[dict]] = {}
         for r in pd.concat(list(rows)).sort_values("seq", kind="stable").to_dict("records"):
-            before = None if fields is None else dict(fields)
-            refusal, edits = _refused(fields, r, seen)
-            seen = r["seq"] if seen is None else max(seen, r["seq"])
-            if refusal is None:
-                fields.update({k: v for k, v in edits.items() if v is not None}, status=STATUS[r["action"]])
-            out.append({**{c: r[c] for c in ("requirement_id", "seq", "action", "actor", "ts")}, "refusal": refusal, "before": before, "after": None if fields is None else dict(fields)})
-        self.state.update((*((fields or {}).get(f) for f in (*FIELDS, "status")), fields is not None, int(seen)))
+            mine.setdefault(r["requirement_id"], []).append(r)
+        out = []
+        for name, events in mine.items():
+            held = None if name is None else self.state.getValue((name,))
+            fields = None if held is None else dict(zip((*FIELDS, "status"), held, strict=False))
+            seen = None if held is None else held[-1]
+            for r in events:
+                before = None if fields is None else dict(fields)
+                refusal, edits = _refused(fields, r, seen)
+                seen = r["seq"] if seen is None else max(seen, r["seq"])
+                if refusal is None:
+                    fields.update({k: v for k, v in edits.items() if v is not None}, status=STATUS[r["action"]])
+                out.append({**{c: r[c] for c in ("requirement_id", "seq", "action", "actor", "ts")}, "refusal": refusal, "before": before, "after": None if fields is None else dict(fields)})
+            if fields is not None:
+                self.state.updateValue((name,), (*(fields[f] for f in (*FIELDS, "status")), int(seen)))
         yield pd.DataFrame(out)
 
     def close(self) -> None:
@@ -121,14 +130,20 @@ def _refused(fields: dict | None, event: dict, seen: int | None) -> tuple[str |
 
 @contextmanager
 def _rocksdb(spark: SparkSession) -> Iterator[None]:
-    """The state store that this kind of state needs, while a stream starts."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """The state store that this kind of state needs, and no more partitions of it than keep all cores busy, while a stream starts."""
+    partitions = "spark.sql.shuffle.partitions"
+    own = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        partitions: str(min(int(spark.conf.get(partitions)), 3 * spark.sparkContext.defaultParallelism)),
+    }
+    before = {key: spark.conf.get(key, None) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def stream_decisions(reqs: DataFrame, events: DataFrame, folder: str) -> DataFrame:
@@ -138,8 +153,9 @@ def stream_decisions(reqs: DataFrame, events: DataFrame, folder: str) -> DataFra
     """
     spark = reqs.sparkSession
     out = T.StructType.fromDDL(DECISION)
+    dealt = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64("requirement_id"), F.lit(BUCKETS))).groupBy("bucket")
     with _rocksdb(spark):
-        decided = events.groupBy("requirement_id").transformWithStateInPandas(ReviewMachine(), out, "append", "none", initialState=reqs.select("requirement_id", *FIELDS, "status").groupBy("requirement_id"))
+        decided = dealt(events).transformWithStateInPandas(ReviewMachine(), out, "append", "none", initialState=dealt(reqs.select("requirement_id", *FIELDS, "status")))
         writer = decided.writeStream.format("parquet").option("path", f"{folder}/decisions").option("checkpointLocation", f"{folder}/offsets")
         writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out).parquet(f"{folder}/decisions")

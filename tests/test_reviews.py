@@ -98,3 +98,20 @@ def test_no_events_and_null_edits(spark):
     assert reviews.current(rdf, reviews.decide(rdf, none)).filter("decisions = 0 and refused = 0").count() == len(reqs)
     one = spark.createDataFrame([("r0", 1, None, None, None, None), ("r0", 2, "edit", '{"priority": null}', None, None)], reviews.EVENT)
     assert [r.refusal for r in reviews.decide(rdf.filter("requirement_id = 'r0'").withColumn("statement", F.lit("x")), one).orderBy("seq").collect()] == [reviews.ACTION, None]
+
+
+def test_stream_of_parts_in_several_files_and_requirements_that_share_a_bucket(spark, monkeypatch):
+    from lodestar.plans import data_queries as dq
+
+    monkeypatch.setattr(dq, "FILE_EVENTS", 40)
+    monkeypatch.setattr(reviews, "BUCKETS", 3)
+    asked = []
+    stream = reviews.stream_decisions
+    monkeypatch.setattr(reviews, "stream_decisions", lambda reqs, events, folder: asked.append(folder) or stream(reqs, events, folder))
+    sf = "/root/testdata/sf0.001"
+    got = sorted(map(tuple, dq.streaming_review_machine(spark, sf).collect()), key=str)
+    assert got == sorted(map(tuple, dq.review_machine(spark, sf).collect()), key=str) and len(asked) == 2
+    parts = spark.read.parquet(asked[0].removesuffix("out") + "in").select("requirement_id", "seq", F.input_file_name().alias("file"))
+    assert parts.agg(F.count_distinct("file")).first()[0] > 4
+    early = parts.groupBy("requirement_id").agg(F.count_distinct("file").alias("n"))
+    assert early.filter("n > 4").count() == 0  # one file a part
