@@ -109,7 +109,8 @@ def sections(reqs: DataFrame, open_numbered: DataFrame, glossary: DataFrame, rol
     (project_id, num, text), ``brand`` the tokens of ``design.brand_tokens``, ``stack`` (project_id, block) section 7. Nothing is gathered before the last step, which is one string per project.
     """
     spark: SparkSession = reqs.sparkSession
-    ids = reporting.srs_ids(reqs)
+    # numbered once, for a dozen sections read it
+    ids = Scratch(spark, "sections").write(reporting.srs_ids(reqs).select("project_id", "id", "srs_id", "statement", "feature", "rtype", "nfr_category"), "ids")
     projects = ids.select("project_id").distinct()
     outline = spark.createDataFrame([(i * 1000, n, t) for i, (n, t) in enumerate(lex.SECTION_TITLES)], "pos int, num string, title string")
     depth = F.when(F.col("num").rlike("^[A-C]$"), 0).otherwise(F.size(F.split("num", r"\.")) - 1)

@@ -19,6 +19,7 @@ from lodestar.operators.similarity import overlap_pairs
 from lodestar.plans import duck
 from lodestar.plans.classify_queries import GLOSSARY_SQL, assessed, glossary
 from lodestar.plans.req_view import req_view, with_view
+from lodestar.runtime import Scratch
 from lodestar.sources import chunkers, corpus
 from lodestar.streaming import reviews
 
@@ -222,8 +223,10 @@ def open_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open items of the view: scope-marked rows, inferred rows and pointers."""
     s = F.col("statement")
     kind = F.coalesce(F.col("scope.flag"), F.when(cl.is_pointer(s), "non_requirement"), F.when(F.col("inferred"), "inferred"))
-    rows = req_view(spark, sf_dir).withColumn("scope", cl.scope_flag(s)).withColumn("kind", kind).filter("kind is not null")
-    return rows.select("project_id", "idx", "kind", "statement", "doc_id", F.col("location").alias("where"), F.col("scope.reason").alias("reason"))
+    rows = req_view(spark, sf_dir).withColumn("scope", cl.scope_flag(s)).withColumn("kind", kind)
+    rows = rows.select("project_id", "idx", "kind", "statement", "doc_id", F.col("location").alias("where"), F.col("scope.reason").alias("reason"))
+    # written before it is filtered, or the filter's patterns would be matched below the view's shuffle, in the few tasks that read its file
+    return Scratch(spark, "open").write(rows, "rows").filter("kind is not null")
 
 
 def _is_caution():
@@ -598,8 +601,6 @@ FILE_EVENTS = 250_000
 @query(_MACHINE)
 def streaming_review_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a stream in four parts, a batch each, with a stop and a restart half way; a requirement's events of a part are in one of its files."""
-    from lodestar.runtime import Scratch
-
     reqs, log = _reviewed(spark, sf_dir)
     scratch = Scratch(spark, "machine")
     low, high, n = log.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
@@ -715,8 +716,6 @@ def specification(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT project_id AS doc_id, CASE WHEN count(*) FILTER (WHERE rtype = 'functional') = 0 THEN 1 ELSE 0 END AS violations FROM rv WHERE status = 'approved' GROUP BY 1", view=True)
 def format_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken format checks of every generated document: only a project without a functional requirement has one."""
-    from lodestar.runtime import Scratch
-
     docs = Scratch(spark, "specification").write(_specification(spark, sf_dir), "docs")
     n = document.violations(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
     return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("violations"))

@@ -73,3 +73,13 @@ def test_rewrites_are_read_once_and_not_for_every_antonym(spark):
     got = de.adopt_rewrites(reqs, offered)
     assert "regexp_extract_all" not in plan(got)
     assert {r.idx: r.rewrite_adopted for r in got.collect()} == {1: True, 2: False}
+
+
+def test_open_items_match_patterns_in_all_tasks_and_once(spark):
+    from lodestar.plans import data_queries as dq
+    from lodestar.plans.req_view import req_view
+
+    sf = "/root/testdata/sf0.001"
+    got = dq.open_rows(spark, sf)
+    assert "part.parquet" not in plan(got) and "RLIKE" not in plan(got)  # a filter of patterns would go below the view's shuffle
+    assert "REPARTITION" in plan(req_view(spark, sf)) and got.count() > 0
