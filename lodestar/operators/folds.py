@@ -7,6 +7,11 @@ Wordings are compared by form, the class of equal normal forms, so copies cost n
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +21,12 @@ from lodestar import lexicons as lex
 from lodestar.functions import text as tx
 from lodestar.operators import waves
 from lodestar.operators.similarity import form_links, forms_of, overlap_pairs, with_form
-from lodestar.operators.waves import with_component
+from lodestar.operators.waves import Asks, with_component
 from lodestar.runtime import Scratch
 
-DEDUP, SAME_ANY_TYPE, COLLAPSE = 0.72, 0.9, 0.85
+DEDUP, SAME_ANY_TYPE, COLLAPSE, ALIKE = 0.72, 0.9, 0.85, 0.5
+#: Survivors that one block notes for its wordings; beyond that it finds them again.
+NOTED = 1 << 22
 
 
 def _formed(rows: DataFrame, label: str) -> tuple[Scratch, DataFrame]:
@@ -42,7 +49,7 @@ def _by_form(named: DataFrame, forms: DataFrame, threshold: float, scratch: Scra
     return placed, ways.unionByName(own)
 
 
-def decide_duplicates(rows: list[dict], asks: dict[int, list[dict]], hosts: list[dict]) -> tuple[list[dict], list[dict]]:
+def decide_duplicates(rows: list[dict], asks: Asks, hosts: list[dict]) -> tuple[list[dict], list[dict]]:
     """Each row goes into the survivor it is most like (the earliest of equals), if they are of one type (or nearly equal) and not opposite.
 
     The survivor takes the wording of the higher authority.
@@ -51,7 +58,7 @@ def decide_duplicates(rows: list[dict], asks: dict[int, list[dict]], hosts: list
     out, changed = [], {}
     for r in rows:
         comp, own = r["comp"], voices.get((r["comp"], r["form"]))
-        near = [(own, 1.0)] if own else [(voices[comp, a["key"]], a["sim"]) for a in asks.get(r["form"], ()) if (comp, a["key"]) in voices]
+        near = [(own, 1.0)] if own else [(voices[comp, key], sim) for key, sim in asks.of(r["form"]) if (comp, key) in voices]
         host, sim = max(near, key=lambda x: (x[1], -x[0]["sid"]), default=(None, 0.0))
         fits = host is not None and sim >= DEDUP and (sim >= SAME_ANY_TYPE or host["rtype"] == r["rtype"])
         if not fits or tx.opposite(r["statement"], host["statement"]):
@@ -101,7 +108,7 @@ def unaccounted(original: DataFrame, survivors: DataFrame) -> DataFrame:
     return original.withColumn("norm", tx.normalize_exact("statement")).join(known, ["project_id", "norm"], "left_anti").drop("norm")
 
 
-def decide_items(rows: list[dict], asks: dict[int, list[dict]], hosts: list[dict]) -> tuple[list[dict], list[dict]]:
+def decide_items(rows: list[dict], asks: Asks, hosts: list[dict]) -> tuple[list[dict], list[dict]]:
     """Near-verbatim open items go into the first survivor that is not opposite; the longest text speaks for it from then on."""
     voices: dict[tuple, dict[int, dict]] = {}  # several survivors may come to speak alike
     for h in hosts:
@@ -109,7 +116,7 @@ def decide_items(rows: list[dict], asks: dict[int, list[dict]], hosts: list[dict
     out, changed = [], {}
     for o in rows:
         comp, text = o["comp"], (o["statement"] or "").strip()
-        near = {sid: h for a in asks.get(o["form"], ()) for sid, h in voices.get((comp, a["key"]), {}).items()} if text else {}
+        near = {sid: h for key, _ in asks.of(o["form"]) for sid, h in voices.get((comp, key), {}).items()} if text else {}
         host = next((near[sid] for sid in sorted(near) if not tx.opposite(text, near[sid]["statement"] or "")), None)
         if host is None:
             host = {"comp": comp, "sid": o["idx"], "keys": [o["form"]], "statement": o["statement"]}
@@ -140,33 +147,74 @@ def openq_collapse(items: DataFrame) -> DataFrame:
     return told.select("project_id", F.col("host").alias("idx"), "x.kind", "statement", "x.reason")
 
 
-def _meet(a: list[tuple], b: list[tuple], least: float = 0.6) -> bool:
-    """Whether spans (doc, start, end) of one list cover those of the other to that part of their hull."""
-    for doc, s, e in a:
-        for s2, e2 in ((s2, e2) for d2, s2, e2 in b if d2 == doc):
-            hull = max(e, e2) - min(s, s2)
-            if hull > 0 and min(e, e2) - max(s, s2) >= least * hull:
-                return True
-    return False
+def _words(norm: str) -> set[str]:
+    return set(norm.split(" ")) if norm else set()
 
 
-def decide_near(rows: list[dict], asks: dict[int, list[dict]], hosts: list[dict]) -> tuple[list[dict], list[dict]]:
-    """Rows go into the first survivor of equal wording, or of alike wording and a span that meets one of theirs."""
-    voices = {(h["comp"], h["keys"][0]): {**h, "spans": [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in h["spans"]]} for h in hosts}
-    out, changed = [], {}
-    for r in rows:
-        comp, span = r["comp"], (r["doc_id"], r["start"], r["end"])
-        near = [voices[comp, a["key"]] for a in asks.get(r["form"], ()) if (comp, a["key"]) in voices]
-        near = [h for h in near if h["keys"][0] == r["form"] or _meet([span], h["spans"])]
-        host = min(near, key=lambda h: h["sid"], default=None)
+class _Survivors:
+    """A component's survivors in their order, the spans (start, end) of each by document, and which of them are worded like a form."""
+
+    def __init__(self) -> None:
+        self.hosts, self.sizes, self.places, self.own, self.like, self.noted = [], [], {}, {}, {}, 0
+
+    def add(self, host: dict) -> None:
+        words = _words(host["norm"])
+        for w in words:
+            self.places.setdefault(w, array("i")).append(len(self.hosts))
+        self.own[host["keys"][0]] = host
+        self.hosts.append(host)
+        self.sizes.append(len(words))
+
+    def alike(self, form: int, norm: str) -> Iterator[dict]:
+        """Survivors, in their order, whose words overlap with the form's; each form and survivor are compared once."""
+        at, found = self.like.get(form, (0, array("i")))
+        if at < len(self.hosts):
+            common, words = Counter(), _words(norm)
+            for w in words:
+                places = self.places.get(w, ())
+                common.update(places[bisect_left(places, at) :])
+            new = sorted(i for i, c in common.items() if c / (len(words) + self.sizes[i] - c) >= ALIKE)
+            self.noted += len(new)
+            if self.noted > NOTED:
+                self.like, self.noted = {}, len(found) + len(new)
+            found.extend(new)
+            self.like[form] = len(self.hosts), found
+        return (self.hosts[i] for i in found)
+
+
+def _meets(s: int, e: int, spans: dict[tuple, None], least: float = 0.6) -> bool:
+    """Whether a span and one of ``spans`` cover that part of their hull."""
+    return (s < e and (s, e) in spans) or any(max(e, e2) > min(s, s2) and min(e, e2) - max(s, s2) >= least * (max(e, e2) - min(s, s2)) for s2, e2 in spans)
+
+
+def decide_near(rows: list[dict], asks: Asks, hosts: list[dict]) -> tuple[list[dict], list[dict]]:
+    """Rows go into the first survivor of equal wording, or of alike wording and a span that meets one of theirs.
+
+    Nothing is asked for: the words of rows and survivors are compared here, for the pairs of alike wordings are many times the rows.
+    """
+    earlier: dict[int, list[dict]] = {}
+    for h in sorted(hosts, key=lambda h: h["sid"]):
+        spans: dict[str, dict[tuple, None]] = {}
+        for x in h["spans"]:
+            spans.setdefault(x["doc"], {})[x["s"], x["e"]] = None
+        earlier.setdefault(h["comp"], []).append({**h, "spans": spans})
+    out, changed, known, comp = [], {}, _Survivors(), None
+    for r in sorted(rows, key=lambda r: (r["comp"], r["idx"])):  # one component after the other, so that notes are kept for one only
+        if r["comp"] != comp:
+            known, comp = _Survivors(), r["comp"]
+            for h in earlier.get(comp, ()):
+                known.add(h)
+        doc, span = r["doc_id"], (r["start"], r["end"])
+        own = known.own.get(r["form"])
+        host = next((h for h in known.alike(r["form"], r["norm"]) if h is own or (doc in h["spans"] and _meets(*span, h["spans"][doc]))), own)
         if host is None:
-            host = {"comp": comp, "sid": r["idx"], "keys": [r["form"]], "spans": [span]}
-            voices[comp, r["form"]] = changed[r["idx"]] = host
-        elif span not in host["spans"]:
-            host["spans"].append(span)
+            host = {"comp": r["comp"], "sid": r["idx"], "keys": [r["form"]], "norm": r["norm"], "spans": {}}
+            known.add(host)
+        if span not in host["spans"].setdefault(doc, {}):
+            host["spans"][doc][span] = None
             changed[host["sid"]] = host
         out.append({"idx": r["idx"], "host": host["sid"]})
-    return out, [{**h, "spans": [dict(zip(("doc", "s", "e"), x, strict=True)) for x in h["spans"]]} for h in changed.values()]
+    return out, [{**h, "spans": [{"doc": doc, "s": s, "e": e} for doc, spans in h["spans"].items() for s, e in spans]} for h in changed.values()]
 
 
 def near_dup_merge(reqs: DataFrame) -> DataFrame:
@@ -174,21 +222,21 @@ def near_dup_merge(reqs: DataFrame) -> DataFrame:
     scratch, named = _formed(reqs.select("project_id", "idx", "statement", "doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")), "near")
     forms = named.groupBy("project_id", "form").agg(F.first("norm").alias("norm"))
     words = F.when(F.col("norm") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split("norm", " ")))
-    alike = scratch.write(overlap_pairs(forms.select("project_id", F.col("form").alias("idx"), words.alias("terms")), 0.5).select("a", "b"), "links")
+    alike = scratch.write(overlap_pairs(forms.select("project_id", F.col("form").alias("idx"), words.alias("terms")), ALIKE).select("a", "b"), "links")
     ways = alike.select(F.col("a").alias("who"), F.col("b").alias("key")).union(alike.select("b", "a")).union(forms.select("form", "form"))
-    rows = with_component(named, alike, "form").select("comp", "idx", F.col("form").alias("who"), "form", "doc_id", "start", "end")
-    said = scratch.write(waves.fold(rows, ways, decide_near, "idx long, host long", "sid long, keys array<long>, spans array<struct<doc:string,s:long,e:long>>"), "said")
+    rows = with_component(named, alike, "form").select("comp", "idx", F.col("form").alias("who"), "form", "norm", "doc_id", "start", "end")
+    said = scratch.write(waves.fold(rows, ways, decide_near, "idx long, host long", "sid long, keys array<long>, norm string, spans array<struct<doc:string,s:long,e:long>>", told=False), "said")
     merged = said.filter("idx <> host").groupBy("host").agg(F.sort_array(F.collect_list("idx")).alias("merged"))
     heads = said.filter("idx = host").join(named.select("project_id", "idx", "statement"), "idx").join(merged, "host", "left")
     return heads.select("project_id", "idx", "statement", F.coalesce("merged", F.array().cast("array<long>")).alias("merged"))
 
 
-def decide_clusters(rows: list[dict], asks: dict[int, list[dict]], hosts: list[dict]) -> tuple[list[dict], list[dict]]:
+def decide_clusters(rows: list[dict], asks: Asks, hosts: list[dict]) -> tuple[list[dict], list[dict]]:
     """A row's cluster is that of the earliest opener that has seen any of its terms; then that has seen them all."""
     opened = {(h["comp"], h["sid"]): h["opener"] for h in hosts}
     out, changed = [], set()
     for r in rows:
-        terms = [(r["comp"], a["key"]) for a in asks.get(r["idx"], ())]
+        terms = [(r["comp"], t) for (t,) in asks.of(r["idx"])]
         at = min((opened[t] for t in terms if t in opened), default=r["idx"])
         for t in terms:
             if at < opened.get(t, at + 1):

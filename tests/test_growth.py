@@ -1,12 +1,14 @@
 """Work that grows with the different texts, and joins whose sizes on disk say nothing: what failed on larger tables."""
 
+import collections
 import itertools
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import similarity
+from lodestar.operators import folds, similarity, waves
+from lodestar.runtime import Scratch
 
 
 def plan(df):
@@ -83,3 +85,60 @@ def test_open_items_match_patterns_in_all_tasks_and_once(spark):
     got = dq.open_rows(spark, sf)
     assert "part.parquet" not in plan(got) and "RLIKE" not in plan(got)  # a filter of patterns would go below the view's shuffle
     assert "REPARTITION" in plan(req_view(spark, sf)) and got.count() > 0
+
+
+def test_blocks_of_a_fold_never_exceed_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(waves, "BLOCK", 10)
+    sizes = [1] * 30 + [3] * 20 + [4] * 9 + [9] * 6 + [10] * 3 + [23]
+    rows = [(c, 100 * c + i) for c, n in enumerate(sizes) for i in range(n)]
+    blocked, n = waves._blocked(spark.createDataFrame(rows, "comp long, idx long"), Scratch(spark, "test"))
+    got = blocked.collect()
+    assert n == 3 and sorted((r.comp, r.idx) for r in got) == rows
+    assert max(collections.Counter((r.wave, r.block) for r in got).values()) <= 10  # packed by chance, some held 22
+    assert all(len({r.block for r in got if r.comp == c}) == 1 for c in range(len(sizes)))
+    assert len({r.block for r in got}) == 28  # and no block for every component
+
+
+def test_near_merge_asks_for_no_pairs_of_wordings(spark, monkeypatch):
+    words = "the system shall store every record of".split()
+    rows = [("p", i, " ".join([*words, f"kind{i % 60}"]), "d", i % 7, i % 7 + 9) for i in range(240)]  # 60 wordings, each like all others
+
+    def decide(rows, asks, hosts, real=folds.decide_near):
+        assert not asks, f"{sum(map(len, asks.values()))} asks for {len(rows)} rows"
+        return real(rows, asks, hosts)
+
+    monkeypatch.setattr(folds, "decide_near", decide)
+    got = folds.near_dup_merge(spark.createDataFrame(rows, "project_id string, idx long, statement string, doc_id string, start long, end long")).collect()
+    assert sorted(i for r in got for i in [r.idx, *r.merged]) == list(range(240)) and len(got) < 60
+
+
+def test_near_decisions_equal_the_plain_fold_whatever_is_noted(monkeypatch):
+    rnd = random.Random(8)
+    texts = sorted({" ".join(rnd.sample("abcdefgh", rnd.choice([0, 2, 3, 4]))) for _ in range(60)})
+    rows, seen = [], {}
+    for i in range(400):
+        c, t, s = rnd.randrange(2), rnd.choice(texts), rnd.randrange(12)
+        rows.append({"comp": c, "idx": i, "form": seen.setdefault((c, t), i), "norm": t, "doc_id": rnd.choice("xy"), "start": s, "end": s + rnd.choice([0, 3, 6])})
+    want, hosts = {}, []
+    for r in rows:
+        a, span = set(r["norm"].split()), (r["doc_id"], r["start"], r["end"])
+
+        def near(h, r=r, a=a, span=span):
+            b = set(h["norm"].split())
+            meets = any(d == span[0] and max(e, span[2]) > min(s, span[1]) and min(e, span[2]) - max(s, span[1]) >= 0.6 * (max(e, span[2]) - min(s, span[1])) for d, s, e in h["spans"])
+            return h["comp"] == r["comp"] and (h["norm"] == r["norm"] or (bool(a & b) and len(a & b) / len(a | b) >= 0.5 and meets))
+
+        host = next((h for h in hosts if near(h)), None)
+        if host is None:
+            hosts.append(host := {"comp": r["comp"], "sid": r["idx"], "norm": r["norm"], "spans": []})
+        host["spans"].append(span)
+        want[r["idx"]] = host["sid"]
+    for noted in (1 << 22, 3):
+        monkeypatch.setattr(folds, "NOTED", noted)
+        got, state = {}, {}
+        for at in range(0, 400, 90):  # survivors go from block to block in any order
+            said, kept = folds.decide_near(rows[at : at + 90], {}, rnd.sample(list(state.values()), len(state)))
+            got |= {x["idx"]: x["host"] for x in said}
+            state |= {h["sid"]: h for h in kept}
+        assert got == want
+    assert len(hosts) > 30
