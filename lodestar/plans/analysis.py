@@ -110,7 +110,6 @@ def analyze(reqs: DataFrame, open_items: DataFrame, chunks: DataFrame, stages: S
     final, opinions = rated, None
     if v.verify is not None:
         asked = rated.filter((F.col("triage.level") == "attention") & ~F.col("inferred") & (F.size("conflicts_with") == 0))
-        asked = asked.withColumn("n", F.row_number().over(W.partitionBy("project_id").orderBy("idx"))).filter("n <= 120")  # the cap is the feature
         opinions = stages.run("opinions", lambda: de.verify_outcome(asked.select("project_id", "id", "statement", F.col("refs").alias("doc_ids"), F.array("location").alias("locations")), v.verify, cautions), ["rated", "items", "said_verify"])
         final = rated.join(opinions.filter("outcome = 'critic_rejected'").select("project_id", "id"), ["project_id", "id"], "left_anti")
     final = stages.run("requirements", lambda: final, ["rated", "opinions", "said_verify"])

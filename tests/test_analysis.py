@@ -146,3 +146,18 @@ def test_structure_and_violations(spark):
     assert ("section", "missing required section: 1") in bad and not any("user_classes" in d or "2.3" in d for _, d in bad)
     assert ("table", "missing required table 'glossary' in §appendix a") in bad and not any(r == "pattern" for r, _ in bad)
     assert ("section", "§2 title should contain 'overall description' — found 'Overall'") in bad
+
+
+def test_every_doubted_requirement_of_a_project_gets_its_opinion(spark, tmp_path):
+    """More targets than the 120 that once were asked: a verdict on a later one counts as well."""
+    import random
+
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    rows = [("p", i, f"R{i}", f"{word()} {word()} {word()} {word()} quickly", "constraint", None, None, False, 0.3, "brd", "d", "1", i * 50, i * 50 + 40) for i in range(130)]
+    reqs = spark.createDataFrame(rows, "project_id string, idx int, id string, statement string, rtype string, feature string, nfr_category string, inferred boolean, confidence double, source_type string, doc_id string, location string, start int, end int")
+    items = spark.createDataFrame([], "project_id string, idx int, kind string, statement string, doc_id string, where string, reason string")
+    chunks = spark.createDataFrame([("p", "d", 0, "1", "# Title", 0, 50)], "project_id string, doc_id string, idx int, location string, text string, start int, end int")
+    doubted = reqs.select("project_id", "id", F.lit(False).alias("holds"), F.lit(False).alias("open_decision"))
+    out = analysis.analyze(reqs, items, chunks, analysis.Stages(Store(spark, str(tmp_path))), analysis.Verdicts(verify=doubted))
+    assert out["folded"].count() == 130 and out["requirements"].count() == 0
