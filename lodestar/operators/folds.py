@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from lodestar import lexicons as lex
 from lodestar.functions import text as tx
 from lodestar.operators import waves
-from lodestar.operators.similarity import form_links, forms_of, overlap_pairs, with_form
+from lodestar.operators.similarity import form_components, form_links, forms_of, overlap_pairs, with_form
 from lodestar.operators.waves import Asks, with_component
 from lodestar.runtime import Scratch
 
@@ -267,10 +267,9 @@ def windows_of(rows: DataFrame, threshold: float, size: int = 40, by_text: bool
 
     scratch, named = _formed(rows, "windows")
     forms = scratch.write(forms_of(named), "forms")
-    links = form_links(forms, threshold).join(forms.select("project_id", F.col("form").alias("a"), F.col("last").alias("a_last")), ["project_id", "a"])
     # the score counts from the earlier row to the later one; the later form's rows come first only if the other form goes on after them
-    edges = scratch.write(links.filter("ab is not null or (ba is not null and a_last > b)").select("a", "b"), "links")
-    placed = with_component(named, edges, "form").drop("norm", "form")
+    comps = scratch.write(form_components(forms, threshold, either=False), "comps")
+    placed = named.join(comps, "form", "left").withColumn("comp", F.coalesce("comp", "form")).drop("norm", "form")
     order = [tx.normalize(F.col("statement")), "idx"] if by_text else ["idx"]
     n = F.row_number().over(W.partitionBy("project_id", "comp").orderBy(*order)) - 1
     return placed.withColumn("_n", n).withColumn("window", F.floor(F.col("_n") / size).cast("int")).withColumn("pos", (F.col("_n") % size).cast("int")).drop("_n")
@@ -333,12 +332,12 @@ def _by_verdicts(placed: DataFrame, verdicts: DataFrame, merge) -> DataFrame:
     return ready.groupBy(*keys).applyInPandas(run, "project_id string, idx long, id string, statement string, duplicate_of array<string>, absorbed array<string>, refs array<string>")
 
 
-def consolidated(reqs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Merge (project_id, idx, id, statement, authority, and trails if there are) by external verdicts over windows of ``windows_of``.
+def consolidated(reqs: DataFrame, verdicts: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """Merge (project_id, idx, id, statement, authority, and trails if there are) by external verdicts over windows of ``windows_of``, or ``placed`` in them.
 
     Lossless: every input id is a result's id or in its duplicate_of.
     """
-    return _by_verdicts(windows_of(reqs, 0.5, by_text=True), verdicts, consolidate)
+    return _by_verdicts(windows_of(reqs, 0.5, by_text=True) if placed is None else placed, verdicts, consolidate)
 
 
 def confirmed_dedup(reqs: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.functions import text as tx
+from lodestar.operators.graph import connected_components
 from lodestar.operators.ranking import numbered
 from lodestar.runtime import Scratch, spread
 
@@ -175,6 +176,118 @@ def form_links(forms: DataFrame, threshold: float, group: str = "project_id") ->
     return both.select(group, "a", "b", reach("ab"), reach("ba"))
 
 
+#: Ratios that a worker remembers; projects share wordings.
+RATIOS: dict[tuple[str, str], float] = {}
+KNOWN = 1 << 18
+
+
+def ratio(a: str, b: str, matcher: difflib.SequenceMatcher | None = None) -> float:
+    """The sequence ratio of two spelled texts; a ``matcher`` given holds b."""
+    got = RATIOS.get((a, b))
+    if got is None:
+        matcher = matcher or difflib.SequenceMatcher(None, "", b)
+        matcher.set_seq1(a)
+        if len(RATIOS) >= KNOWN:
+            RATIOS.clear()
+        got = RATIOS[a, b] = matcher.ratio()
+    return got
+
+
+def _connect(text: list[str], ids: np.ndarray, last: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, either: bool) -> np.ndarray:
+    """``label`` with the labels of linked texts made one: pairs of left and right (positions), i < j. Only pairs of different labels are scored."""
+    codes, counts, letters = _letters(text)
+    size, words = counts.sum(axis=1), [set(t.split()) for t in text]
+
+    def linked(i: int, j: int) -> bool:
+        a, b = (i, j) if ids[i] < ids[j] else (j, i)
+        if len(words[a] & words[b]) / len(words[a] | words[b]) >= threshold or ratio(text[a], text[b]) >= threshold:
+            return True
+        return bool(either or last[a] > ids[b]) and ratio(text[b], text[a]) >= threshold
+
+    rest = []
+    for i in left.tolist():
+        j = right[(right > i) & (label[right] != label[i])]
+        most = np.minimum(counts[j], counts[i]).sum(axis=1) / (size[j] + size[i]) * 2
+        j, most = j[most >= threshold - 1e-9], most[most >= threshold - 1e-9]
+        for _ in range(3):  # likely ones first: what they connect need not be looked at
+            if not len(j):
+                break
+            k = int(np.argmax(most))
+            if linked(i, j[k]):
+                label[label == label[j[k]]] = label[i]
+                stay = label[j] != label[i]
+            else:
+                stay = np.arange(len(j)) != k
+            j, most = j[stay], most[stay]
+        rest.append((np.full(len(j), i), j))
+    i, j = (np.concatenate([r[k] for r in rest]) if rest else np.zeros(0, np.int64) for k in (0, 1))
+    step = max(1, PAIR_WORDS // -(-codes.shape[1] // 64))
+    for at in range(0, len(i), step):
+        x, y = i[at : at + step], j[at : at + step]
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+        if codes.shape[1] <= LONGEST and len(x):
+            most = common_subsequence(codes, letters, size, x, y) / (size[x] + size[y]) * 2
+            order = np.argsort(-most, kind="stable")
+            order = order[most[order] >= threshold - 1e-9]
+            x, y = x[order], y[order]
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            if label[a] != label[b] and linked(a, b):
+                label[label == label[b]] = label[a]
+    return label
+
+
+def form_components(forms: DataFrame, threshold: float, either: bool = True, group: str = "project_id") -> DataFrame:
+    """(form, comp): the components of all pairs of ``form_links``, by their smallest form, without scoring pairs that are connected already.
+
+    Only a pair's score from an earlier row to a later one counts, unless ``either`` does. First each block of forms of near length is connected,
+    then block pairs, then pairs that are alike by their tokens only; each time what is connected so far is not compared.
+    """
+    scratch = Scratch(forms.sparkSession, "edges")
+    kind = forms.schema[group].dataType.simpleString()
+    cut = numbered(forms.select(group, "form", "last", "spelled", F.length("spelled").alias("size")), group, ["size", "form"]).withColumn("block", F.floor((F.col("n") - 1) / BLOCK)).drop("n")
+    cut = scratch.write(cut, "cut")
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, every = pdf["form"].to_numpy(), np.arange(len(pdf))
+        label = _connect(pdf["spelled"].tolist(), ids, pdf["last"].to_numpy(), ids.copy(), every, every, threshold, either)
+        return pdf.drop(columns="size").assign(label=label)
+
+    l = scratch.write(spread(cut, group, "block").groupBy(group, "block").applyInPandas(within, f"{group} {kind}, form long, last long, spelled string, block long, label long"), "within")
+    lengths = lambda k: cut.groupBy(group, F.col("block").alias(f"b{k}")).agg(F.min("size").alias(f"lo{k}"), F.max("size").alias(f"hi{k}"))
+    pairs = lengths("i").join(lengths("j"), group).filter((F.col("bi") < F.col("bj")) & (2 * F.col("hii") >= threshold * (F.col("hii") + F.greatest("hii", "loj")) - 1e-9))
+    pairs = scratch.write(pairs.select(group, "bi", "bj"), "pairs")
+    side = lambda k: l.withColumnRenamed("block", k).join(pairs, [group, k]).withColumn("side", F.lit(k == "bj"))
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "form"])
+        before, at = pdf["label"].to_numpy(), np.arange(len(pdf))
+        n = int((~pdf["side"]).sum())
+        after = _connect(pdf["spelled"].tolist(), pdf["form"].to_numpy(), pdf["last"].to_numpy(), before.copy(), at[:n], at[n:], threshold, either)
+        new = after != before
+        return pd.DataFrame({"a": before[new], "b": after[new]}).drop_duplicates()
+
+    met = spread(side("bi").unionByName(side("bj")), group, "bi", "bj").groupBy(group, "bi", "bj").applyInPandas(across, "a long, b long")
+    edges = scratch.write(l.select(F.col("form").alias("a"), F.col("label").alias("b")).unionByName(met), "by_ratio")
+    # by their tokens: sets meet on rare terms as in ``overlap_pairs``, where these are in more than one component
+    comps = scratch.write(connected_components(edges).select(F.col("node").alias("form"), F.col("component").alias("comp")), "comps")
+    terms = l.join(comps.hint("merge"), "form").select(group, F.col("comp").alias("idx"), F.sort_array(F.array_distinct(F.split("spelled", " "))).alias("terms")).distinct()
+    terms = scratch.write(terms.withColumn("idx", F.struct("idx", F.xxhash64("terms").alias("h"))), "terms")
+    rare = scratch.write(by_rarity(terms, terms, group), "rare").withColumn("key", F.explode(_prefix(F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)))
+    rare = scratch.write(rare.select(group, "key", F.col("idx.idx").alias("c"), "n", "terms"), "keys")
+    mixed = rare.groupBy(group, "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select(group, "key")
+    rare = spread(rare.join(mixed.hint("merge"), [group, "key"], "left_semi"), group, "key")
+    one = lambda k: rare.select(group, "key", F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("terms").alias(f"t{k}"))
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
+    common = F.size(F.array_intersect("ta", "tb"))
+    worded = one("a").join(one("b").hint("merge"), [group, "key"]).filter((F.col("a") < F.col("b")) & near).filter(common / (F.col("na") + F.col("nb") - common) >= threshold).select("a", "b").distinct()
+    worded = scratch.write(worded, "worded")
+    if worded.isEmpty():
+        return comps
+    again = connected_components(worded).select(F.col("node").alias("comp"), F.col("component").alias("first"))
+    return comps.join(again, "comp", "left").select("form", F.coalesce("first", "comp").alias("comp"))
+
+
 def cross_links(left: DataFrame, right: DataFrame, threshold: float, group: str = "project_id") -> DataFrame:
     """(group, a, b, sim) of left and right forms whose score (a, b) reaches the threshold."""
     terms = lambda df: df.select(group, F.col("form").alias("idx"), F.array_distinct(F.split("spelled", " ")).alias("terms"))

@@ -817,6 +817,6 @@ def best_caution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consolidation with a verdict relation that merges the first two members of every window."""
     rows = _foldable(spark, sf_dir).select("project_id", "idx", "id", "statement", "authority")
-    placed = folds.windows_of(rows, 0.5, by_text=True)
+    placed = Scratch(spark, "consolidated").write(folds.windows_of(rows, 0.5, by_text=True), "placed")
     verdicts = placed.filter("pos < 2").select("project_id", "comp", "window", F.lit(1).alias("group_id"), "pos")
-    return folds.consolidated(rows, verdicts).drop("refs")
+    return folds.consolidated(rows, verdicts, placed).drop("refs")

@@ -142,3 +142,30 @@ def test_near_decisions_equal_the_plain_fold_whatever_is_noted(monkeypatch):
             state |= {h["sid"]: h for h in kept}
         assert got == want
     assert len(hosts) > 30
+
+
+def test_components_without_scoring_all_pairs(spark, monkeypatch):
+    """The components are those of all links; in a family of alike wordings, few pairs are scored."""
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "BLOCK", 10)
+    rnd = random.Random(6)
+    words = "system platform shall store show order cart price within five seconds audit export report".split()
+    rows = [(f"p{i % 2}", i, " ".join(rnd.choices(words, k=rnd.randrange(0, 8)))) for i in range(110)]
+    rows += [("p0", 200, "it is so by far"), ("p0", 201, "it is so by " + "z" * 60)]  # alike by their tokens only
+    df = spark.createDataFrame(rows, "project_id string, idx long, statement string")
+    forms = Scratch(spark, "test").write(similarity.forms_of(similarity.with_form(df)), "forms")
+    last = {r.form: r.last for r in forms.collect()}
+    for t in (0.5, 0.72):
+        links = similarity.form_links(forms, t).collect()
+        for either in (True, False):
+            comp = {f: f for f in last}
+            edges = [(r.a, r.b) for r in links if either or r.ab is not None or last[r.a] > r.b]
+            for _ in comp:
+                for a, b in edges:
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+            assert {r.form: r.comp for r in similarity.form_components(forms, t, either).collect()} == comp and len(set(comp.values())) < len(comp)
+    scored, real = [], similarity.ratio
+    monkeypatch.setattr(similarity, "ratio", lambda a, b, *m: scored.append(1) or real(a, b, *m))
+    texts, every = [f"order record seconds shall store system the within x{i}" for i in range(300)], np.arange(300)
+    assert len(set(similarity._connect(texts, every, every, every.copy(), every, every, 0.5, True).tolist())) == 1 and len(scored) < 600
