@@ -11,7 +11,9 @@ from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +22,13 @@ from pyspark.sql import types as T
 from lodestar import lexicons as lex
 from lodestar.functions import text as tx
 from lodestar.operators import waves
-from lodestar.operators.similarity import form_components, form_links, forms_of, overlap_pairs, with_form
+from lodestar.operators.similarity import form_components, form_links, forms_of, overlap_pairs, ratio, with_form
 from lodestar.operators.waves import Asks, with_component
 from lodestar.runtime import Scratch
 
 DEDUP, SAME_ANY_TYPE, COLLAPSE, ALIKE = 0.72, 0.9, 0.85, 0.5
+#: The key under which a block asks for all survivors of its components.
+ANY = -1
 #: Survivors that one block notes for its wordings; beyond that it finds them again.
 NOTED = 1 << 22
 
@@ -55,6 +59,8 @@ def decide_duplicates(rows: list[dict], asks: Asks, hosts: list[dict]) -> tuple[
     The survivor takes the wording of the higher authority.
     """
     voices = {(h["comp"], h["keys"][0]): dict(h) for h in hosts}  # component and form -> the one survivor that speaks so
+    for _, form in voices:
+        asks.add(form)
     out, changed = [], {}
     for r in rows:
         comp, own = r["comp"], voices.get((r["comp"], r["form"]))
@@ -63,6 +69,8 @@ def decide_duplicates(rows: list[dict], asks: Asks, hosts: list[dict]) -> tuple[
         fits = host is not None and sim >= DEDUP and (sim >= SAME_ANY_TYPE or host["rtype"] == r["rtype"])
         if not fits or tx.opposite(r["statement"], host["statement"]):
             host = {"comp": comp, "sid": r["idx"], "keys": [r["form"]], "statement": r["statement"], "authority": r["authority"], "rtype": r["rtype"], "wording": r["idx"]}
+            if own is None:
+                asks.add(r["form"])
             voices[comp, r["form"]] = changed[r["idx"]] = host
             out.append({"idx": r["idx"], "host": r["idx"], "took": True, "lost": None})
             continue
@@ -70,11 +78,114 @@ def decide_duplicates(rows: list[dict], asks: Asks, hosts: list[dict]) -> tuple[
         out.append({"idx": r["idx"], "host": host["sid"], "took": took, "lost": host["wording"] if took else r["idx"]})
         if took:
             voices.pop((comp, host["keys"][0]))
+            if own is None:
+                asks.drop(host["keys"][0])
+                asks.add(r["form"])
             host.update(keys=[r["form"]], statement=r["statement"], authority=r["authority"], wording=r["idx"])
             voices[comp, r["form"]] = changed[host["sid"]] = host
     return out, list(changed.values())
 
 
+class Alike(Asks):
+    """Asks of a component's forms that are found as they come: the voices that a form is most like, at ``threshold`` at least.
+
+    Voices are scored by falling bounds (common characters, and token sets exactly) until no bound reaches the best, so few of them are. What a form
+    has found stays, and later only new voices are looked at.
+    """
+
+    def __init__(self, spelled: dict[int, str], threshold: float) -> None:
+        super().__init__()
+        self.threshold, self.place = threshold, {f: i for i, f in enumerate(spelled)}
+        self.text, self.words = list(spelled.values()), [frozenset(s.split()) for s in spelled.values()]
+        known = {c: i for i, c in enumerate(sorted(set().union(*self.text)))}
+        self.letters = np.zeros((len(self.text), len(known)), np.int16)
+        for i, s in enumerate(self.text):
+            for c, n in Counter(s).items():
+                self.letters[i, known[c]] = n
+        self.size, self.n_words = np.array([len(s) for s in self.text]), np.array([len(w) for w in self.words])
+        self._clear([])
+
+    def _clear(self, voices: list[int]) -> None:
+        """Slots for these voices (keys) only; what forms have found goes."""
+        self.keys, self.slot, self.found, self.matchers, self.holds = [], {}, {}, {}, {}
+        self.at, self.lives = np.zeros(64, np.int64), np.zeros(64, bool)
+        for key in voices:
+            self.add(key)
+
+    def add(self, key: int) -> None:
+        k, i = len(self.keys), self.place[key]
+        if k == len(self.at):
+            self.at, self.lives = np.resize(self.at, 2 * k), np.concatenate([self.lives, np.zeros(k, bool)])
+        self.keys.append(key)
+        self.at[k], self.lives[k], self.slot[key] = i, True, k
+        for w in self.words[i]:
+            self.holds.setdefault(w, array("i")).append(k)
+
+    def drop(self, key: int) -> None:
+        self.lives[self.slot.pop(key)] = False
+        if len(self.keys) > 64 and len(self.slot) * 2 < len(self.keys):
+            self._clear(list(self.slot))
+
+    def _best(self, i: int, start: int, best: float, ties: list[int]) -> tuple[float, list[int]]:
+        """The largest score of form i and its slots, after those from ``start`` on."""
+        n = len(self.keys) - start
+        common = np.zeros(n)
+        for w in self.words[i]:
+            held = self.holds.get(w)
+            if held is not None:
+                common += np.bincount(np.array(held[bisect_left(held, start) :], np.int64) - start, minlength=n)
+        at = self.at[start : start + n]
+        joint = common / (self.n_words[at] + self.n_words[i] - common)
+        most = np.maximum(joint, np.minimum(self.letters[at], self.letters[i]).sum(axis=1) * 2.0 / (self.size[at] + self.size[i]))
+        may = np.flatnonzero(self.lives[start : start + n] & (most >= max(best, self.threshold) - 1e-9))
+        for k in may[np.argsort(-most[may], kind="stable")].tolist():
+            if most[k] < best - 1e-9:
+                break
+            j = int(at[k])
+            sim = max(float(joint[k]), ratio(self.text[i], self.text[j], self._matcher(j)))
+            if sim >= self.threshold and sim >= best:
+                ties = [*ties, start + k] if sim == best else [start + k]
+                best = sim
+        return best, ties
+
+    def _matcher(self, j: int) -> SequenceMatcher:
+        if j not in self.matchers:
+            if len(self.matchers) >= 1024:
+                self.matchers.clear()
+            self.matchers[j] = SequenceMatcher(None, "", self.text[j])
+        return self.matchers[j]
+
+    def of(self, who: int) -> Iterator[tuple]:
+        """(key, sim) of the voices that are most like ``who``."""
+        i = self.place[who]
+        if not self.text[i] or not self.keys:
+            return iter(())
+        upto, best, ties = self.found.get(who, (0, 0.0, []))
+        alive = [k for k in ties if self.lives[k]]
+        if ties and not alive:
+            upto, best = 0, 0.0
+        if upto < len(self.keys):
+            best, alive = self._best(i, upto, best, alive)
+        self.found[who] = len(self.keys), best, alive
+        return iter([(self.keys[k], best) for k in alive])
+
+
+def decide_alike(rows: list[dict], asks: Asks, hosts: list[dict]) -> tuple[list[dict], list[dict]]:
+    """``decide_duplicates`` of one component after the other, which finds out by itself whom its rows are like."""
+    by: dict[int, tuple[list[dict], list[dict]]] = {}
+    for k, some in enumerate((rows, hosts)):
+        for r in some:
+            by.setdefault(r["comp"], ([], []))[k].append(r)
+    out, changed = [], []
+    for mine, known in by.values():
+        spelled = {h["keys"][0]: h["statement"] for h in known} | {r["form"]: r["statement"] for r in mine}
+        alike = Alike({f: " ".join(sorted(tx.token_list(s))) for f, s in spelled.items()}, DEDUP)
+        said, new = decide_duplicates(mine, alike, sorted(known, key=lambda h: h["sid"]))
+        out += said
+        changed += [{**h, "keys": [h["keys"][0], ANY]} for h in new]
+    return out, changed
+
+
 def _members(order: str, value: str, keep=None):
     """The values of a survivor's rows, in order."""
     pairs = F.sort_array(F.collect_list(F.struct(order, value) if keep is None else F.when(keep, F.struct(order, value))))
@@ -88,9 +199,10 @@ def dedup_fold(reqs: DataFrame) -> DataFrame:
     in the order of merging; they are part of the result, so a survivor's row is as long as what it absorbed.
     """
     scratch, named = _formed(reqs.select("project_id", "idx", "id", "statement", "rtype", "authority", "refs"), "dedup")
-    placed, asks = _by_form(named, scratch.write(forms_of(named), "forms"), DEDUP, scratch)
-    rows = placed.select("comp", "idx", "who", "form", "statement", F.col("authority").cast("long").alias("authority"), "rtype")
-    said = scratch.write(waves.fold(rows, asks, decide_duplicates, "idx long, host long, took boolean, lost long", "sid long, keys array<long>, statement string, authority long, rtype string, wording long"), "said")
+    comps = form_components(scratch.write(forms_of(named), "forms"), DEDUP)
+    rows = named.join(comps, "form", "left").select(F.coalesce("comp", "form").alias("comp"), "idx", F.col("form").alias("who"), "form", "statement", F.col("authority").cast("long").alias("authority"), "rtype")
+    asks = named.select(F.col("form").alias("who"), F.lit(ANY).cast("long").alias("key")).distinct()
+    said = scratch.write(waves.fold(rows, asks, decide_alike, "idx long, host long, took boolean, lost long", "sid long, keys array<long>, statement string, authority long, rtype string, wording long", told=False), "said")
     joined = said.join(named.select("idx", "id", "statement", "refs"), "idx").join(named.select(F.col("idx").alias("lost"), F.col("statement").alias("lost_text")), "lost", "left")
     merged = F.col("idx") != F.col("host")
     told = joined.groupBy("host").agg(

@@ -41,6 +41,12 @@ class Asks(dict):
         """(key, ...) of each ask."""
         return zip(*(c.tolist() for c in self.get(who, ())), strict=True)
 
+    def add(self, key: int) -> None:
+        """A survivor speaks under ``key`` from now on; asks that are given need not know."""
+
+    def drop(self, key: int) -> None:
+        """No survivor speaks under ``key`` any more."""
+
 
 def _packed(sizes: DataFrame) -> DataFrame:
     """(comp, block) of components (comp, count) of up to ``BLOCK`` rows: as many of about one size as surely fit into a block."""

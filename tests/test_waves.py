@@ -88,3 +88,26 @@ def test_common_subsequence_against_the_table():
             for k, y in enumerate(texts[b], 1):
                 row[k], diag = (diag + 1 if x == y else max(row[k], row[k - 1])), row[k]
         assert row[-1] == n
+
+
+def test_voices_are_found_without_scoring_all(monkeypatch):
+    """The best voices are those of a full scan, whatever comes and goes, and few pairs are scored."""
+    rnd, scored, real = random.Random(3), [], similarity.ratio
+    monkeypatch.setattr(folds, "ratio", lambda a, b, m: scored.append(1) or real(a, b))
+    words = "system platform shall store show order cart price within five seconds audit export report user login".split()
+    spelled = {f: " ".join(sorted(rnd.choices(words, k=rnd.randrange(0, 9)))) for f in range(400)}
+    alike, voices, pairs = folds.Alike(spelled, folds.DEDUP), set(), 0
+    for _ in range(3000):
+        f = rnd.randrange(400)
+        if f in voices and rnd.random() < 0.7:
+            voices.remove(f)
+            alike.drop(f)
+        elif f not in voices and rnd.random() < 0.5:
+            voices.add(f)
+            alike.add(f)
+        elif f not in voices and spelled[f]:
+            pairs += len(voices)
+            near = {v: tx.similarity(spelled[f], spelled[v]) for v in voices if spelled[v]}
+            best = max(near.values(), default=0)
+            assert dict(alike.of(f)) == ({v: s for v, s in near.items() if s == best} if best >= folds.DEDUP else {})
+    assert pairs > 20_000 and len(scored) < pairs / 4
