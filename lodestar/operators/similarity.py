@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar import lexicons as lex
 from lodestar.functions import text as tx
 from lodestar.operators.graph import connected_components
 from lodestar.operators.ranking import numbered
@@ -122,15 +123,20 @@ def _score(a: str, b: str, matcher: difflib.SequenceMatcher) -> float:
     return max(len(x & y) / len(x | y), matcher.ratio())
 
 
+def _near_blocks(l: DataFrame, r: DataFrame, threshold: float, group: str) -> DataFrame:
+    """(group, bi, bj, ...) of blocks whose closest lengths can reach the threshold."""
+    lengths = lambda df, k: df.groupBy(group, F.col("block").alias(f"b{k}")).agg(F.min("size").alias(f"lo{k}"), F.max("size").alias(f"hi{k}"))
+    near, far = F.least(F.greatest("loi", "loj"), F.least("hii", "hij")), F.greatest("loi", "loj")  # the closest lengths of two blocks
+    return lengths(l, "i").join(lengths(r, "j"), group).filter(2 * near >= threshold * (near + F.greatest(near, far)) - 1e-9)
+
+
 def _by_ratio(left: DataFrame, right: DataFrame, threshold: float, group: str, same: bool) -> DataFrame:
     """(group, a, b, ab, ba) of pairs of left and right forms, found by their ratio; ``same``: both are one table, each pair once, a < b."""
     scratch = Scratch(left.sparkSession, "forms")
     cut = lambda df, name: scratch.write(numbered(df.select(group, "form", "spelled", F.length("spelled").alias("size")), group, ["size", "form"]).withColumn("block", F.floor((F.col("n") - 1) / BLOCK)).drop("n"), name)
     l = cut(left, "left")
     r = l if same else cut(right, "right")
-    lengths = lambda df, k: df.groupBy(group, F.col("block").alias(f"b{k}")).agg(F.min("size").alias(f"lo{k}"), F.max("size").alias(f"hi{k}"))
-    near, far = F.least(F.greatest("loi", "loj"), F.least("hii", "hij")), F.greatest("loi", "loj")  # the closest lengths of two blocks
-    pairs = lengths(l, "i").join(lengths(r, "j"), group).filter(2 * near >= threshold * (near + F.greatest(near, far)) - 1e-9)
+    pairs = _near_blocks(l, r, threshold, group)
     pairs = scratch.write((pairs.filter("bi <= bj") if same else pairs).select(group, "bi", "bj"), "pairs")
     side = lambda df, k: df.withColumnRenamed("block", k).join(pairs, [group, k]).withColumn("side", F.lit(k == "bj"))
     dealt = side(l, "bi").unionByName(side(r, "bj"))
@@ -425,23 +431,97 @@ def best_match(left: DataFrame, right: DataFrame, floor: float, group: str = "pr
     return lrows.join(best, [group, "form"]).select(group, "idx", (-F.col("x.m")).alias("match"), F.col("x.sim").alias("sim"))
 
 
+ECHO, COVERED = 0.85, 0.66
+
+
+def _turns(tok: Column) -> Column:
+    """What ``polarity_conflict`` reads of tokens: for each antonym pair that they hold, its number times 5 and 1 or 2 for one side, 3 or 4 for both in this or that order."""
+    pairs = F.array(*[F.struct(F.lit(5 * k).alias("k"), F.lit(x).alias("x"), F.lit(y).alias("y")) for k, (x, y) in enumerate(lex.OPPOSITES)])
+
+    def state(p: Column) -> Column:
+        x, y = F.array_contains(tok, p["x"]), F.array_contains(tok, p["y"])
+        both = F.when(F.array_position(tok, p["x"]) < F.array_position(tok, p["y"]), 3).otherwise(4)
+        return F.when(x & y, both).when(x, 1).when(y, 2).otherwise(0)
+
+    return F.filter(F.transform(pairs, lambda p: p["k"] + state(p)), lambda t: t % 5 > 0)
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """Opposite, by the negation and the turns of both."""
+    turned = lambda x, y: (F.floor(x / 5) == F.floor(y / 5)) & (x % 5 + y % 5).isin(3, 7)
+    return (a["neg"] != b["neg"]) | F.exists(a["turns"], lambda x: F.exists(b["turns"], lambda y: turned(x, y)))
+
+
+def _echoing(left: DataFrame, right: DataFrame, group: str) -> DataFrame:
+    """(group, first) of left classes (group, spelled, neg, turns, first) whose ratio with a right one that is not opposite reaches ``ECHO``; one is enough."""
+    scratch = Scratch(left.sparkSession, "echoing")
+    cut = lambda df, name: scratch.write(numbered(df.withColumn("size", F.length("spelled")), group, ["size", "first"]).withColumn("block", F.floor((F.col("n") - 1) / BLOCK)).drop("n"), name)
+    l, r = cut(left, "left"), cut(right, "right")
+    pairs = scratch.write(_near_blocks(l, r, ECHO, group).select(group, "bi", "bj"), "pairs")
+    side = lambda df, k: df.withColumnRenamed("block", k).join(pairs, [group, k]).withColumn("side", F.lit(k == "bj"))
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("side", kind="stable")
+        text, n = pdf["spelled"].tolist(), int((~pdf["side"]).sum())
+        kinds: dict[tuple, int] = {}
+        kind = np.array([kinds.setdefault((neg, *turns), len(kinds)) for neg, turns in zip(pdf["neg"].tolist(), pdf["turns"].tolist(), strict=True)])
+        turned = lambda a, b: a[0] != b[0] or any(x // 5 == y // 5 and x % 5 + y % 5 in (3, 7) for x in a[1:] for y in b[1:])
+        fit = np.array([[not turned(a, b) for b in kinds] for a in kinds])
+        codes, counts, letters = _letters(text)
+        size, out = counts.sum(axis=1), []
+        for i in range(n):
+            j = n + np.flatnonzero(fit[kind[i], kind[n:]])
+            most = np.minimum(counts[j], counts[i]).sum(axis=1) / (size[j] + size[i]) * 2
+            j, most = j[most >= ECHO - 1e-9], most[most >= ECHO - 1e-9]
+            j = j[np.argsort(-most, kind="stable")]
+            hit = any(ratio(text[i], text[k]) >= ECHO for k in j[:3].tolist())
+            j = j[3:]
+            if not hit and len(j) and codes.shape[1] <= LONGEST:
+                most = common_subsequence(codes[np.append(i, j)], letters, size[np.append(i, j)], np.zeros(len(j), np.int64), np.arange(1, len(j) + 1)) / (size[j] + size[i]) * 2
+                j = j[np.argsort(-most, kind="stable")][: int((most >= ECHO - 1e-9).sum())]
+            if hit or any(ratio(text[i], text[k]) >= ECHO for k in j.tolist()):
+                out.append(i)
+        return pdf.iloc[out][[group, "first"]]
+
+    kind = left.schema[group].dataType.simpleString()
+    dealt = side(l, "bi").unionByName(side(r, "bj"))
+    return spread(dealt, group, "bi", "bj").groupBy(group, "bi", "bj").applyInPandas(find, f"{group} {kind}, first string").distinct()
+
+
 def echo_free(items: DataFrame, firm: DataFrame, group: str = "project_id") -> DataFrame:
     """Open items less the ungrounded or inferred ones that echo a firm requirement (project, statement) of their project.
 
     An echo has the same normal form, or is very similar, or has two thirds of its core terms in one requirement;
-    the last two only if the statements are not opposite.
+    the last two only if the statements are not opposite. Statements of equal terms, or tokens, and equal polarity are one class, and what one
+    test has found is not compared by the next.
     """
+    scratch, s = Scratch(items.sparkSession, "echo"), F.col("statement")
     noise = items.filter(F.col("kind").isin("ungrounded", "inferred") & (F.trim("statement") != "")).select(group, "idx", "statement")
-    firm = firm.select(group, "statement").distinct().withColumn("idx", F.xxhash64(group, "statement"))
-    s = F.col("statement")
-    equal = noise.withColumn("norm", tx.normalize(s)).join(firm.select(group, tx.normalize(s).alias("norm")).distinct(), [group, "norm"], "left_semi").select(group, "idx")
-    similar = cross_similarity(noise, firm, 0.85, group).select(group, "idx", "match")
-    core = lambda df: df.select(group, "idx", tx.core_terms(s).alias("terms"))
-    covered = cross_overlap(core(noise), core(firm), 0.66, group).filter(F.col("common") / F.col("nl") >= 0.66).select(group, "idx", "match")
-    pairs = similar.unionByName(covered.select(group, F.col("idx").cast("long").alias("idx"), "match")).distinct()
-    side = lambda df, key, c: df.select(group, F.col("idx").cast("long").alias(key), F.col("statement").alias(c))
-    both = pairs.join(side(noise, "idx", "a"), [group, "idx"]).join(side(firm, "match", "b"), [group, "match"])
-    a, b = F.col("a"), F.col("b")
-    apart = tx.polarity_conflict(tx.has_negation(a), tx.tokens(a), tx.has_negation(b), tx.tokens(b))
-    echoes = equal.select(group, F.col("idx").cast("long").alias("idx")).unionByName(both.filter(~apart).select(group, "idx")).distinct()
+
+    def read(rows: DataFrame, name: str) -> DataFrame:
+        each = spread(rows.select(group, "statement").distinct(), group, "statement").withColumn("exact", F.coalesce(tx.normalize_exact("statement"), F.lit("")))
+        spelled = F.array_join(F.sort_array(F.regexp_extract_all("exact", F.lit("[a-z0-9]+"), F.lit(0))), " ")
+        return scratch.write(each.select(group, "statement", tx.normalize(s).alias("norm"), spelled.alias("spelled"), F.sort_array(tx.core_terms(s)).alias("core"), tx.has_negation(s).alias("neg"), _turns(tx.tokens(s)).alias("turns")), name)
+
+    def classes(rows: DataFrame, by: str) -> DataFrame:
+        return rows.groupBy(group, by, "neg", "turns").agg(F.min("statement").alias("first"))
+
+    def sharing(terms: Column, share: float, score: Column):
+        of = lambda rows: rows.select(group, F.struct("first", "neg", "turns").alias("idx"), terms.alias("terms"))
+        return lambda a, b: cross_overlap(of(a), of(b), share, group).filter((score >= share) & ~_apart(F.col("idx"), F.col("match"))).select(group, "idx.first").distinct()
+
+    said, told = read(noise, "said"), read(firm, "told")
+    left = scratch.write(said.join(told.select(group, "norm").distinct(), [group, "norm"], "left_anti"), "unequal")
+    c, nl, nr = F.col("common"), F.col("nl"), F.col("nr")
+    tests = [
+        ("core", sharing(F.col("core"), COVERED, c / nl)), ("spelled", sharing(F.split("spelled", " "), ECHO, c / (nl + nr - c))),
+        ("spelled", lambda a, b: _echoing(a, b, group)),
+    ]
+    for k, (by, test) in enumerate(tests):
+        some = lambda rows: classes(rows.filter(F.size("core") > 0 if by == "core" else F.col("spelled") != ""), by)  # noqa: B023, E731
+        named = scratch.write(some(left), f"classes{k}")
+        found = scratch.write(test(named, scratch.write(some(told), f"firm{k}")), f"found{k}")
+        gone = named.join(found, [group, "first"], "left_semi").select(group, by, "neg", "turns")
+        left = scratch.write(left.join(gone, [group, by, "neg", "turns"], "left_anti"), f"left{k}")
+    echoes = noise.join(said.join(left, [group, "statement"], "left_anti"), [group, "statement"]).select(group, "idx").distinct()
     return items.join(echoes, [group, "idx"], "left_anti")

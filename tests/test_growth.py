@@ -169,3 +169,30 @@ def test_components_without_scoring_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(similarity, "ratio", lambda a, b, *m: scored.append(1) or real(a, b, *m))
     texts, every = [f"order record seconds shall store system the within x{i}" for i in range(300)], np.arange(300)
     assert len(set(similarity._connect(texts, every, every, every.copy(), every, every, 0.5, True).tolist())) == 1 and len(scored) < 600
+
+
+def test_echoes_are_found_by_classes(spark, monkeypatch):
+    """As by comparing every pair; copies, and wordings of equal tokens and polarity, are compared once."""
+    from lodestar.functions import text as tx
+    from lodestar.operators.similarity import echo_free
+
+    rnd = random.Random(8)
+    words = "catalogue orders prices sorted low high show hide customer invoices archive export nightly not enable disable".split()
+    said = [" ".join(rnd.choices(words, k=rnd.randrange(0, 7))) for _ in range(60)]
+    left = [(f"p{i % 2}", i, rnd.choice(["inferred", "ungrounded", "gap"]), rnd.choice(said) + rnd.choice(["", ".", "!", " ?"])) for i in range(240)]
+    right = [(f"p{i % 2}", rnd.choice([rnd.choice(said), " ".join(rnd.choices(words, k=5)), "prices sorted from low to high now", "prices sorted from high to low now"])) for i in range(24)]
+    core = lambda s: set(spark_core[s])
+    texts = spark.createDataFrame([(s,) for s in {x[-1] for x in left + right}], "s string")
+    spark_core = {r.s: r.c for r in texts.select("s", tx.core_terms(F.col("s")).alias("c")).collect()}
+
+    def echo(a, b):
+        near = tx.similarity(a, b) >= 0.85 or (core(a) and len(core(a) & core(b)) / len(core(a)) >= 0.66)
+        return tx.normal(a) == tx.normal(b) or (near and not tx.opposite(a, b))
+
+    want = {i for p, i, kind, s in left if kind != "gap" and s.strip() and any(q == p and echo(s, t) for q, t in right)}
+    sizes, real = [], similarity.cross_overlap
+    monkeypatch.setattr(similarity, "cross_overlap", lambda a, b, *x: sizes.append(a.count()) or real(a, b, *x))
+    items = spark.createDataFrame(left, "project_id string, idx long, kind string, statement string")
+    got = {r.idx for r in echo_free(items, spark.createDataFrame(right, "project_id string, statement string")).collect()}
+    assert got == {x[1] for x in left} - want and want and max(sizes) <= 2 * len(said)
+    assert sizes[0] < len({(p, s) for p, _, kind, s in left if kind != "gap"})
