@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from lodestar import lexicons as lex
 from lodestar.functions import text as tx
 from lodestar.operators import waves
-from lodestar.operators.similarity import form_components, form_links, forms_of, overlap_pairs, ratio, with_form
+from lodestar.operators.similarity import form_components, forms_of, overlap_pairs, ratio, with_form
 from lodestar.operators.waves import Asks, with_component
 from lodestar.runtime import Scratch
 
@@ -38,21 +38,6 @@ def _formed(rows: DataFrame, label: str) -> tuple[Scratch, DataFrame]:
     return scratch, scratch.write(with_form(rows.withColumn("idx", F.col("idx").cast("long"))), "rows")
 
 
-def _by_form(named: DataFrame, forms: DataFrame, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Rows with the component and the form (who) they ask by, and asks (who, key, sim): forms with which a later row of ``who`` is similar.
-
-    A row always asks for its own form as well, with score 1.
-    """
-    links = scratch.write(form_links(forms, threshold).join(forms.select("project_id", F.col("form").alias("a"), F.col("last").alias("a_last")), ["project_id", "a"]), "links")
-    later = links.select(F.col("b").alias("who"), F.col("a").alias("key"), F.col("ba").alias("sim"))
-    # a row of the earlier form may still come after one of the later form
-    earlier = links.filter("a_last > b").select(F.col("a").alias("who"), F.col("b").alias("key"), F.col("ab").alias("sim"))
-    ways = later.unionByName(earlier).filter("sim is not null")
-    placed = with_component(named, ways.select(F.col("who").alias("a"), F.col("key").alias("b")), "form").withColumn("who", F.col("form"))
-    own = named.select(F.col("form").alias("who"), F.col("form").alias("key"), F.lit(1.0).alias("sim")).distinct()
-    return placed, ways.unionByName(own)
-
-
 def decide_duplicates(rows: list[dict], asks: Asks, hosts: list[dict]) -> tuple[list[dict], list[dict]]:
     """Each row goes into the survivor it is most like (the earliest of equals), if they are of one type (or nearly equal) and not opposite.
 
@@ -170,8 +155,30 @@ class Alike(Asks):
         return iter([(self.keys[k], best) for k in alive])
 
 
-def decide_alike(rows: list[dict], asks: Asks, hosts: list[dict]) -> tuple[list[dict], list[dict]]:
-    """``decide_duplicates`` of one component after the other, which finds out by itself whom its rows are like."""
+class Near(Alike):
+    """All voices that a form is like, at ``threshold`` at least."""
+
+    def of(self, who: int) -> Iterator[tuple]:
+        i = self.place[who]
+        if not self.text[i]:
+            return iter(())
+        upto, like = self.found.get(who, (0, []))
+        at, like = self.at[upto : len(self.keys)], [k for k in like if self.lives[k]]
+        least = self.threshold - 1e-9
+        fit = np.minimum(self.letters[at], self.letters[i]).sum(axis=1) * 2.0 / (self.size[at] + self.size[i]) >= least
+        held = [np.array(h[bisect_left(h, upto) :], np.int64) - upto for w in self.words[i] if (h := self.holds.get(w)) is not None]
+        common = np.bincount(np.concatenate(held), minlength=len(at)) if held else np.zeros(len(at))
+        joint = common / (self.n_words[at] + self.n_words[i] - common)
+        for k in np.flatnonzero(self.lives[upto : len(self.keys)] & (fit | (joint >= least))).tolist():
+            j = int(at[k])
+            if joint[k] >= self.threshold or ratio(self.text[i], self.text[j], self._matcher(j)) >= self.threshold:
+                like.append(upto + k)
+        self.found[who] = len(self.keys), like
+        return iter([(self.keys[k], None) for k in like])
+
+
+def _by_component(decide, kind: type[Alike], threshold: float, rows: list[dict], hosts: list[dict]) -> tuple[list[dict], list[dict]]:
+    """``decide`` for one component after the other, with asks that find out by themselves whom rows are like."""
     by: dict[int, tuple[list[dict], list[dict]]] = {}
     for k, some in enumerate((rows, hosts)):
         for r in some:
@@ -179,13 +186,18 @@ def decide_alike(rows: list[dict], asks: Asks, hosts: list[dict]) -> tuple[list[
     out, changed = [], []
     for mine, known in by.values():
         spelled = {h["keys"][0]: h["statement"] for h in known} | {r["form"]: r["statement"] for r in mine}
-        alike = Alike({f: " ".join(sorted(tx.token_list(s))) for f, s in spelled.items()}, DEDUP)
-        said, new = decide_duplicates(mine, alike, sorted(known, key=lambda h: h["sid"]))
+        alike = kind({f: " ".join(sorted(tx.token_list(s))) for f, s in spelled.items()}, threshold)
+        said, new = decide(mine, alike, sorted(known, key=lambda h: h["sid"]))
         out += said
         changed += [{**h, "keys": [h["keys"][0], ANY]} for h in new]
     return out, changed
 
 
+def decide_alike(rows: list[dict], asks: Asks, hosts: list[dict]) -> tuple[list[dict], list[dict]]:
+    """``decide_duplicates`` without given asks."""
+    return _by_component(decide_duplicates, Alike, DEDUP, rows, hosts)
+
+
 def _members(order: str, value: str, keep=None):
     """The values of a survivor's rows, in order."""
     pairs = F.sort_array(F.collect_list(F.struct(order, value) if keep is None else F.when(keep, F.struct(order, value))))
@@ -225,33 +237,47 @@ def decide_items(rows: list[dict], asks: Asks, hosts: list[dict]) -> tuple[list[
     voices: dict[tuple, dict[int, dict]] = {}  # several survivors may come to speak alike
     for h in hosts:
         voices.setdefault((h["comp"], h["keys"][0]), {})[h["sid"]] = dict(h)
+    for _, form in voices:
+        asks.add(form)
     out, changed = [], {}
+
+    def speak(comp: int, form: int, host: dict) -> None:
+        if not voices.get((comp, form)):
+            asks.add(form)
+        voices.setdefault((comp, form), {})[host["sid"]] = changed[host["sid"]] = host
+
     for o in rows:
         comp, text = o["comp"], (o["statement"] or "").strip()
         near = {sid: h for key, _ in asks.of(o["form"]) for sid, h in voices.get((comp, key), {}).items()} if text else {}
         host = next((near[sid] for sid in sorted(near) if not tx.opposite(text, near[sid]["statement"] or "")), None)
         if host is None:
             host = {"comp": comp, "sid": o["idx"], "keys": [o["form"]], "statement": o["statement"]}
-            voices.setdefault((comp, o["form"]), {})[o["idx"]] = changed[o["idx"]] = host
+            speak(comp, o["form"], host)
             out.append({"idx": o["idx"], "host": o["idx"], "text": o["statement"]})
             continue
         longer = len(text) > len(host["statement"] or "")
         out.append({"idx": o["idx"], "host": host["sid"], "text": text if longer else None})
         if longer:
             del voices[comp, host["keys"][0]][host["sid"]]
+            if not voices[comp, host["keys"][0]]:
+                asks.drop(host["keys"][0])
             host.update(keys=[o["form"]], statement=text)
-            voices.setdefault((comp, o["form"]), {})[host["sid"]] = changed[host["sid"]] = host
+            speak(comp, o["form"], host)
     return out, list(changed.values())
 
 
+def decide_items_alike(rows: list[dict], asks: Asks, hosts: list[dict]) -> tuple[list[dict], list[dict]]:
+    """``decide_items`` without given asks."""
+    return _by_component(decide_items, Near, COLLAPSE, rows, hosts)
+
+
 def openq_collapse(items: DataFrame) -> DataFrame:
     """Fold (project_id, idx, kind, statement, reason) of every project; the most decisive kind, the first of equals, stays with its reason."""
     scratch, named = _formed(items.select("project_id", "idx", "kind", "statement", "reason"), "items")
     forms = scratch.write(forms_of(named), "forms")
-    placed, asks = _by_form(named, forms, COLLAPSE, scratch)
-    asks = asks.join(forms.select(F.col("form").alias("who")), "who", "left_semi")  # without a token nothing is alike, not even an equal text
-    rows = placed.select("comp", "idx", "who", "form", "statement")
-    said = scratch.write(waves.fold(rows, asks, decide_items, "idx long, host long, text string", "sid long, keys array<long>, statement string"), "said")
+    rows = named.join(form_components(forms, COLLAPSE), "form", "left").select(F.coalesce("comp", "form").alias("comp"), "idx", F.col("form").alias("who"), "form", "statement")
+    asks = named.select(F.col("form").alias("who"), F.lit(ANY).cast("long").alias("key")).distinct()  # without a token nothing is alike, not even an equal text
+    said = scratch.write(waves.fold(rows, asks, decide_items_alike, "idx long, host long, text string", "sid long, keys array<long>, statement string", told=False), "said")
     known = F.create_map(*[F.lit(x) for k in lex.OPEN_KINDS if k[3] is not None for x in (k[0], k[3])])
     each = said.join(named.select("project_id", "idx", "kind", "reason"), "idx").withColumn("rank", F.coalesce(F.try_element_at(known, F.col("kind")), F.lit(99)))
     lead = F.min_by(F.struct("kind", "reason"), F.struct("rank", "idx"))

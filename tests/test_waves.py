@@ -111,3 +111,23 @@ def test_voices_are_found_without_scoring_all(monkeypatch):
             best = max(near.values(), default=0)
             assert dict(alike.of(f)) == ({v: s for v, s in near.items() if s == best} if best >= folds.DEDUP else {})
     assert pairs > 20_000 and len(scored) < pairs / 4
+
+
+def test_all_voices_alike_are_found_without_scoring_all(monkeypatch):
+    rnd, scored, real = random.Random(5), [], similarity.ratio
+    monkeypatch.setattr(folds, "ratio", lambda a, b, m: scored.append(1) or real(a, b))
+    words = "system platform shall store show order cart price within five seconds".split()
+    spelled = {f: " ".join(sorted(rnd.choices(words, k=rnd.randrange(0, 6)))) for f in range(300)}
+    near, voices, pairs = folds.Near(spelled, folds.COLLAPSE), set(), 0
+    for _ in range(2000):
+        f = rnd.randrange(300)
+        if f in voices and rnd.random() < 0.4:
+            voices.remove(f)
+            near.drop(f)
+        elif f not in voices and rnd.random() < 0.5:
+            voices.add(f)
+            near.add(f)
+        else:
+            pairs += len(voices)
+            assert {k for k, _ in near.of(f)} == {v for v in voices if tx.similarity(spelled[f], spelled[v]) >= folds.COLLAPSE}
+    assert pairs > 20_000 and len(scored) < pairs / 4
